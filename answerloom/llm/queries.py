@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from answerloom.llm import fertility, simhash, token_counts
-from answerloom.llm.common import table
+from answerloom.llm import compaction, fertility, licenses, mixing, quality_bayes, simhash, token_counts, url_filter
+from answerloom.llm.common import shared_dir, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -22,6 +24,37 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(docs).select("doc_id", "n_bytes", "n_tokens", "over_limit")
 
 
+def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return url_filter.judge_urls(pages).select("page_id", "host", "path", "rule", "verdict")
+
+
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    return mixing.mix(docs).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return licenses.scan(docs).select(
+        "doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score"
+    )
+
+
+def op8_quality_bayes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")
+    judged = quality_bayes.classify_narrow(docs, table(spark, sf_dir, "labels"))
+    return judged.select("doc_id", "evidence", "shift", "posterior", "kept")
+
+
+def op9_compaction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    root = f"{shared_dir(spark)}/shards-{uuid.uuid4().hex}"
+    return compaction.shard_table(docs, root).select(
+        "doc_id", "shard", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes")
+    )
+
+
 def op10_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     return fertility.judge(docs).select(
@@ -31,9 +64,16 @@ def op10_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    own = (op3_simhash, op4_token_counts, op10_fertility)
+    own = (
+        op3_simhash, op4_token_counts, op5_url_filter, op6_mixing, op7_licenses, op8_quality_bayes,
+        op9_compaction, op10_fertility,
+    )
     return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op5_url_filter": url_filter.contract_sql(),
+        "op6_mixing": mixing.contract_sql(),
+        "op7_licenses": licenses.contract_sql(),
+    }
