@@ -203,29 +203,24 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
     """docs as the mix takes them: each row as often as its words are taken, rounded.
 
     Only the document at which a source's last round ends is taken in part; whole
-    documents therefore stay within half a document of the schedule, per source.
-    All columns stay; rows are matched by (doc_id, size, rank among equals).
+    documents therefore stay within half a document of the schedule, per source. All
+    columns stay. Rows equal in doc_id, size and source are matched by rank, in order
+    of what is taken; documents without a word are not taken.
     """
-    columns = docs.columns
-    size = word_count(F.col("text"))
-    same = Window.partitionBy("__i", "__s", "__k")
-    rows = docs.withColumns({"__i": F.col("doc_id"), "__s": size, "__k": F.col("source").cast("string")})
-    taken = (
-        mix(docs)
-        .withColumn("__n", F.row_number().over(same_of_mix()))
-        .withColumn("__times", F.round(F.col("taken") / F.col("size")).cast("int"))
-        .filter("size > 0 and __times > 0")
-        .select(F.col("doc_id").alias("__di"), F.col("size").alias("__ds"), F.col("source").alias("__dk"), F.col("__n").alias("__dn"), "__times")
+    taken = mix(docs)
+    equal = ["__id", "__size", "__source"]
+    rank = lambda by: F.row_number().over(Window.partitionBy(*equal).orderBy(by))
+    times = (
+        taken.filter("size > 0")
+        .withColumnsRenamed({"doc_id": "__id", "size": "__size", "source": "__source"})
+        .withColumn("__rank", rank("taken"))
+        .withColumn("__times", F.round(F.col("taken") / F.col("__size")).cast("int"))
+        .filter("__times > 0")
+        .select(*[F.col(c).alias(c + "t") for c in (*equal, "__rank")], "__times")
     )
-    rows = rows.withColumn("__n", F.row_number().over(same.orderBy("n_chars")))
-    match = (
-        F.col("__i").eqNullSafe(F.col("__di"))
-        & (F.col("__s") == F.col("__ds"))
-        & F.col("__k").eqNullSafe(F.col("__dk"))
-        & (F.col("__n") == F.col("__dn"))
-    )
-    return rows.join(taken, match).withColumn("__c", F.explode(F.sequence(F.lit(1), "__times"))).select(*columns)
-
-
-def same_of_mix():
-    return Window.partitionBy("doc_id", "size", "source").orderBy("taken")
+    rows = docs.withColumns(
+        {"__id": F.col("doc_id"), "__size": word_count(F.col("text")), "__source": F.col("source").cast("string")}
+    ).withColumn("__rank", rank("__size"))
+    match = [F.col(c).eqNullSafe(F.col(c + "t")) for c in (*equal, "__rank")]
+    chosen = rows.join(times, match)
+    return chosen.withColumn("__copy", F.explode(F.sequence(F.lit(1), "__times"))).select(*docs.columns)

@@ -8,12 +8,32 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from answerloom.llm import compaction, fertility, licenses, mixing, quality_bayes, simhash, token_counts, url_filter
+from answerloom.llm import (
+    ann_index,
+    bpe_chunks,
+    compaction,
+    fertility,
+    licenses,
+    mixing,
+    quality_bayes,
+    simhash,
+    token_counts,
+    url_filter,
+)
 from answerloom.llm.common import shared_dir, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_bpe_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe_chunks.encode_documents(table(spark, sf_dir, "documents"))
+
+
+def op2_ann_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return ann_index.search(vectors, "vec_id % 100 = 0")
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return simhash.near_duplicates(docs).select("doc_id", "fingerprint", "component_id")
@@ -63,12 +83,18 @@ def op10_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Query]:
     own = (
-        op3_simhash, op4_token_counts, op5_url_filter, op6_mixing, op7_licenses, op8_quality_bayes,
-        op9_compaction, op10_fertility,
+        op1_bpe_chunks, op2_ann_index, op3_simhash, op4_token_counts, op5_url_filter, op6_mixing,
+        op7_licenses, op8_quality_bayes, op9_compaction, op10_fertility,
     )
-    return {f.__name__: f for f in own}
+    return {f.__name__: f for f in own} | {"pipeline": pipeline}
 
 
 def oracle_sql() -> dict[str, str]:
