@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from typing import Protocol
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from answerloom.functions.text import answer_cleanup, strip, words
@@ -19,9 +19,9 @@ class Reader(Protocol):
 
 
 class Encoder(Protocol):
-    """Similarity of two text columns."""
+    """Adds column name: the similarity of two text columns."""
 
-    def similarity(self, a: Column, b: Column) -> Column: ...
+    def similarity(self, rows: DataFrame, a: str, b: str, name: str) -> DataFrame: ...
 
 
 class LexicalReader:
@@ -33,23 +33,34 @@ class LexicalReader:
     """
 
     def predict(self, rows: DataFrame) -> DataFrame:
-        asked, given = words(F.lower("question")), words(F.col("passage"))
+        # Columns of their own, so that functions over words read arrays ready made.
+        staged = rows.withColumns(
+            {
+                "__asked": words(F.lower("question")),
+                "__given": words(F.col("passage")),
+                "__low": words(F.lower("passage")),
+            }
+        )
         # A negative place makes the earliest of equals the greatest.
-        sized = F.transform(given, lambda w, i: F.struct(F.length(w).alias("n"), (-i).alias("at"), w.alias("word")))
+        sized = F.transform(
+            "__given", lambda w, i: F.struct(F.length(w).alias("n"), (-i).alias("at"), w.alias("word"))
+        )
         named = F.filter(
-            sized, lambda x: x["word"].rlike(r"^\p{Lu}") & ~F.array_contains(asked, F.lower(x["word"]))
+            sized, lambda x: x["word"].rlike(r"^\p{Lu}") & ~F.array_contains("__asked", F.lower(x["word"]))
         )
-        shared = F.size(F.array_intersect(asked, words(F.lower("passage"))))
-        return rows.withColumns(
+        shared = F.size(F.array_intersect("__asked", "__low"))
+        raw = F.coalesce(F.try_divide(shared, F.size(F.array_distinct("__asked"))), F.lit(0.0))
+        return staged.withColumns(
             {
                 "answer": strip(answer_cleanup(F.coalesce(F.array_max(named)["word"], F.lit("")))),
-                "reader_raw": F.round(F.coalesce(F.try_divide(shared, F.size(F.array_distinct(asked))), F.lit(0.0)), DIGITS),
+                "reader_raw": F.round(raw, DIGITS),
             }
-        )
+        ).drop("__asked", "__given", "__low")
 
 
 class BagEncoder:
     """Cosine of lower-cased bags of words."""
 
-    def similarity(self, a: Column, b: Column) -> Column:
-        return bag_cosine(words(F.lower(a)), words(F.lower(b)))
+    def similarity(self, rows: DataFrame, a: str, b: str, name: str) -> DataFrame:
+        staged = rows.withColumns({"__a": words(F.lower(a)), "__b": words(F.lower(b))})
+        return staged.withColumn(name, bag_cosine(F.col("__a"), F.col("__b"))).drop("__a", "__b")

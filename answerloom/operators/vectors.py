@@ -58,8 +58,14 @@ def dense_top_k(queries: DataFrame, index: DataFrame, k: int) -> DataFrame:
 
 
 def bag_cosine(a: Column, b: Column) -> Column:
-    """Cosine of two token arrays as bags of words: the default sentence similarity."""
-    both = F.array_union(a, b)
+    """Cosine of two token arrays as bags of words: the default sentence similarity.
+
+    The dot product sums, over words of both, the product of their counts; a norm
+    sums a word's count over its occurrences. a and b should be plain columns.
+    """
     count = lambda xs, w: F.size(F.filter(xs, lambda t: t == w)).cast("double")
-    x, y = F.transform(both, lambda w: count(a, w)), F.transform(both, lambda w: count(b, w))
-    return cosine(x, y)
+    add = lambda s, x: s + x
+    shared = F.transform(F.array_intersect(a, b), lambda w: count(a, w) * count(b, w))
+    square = lambda xs: F.aggregate(F.transform(xs, lambda w: count(xs, w)), F.lit(0.0), add)
+    length = F.sqrt(square(a)) * F.sqrt(square(b))
+    return F.coalesce(F.try_divide(F.aggregate(shared, F.lit(0.0), add), length), F.lit(0.0))

@@ -78,8 +78,8 @@ def fused_candidates(
     """
     read = (reader or LexicalReader()).predict(rows)
     by = ["qid"]
-    sim = F.round((encoder or BagEncoder()).similarity(F.col("question"), F.col("passage")), DIGITS)
-    read = read.withColumn("sim_raw", sim)
+    read = (encoder or BagEncoder()).similarity(read, "question", "passage", "sim_raw")
+    read = read.withColumn("sim_raw", F.round("sim_raw", DIGITS))
     scored = read.withColumns(
         {
             "similarity": F.round(zero_below(minmax(F.col("sim_raw"), by)), DIGITS),
