@@ -88,14 +88,14 @@ def near_edges(fps: DataFrame, block: int = BLOCK) -> DataFrame:
     fingerprint going to g of them, so that no task holds more than two blocks.
     """
     sig = fps.select("fp", F.explode(signatures(F.col("fp"))).alias("sig"))
-    sizes = sig.groupBy("sig").agg(F.count("*").alias("n")).filter("n > 1")
-    g = F.ceil(F.col("n") / F.lit(block)).cast("int")
+    large = sig.groupBy("sig").agg(F.count("*").alias("n")).filter(F.col("n") > block)
+    g = F.coalesce(F.ceil(F.col("n") / F.lit(block)), F.lit(1)).cast("int")
     own = F.pmod(F.xxhash64("fp"), F.col("g")).cast("int")
     low, high = F.least("own", "other"), F.greatest("own", "other")
     dealt = (
-        sig.join(sizes, "sig")
+        sig.join(large, "sig", "left")
         .withColumn("g", g)
-        .withColumn("own", F.when(F.col("g") > 1, own).otherwise(0))
+        .withColumn("own", own)
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("g") - 1)))
         .select("fp", "sig", low.alias("i"), high.alias("j"))
     )
