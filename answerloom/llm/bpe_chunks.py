@@ -17,6 +17,7 @@ from __future__ import annotations
 import functools
 import hashlib
 import json
+import os
 import re
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
@@ -26,16 +27,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from answerloom.llm.common import by_bytes, materialise, utf8, vocabulary
+from answerloom.llm.common import by_bytes, materialise, small_batches, utf8, vocabulary
 
 VOCAB = "word_bpe_49k.json"
 #: Bytes of a chunk: at least, and on average between the cuts that the hash proposes.
 LEAST_CHUNK, CHUNK_BITS = 64, 9
-BATCH_BYTES = 2 << 20
-#: Words remembered by a task from one batch to the next, and the longest of them.
-MEMO_WORDS = 200_000
-#: Words given to the library at once; its results take far more memory than ids.
-ENCODE_WORDS = 4096
+BATCH_BYTES = 1 << 20
+#: Words that a Python worker remembers, from one batch and task to the next.
+MEMO_WORDS = 300_000
+#: Bytes given to the library in one call, and the mark that parts texts inside it.
+CALL_BYTES, MARK = 1 << 16, b"\x01"
 #: Bits of the table of texts to move: at most (4 MB), and per text.
 MOST_BITS, BITS_PER_TEXT = 1 << 25, 16
 _SPACE = re.compile(rb"[ \t-\r]")
@@ -90,6 +91,7 @@ class WordBpe:
     """A vocabulary whose tokens never span white space, by words remembered."""
 
     def __init__(self, vocab: str = VOCAB):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         path = vocabulary(vocab)
@@ -106,14 +108,33 @@ class WordBpe:
         #: Without a decoder the library joins pieces by a space.
         self.joins = spec["decoder"] is None
         self.memo: dict[bytes, bytes] = {}
+        mark = np.frombuffer(self.direct(MARK), "<u4").tolist()
+        self.mark = mark[0] if len(mark) == 1 else None
 
-    def whole(self, texts: list[bytes]) -> list[bytes]:
+    def direct(self, text: bytes) -> bytes:
         """Ids, as little-endian 32-bit bytes, straight from the library."""
-        out: list[bytes] = []
-        for i in range(0, len(texts), ENCODE_WORDS):
-            some = [t.decode() for t in texts[i : i + ENCODE_WORDS]]
-            for e in self.model.encode_batch_fast(some, add_special_tokens=False):
-                out.append(np.array(e.ids, "<u4").tobytes())
+        return np.array(self.model.encode(text.decode(), add_special_tokens=False).ids, "<u4").tobytes()
+
+    def whole(self, texts: list[bytes]) -> list[bytes]:
+        """direct() of many texts, in few calls.
+
+        A call costs more than a word, so texts are put into one, parted by a marked
+        word whose only token no other text can hold; texts with the mark go alone.
+        """
+        out = [b""] * len(texts)
+        easy = [k for k, t in enumerate(texts) if MARK not in t]
+        for k in range(len(texts)) if self.mark is None else sorted({*range(len(texts))} - {*easy}):
+            out[k] = self.direct(texts[k])
+        if self.mark is None:
+            return out
+        some = [texts[k] for k in easy]
+        for i, j in by_bytes(some, CALL_BYTES):
+            joined = (b" " + MARK + b" ").join(some[i:j]).decode()
+            ids = np.array(self.model.encode(joined, add_special_tokens=False).ids, "<u4")
+            cuts = (np.flatnonzero(ids == self.mark) * 4).tolist()
+            data, last = ids.tobytes(), 0
+            for k, c in zip(easy[i:j], [*cuts, len(data)], strict=True):
+                out[k], last = data[last:c], c + 4
         return out
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
@@ -122,8 +143,7 @@ class WordBpe:
         if len(self.memo) > MEMO_WORDS:
             self.memo.clear()
         new = list({w for ws in words for w in ws if w not in self.memo})
-        for i, j in by_bytes(new, BATCH_BYTES // 2):
-            self.memo.update(zip(new[i:j], self.whole(new[i:j]), strict=True))
+        self.memo.update(zip(new, self.whole(new), strict=True))
         ids = [b"".join(map(self.memo.__getitem__, ws)) for ws in words]
         for w in new:
             if len(w) > 64:  # long words seldom return
@@ -138,6 +158,12 @@ class WordBpe:
         return self.model.decode(numbers, skip_special_tokens=False).encode()
 
 
+@functools.lru_cache(maxsize=1)
+def word_bpe(vocab: str) -> WordBpe:
+    """The worker's own encoder, with what it remembers."""
+    return WordBpe(vocab)
+
+
 def open_ends(chunk: bytes) -> tuple[bytes, bytes, bytes] | None:
     """Word that the chunk opens with, what stands between, word it ends with.
 
@@ -180,7 +206,7 @@ def stitch(bpe: WordBpe, text: bytes, ends: list[int], given: dict[tuple[int, in
     joins.append(word)
     repaired = bpe.encode(joins)
     if not confirmed(bpe, joins, repaired, bodies):
-        return bpe.whole([text])[0]
+        return bpe.direct(text)
     out = [repaired[0]]
     for (_, ids), r in zip(bodies, repaired[1:], strict=True):
         out += [ids, r]
@@ -241,6 +267,7 @@ def encode_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
     columns of docs are not carried. Use WordBpe and stitch for the ids themselves.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
 
     def chunk_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -265,7 +292,7 @@ def encode_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
 
     def here(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Texts that share nothing are encoded where they are read."""
-        bpe = WordBpe(vocab)
+        bpe = word_bpe(vocab)
         for batch in batches:
             ids, texts = batch.column("doc_id").to_pylist(), utf8(batch.column("text"))
             for i, j in by_bytes(texts, BATCH_BYTES):
@@ -304,7 +331,7 @@ def encode_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
 
     def encode_owned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Inner ids of each shared chunk, from the one text that owns it."""
-        bpe = WordBpe(vocab)
+        bpe = word_bpe(vocab)
         for batch in batches:
             some = utf8(batch.column("text"))
             asked = batch.column("wanted").to_pylist()
@@ -327,7 +354,7 @@ def encode_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
     )
 
     def join_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = WordBpe(vocab)
+        bpe = word_bpe(vocab)
         for batch in batches:
             some = utf8(batch.column("text"))
             k1, k2 = (batch.column(c).to_pylist() for c in ("k1", "k2"))

@@ -47,6 +47,16 @@ def materialise(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession, rows: int = 512) -> None:
+    """Lets Arrow batches of the session hold at most `rows` rows.
+
+    Spark counts a batch in rows alone, and ten thousand texts are no bounded size.
+    """
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(name)) > rows or int(spark.conf.get(name)) <= 0:
+        spark.conf.set(name, rows)
+
+
 def delete_path(spark: SparkSession, path: str) -> None:
     """Removes a path of any Hadoop file system."""
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
