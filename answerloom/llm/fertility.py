@@ -132,6 +132,8 @@ def repeated_words(words: np.ndarray, doc: np.ndarray, n: int) -> np.ndarray:
         mix = (mix ^ words[i : i + k].astype(np.uint64)) * np.uint64(0xBF58476D1CE4E5B9)
         mix ^= mix >> np.uint64(29)
     starts = np.flatnonzero(doc[:k] == doc[w - 1 :])
+    if not len(starts):
+        return np.zeros(n, np.int64)
     order = starts[np.argsort(mix[starts], kind="stable")]
     same = mix[order[1:]] == mix[order[:-1]]
     for i in range(w):
