@@ -179,3 +179,18 @@ def with_final_text(rows: DataFrame) -> DataFrame:
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
     return rows.mapInPandas(run, f"{fields}, final string")
+
+
+def best_threshold_with_answered(scores: DataFrame, score: str) -> DataFrame:
+    """best_threshold, and the mean score of the answerable questions."""
+    has = scores.agg(F.round(100.0 * F.avg(F.when(F.col("has_answer"), F.col(score))), 6).alias("has_answer_score"))
+    return best_threshold(scores, score).join(F.broadcast(has))
+
+
+def all_best_thresholds(scores: DataFrame) -> DataFrame:
+    """One row of best_exact, best_exact_thresh, best_f1, best_f1_thresh."""
+    exact_, f1 = (
+        best_threshold(scores, c).select(F.col("best").alias(f"best_{c}"), F.col("threshold").alias(f"best_{c}_thresh"))
+        for c in ("exact", "f1")
+    )
+    return exact_.join(F.broadcast(f1))

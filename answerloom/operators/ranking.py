@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -66,3 +66,13 @@ def best_indexes(logits: Column, n: int) -> Column:
     """Positions of the n largest values, largest first, earlier first among equals."""
     pairs = F.transform(logits, lambda v, i: F.struct((-v).alias("v"), i.alias("i")))
     return F.transform(F.slice(F.array_sort(pairs), 1, n), lambda p: p["i"])
+
+
+def scored_answers(answers: DataFrame, scorer: Callable[[DataFrame], Column]) -> DataFrame:
+    """Adds score by a pluggable scorer, a column over the whole batch."""
+    return answers.withColumn("score", scorer(answers))
+
+
+def choose_best(answers: DataFrame, by: Sequence[str], scorer: Callable[[DataFrame], Column]) -> DataFrame:
+    """Best answer of each group by the scorer; the earliest wins ties."""
+    return top_k(scored_answers(answers, scorer), by, [F.desc("score"), F.asc("ord")], 1).drop("rank")

@@ -242,3 +242,43 @@ def test_stream_of_postings(spark, tmp_path):
     write_postings(docs, str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination()
     got = {r["term"]: r["tf"] for r in spark.read.parquet(str(tmp_path / "out")).collect()}
     assert got == {"a": 2, "b": 1}
+
+
+RULES = (
+    'True : object.conclusion = "B"',
+    '\tobject.tag == "I" : object.conclusion = "I"',
+    '\t\tobject.prevWord1 == "quần" : object.conclusion = "B"',
+    '\t\t\tobject.prevWord1 == "quần" and object.word == "áo" : object.conclusion = "I"',
+    '\tobject.nextWord1 == "x" : object.conclusion = "I"',
+)
+
+
+def test_rule_tree_segments(spark):
+    from answerloom.operators import segment
+
+    root = segment.parse_rules(RULES)
+    assert segment.tag(root, ["quần", "áo", "dài"], ["B", "I", "I"]) == ["B", "I", "I"]
+    assert segment.tag(root, ["quần", "dài", "x"], ["B", "I", "B"]) == ["B", "B", "B"]
+    rows = spark.createDataFrame([(["quần", "áo", "đẹp"], ["B", "I", "B"])], "words array<string>, tags array<string>")
+    assert segment.segment(rows, root).first()["segmented"] == "quần_áo đẹp"
+
+
+def test_contexts(spark):
+    from answerloom.operators.contexts import hit_contexts, link_position_map, with_contents
+
+    hits = spark.createDataFrame([(1, "a", 2.0), (1, "b", 1.0), (1, "z", 0.5)], "qid int, doc_id string, score double")
+    store = spark.createDataFrame([("a", '{"contents": "good"}'), ("b", "bad text")], "doc_id string, raw string")
+    got = hit_contexts(with_contents(hits, store), ["bad"]).collect()
+    assert [(r["title"], r["text"]) for r in got] == [("a", "good")]
+    at = spark.createDataFrame([("T", 0, [("L", 1, 2)])], "title string, line int, links array<struct<link: string, start: long, end: long>>")
+    assert link_position_map(at).first()["lines"]["0"]["L"]["end"] == 2
+
+
+def test_thresholds_and_scorers(spark):
+    rows = [(1, 0.1, True, True, 1.0, 0.5), (2, 0.2, False, True, 0.0, 0.0)]
+    df = spark.createDataFrame(rows, "qid int, na_prob double, has_answer boolean, answered boolean, exact double, f1 double")
+    both = evaluate.all_best_thresholds(df).first()
+    assert both["best_exact"] == 100.0 and both["best_f1"] == 75.0
+    assert evaluate.best_threshold_with_answered(df, "f1").first()["has_answer_score"] == 50.0
+    a = spark.createDataFrame([(1, "x", 1), (1, "yy", 2)], "qid int, answer string, ord int")
+    assert ranking.choose_best(a, ["qid"], lambda d: F.length(d["answer"])).first()["answer"] == "yy"
