@@ -20,24 +20,27 @@ def analyze(c: Column) -> Column:
 
 @dataclass(frozen=True)
 class BM25Index:
-    """postings(term, doc_id, tf, dl), terms(term, df) and one row of stats(n, avgdl)."""
+    """postings(term, doc_id, tf, dl), terms(term, df) and one row of stats(n, avgdl).
+
+    An index that is built and not written also has its occurrences(doc_id, dl, term),
+    from which a search counts the terms it asks for and no others.
+    """
 
     postings: DataFrame
     terms: DataFrame
     stats: DataFrame
+    occurrences: DataFrame | None = None
 
     @classmethod
     def build(cls, docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> BM25Index:
         """Counts each text once; only (doc, term, tf) is grouped, never a posting list."""
         terms = docs.select(F.col(doc_id).alias("doc_id"), analyze(F.col(text)).alias("terms"))
         lengths = terms.select("doc_id", F.size("terms").alias("dl"))
-        postings = (
-            terms.select("doc_id", F.size("terms").alias("dl"), F.explode("terms").alias("term"))
-            .groupBy("doc_id", "term").agg(F.count("*").alias("tf"), F.first("dl").cast("long").alias("dl"))
-        )
+        occurrences = terms.select("doc_id", F.size("terms").cast("long").alias("dl"), F.explode("terms").alias("term"))
+        postings = _count(occurrences)
         df = postings.groupBy("term").agg(F.count("*").alias("df"))
         stats = lengths.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-        return cls(postings, df, stats)
+        return cls(postings, df, stats, occurrences)
 
     def write(self, path: str, buckets: int = 200) -> None:
         """Postings in range partitions by term, so that a reader prunes files by term."""
@@ -56,21 +59,31 @@ class BM25Index:
         they meet the postings, so the large side is read once, hashed once by term
         at most, and pre-aggregated by (question, document).
         """
-        asked = (
+        counted = (
             questions.select("qid", F.explode(analyze(F.col("question"))).alias("term"))
             .groupBy("qid", "term").agg(F.count("*").alias("qtf"))
-            .join(self.terms, "term").join(F.broadcast(self.stats))  # one row of stats
         )
+        postings, terms = self.postings, self.terms
+        if self.occurrences is not None:
+            wanted = broadcast_if_small(counted.select("term").distinct(), bound=counted)
+            postings = _count(self.occurrences.join(wanted, "term", "left_semi"))
+            terms = postings.groupBy("term").agg(F.count("*").alias("df"))
+        asked = counted.join(terms, "term").join(F.broadcast(self.stats))  # one row of stats
         idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
         tf = F.col("tf")
         gain = F.col("qtf") * idf * tf / (tf + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
         scored = (
-            self.postings.join(broadcast_if_small(asked), "term")
+            postings.join(broadcast_if_small(asked, bound=counted), "term")
             .groupBy("qid", "doc_id").agg(F.round(F.sum(gain), DIGITS).alias("score"))
         )
         return top_k(scored, ["qid"], [F.desc("score"), F.asc("doc_id")], k)
 
 
+def _count(occurrences: DataFrame) -> DataFrame:
+    """(doc_id, term, tf, dl); dl is the same in all occurrences of a document."""
+    return occurrences.groupBy("doc_id", "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
+
+
 def build_searcher(kind: str, **tables: DataFrame) -> BM25Index | DataFrame:
     """A retriever by name: bm25 over index tables, dpr over an embeddings table."""
     if kind == "bm25":

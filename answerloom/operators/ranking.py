@@ -14,9 +14,13 @@ FUSION = (0.6, 0.2, 0.2)
 THRESHOLD = 0.1
 
 
-def broadcast_if_small(df: DataFrame, rows: int = 50_000) -> DataFrame:
-    """df with a broadcast hint if it has at most `rows` rows; else as it is, for a shuffle join."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def broadcast_if_small(df: DataFrame, rows: int = 50_000, bound: DataFrame | None = None) -> DataFrame:
+    """df with a broadcast hint if it has at most `rows` rows; else as it is, for a shuffle join.
+
+    bound is counted in df's place where it has at least as many rows and is cheaper.
+    """
+    counted = df if bound is None else bound
+    return F.broadcast(df) if counted.limit(rows + 1).count() <= rows else df
 
 
 def top_k(df: DataFrame, by: Sequence[str], order: Sequence[Column], k: int, rank: str = "rank") -> DataFrame:

@@ -31,7 +31,9 @@ def ranked_passages(
     docs(doc_id, text), hits(qid, doc_id). Only hit documents are cut into passages;
     each passage is profiled once, against the profile of its question.
     """
-    asked = broadcast_if_small(with_profile(questions.select("qid", "question"), "question", "q").drop("question"))
+    asked = broadcast_if_small(
+        with_profile(questions.select("qid", "question"), "question", "q").drop("question"), bound=questions
+    )
     texts = hits.select("qid", "doc_id").join(docs.select("doc_id", "text"), "doc_id")
     passages = texts.select("qid", "doc_id", F.explode(to_passages(F.col("text"))).alias("passage"))
     profiled = with_profile(passages, "passage", "p").join(asked, "qid")
@@ -52,7 +54,7 @@ def extract_answers(
     cleaned = questions.select("qid", preprocess_text(F.col("question")).alias("question"))
     hits = index.search(cleaned, k)
     best = best_passages(ranked_passages(questions, docs, hits), passages)
-    read = (reader or LexicalReader()).predict(best.join(broadcast_if_small(questions.select("qid", "question")), "qid"))
+    read = (reader or LexicalReader()).predict(best.join(broadcast_if_small(questions.select("qid", "question"), bound=questions), "qid"))
     good = read.filter(acceptable(F.col("question"), F.col("answer"), F.col("reader_raw")))
     votes = vote(good.select("qid", "answer", F.col("reader_raw").alias("score"), F.col("rank").alias("ord")))
     return best_voted(merge_substrings(votes)).select("qid", "answer", "votes", "score")
