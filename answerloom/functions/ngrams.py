@@ -23,9 +23,10 @@ def with_case(toks: Column, case: str) -> Column:
 
 def gram_list(toks: Column, n: int) -> Column:
     """All n-grams in order, space-joined; none if there are fewer tokens."""
-    count = F.size(toks) - (n - 1)
-    starts = F.when(count > 0, F.sequence(F.lit(1), count)).otherwise(F.array().cast("array<int>"))
-    return F.transform(starts, lambda i: F.array_join(F.slice(toks, i, n), " "))
+    if n > 1:
+        first = F.slice(toks, 1, F.greatest(F.size(toks) - (n - 1), F.lit(0)))
+        toks = F.transform(first, lambda w, i: F.concat_ws(" ", w, *[F.get(toks, i + j) for j in range(1, n)]))
+    return F.coalesce(toks, F.array().cast("array<string>"))
 
 
 def gram_set(toks: Column, n: int) -> Column:

@@ -33,10 +33,14 @@ class BM25Index:
 
     @classmethod
     def build(cls, docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> BM25Index:
-        """Counts each text once; only (doc, term, tf) is grouped, never a posting list."""
+        """Counts each text once; only (doc, term, tf) is grouped, never a posting list.
+
+        The outer explode keeps the optimiser from testing each text's terms for being
+        none, which would analyse the texts once more where they are scanned.
+        """
         terms = docs.select(F.col(doc_id).alias("doc_id"), analyze(F.col(text)).alias("terms"))
         lengths = terms.select("doc_id", F.size("terms").alias("dl"))
-        occurrences = terms.select("doc_id", F.size("terms").cast("long").alias("dl"), F.explode("terms").alias("term"))
+        occurrences = terms.select("doc_id", F.size("terms").cast("long").alias("dl"), F.explode_outer("terms").alias("term")).filter("term is not null")
         postings = _count(occurrences)
         df = postings.groupBy("term").agg(F.count("*").alias("df"))
         stats = lengths.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))

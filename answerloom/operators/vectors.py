@@ -57,15 +57,27 @@ def dense_top_k(queries: DataFrame, index: DataFrame, k: int) -> DataFrame:
     return top_k(scored, ["qid"], [F.desc("score"), F.asc("vec_id")], k).select("qid", "vec_id", "score", "rank")
 
 
+def squared_counts(words: Column) -> Column:
+    """Sum over different words of their squared counts, in one pass over sorted words.
+
+    The r-th of equal words adds 2r - 1, the step from one square to the next.
+    """
+
+    def step(s: Column, w: Column) -> Column:
+        run = F.when(s["word"] == w, s["run"] + 1).otherwise(F.lit(1)).cast("long")
+        return F.struct(w.alias("word"), run.alias("run"), (s["total"] + 2 * run - 1).alias("total"))
+
+    start = F.struct(F.lit("").alias("word"), F.lit(0).cast("long").alias("run"), F.lit(0).cast("long").alias("total"))
+    return F.aggregate(F.sort_array(words), start, step, lambda s: s["total"].cast("double"))
+
+
 def bag_cosine(a: Column, b: Column) -> Column:
     """Cosine of two token arrays as bags of words: the default sentence similarity.
 
-    The dot product sums, over words of both, the product of their counts; a norm
-    sums a word's count over its occurrences. a and b should be plain columns.
+    The dot product sums, over b's occurrences of words that a has, their counts in a;
+    so a, the question, should be the shorter. Both should be plain columns.
     """
-    count = lambda xs, w: F.size(F.filter(xs, lambda t: t == w)).cast("double")
-    add = lambda s, x: s + x
-    shared = F.transform(F.array_intersect(a, b), lambda w: count(a, w) * count(b, w))
-    square = lambda xs: F.aggregate(F.transform(xs, lambda w: count(xs, w)), F.lit(0.0), add)
-    length = F.sqrt(square(a)) * F.sqrt(square(b))
-    return F.coalesce(F.try_divide(F.aggregate(shared, F.lit(0.0), add), length), F.lit(0.0))
+    known = F.filter(b, lambda w: F.array_contains(a, w))
+    shared = F.transform(known, lambda w: F.size(F.filter(a, lambda t: t == w)).cast("double"))
+    length = F.sqrt(squared_counts(a)) * F.sqrt(squared_counts(b))
+    return F.coalesce(F.try_divide(F.aggregate(shared, F.lit(0.0), lambda s, x: s + x), length), F.lit(0.0))

@@ -17,6 +17,7 @@ from answerloom.operators.links import closest_titles, resolve_links
 from answerloom.operators.ranking import DIGITS, broadcast_if_small, fuse, minmax, top_k, zero_below
 from answerloom.operators.reader import BagEncoder, Encoder, LexicalReader, Reader
 from answerloom.operators.voting import acceptable, best_voted, merge_substrings, ordered_distinct, vote
+from answerloom.sources.scan import even_out
 
 # Work budgets of the two models.
 DOCUMENTS_1, PASSAGES_A_DOCUMENT, PASSAGES_1, DOCUMENTS_2 = 100, 5, 50, 10
@@ -34,8 +35,9 @@ def ranked_passages(
     asked = broadcast_if_small(
         with_profile(questions.select("qid", "question"), "question", "q").drop("question"), bound=questions
     )
-    texts = hits.select("qid", "doc_id").join(docs.select("doc_id", "text"), "doc_id")
-    passages = texts.select("qid", "doc_id", F.explode(to_passages(F.col("text"))).alias("passage"))
+    texts = even_out(hits.select("qid", "doc_id"), "qid", "doc_id").join(docs.select("doc_id", "text"), "doc_id")
+    # An inner explode would first test all documents for having passages, at their scan.
+    passages = texts.select("qid", "doc_id", F.explode_outer(to_passages(F.col("text"))).alias("passage")).filter("passage is not null")
     profiled = with_profile(passages, "passage", "p").join(asked, "qid")
     scored = profiled.select("qid", "doc_id", "passage", overlap(F.col("q"), F.col("p"), compat).alias("score"))
     return top_k(scored, ["qid", "doc_id"], [F.desc("score"), F.desc("passage")], per_doc)
@@ -65,8 +67,8 @@ def read_lines_of_hits(questions: DataFrame, docs: DataFrame, index: BM25Index,
     fixed = questions.select("qid", question_fixup(F.col("question")).alias("question"))
     hits = index.search(fixed, k)
     hits = hits.withColumn("rank_score", F.round(minmax(F.col("score"), ["qid"]), DIGITS))
-    texts = hits.join(docs.select("doc_id", "text"), "doc_id").join(broadcast_if_small(fixed), "qid")
-    cut = texts.select("qid", "question", "doc_id", "rank", "rank_score", F.posexplode(lines(F.col("text"))).alias("at", "passage"))
+    texts = even_out(hits, "qid", "doc_id").join(docs.select("doc_id", "text"), "doc_id").join(broadcast_if_small(fixed), "qid")
+    cut = texts.select("qid", "question", "doc_id", "rank", "rank_score", F.posexplode_outer(lines(F.col("text"))).alias("at", "passage")).filter("passage is not null")
     order = F.struct("rank", "at")
     return cut.select("qid", "question", "doc_id", order.alias("ordinal"), "passage", "rank_score")
 

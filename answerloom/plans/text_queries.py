@@ -34,7 +34,7 @@ def preprocess_text(spark, sf_dir):
 
 @query(f"SELECT doc_id, (unnest(range(len(p))))::BIGINT AS at, unnest(p) AS passage FROM (SELECT doc_id, {PASSAGES} AS p FROM documents)")
 def to_passages(spark, sf_dir):
-    rows = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(tx.to_passages(F.col("text"))).alias("at", "passage"))
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.posexplode_outer(tx.to_passages(F.col("text"))).alias("at", "passage")).filter("passage is not null")
     return rows.withColumn("at", F.col("at").cast("long"))
 
 
@@ -101,7 +101,7 @@ def answer_cleanup(spark, sf_dir):
 
 @query(f"SELECT doc_id, (unnest(range(len(x))))::BIGINT AS at, unnest(x) AS line FROM (SELECT doc_id, {LINES} AS x FROM documents)")
 def text_lines(spark, sf_dir):
-    rows = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(tx.lines(F.col("text"))).alias("at", "line"))
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.posexplode_outer(tx.lines(F.col("text"))).alias("at", "line")).filter("line is not null")
     return rows.withColumn("at", F.col("at").cast("long"))
 
 
