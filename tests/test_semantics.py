@@ -282,3 +282,16 @@ def test_thresholds_and_scorers(spark):
     assert evaluate.best_threshold_with_answered(df, "f1").first()["has_answer_score"] == 50.0
     a = spark.createDataFrame([(1, "x", 1), (1, "yy", 2)], "qid int, answer string, ord int")
     assert ranking.choose_best(a, ["qid"], lambda d: F.length(d["answer"])).first()["answer"] == "yy"
+
+
+def test_bag_cosine_counts_repeats(spark):
+    a, b = ["x", "y", "x"], ["x", "x", "z", "y"]
+    df = spark.createDataFrame([(a, b), ([], b), ([], [])], "a array<string>, b array<string>")
+    got = [r[0] for r in df.select(vectors.bag_cosine(F.col("a"), F.col("b"))).collect()]
+    assert got == [pytest.approx(5 / (5**0.5 * 6**0.5)), 0.0, 0.0]
+
+
+def test_gram_list_of_short_and_null(spark):
+    df = spark.createDataFrame([(["a", "b", "c"],), (["a"],), (None,)], "t array<string>")
+    rows = df.select(ngrams.gram_list(F.col("t"), 1), ngrams.gram_list(F.col("t"), 2)).collect()
+    assert [tuple(r) for r in rows] == [(["a", "b", "c"], ["a b", "b c"]), (["a"], []), ([], [])]
