@@ -7,6 +7,12 @@ substring j differs by at most r_j bits, where the r_j + 1 sum to R + 1: probing
 buckets of substring j within r_j retrieves every code within R. What is retrieved is
 checked against R and reranked by exact distances in double precision.
 
+The radius is only where a query begins. A row whose code differs in some bits lies on
+the other side of those axes, so its squared distance is at least the sum of the
+query's squared coordinates on them. Every row whose bound does not exceed the k-th
+distance found so far (all rows, while fewer than k are found) is compared too: a
+query far from what the radius was learned on loses nothing.
+
 Rows are dealt evenly over shards and queries over blocks; a shard meets a block in
 one task of bounded size, whatever the data look like, and hands on at most k rows a
 query.
@@ -30,6 +36,9 @@ COVERAGE = 0.985
 #: Rows of a shard and queries of a block: what one task holds.
 SHARD_ROWS, BLOCK_QUERIES = 16384, 1024
 K = 10
+#: Bits of every byte, as packbits orders them.
+BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.float64)
+SLACK = 1e-9
 
 
 @dataclass(frozen=True)
@@ -99,6 +108,7 @@ class Shard:
         self.rows = [np.argsort(c, kind="stable") for c in self.bytes.T]
         self.starts = [np.searchsorted(np.sort(c), np.arange(257)) for c in self.bytes.T]
         self.masks = [near_masks(r) for r in codes.budgets()]
+        self.norms = (self.x**2).sum(1)
 
     def within(self, code: np.ndarray) -> np.ndarray:
         """Rows whose codes differ from code by at most the radius."""
@@ -110,16 +120,36 @@ class Shard:
         bits = np.bitwise_count(self.bytes[found] ^ code).sum(1, dtype=np.int64)
         return found[bits <= self.codes.radius]
 
+    def beyond(self, q: np.ndarray, code: np.ndarray, done: np.ndarray, furthest: float) -> np.ndarray:
+        """Rows outside done that may lie as near as furthest (squared), by their bounds."""
+        left = np.ones(len(self.ids), bool)
+        left[done] = False
+        if furthest < np.inf:
+            slack = SLACK * (self.norms + q @ q)  # of sums in another order
+            weights = np.zeros(len(code) * SUBSTRING_BITS)
+            weights[: self.codes.bits] = ((q - self.codes.mean) @ self.codes.projection) ** 2
+            bound = np.zeros(len(self.ids))
+            for value, column, w in zip(code, self.bytes.T, weights.reshape(-1, SUBSTRING_BITS), strict=True):
+                bound += (BITS @ w)[column ^ value]
+            left &= bound <= furthest + slack
+            left &= self.norms - 2 * (self.x @ q) + q @ q <= furthest + slack
+        return np.flatnonzero(left)
+
     def nearest(self, query_id: int, q: np.ndarray, code: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """(ids, distances) of the k nearest of those within, ties to smaller ids."""
+        """(places, distances) of the k nearest rows of other ids, ties to smaller ids."""
+        own = np.arange(*np.searchsorted(self.ids, [query_id, query_id + 1]))
         found = self.within(code)
         found = found[self.ids[found] != query_id]
-        distance = np.sqrt(((self.x[found] - q) ** 2).sum(1))
+        squared = ((self.x[found] - q) ** 2).sum(1)
+        furthest = np.partition(squared, k - 1)[k - 1] if len(found) >= k else np.inf
+        more = self.beyond(q, code, np.concatenate([found, own]), furthest)
+        found = np.concatenate([found, more])
+        distance = np.sqrt(np.concatenate([squared, ((self.x[more] - q) ** 2).sum(1)]))
         if len(found) > k:
             kept = np.flatnonzero(distance <= np.partition(distance, k - 1)[k - 1])
             found, distance = found[kept], distance[kept]
-        best = np.argsort(distance, kind="stable")[:k]  # rows stand in order of id
-        return self.ids[found[best]], distance[best]
+        best = np.lexsort((found, distance))[:k]  # rows stand in order of id
+        return found[best], distance[best]
 
 
 def near_masks(radius: int) -> np.ndarray:
@@ -151,8 +181,8 @@ def search(
     smaller vec_id. Vectors that are null, empty, zero, or hold a null or non-finite
     component take no part, nor do null ids. Vectors of another length than the
     commonest in the sample take no part in its search. A repeated id is no candidate
-    of its own queries, and each of its rows asks once, as one query. With fewer
-    candidates than k all are returned, by a radius of all bits if need be.
+    of its own queries, and each of its rows asks once, as one query. Only with fewer
+    candidates than k are fewer rows returned, then all of them.
     """
     rows = usable(vectors, vec_id, embedding)
     sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id", "v").limit(SAMPLE_ROWS).collect()
@@ -162,8 +192,6 @@ def search(
     codes = learn(np.array([r["v"] for r in sample if len(r["v"]) == dims]), k)
     rows = rows.filter(F.size("v") == dims)
     n, n_queries = (int(x or 0) for x in rows.agg(F.count("*"), F.sum(F.expr(f"int({is_query})"))).first())
-    if n <= k + 1:
-        codes = Codes(codes.mean, codes.projection, codes.bits)
     shards, blocks = max(1, -(-n // SHARD_ROWS)), max(1, -(-n_queries // BLOCK_QUERIES))
     dealt = F.xxhash64("vec_id", F.lit(1))
     every = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
@@ -174,13 +202,13 @@ def search(
     )
 
     def meet(left: pa.Table, right: pa.Table) -> pa.Table:
-        out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        out: list[tuple[np.ndarray, ...]] = []
         if len(left) and len(right):
             x, q = (t["v"].combine_chunks().flatten().to_numpy().reshape(-1, dims) for t in (left, right))
             shard = Shard(left["vec_id"].to_numpy(), x, codes)
             for i, v, c in zip(right["vec_id"].to_numpy().tolist(), q, codes.encode(q), strict=True):
-                ids, distance = shard.nearest(i, v, c, k)
-                out.append((np.full(len(ids), i), ids, distance))
+                at, distance = shard.nearest(i, v, c, k)
+                out.append((np.full(len(at), i), shard.ids[at], distance))
         cols = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [[], [], []]
         return pa.table(dict(zip(("query_id", "vec_id", "score"), map(pa.array, cols), strict=True))).cast(
             pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])

@@ -224,6 +224,41 @@ def test_index_retrieves_every_code_within_the_radius():
         assert shard.within(code).tolist() == want.tolist()
 
 
+def brute_nearest(rows, k=10):
+    """Per query id the k nearest different rows of other ids, as (vec_id, score)."""
+    rows = sorted({(i, tuple(v)) for i, v in rows})
+    ids, x = np.array([i for i, _ in rows]), np.array([v for _, v in rows])
+    out = {}
+    for q in sorted({i for i in ids.tolist() if i % 100 == 0}):
+        d = np.sqrt(np.array([((x - y) ** 2).sum(1) for y in x[ids == q]]).min(0))
+        d[ids == q] = np.inf
+        order = [j for j in np.lexsort((ids, d)).tolist() if d[j] < np.inf][:k]
+        out[q] = [(int(ids[j]), round(float(d[j]), 9)) for j in order]
+    return out
+
+
+def searched(spark, rows):
+    df = spark.createDataFrame([(int(i), [float(c) for c in v]) for i, v in rows], "vec_id long, embedding array<double>")
+    out = {}
+    for r in ann_index.search(df, "vec_id % 100 = 0").orderBy("query_id", "rank").collect():
+        out.setdefault(r["query_id"], []).append((r["vec_id"], round(r["score"], 9)))
+    return out
+
+
+@pytest.mark.parametrize("percent", [1, 2])
+def test_isolated_rows_find_their_neighbours(spark, percent):
+    rng = np.random.default_rng(5)
+    x = rng.standard_normal((40, 64))[rng.integers(0, 40, 4000)] + 1e-3 * rng.standard_normal((4000, 64))
+    alone = rng.choice(4000, 40 * percent, replace=False)
+    x[alone] = 3 * rng.standard_normal((len(alone), 64))
+    ids = np.arange(1, 4001) * 100 + 1
+    ids[alone[:20]] -= 1
+    ids[np.setdiff1d(np.arange(4000), alone)[:10]] -= 1
+    rows = list(zip(ids.tolist(), x.tolist(), strict=True))
+    got, want = searched(spark, rows), brute_nearest(rows)
+    assert all(len(v) == 10 for v in got.values()) and got == want
+
+
 PAGES = [
     (1, "http://a.com/en/1", '<LINK href="http://b.org/x" rel=canonical>'),
     (2, "http://b.org/x", ""),
