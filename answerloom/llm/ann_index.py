@@ -13,7 +13,8 @@ query's squared coordinates on them. Every row whose bound does not exceed the k
 distance found so far (all rows, while fewer than k are found) is compared too: a
 query far from what the radius was learned on loses nothing.
 
-Rows are dealt evenly over shards and queries over blocks; a shard meets a block in
+Equal rows count once; different rows of one id are candidates each. Rows are dealt
+evenly over shards and queries over blocks, by id and vector; a shard meets a block in
 one task of bounded size, whatever the data look like, and hands on at most k rows a
 query.
 """
@@ -103,7 +104,7 @@ class Shard:
 
     def __init__(self, ids: np.ndarray, x: np.ndarray, codes: Codes):
         order = np.argsort(ids, kind="stable")
-        self.ids, self.x, self.codes = ids[order], x[order], codes
+        self.order, self.ids, self.x, self.codes = order, ids[order], x[order], codes
         self.bytes = codes.encode(self.x)
         self.rows = [np.argsort(c, kind="stable") for c in self.bytes.T]
         self.starts = [np.searchsorted(np.sort(c), np.arange(257)) for c in self.bytes.T]
@@ -180,9 +181,10 @@ def search(
     other. score is the Euclidean distance on the original vectors; ties go to the
     smaller vec_id. Vectors that are null, empty, zero, or hold a null or non-finite
     component take no part, nor do null ids. Vectors of another length than the
-    commonest in the sample take no part in its search. A repeated id is no candidate
-    of its own queries, and each of its rows asks once, as one query. Only with fewer
-    candidates than k are fewer rows returned, then all of them.
+    commonest in the sample take no part in its search. Equal rows count once. A
+    repeated id is no candidate of its own queries, and each of its vectors asks, as one
+    query: a candidate counts once, at its least distance. Only with fewer candidates
+    than k are fewer rows returned, then all of them.
     """
     rows = usable(vectors, vec_id, embedding)
     sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id", "v").limit(SAMPLE_ROWS).collect()
@@ -193,11 +195,12 @@ def search(
     rows = rows.filter(F.size("v") == dims)
     n, n_queries = (int(x or 0) for x in rows.agg(F.count("*"), F.sum(F.expr(f"int({is_query})"))).first())
     shards, blocks = max(1, -(-n // SHARD_ROWS)), max(1, -(-n_queries // BLOCK_QUERIES))
-    dealt = F.xxhash64("vec_id", F.lit(1))
+    rows = rows.dropDuplicates(["vec_id", "v"]).withColumn("row", F.xxhash64("vec_id", "v", F.lit(1)))
+    dealt = F.col("row")
     every = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
     index = rows.withColumn("shard", F.pmod(dealt, F.lit(shards)).cast("int")).withColumn("block", every(blocks))
     asked = (
-        rows.filter(is_query).dropDuplicates(["vec_id", "v"])
+        rows.filter(is_query)
         .withColumn("block", F.pmod(dealt, F.lit(blocks)).cast("int")).withColumn("shard", every(shards))
     )
 
@@ -205,20 +208,22 @@ def search(
         out: list[tuple[np.ndarray, ...]] = []
         if len(left) and len(right):
             x, q = (t["v"].combine_chunks().flatten().to_numpy().reshape(-1, dims) for t in (left, right))
-            shard = Shard(left["vec_id"].to_numpy(), x, codes)
+            shard, keys = Shard(left["vec_id"].to_numpy(), x, codes), left["row"].to_numpy()
+            keys = keys[shard.order]
             for i, v, c in zip(right["vec_id"].to_numpy().tolist(), q, codes.encode(q), strict=True):
                 at, distance = shard.nearest(i, v, c, k)
-                out.append((np.full(len(at), i), shard.ids[at], distance))
-        cols = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [[], [], []]
-        return pa.table(dict(zip(("query_id", "vec_id", "score"), map(pa.array, cols), strict=True))).cast(
-            pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
+                out.append((np.full(len(at), i), shard.ids[at], keys[at], distance))
+        cols = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [[], [], [], []]
+        return pa.table(dict(zip(("query_id", "vec_id", "row", "score"), map(pa.array, cols), strict=True))).cast(
+            pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("row", pa.int64()), ("score", pa.float64())])
         )
 
     found = (
-        index.select("shard", "block", "vec_id", "v").groupBy("shard", "block")
+        index.select("shard", "block", "vec_id", "row", "v").groupBy("shard", "block")
         .cogroup(asked.select("shard", "block", "vec_id", "v").groupBy("shard", "block"))
-        .applyInArrow(meet, "query_id long, vec_id long, score double")
+        .applyInArrow(meet, "query_id long, vec_id long, row long, score double")
     )
-    order = Window.partitionBy("query_id").orderBy("score", "vec_id")
-    best = found.distinct().withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    order = Window.partitionBy("query_id").orderBy("score", "vec_id", "row")
+    found = found.groupBy("query_id", "vec_id", "row").agg(F.min("score").alias("score"))
+    best = found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
     return best.select("query_id", "rank", "vec_id", "score")

@@ -259,6 +259,17 @@ def test_isolated_rows_find_their_neighbours(spark, percent):
     assert all(len(v) == 10 for v in got.values()) and got == want
 
 
+def test_repeated_ids_leave_room_for_other_neighbours(spark):
+    rng = np.random.default_rng(6)
+    x = rng.standard_normal((300, 8))
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    rows += [(7, x[7].tolist())] * 30 + [(8, (x[0] + 1e-3).tolist())] * 30 + [(100, (x[100] + 1).tolist())] * 12
+    got, want = searched(spark, rows), brute_nearest(rows)
+    assert got[0][0][0] == 8 and all(len(v) == 10 for v in got.values()) and got == want
+    copies = [(0, [0.0, 1.0])] + [(1, [1.0, 0.0])] * 20 + [(i, [1.0, float(i)]) for i in range(2, 30)]
+    assert searched(spark, copies)[0] == brute_nearest(copies)[0]
+
+
 PAGES = [
     (1, "http://a.com/en/1", '<LINK href="http://b.org/x" rel=canonical>'),
     (2, "http://b.org/x", ""),
