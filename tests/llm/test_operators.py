@@ -427,3 +427,44 @@ def test_fertility_keeps_clean_documents(spark, sf_dir):
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     good = fertility.judge(docs).join(labels.filter("quality = 1"), "doc_id")
     assert good.filter("not kept and not base_failed").count() == 0
+
+
+def random_words(rng, letters, n, length=(2, 9)):
+    return ["".join(rng.choice(list(letters), rng.integers(*length))) for _ in range(n)]
+
+
+def test_fertility_rejects_junk_beyond_the_base_rules(spark, sf_dir):
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    passed = fertility.judge(docs.join(labels, "doc_id")).filter("not base_failed and n_tokens >= 50").collect()
+    junk = [r["kept"] for r in passed if r["quality"] == 0]
+    assert junk and sum(junk) <= 0.2 * len(junk)
+    rng = np.random.default_rng(8)
+    by_lang = {}
+    for r in passed:
+        if r["quality"] == 1 and r["n_tokens"] >= 256:
+            by_lang.setdefault(r["lang"], r["text"])
+    assert set(by_lang) == {"en", "de", "fr", "es"}
+    rows = []
+    for lang, text in by_lang.items():
+        rows += [(f"{lang} bars", lang, " | ".join(text.split())), (f"{lang} stars", lang, " ".join(w + "***" for w in text.split()))]
+    rows += [(f"{k} letters", k, " ".join(random_words(rng, "abcdefghijklmnopqrstuvwxyz", 400))) for k in ("en", "de", "fr", "es")]
+    rows.append(("cyrillic letters", "ru", " ".join(random_words(rng, "абвгдежзийклмнопрстуфхцчшщъыьэюя", 400))))
+    rows.append(("han few", "zh", " ".join(random_words(rng, "的一是", 400))))
+    rows.append(("thai bytes", "th", " ".join("กา" + chr(int(c)) for c in rng.integers(0x1E900, 0x1E943, 400))))
+    got = fertility.judge(spark.createDataFrame(rows, "doc_id string, lang string, text string")).collect()
+    assert [r["doc_id"] for r in got if r["base_failed"]] == [] and [r["doc_id"] for r in got if r["kept"]] == []
+
+
+CLEAN = {
+    "en": "The committee met on Tuesday to discuss the new library, which will open next spring beside the old market hall. Several members asked how much the building would cost and who would pay for the books, while others wanted longer hours for students and families. In the end everybody agreed that a quiet room for reading matters more than a large car park.",
+    "ru": "Во вторник комитет собрался, чтобы обсудить новую библиотеку, которая откроется следующей весной рядом со старым рынком. Некоторые участники спросили, сколько будет стоить здание и кто заплатит за книги, а другие хотели, чтобы она работала дольше для студентов и семей. В конце концов все согласились, что тихая комната для чтения важнее большой стоянки.",
+    "el": "Την Τρίτη η επιτροπή συνεδρίασε για να συζητήσει τη νέα βιβλιοθήκη, η οποία θα ανοίξει την επόμενη άνοιξη δίπλα στην παλιά αγορά. Μερικά μέλη ρώτησαν πόσο θα κοστίσει το κτίριο και ποιος θα πληρώσει για τα βιβλία.",
+    "zh": "委员会 星期二 开会 讨论 新的 图书馆 该馆 将于 明年 春天 在 老市场 旁边 开放 一些 成员 询问 这座 建筑 要花 多少钱 谁来 支付 书籍 费用 其他人 希望 为 学生 和 家庭 延长 开放 时间 最后 大家 都 同意 安静 的 阅览室 比 大停车场 更 重要",
+    "vi": "Hôm thứ ba ủy ban họp để bàn về thư viện mới, sẽ mở cửa vào mùa xuân năm sau bên cạnh khu chợ cũ. Một số thành viên hỏi tòa nhà sẽ tốn bao nhiêu tiền và ai sẽ trả tiền mua sách, còn những người khác muốn mở cửa lâu hơn cho sinh viên và gia đình.",
+}
+
+
+def test_fertility_keeps_clean_prose_of_many_scripts(spark):
+    got = {r["doc_id"]: r for r in fertility.judge(spark.createDataFrame([(k, k, t) for k, t in CLEAN.items()], "doc_id string, lang string, text string")).collect()}
+    assert {k: r["band"] for k, r in got.items()} == {"en": "en", "ru": "cyrillic", "el": "greek", "zh": "han", "vi": "latin"}
+    assert all(r["n_tokens"] >= 50 for r in got.values()) and [k for k, r in got.items() if not r["kept"]] == []
