@@ -30,7 +30,8 @@ def ranked_passages(
     """(qid, doc_id, passage, score, rank): best passages of each hit by n-gram overlap.
 
     docs(doc_id, text), hits(qid, doc_id). Only hit documents are cut into passages;
-    each passage is profiled once, against the profile of its question.
+    each passage is profiled once, against the profile of its question. Where docs has
+    a title, the overlap of the question and the title of its document is added.
     """
     asked = broadcast_if_small(
         with_profile(questions.select("qid", "question"), "question", "q").drop("question"), bound=questions
@@ -40,6 +41,11 @@ def ranked_passages(
     passages = texts.select("qid", "doc_id", F.explode_outer(to_passages(F.col("text"))).alias("passage")).filter("passage is not null")
     profiled = with_profile(passages, "passage", "p").join(asked, "qid")
     scored = profiled.select("qid", "doc_id", "passage", overlap(F.col("q"), F.col("p"), compat).alias("score"))
+    if "title" in docs.columns:
+        named = hits.select("qid", "doc_id").distinct().join(docs.select("doc_id", F.coalesce("title", F.lit("")).alias("title")), "doc_id")
+        named = with_profile(named, "title", "t").join(asked, "qid")
+        named = named.groupBy("qid", "doc_id").agg(F.max(overlap(F.col("q"), F.col("t"), compat)).alias("titled"))
+        scored = scored.join(named, ["qid", "doc_id"]).withColumn("score", F.col("score") + F.col("titled")).drop("titled")
     return top_k(scored, ["qid", "doc_id"], [F.desc("score"), F.desc("passage")], per_doc)
 
 

@@ -63,6 +63,23 @@ def test_char_similarity_has_no_nan(spark):
     assert [r[0] for r in df.select(ngrams.char_similarity(F.col("a"), F.col("b"), 2)).collect()] == [0.0, 1.0]
 
 
+def test_ranked_passages_count_the_title(spark):
+    from answerloom.plans import pipelines
+
+    asked = spark.createDataFrame([(1, "where is the old red bridge")], "qid int, question string")
+    rows = [(1, "nothing here", "it is the old one. no."), (2, "old red bridge", "see the old map."), (3, None, "no match.")]
+    docs = spark.createDataFrame(rows, "doc_id long, title string, text string")
+    hits = spark.createDataFrame([(1, 1), (1, 2), (1, 3)], "qid int, doc_id long")
+    score = lambda d: {(r["doc_id"], r["passage"]): r["score"] for r in pipelines.ranked_passages(asked, d, hits).collect()}
+    plain, titled = score(docs.drop("title")), score(docs)
+    pair = spark.createDataFrame([("where is the old red bridge", "old red bridge")], "a string, b string")
+    pair = ngrams.with_profile(ngrams.with_profile(pair, "a", "q"), "b", "t")
+    extra = pair.select(ngrams.overlap(F.col("q"), F.col("t"))).first()[0]
+    assert extra > 0 and titled == {k: v + (extra if k[0] == 2 else 0) for k, v in plain.items()}
+    best = pipelines.best_passages(pipelines.ranked_passages(asked, docs, hits), 1).first()
+    assert best["doc_id"] == 2 and max(plain, key=plain.get)[0] == 1
+
+
 @pytest.mark.parametrize(
     ("text", "want"),
     [
