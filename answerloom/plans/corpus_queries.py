@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from answerloom.functions import text as tx
@@ -61,10 +61,10 @@ def link_dictionary(spark, sf_dir):
 def link_resolve(spark, sf_dir):
     w = wiki(spark, sf_dir).withColumn("title", F.concat_ws("\x01", "page_id", "title"))
     split = F.split("source_title", "\x01")
-    asked = corpus.link_edges(w).select(
-        (split[0].cast("long") * 1000 + F.col("place")).alias("qid"), "label", split[1].alias("page_title")
-    )
-    return links.resolve_links(asked, link_dictionary(spark, sf_dir))
+    key = F.struct(split[0].cast("long").alias("page_id"), "place").alias("qid")
+    asked = corpus.link_edges(w).select(key, "label", split[1].alias("page_title"))
+    found = links.resolve_links(asked, link_dictionary(spark, sf_dir))
+    return found.withColumn("qid", F.col("qid.page_id") * 1000 + F.col("qid.place"))
 
 
 @query(f"WITH {DICTIONARY} SELECT DISTINCT label FROM dictionary")
@@ -244,15 +244,20 @@ scores AS (SELECT qid, na_prob, has_answer, (ng = np)::BIGINT AS exact, CASE WHE
 
 
 def prediction_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each turn as gold, the next one as its prediction."""
+    """Each turn as gold, the next one as its prediction; qid is a struct of both keys."""
     c = table(spark, sf_dir, "conversations")
     w = Window.partitionBy("conv_id").orderBy("turn")
     return c.select(
-        (F.col("conv_id") * 1000 + F.col("turn")).alias("qid"), F.col("text").alias("gold"), F.lead("text").over(w).alias("pred"),
+        F.struct("conv_id", "turn").alias("qid"), F.col("text").alias("gold"), F.lead("text").over(w).alias("pred"),
         ((F.col("conv_id") * 37 + F.col("turn") * 11) % 100 / 100.0).alias("na_prob"), (F.col("turn") % 3 != 0).alias("has_answer"),
     ).filter("pred is not null")
 
 
+def number() -> Column:
+    """What the SQL calls qid. Rows are joined by the struct, as these numbers can meet."""
+    return (F.col("qid.conv_id") * 1000 + F.col("qid.turn")).alias("qid")
+
+
 def pair_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = prediction_pairs(spark, sf_dir)
     scored = evaluate.raw_scores(rows.select("qid", "gold"), rows.select("qid", "pred"))
@@ -261,14 +266,14 @@ def pair_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {SCORES} SELECT qid, exact, round(f1, 6) AS f1 FROM scores")
 def token_f1(spark, sf_dir):
-    return pair_scores(spark, sf_dir).select("qid", F.col("exact").cast("long").alias("exact"), F.round("f1", 6).alias("f1"))
+    return pair_scores(spark, sf_dir).select(number(), F.col("exact").cast("long").alias("exact"), F.round("f1", 6).alias("f1"))
 
 
 @query(f"WITH {SCORES}, cut AS (SELECT qid, has_answer, CASE WHEN na_prob > 0.5 THEN (NOT has_answer)::INT::DOUBLE ELSE f1 END AS f1 FROM scores) SELECT qid, round(f1, 6) AS f1 FROM cut")
 def na_threshold(spark, sf_dir):
     rows = pair_scores(spark, sf_dir)
     cut = evaluate.apply_no_answer_threshold(F.col("f1"), F.col("na_prob"), F.col("has_answer"), 0.5)
-    return rows.select("qid", F.round(cut, 6).alias("f1"))
+    return rows.select(number(), F.round(cut, 6).alias("f1"))
 
 
 @query(

@@ -312,3 +312,20 @@ def test_gram_list_of_short_and_null(spark):
     df = spark.createDataFrame([(["a", "b", "c"],), (["a"],), (None,)], "t array<string>")
     rows = df.select(ngrams.gram_list(F.col("t"), 1), ngrams.gram_list(F.col("t"), 2)).collect()
     assert [tuple(r) for r in rows] == [(["a", "b", "c"], ["a b", "b c"]), (["a"], []), ([], [])]
+
+
+def test_keys_of_long_pages_and_conversations_do_not_meet(spark, tmp_path):
+    from answerloom.plans.catalog import QUERIES
+
+    anchor = lambda i: f'<a href="/t{i}">label{i}</a>'
+    html = lambda title, ids: f"<title>{title}</title>" + " ".join(map(anchor, ids))
+    pages = [(1, html("One", range(1003))), (2, html("Two", [5000, 5001, 5002]))]
+    spark.createDataFrame(pages, "page_id long, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = QUERIES["link_resolve"](spark, str(tmp_path)).collect()
+    assert len(got) == 1006 and {r["label"] for r in got} == {f"label{i} page" for i in [*range(1003), 5000, 5001, 5002]}
+    turns = [(1, i, "user", f"word{i // 2}") for i in range(1003)] + [(2, i, "user", "x") for i in range(4)]
+    spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    f1 = QUERIES["token_f1"](spark, str(tmp_path)).collect()
+    assert len(f1) == 1002 + 3 and sum(r["exact"] for r in f1) == 501 + 3
+    assert QUERIES["na_threshold"](spark, str(tmp_path)).count() == 1005
+    assert QUERIES["eval_summary"](spark, str(tmp_path)).first()["total"] == 1005
