@@ -5,10 +5,13 @@ from __future__ import annotations
 import functools
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Documents' columns, which every filtering stage of the pipeline hands on.
 DOCUMENT_COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -35,26 +38,86 @@ def _own_dir(_app: str) -> str:
     return "file://" + tempfile.mkdtemp(prefix="answerloom-")
 
 
-def materialise(df: DataFrame) -> DataFrame:
+_scratch: ContextVar[str | None] = ContextVar("scratch", default=None)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[str]:
+    """Holds what is materialised meanwhile in one folder, deleted at the end.
+
+    Only for callers that write their result inside the block: a result that is still
+    to be computed needs its tables.
+    """
+    folder = f"{shared_dir(spark)}/answerloom-{uuid.uuid4().hex}"
+    token = _scratch.set(folder)
+    try:
+        yield folder
+    finally:
+        _scratch.reset(token)
+        delete_path(spark, folder)
+
+
+def materialise(df: DataFrame, path: str | None = None) -> DataFrame:
     """Writes df once into the shared folder and reads it back.
 
     Cuts the lineage in a way that outlives any executor; costs disk, so it is
     used on narrow tables only.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/answerloom-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    path = path or scratch_path(spark)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def small_batches(spark: SparkSession, rows: int = 512) -> None:
-    """Lets Arrow batches of the session hold at most `rows` rows.
+def scratch_path(spark: SparkSession) -> str:
+    """A new folder name for a table to materialise."""
+    return f"{_scratch.get() or shared_dir(spark)}/answerloom-{uuid.uuid4().hex}"
+
+
+#: A key is hot from this share of a table's rows on: 1 / HOT_SHARE.
+HOT_SHARE = 1024
+
+
+def hot_keys(counts: DataFrame, keys: Sequence[str], total: int) -> DataFrame:
+    """Keys that hold over 1 / HOT_SHARE of total rows; counts(*keys, n) sum to total.
+
+    There are fewer than HOT_SHARE of them, whatever the data look like, so they may
+    be broadcast.
+    """
+    return counts.filter(F.col("n") * HOT_SHARE > F.lit(total)).select(*keys)
+
+
+def skew_join(left: DataFrame, right: DataFrame, keys: Sequence[str], hot: DataFrame) -> DataFrame:
+    """left inner join right on keys, where right has one bounded row a key.
+
+    Rows of left with a key of hot (see hot_keys) meet a broadcast of those keys' rows
+    where they stand; all others are shuffled. left is read twice, so it should be
+    materialised.
+    """
+    keys, few = list(keys), F.broadcast(hot)
+    cold = left.join(few, keys, "left_anti").join(right, keys)
+    warm = left.join(few, keys, "left_semi").join(F.broadcast(right.join(few, keys, "left_semi")), keys)
+    return cold.unionByName(warm)
+
+
+def even_parts(df: DataFrame, *keys: str) -> DataFrame:
+    """Narrow rows dealt out by a hash of keys, before each turns into many.
+
+    Adaptive execution joins partitions of few bytes into one, whose task would then
+    make all of them; a partition number asked for is kept.
+    """
+    spark = df.sparkSession
+    n = max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return df.repartition(n, *keys)
+
+
+def row_key(*columns: Column) -> dict[str, Column]:
+    """128 bits of a whole row, as columns __k1 and __k2; a null is a value of its own.
 
-    Spark counts a batch in rows alone, and ten thousand texts are no bounded size.
+    The hash passes over nulls, so which columns are null goes first.
     """
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(name)) > rows or int(spark.conf.get(name)) <= 0:
-        spark.conf.set(name, rows)
+    flags = F.concat(*[F.when(c.isNull(), "1").otherwise("0") for c in columns])
+    return {"__k1": F.xxhash64(flags, *columns), "__k2": F.xxhash64(F.lit(1), flags, *columns)}
 
 
 def delete_path(spark: SparkSession, path: str) -> None:

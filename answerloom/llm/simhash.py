@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from answerloom.llm.common import by_bytes, materialise, utf8
+from answerloom.llm.common import even_parts, hot_keys, materialise, row_key, skew_join, utf8
 from answerloom.llm.components import connected_components
 
 RADIUS = 4
@@ -27,7 +27,8 @@ SEGMENTS = ((0, 22), (22, 21), (43, 21))
 #: Fingerprints of one signature compared in one block; larger groups are dealt out
 #: as pairs of blocks.
 BLOCK = 2048
-BATCH_BYTES = 2 << 20
+#: Parts that the fingerprints of one component are dealt into.
+SALTS = 32
 
 
 def fingerprint_text(text: bytes) -> int:
@@ -87,7 +88,7 @@ def near_edges(fps: DataFrame, block: int = BLOCK) -> DataFrame:
     block is cut into g blocks by a hash; block pairs are verified separately, each
     fingerprint going to g of them, so that no task holds more than two blocks.
     """
-    sig = fps.select("fp", F.explode(signatures(F.col("fp"))).alias("sig"))
+    sig = even_parts(fps.select("fp"), "fp").select("fp", F.explode(signatures(F.col("fp"))).alias("sig"))
     large = sig.groupBy("sig").agg(F.count("*").alias("n")).filter(F.col("n") > block)
     g = F.coalesce(F.ceil(F.col("n") / F.lit(block)), F.lit(1)).cast("int")
     own = F.pmod(F.xxhash64("fp"), F.col("g")).cast("int")
@@ -162,19 +163,27 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     Repeated rows stay repeated. Other columns of docs are not carried.
     """
     prints = materialise(docs.select(F.col(doc_id).alias("doc_id"), fingerprint(F.col(text)).alias("fp")))
-    nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    edges = materialise(near_edges(nodes.select("fp")))
-    classes = connected_components(edges, "src", "dst")
-    joined = nodes.join(classes.withColumnRenamed("node", "fp"), "fp", "left").select(
-        "fp", "least", F.coalesce("component", "fp").alias("component")
+    nodes = materialise(prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")))
+    linked = _linked_nodes(nodes)
+    # Few nodes have links; the others stand for themselves and are joined to nothing.
+    salt = F.pmod(F.xxhash64("fp"), F.lit(SALTS)).alias("salt")
+    named = linked.groupBy("component").agg(F.min("least").alias("component_id")).withColumn(
+        "salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long")))
     )
-    named = joined.groupBy("component").agg(F.min("least").alias("component_id"))
-    by_fp = joined.join(named, "component").select("fp", "component_id")
-    return prints.join(by_fp, "fp").select(
+    told = linked.select("fp", "component", salt).join(named, ["component", "salt"]).select("fp", "component_id")
+    by_fp = nodes.join(told, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
+    hot = hot_keys(nodes, ["fp"], prints.count())
+    return skew_join(prints, by_fp, ["fp"], hot).select(
         "doc_id", "fp", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id"
     )
 
 
+def _linked_nodes(nodes: DataFrame) -> DataFrame:
+    """nodes(fp, ...) that have a near one, with their component."""
+    edges = materialise(near_edges(nodes.select("fp")))
+    return nodes.join(connected_components(edges, "src", "dst").withColumnRenamed("node", "fp"), "fp")
+
+
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Rows of docs that stand for their component, all columns as they were.
 
@@ -183,22 +192,16 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
     128-bit row hash in one shuffle.
     """
     columns = [F.col(f"`{c}`") for c in docs.columns]
-    keys = {"__k1": F.xxhash64(*columns), "__k2": F.xxhash64(F.lit(1), *columns)}
-    keyed = docs.withColumns(keys)
-    narrow = materialise(
-        keyed.select(F.col(doc_id).alias("__id"), "__k1", "__k2", fingerprint(F.col(text)).alias("__fp"))
-    )
-    nodes = narrow.groupBy("__fp").agg(
-        F.min(F.struct(F.col("__id").isNull(), "__id", "__k1", "__k2")).alias("first")
-    )
-    edges = materialise(near_edges(nodes.select(F.col("__fp").alias("fp"))))
-    classes = connected_components(edges, "src", "dst").withColumnRenamed("node", "__fp")
+    keyed = docs.withColumns(row_key(*columns))
+    narrow = keyed.select(F.col(doc_id).alias("id"), "__k1", "__k2", fingerprint(F.col(text)).alias("fp"))
+    first = F.min(F.struct(F.col("id").isNull().alias("unnamed"), "id", "__k1", "__k2")).alias("first")
+    nodes = materialise(narrow.groupBy("fp").agg(first))
+    linked = _linked_nodes(nodes)
     firsts = (
-        nodes.join(classes, "__fp", "left")
-        .groupBy(F.coalesce("component", "__fp").alias("c"))
-        .agg(F.min("first").alias("first"))
+        nodes.join(linked.select("fp"), "fp", "left_anti").select("first")
+        .union(linked.groupBy("component").agg(F.min("first").alias("first")).select("first"))
         .select("first.__k1", "first.__k2")
-    )
+    )
     # Rows alike in every column share both hashes; one of them stays.
     chosen = keyed.join(firsts, ["__k1", "__k2"], "left_semi")
-    return chosen.dropDuplicates(["__k1", "__k2"]).select(*docs.columns)
+    return chosen.dropDuplicates(["__k1", "__k2"]).select(*columns)
