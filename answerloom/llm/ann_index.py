@@ -14,13 +14,14 @@ distance found so far (all rows, while fewer than k are found) is compared too:
 query far from what the radius was learned on loses nothing.
 
 Equal rows count once; different rows of one id are candidates each. Rows are dealt
-evenly over shards and queries over blocks, by id and vector; a shard meets a block in
-one task of bounded size, whatever the data look like, and hands on at most k rows a
-query.
+evenly over shards, by id and vector. A shard's index is built once, in one task of
+bounded size; the queries stream past it in batches, and at most k rows a query leave
+it. Rows are moved once and copied never; a query is copied to each shard.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -34,8 +35,8 @@ ITERATIONS = 25
 SUBSTRING_BITS = 8
 #: Share of the sample's true neighbours whose codes lie within the radius.
 COVERAGE = 0.985
-#: Rows of a shard and queries of a block: what one task holds.
-SHARD_ROWS, BLOCK_QUERIES = 16384, 1024
+#: Most rows of a shard, which one task holds, and rows below which more shards are no use.
+MOST_ROWS, LEAST_ROWS = 1 << 17, 1 << 13
 K = 10
 #: Bits of every byte, as packbits orders them.
 BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.float64)
@@ -100,7 +101,7 @@ def _radius(codes: Codes, x: np.ndarray, k: int) -> int:
 
 
 class Shard:
-    """Rows of one shard under one index a substring."""
+    """Rows of one shard under one index a substring; its queries are answered one by one."""
 
     def __init__(self, ids: np.ndarray, x: np.ndarray, codes: Codes):
         order = np.argsort(ids, kind="stable")
@@ -193,37 +194,50 @@ def search(
     dims = int(np.bincount([len(r["v"]) for r in sample]).argmax())
     codes = learn(np.array([r["v"] for r in sample if len(r["v"]) == dims]), k)
     rows = rows.filter(F.size("v") == dims)
-    n, n_queries = (int(x or 0) for x in rows.agg(F.count("*"), F.sum(F.expr(f"int({is_query})"))).first())
-    shards, blocks = max(1, -(-n // SHARD_ROWS)), max(1, -(-n_queries // BLOCK_QUERIES))
+    n = rows.count()
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    shards = max(-(-n // MOST_ROWS), min(cores, -(-n // LEAST_ROWS)), 1)
     rows = rows.dropDuplicates(["vec_id", "v"]).withColumn("row", F.xxhash64("vec_id", "v", F.lit(1)))
-    dealt = F.col("row")
-    every = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
-    index = rows.withColumn("shard", F.pmod(dealt, F.lit(shards)).cast("int")).withColumn("block", every(blocks))
-    asked = (
-        rows.filter(is_query)
-        .withColumn("block", F.pmod(dealt, F.lit(blocks)).cast("int")).withColumn("shard", every(shards))
-    )
-
-    def meet(left: pa.Table, right: pa.Table) -> pa.Table:
-        out: list[tuple[np.ndarray, ...]] = []
-        if len(left) and len(right):
-            x, q = (t["v"].combine_chunks().flatten().to_numpy().reshape(-1, dims) for t in (left, right))
-            shard, keys = Shard(left["vec_id"].to_numpy(), x, codes), left["row"].to_numpy()
-            keys = keys[shard.order]
-            for i, v, c in zip(right["vec_id"].to_numpy().tolist(), q, codes.encode(q), strict=True):
-                at, distance = shard.nearest(i, v, c, k)
-                out.append((np.full(len(at), i), shard.ids[at], keys[at], distance))
-        cols = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [[], [], [], []]
-        return pa.table(dict(zip(("query_id", "vec_id", "row", "score"), map(pa.array, cols), strict=True))).cast(
-            pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("row", pa.int64()), ("score", pa.float64())])
-        )
-
-    found = (
-        index.select("shard", "block", "vec_id", "row", "v").groupBy("shard", "block")
-        .cogroup(asked.select("shard", "block", "vec_id", "v").groupBy("shard", "block"))
-        .applyInArrow(meet, "query_id long, vec_id long, row long, score double")
-    )
+    index = rows.withColumn("shard", F.pmod("row", F.lit(shards)).cast("int")).withColumn("asks", F.lit(0))
+    asked = rows.filter(is_query).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).withColumn("asks", F.lit(1))
+    met = index.unionByName(asked).select("shard", "asks", "vec_id", "row", "v")
+    # In each shard the rows of the index come first, then the queries.
+    met = met.repartitionById(shards, "shard").sortWithinPartitions("shard", "asks", "vec_id", "row")
+    found = met.mapInArrow(_searching(codes, dims, k), "query_id long, vec_id long, row long, score double")
     order = Window.partitionBy("query_id").orderBy("score", "vec_id", "row")
+    # A repeated query id asks once: a candidate counts at its least distance.
     found = found.groupBy("query_id", "vec_id", "row").agg(F.min("score").alias("score"))
     best = found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
     return best.select("query_id", "rank", "vec_id", "score")
+
+
+def _searching(codes: Codes, dims: int, k: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Answers the queries of each shard that streams by, behind its rows."""
+    schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("row", pa.int64()), ("score", pa.float64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, ...]] = []
+        number, shard, keys = -1, None, np.zeros(0, np.int64)
+        for batch in batches:
+            at, asks, ids, row = (batch.column(c).to_numpy() for c in ("shard", "asks", "vec_id", "row"))
+            x = batch.column("v").flatten().to_numpy().reshape(-1, dims)
+            ends = np.flatnonzero((np.diff(at) != 0) | (np.diff(asks) != 0)) + 1
+            for i, j in zip([0, *ends.tolist()], [*ends.tolist(), len(at)], strict=True):
+                if i == j:
+                    continue
+                if at[i] != number:
+                    held, number, shard = [], at[i], None
+                if not asks[i]:
+                    held.append((ids[i:j], x[i:j], row[i:j]))
+                    continue
+                if shard is None:
+                    all_ids, all_x, all_rows = (np.concatenate(c) for c in zip(*held, strict=True)) if held else (ids[:0], x[:0], row[:0])
+                    shard, held = Shard(all_ids, all_x, codes), []
+                    keys = all_rows[shard.order]
+                out: list[tuple[np.ndarray, ...]] = []
+                for q, v, c in zip(ids[i:j].tolist(), x[i:j], codes.encode(x[i:j]), strict=True):
+                    place, distance = shard.nearest(q, v, c, k)
+                    out.append((np.full(len(place), q), shard.ids[place], keys[place], distance))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], schema=schema)
+
+    return run
