@@ -71,7 +71,7 @@ def op9_compaction(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     root = f"{shared_dir(spark)}/shards-{uuid.uuid4().hex}"
     return compaction.shard_table(docs, root).select(
-        "doc_id", "shard", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes")
+        "doc_id", compaction.short_name(F.col("shard")).alias("shard"), F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes")
     )
 
 
