@@ -3,8 +3,10 @@
 A logistic model on surface measures of the whole text gives each document's own
 evidence. Hosts and the paths below them get beta posteriors of their mean evidence:
 a path is shrunk towards its host, a host towards the global mean, the more the fewer
-documents it has, with strengths estimated from how much groups differ. A document's
-verdict adds its path's log-odds, less the global, to its own.
+documents it has. How much is estimated from the data (analysis of variance): groups
+differ by chance already, and only what they differ beyond the noise of their means
+counts as a difference between them. A document's verdict adds its path's log-odds,
+less the global, to its own.
 """
 
 from __future__ import annotations
@@ -26,12 +28,11 @@ FEATURES = (
 #: Most labelled rows that the logistic model is fitted on, those of least hash.
 SAMPLE_ROWS = 20_000
 RIDGE, STEPS = 1e-2, 30
-#: Evidence is kept off 0 and 1; a group moves a document by at most so many log-odds.
+#: Evidence is kept off 0 and 1. A site moves a document by at most so many log-odds: clear
+#: evidence of its own outweighs any site.
 LEAST, MOST_SHIFT = 1e-4, 2.0
 #: Posterior of being good from which a document is kept.
 KEEP = 0.5
-#: Strengths (in documents) between which the estimates are held.
-STRENGTH = (2.0, 1000.0)
 #: Rows up to which a table of group posteriors is broadcast; beyond, it is joined salted.
 BROADCAST_ROWS = 20_000
 SALTS = 32
@@ -117,13 +118,14 @@ def fit(x: np.ndarray, y: np.ndarray) -> Model:
 def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Model:
     """Fits the model on at most `rows` labelled documents, chosen by hash of doc_id.
 
-    Labels with a null doc_id or quality are ignored. The sample is bounded before
+    Labels with a null doc_id or quality are ignored, and so are doc_ids labelled both
+    ways. The sample is bounded before
     the join, so its broadcast is too.
     """
     chosen = (
         labels.filter("doc_id is not null and quality in (0, 1)")
-        .select("doc_id", F.col("quality").cast("int").alias("quality"))
-        .dropDuplicates(["doc_id"])
+        .groupBy("doc_id").agg(F.min("quality").cast("int").alias("quality"), F.max("quality").alias("other"))
+        .filter("quality = other").drop("other")
         .orderBy(F.xxhash64("doc_id"), "doc_id")
         .limit(rows)
     )
@@ -143,33 +145,57 @@ def group_posteriors(scored: DataFrame) -> DataFrame:
     """(host, path, shift): log-odds by which each path differs from the global mean.
 
     Two groupings, pre-aggregated before they shuffle: a host with a third of all
-    documents sends one row a task. Strengths come from the variance between groups
-    (method of moments), held within STRENGTH.
+    documents sends one row a task. With w = n T / (n T + S), S the variance of
+    evidence within groups and T that between them beyond noise, a host's posterior is
+    its own mean by w and the global mean by 1 - w; a path's is its own mean by w, with
+    S and T of paths about their hosts, and its host's posterior by 1 - w.
     """
+    e = F.col("evidence")
     paths = materialise(
-        scored.groupBy("host", "path").agg(F.count("*").alias("n"), F.sum("evidence").alias("s"))
+        scored.groupBy("host", "path").agg(F.count("*").alias("n"), F.sum(e).alias("s"), F.sum(e * e).alias("q"))
     )
-    hosts = paths.groupBy("host").agg(F.sum("n").alias("hn"), F.sum("s").alias("hs"))
-    mean, strength = _strength(hosts.select(F.col("hn").alias("n"), F.col("hs").alias("s")))
-    hosts = hosts.withColumn("host_mean", (F.col("hs") + strength * mean) / (F.col("hn") + strength))
-    _, below = _strength(paths.select("n", "s"))
-    logit = lambda p: F.log(p / (1 - p))
-    posterior = (F.col("s") + below * F.col("host_mean")) / (F.col("n") + below)
-    shift = logit(posterior) - float(np.log(mean / (1 - mean)))
-    held = F.greatest(F.lit(-MOST_SHIFT), F.least(F.lit(MOST_SHIFT), shift))
-    hosts = hosts.withColumnRenamed("host", "__host")
-    return paths.join(hosts, F.col("host").eqNullSafe(F.col("__host"))).select("host", "path", held.alias("shift"))
-
-
-def _strength(groups: DataFrame) -> tuple[float, float]:
-    """Global mean and the prior's weight in documents, from (n, s) of groups."""
-    m = F.col("s") / F.col("n")
-    r = groups.agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum(F.col("n") * m * m).alias("q"), F.count("*").alias("k")).first()
-    if not r["n"]:
-        return 0.5, STRENGTH[0]
-    mean = min(max(r["s"] / r["n"], LEAST), 1 - LEAST)
-    between = max((r["q"] / r["n"]) - mean * mean, 1e-9)
-    return mean, float(min(max(mean * (1 - mean) / between - 1, STRENGTH[0]), STRENGTH[1]))
+    sums = [F.sum(c).alias(f"h{c}") for c in ("n", "s", "q")]
+    hosts = paths.groupBy("host").agg(*sums).withColumnRenamed("host", "__host")
+    met = materialise(paths.join(hosts, F.col("host").eqNullSafe(F.col("__host"))))
+    total = hosts.agg(F.sum("hn").alias("n"), F.sum("hs").alias("s")).first()
+    if not total["n"]:
+        return met.select("host", "path", F.lit(0.0).alias("shift"))
+    mean = min(max(total["s"] / total["n"], LEAST), 1 - LEAST)
+    noise, between = spread(hosts, F.col("hn"), F.col("hs"), F.col("hq"), F.lit(mean), F.lit(float(total["n"])), 1)
+    path_noise, below = spread(met, F.col("n"), F.col("s"), F.col("q"), F.col("hs") / F.col("hn"), F.col("hn"), hosts.count())
+    host_mean = shrunk(F.col("hn"), F.col("hs"), F.lit(mean), noise, between)
+    posterior = shrunk(F.col("n"), F.col("s"), host_mean, path_noise, below)
+    shift = F.log(posterior / (1 - posterior)) - float(np.log(mean / (1 - mean)))
+    return met.select("host", "path", F.greatest(F.lit(-MOST_SHIFT), F.least(F.lit(MOST_SHIFT), shift)).alias("shift"))
+
+
+def shrunk(n: Column, s: Column, prior: Column, noise: float, between: float) -> Column:
+    """Posterior mean of a group of n documents whose evidence sums to s."""
+    w = n * between / (n * between + noise) if between > 0 else F.lit(0.0)
+    return w * s / n + (1 - w) * prior
+
+
+def spread(
+    groups: DataFrame, n: Column, s: Column, q: Column, centre: Column, above: Column, tops: int
+) -> tuple[float, float]:
+    """(S, T): variance within groups, and between them about centre beyond noise.
+
+    Groups have n documents, sum s and sum of squares q; each hangs under one of tops
+    larger groups, of mean centre and size above. Method of moments: the groups' squared
+    distances from their centres hold (groups - tops) S for noise, and T for each of
+    documents less their own share of their centre. T is 0 where noise explains all, or
+    where no group has two documents.
+    """
+    r = groups.agg(
+        F.count("*").alias("k"), F.sum(n).alias("n"), F.sum(q - s * s / n).alias("inside"),
+        F.sum(n * (s / n - centre) ** 2).alias("about"), F.sum(n * n / above).alias("own"),
+    ).first()
+    if r["n"] <= r["k"]:  # no group has two documents: all may be noise
+        return 1.0, 0.0
+    noise = max(float(r["inside"]), 0.0) / (r["n"] - r["k"])
+    free = float(r["n"]) - float(r["own"])
+    between = (float(r["about"]) - (r["k"] - tops) * noise) / free if free > 1e-9 else 0.0
+    return noise, max(between, 0.0)
 
 
 def with_shift(rows: DataFrame, shifts: DataFrame, host: Column, path: Column) -> DataFrame:
