@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from answerloom.llm.common import by_bytes, materialise, small_batches, utf8, vocabulary
+from answerloom.llm.common import by_bytes, hot_keys, materialise, skew_join, utf8, vocabulary
 
 VOCAB = "word_bpe_49k.json"
 #: Bytes of a chunk: at least, and on average between the cuts that the hash proposes.
@@ -267,7 +267,6 @@ def encode_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
     columns of docs are not carried. Use WordBpe and stitch for the ids themselves.
     """
     spark = docs.sparkSession
-    small_batches(spark)
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
 
     def chunk_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -285,9 +284,11 @@ def encode_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
         chunks.groupBy("h1", "h2")
         .agg(F.count("*").alias("n"), F.min(F.struct("k1", "k2")).alias("owner"))
         .filter("n > 1")
-        .select("h1", "h2", "owner.*")
+        .select("h1", "h2", "n", "owner.*")
     )
-    links = materialise(chunks.join(shared.select("h1", "h2"), ["h1", "h2"]).distinct())
+    # Chunks of boilerplate stand in a large share of all texts, and copies share a text.
+    often = hot_keys(shared, ["h1", "h2"], chunks.count())
+    links = materialise(skew_join(chunks, shared.select("h1", "h2"), ["h1", "h2"], often).distinct())
     told = spark.sparkContext.broadcast(bit_table(links.select("k1", "k2").distinct()))
 
     def here(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -349,7 +350,7 @@ def encode_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
         encode_owned, "h1 long, h2 long, ids binary"
     )
     pieces = (
-        links.join(once, ["h1", "h2"])
+        skew_join(links, materialise(once), ["h1", "h2"], often)
         .groupBy("k1", "k2").agg(F.collect_list(F.struct("h1", "h2", "ids")).alias("given"))
     )
 
@@ -367,9 +368,10 @@ def encode_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
                 found = digests(bpe, out)
                 yield _batch([(k1[i + n], k2[i + n], *d) for n, d in enumerate(found)], ("k1", "k2", *names[1:]), [pa.int64(), pa.int64(), *kinds[1:]])
 
-    results = texts.join(pieces, ["k1", "k2"], "left").mapInArrow(join_up, f"k1 long, k2 long, {RESULT}")
-    sharing = rows.mapInArrow(keyed, f"doc_id {kind.simpleString()}, k1 long, k2 long")
-    return alone.union(sharing.join(results, ["k1", "k2"]).select(*names))
+    results = materialise(texts.join(pieces, ["k1", "k2"], "left").mapInArrow(join_up, f"k1 long, k2 long, {RESULT}"))
+    sharing = materialise(rows.mapInArrow(keyed, f"doc_id {kind.simpleString()}, k1 long, k2 long"))
+    copied = hot_keys(sharing.groupBy("k1", "k2").agg(F.count("*").alias("n")), ["k1", "k2"], sharing.count())
+    return alone.union(skew_join(sharing, results, ["k1", "k2"], copied).select(*names))
 
 
 def pa_type(kind) -> pa.DataType:
