@@ -10,10 +10,12 @@ that no source, however large, passes through one task.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from answerloom.llm.common import materialise
+from answerloom.llm.common import materialise, row_key
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Blocks of a source, unless it has fewer words; the mix is true to about one block.
@@ -21,6 +23,7 @@ BLOCKS = 4096
 #: No document is taken more often.
 MOST_REPEATS = 3
 WEIGHTS = (1, 2, 3)
+KEYS = ("__k1", "__k2")
 #: Golden ratio as a fraction of 2^32 (fixed value), and bits of a point's cell.
 GOLDEN, BITS, CELL_BITS = 2654435769, 32, 20
 
@@ -83,14 +86,17 @@ def schedule(sources: DataFrame) -> DataFrame:
     )
 
 
-def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
+def mix(
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", carry: Sequence[str] = ()
+) -> DataFrame:
     """One row per row of docs: doc_id, source, size, source_size, target, taken.
 
     taken counts the words of the document that the schedule takes, repeats included,
     at most MOST_REPEATS times size. Null and empty texts have size 0 and take 0; a
     null source is a source of its own, the last by name; repeated rows are separate
     documents; an empty table gives an empty mix. Order and points are fixed by
-    doc_id and size alone, so reruns agree. Other columns of docs are not carried.
+    doc_id and size alone, so reruns agree. Other columns of docs are not carried but
+    those named by carry, which should be narrow and unlike any other here.
     """
     name = F.col(source).cast("string")
     mixed = F.md5(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary"))
@@ -101,6 +107,7 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
             F.coalesce(F.concat(F.lit("="), name), F.lit("")).alias("key"),
             word_count(F.col(text)).alias("size"),
             mixed.alias("order"),
+            *carry,
         )
     ).withColumn("bucket", F.substring("order", 1, 3))
     buckets = sized.groupBy("key", "bucket").agg(F.sum("size").alias("words"), F.first("source").alias("source"))
@@ -153,7 +160,8 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
         .join(first, ["key", "block0"], "left")
         .join(last, ["key", "block1"], "left")
         .select(
-            "doc_id", "source", "size", "source_size", "target", F.coalesce(taken, F.lit(0)).cast("long").alias("taken")
+            "doc_id", "source", "size", "source_size", "target", F.coalesce(taken, F.lit(0)).cast("long").alias("taken"),
+            *carry,
         )
     )
 
@@ -204,23 +212,16 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
 
     Only the document at which a source's last round ends is taken in part; whole
     documents therefore stay within half a document of the schedule, per source. All
-    columns stay. Rows equal in doc_id, size and source are matched by rank, in order
-    of what is taken; documents without a word are not taken.
+    columns stay. Rows alike in every column are taken as often as they are together;
+    documents without a word are not taken. The mix sees narrow rows; each text moves
+    once, to meet its number of copies by 128-bit row hash.
     """
-    taken = mix(docs)
-    equal = ["__id", "__size", "__source"]
-    rank = lambda by: F.row_number().over(Window.partitionBy(*equal).orderBy(by))
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    keyed = docs.withColumns(row_key(*columns))
     times = (
-        taken.filter("size > 0")
-        .withColumnsRenamed({"doc_id": "__id", "size": "__size", "source": "__source"})
-        .withColumn("__rank", rank("taken"))
-        .withColumn("__times", F.round(F.col("taken") / F.col("__size")).cast("int"))
+        mix(keyed, carry=KEYS).filter("size > 0")
+        .groupBy(*KEYS).agg(F.sum(F.round(F.col("taken") / F.col("size"))).cast("int").alias("__times"))
         .filter("__times > 0")
-        .select(*[F.col(c).alias(c + "t") for c in (*equal, "__rank")], "__times")
-    )
-    rows = docs.withColumns(
-        {"__id": F.col("doc_id"), "__size": word_count(F.col("text")), "__source": F.col("source").cast("string")}
-    ).withColumn("__rank", rank("__size"))
-    match = [F.col(c).eqNullSafe(F.col(c + "t")) for c in (*equal, "__rank")]
-    chosen = rows.join(times, match)
-    return chosen.withColumn("__copy", F.explode(F.sequence(F.lit(1), "__times"))).select(*docs.columns)
+    )
+    chosen = keyed.join(times, list(KEYS)).dropDuplicates(list(KEYS))
+    return chosen.withColumn("__copy", F.explode(F.sequence(F.lit(1), "__times"))).select(*columns)
