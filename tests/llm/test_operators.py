@@ -341,6 +341,24 @@ def test_license_templates_in_part(spark):
     assert (got[3]["n_base"], got[3]["first_word"], got[3]["last_word"]) == (2, 1, 3)
 
 
+def test_licenses_in_full(spark):
+    said = {"mit": licenses.MIT, "isc": licenses.ISC, "zlib": licenses.ZLIB, "unlicense": licenses.UNLICENSE, "bsd": licenses.BSD_CONDITIONS + " x " + licenses.BSD_DISCLAIMER}
+    rows = [(k, "Copyright 2020\n" + t.replace(" any ", " all ", 1)) for k, t in said.items()]
+    rows += [("gpl", licenses.GPL_NOTICE), ("apache,apache-notice", licenses.APACHE_NOTICE), ("lgpl", licenses.LGPL_NOTICE), ("mpl", licenses.MPL_NOTICE)]
+    rows.append(("", licenses.MIT.replace("Permission", "Allowance").replace("permission", "x")))
+    got = {r["doc_id"]: r for r in licenses.scan(spark.createDataFrame(rows, "doc_id string, text string")).collect()}
+    assert {k: r["labels"] for k, r in got.items()} == {k: k for k, _ in rows}
+    assert got["mit"]["n_base"] == 0 and 0.9 <= got["mit"]["score"] <= 1
+
+
+def test_the_plan_does_not_grow_with_the_templates(spark):
+    docs = spark.createDataFrame([(1, "the gnu general public license")], "doc_id long, text string")
+    many = [licenses.Template(f"l{i}", " ".join(f"w{i}x{j}" for j in range(30)), 0.9) for i in range(300)]
+    nodes = lambda ts: licenses.scan(docs, templates=ts)._jdf.queryExecution().analyzed().treeString().count("lambdafunction")
+    assert nodes(licenses.TEMPLATES) == nodes([*licenses.TEMPLATES, *many])
+    assert licenses.scan(docs, templates=[*licenses.TEMPLATES, *many]).first()["labels"] == "gpl"
+
+
 def test_classifier(spark, sf_dir, edge, empty):
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     judged = quality_bayes.classify(docs, labels)
@@ -359,19 +377,95 @@ def test_classifier_on_held_out_rows(spark, sf_dir):
     assert judged.select(F.avg((F.col("kept").cast("int") == F.col("quality")).cast("double"))).first()[0] > 0.9
 
 
-def test_posteriors_shrink_small_groups(spark):
-    rows = [("big", "p", 0.9)] * 200 + [("small", "p", 0.1)] + [("mid", "p", 0.5)] * 50
-    shifts = {r["host"]: r["shift"] for r in quality_bayes.group_posteriors(spark.createDataFrame(rows, "host string, path string, evidence double")).collect()}
-    assert shifts["big"] > 0 > shifts["mid"] and abs(shifts["small"]) < 2
-    salted = quality_bayes.BROADCAST_ROWS
-    try:
-        quality_bayes.BROADCAST_ROWS = 0
-        docs = spark.createDataFrame([(i, "big" if i else None) for i in range(5)], "doc_id long, h string")
-        table_ = spark.createDataFrame([("big", "p", 1.5)], "host string, path string, shift double")
-        got = quality_bayes.with_shift(docs, table_, F.col("h"), F.lit("p")).collect()
-        assert sorted(r["shift"] for r in got) == [0.0, 1.5, 1.5, 1.5, 1.5]
-    finally:
-        quality_bayes.BROADCAST_ROWS = salted
+def brute_shifts(rows):
+    """Shifts by (host, path), straight from the definition."""
+    e = np.array([r[2] for r in rows])
+    mean = min(max(e.mean(), quality_bayes.LEAST), 1 - quality_bayes.LEAST)
+
+    def groups(key):
+        out = {}
+        for r in rows:
+            out.setdefault(key(r), []).append(r[2])
+        return {k: np.array(v) for k, v in out.items()}
+
+    hosts, paths = groups(lambda r: r[0]), groups(lambda r: r[:2])
+
+    def moments(gs, centre, above, tops):
+        n = sum(map(len, gs.values()))
+        if n <= len(gs):
+            return 1.0, 0.0
+        noise = sum(((v - v.mean()) ** 2).sum() for v in gs.values()) / (n - len(gs))
+        about = sum(len(v) * (v.mean() - centre(k)) ** 2 for k, v in gs.items())
+        free = n - sum(len(v) ** 2 / above(k) for k, v in gs.items())
+        return noise, max((about - (len(gs) - tops) * noise) / free, 0.0) if free > 1e-9 else 0.0
+
+    host_s, host_t = moments(hosts, lambda k: mean, lambda k: len(e), 1)
+    path_s, path_t = moments(paths, lambda k: hosts[k[0]].mean(), lambda k: len(hosts[k[0]]), len(hosts))
+
+    def towards(v, prior, s, t):
+        w = len(v) * t / (len(v) * t + s) if t else 0.0
+        return w * v.mean() + (1 - w) * prior
+
+    logit = lambda p: np.log(p / (1 - p))
+    top = quality_bayes.MOST_SHIFT
+    return {
+        k: float(np.clip(logit(towards(v, towards(hosts[k[0]], mean, host_s, host_t), path_s, path_t)) - logit(mean), -top, top))
+        for k, v in paths.items()
+    }
+
+
+def shifts_of(spark, rows):
+    got = quality_bayes.group_posteriors(spark.createDataFrame(rows, "host string, path string, evidence double"))
+    return {(r["host"], r["path"]): r["shift"] for r in got.collect()}
+
+
+def test_shifts_by_definition(spark):
+    rng = np.random.default_rng(11)
+    uneven = []
+    for h in range(12):
+        base = rng.uniform(0.2, 0.9)
+        for p in range(int(rng.integers(1, 6))):
+            own = np.clip(base + rng.normal(0, 0.1), 0.05, 0.95)
+            uneven += [(f"h{h}", None if p == 2 else f"p{p}", float(np.clip(rng.normal(own, 0.15), 1e-3, 0.999))) for _ in range(int(rng.integers(1, 60)))]
+    noise = [(f"h{i}", "p", float(x)) for i, x in enumerate(rng.uniform(0.2, 0.8, 40))]
+    alike = [(f"h{i % 5}", "p", 0.25 + 0.5 * (i // 5 % 2)) for i in range(100)]
+    hot = [(None, "p", 0.9)] * 200 + [("small", "p", 0.1)] + [("mid", "p", 0.5)] * 50
+    for rows in (uneven, noise, alike, hot, uneven[:1]):
+        got, want = shifts_of(spark, rows), brute_shifts(rows)
+        assert set(got) == set(want) and all(got[k] == pytest.approx(want[k], abs=1e-9) for k in want)
+    assert set(shifts_of(spark, noise).values()) == {0.0} == set(shifts_of(spark, alike).values())
+    got = shifts_of(spark, hot)
+    assert got[None, "p"] > 0 > got["mid", "p"]
+    assert quality_bayes.group_posteriors(spark.createDataFrame([], "host string, path string, evidence double")).count() == 0
+
+
+def test_posterior_adds_shift_to_evidence(spark, sf_dir):
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    rows = quality_bayes.classify_narrow(docs, labels).collect()
+    want = brute_shifts([(r["host"], r["path"], r["evidence"]) for r in rows])
+    for r in rows:
+        odds = r["evidence"] / (1 - r["evidence"]) * np.exp(want[r["host"], r["path"]])
+        assert r["shift"] == pytest.approx(want[r["host"], r["path"]], abs=1e-9)
+        assert r["posterior"] == pytest.approx(odds / (1 + odds), abs=1e-9) and r["kept"] == (r["posterior"] >= 0.5)
+    wide = {r["doc_id"]: r["kept"] for r in quality_bayes.classify(docs, labels).collect()}
+    assert wide == {r["doc_id"]: r["kept"] for r in rows}
+
+
+def test_contradictory_labels_are_left_out(spark, sf_dir, clash):
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    some = labels.filter("quality is not null").limit(5).select("doc_id", (1 - F.col("quality")).alias("quality"))
+    told = labels.select("doc_id", "quality")
+    left = told.join(some.select("doc_id"), "doc_id", "left_anti")
+    assert quality_bayes.train(docs, told.union(some).union(told)) == quality_bayes.train(docs, left)
+    assert quality_bayes.classify(clash, labels.drop("toxic")).count() == clash.count()
+
+
+def test_group_tables_join_salted_too(spark, monkeypatch):
+    monkeypatch.setattr(quality_bayes, "BROADCAST_ROWS", 0)
+    docs = spark.createDataFrame([(i, "big" if i else None) for i in range(5)], "doc_id long, h string")
+    table_ = spark.createDataFrame([("big", "p", 1.5)], "host string, path string, shift double")
+    got = quality_bayes.with_shift(docs, table_, F.col("h"), F.lit("p")).collect()
+    assert sorted(r["shift"] for r in got) == [0.0, 1.5, 1.5, 1.5, 1.5]
 
 
 def test_sharding(edge, clash, empty, tmp_path):
@@ -389,9 +483,49 @@ def test_compaction_merges_and_versions(spark, tmp_path):
     before = store.shards(5)
     assert store.compact(fanout=4) == 6 and len(store.shards()) == 1
     assert store.read().count() == 500 and store.shards(5) == before
+    assert [store.read(v).count() for v in (1, 5)] == [100, 500]
     with pytest.raises(compaction.Conflict):
         store.commit(5, [])
     assert len(store.shards()) == 1
+    assert store.vacuum() == 0 and store.read(1).count() == 100
+    assert store.vacuum(keep_seconds=0) == 5 and store.versions() == [6] and store.read().count() == 500
+
+
+def test_a_crashed_append_and_a_second_writer_disturb_nobody(spark, tmp_path, monkeypatch):
+    root = f"file://{tmp_path}/s"
+    store, other = compaction.ShardStore(spark, root), compaction.ShardStore(spark, root)
+    store.append(spark.range(10).coalesce(1))
+    store._write(spark.range(50).coalesce(1), None)  # a writer that died before its commit
+    assert other.append(spark.range(10, 20).coalesce(1)) == 2
+    # Another writer commits between the reading of the version and the commit.
+    commit, raced = compaction.ShardStore.commit, []
+
+    def late(self, base, parts):
+        if not raced:
+            raced.append(other)
+            commit(other, base, other.parts(base) + other._new_parts(other._write(spark.range(20, 30).coalesce(1), None)))
+        return commit(self, base, parts)
+
+    monkeypatch.setattr(compaction.ShardStore, "commit", late)
+    assert store.append(spark.range(30, 40).coalesce(1)) == 4
+    raced.clear()
+    assert store.compact(fanout=2) == 6
+    monkeypatch.undo()
+    assert sorted(r["id"] for r in store.read().drop("shard").collect()) == sorted([*range(40), *range(20, 30)])
+    assert store.vacuum() == 0  # nothing is old enough, the dead writer's file neither
+    assert store.vacuum(keep_seconds=0) > 0 and store.read().count() == 50
+
+
+def test_manifest_parts_are_named_again(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(compaction, "PART_SHARDS", 2)
+    store = compaction.ShardStore(spark, f"file://{tmp_path}/s")
+    store.append(spark.range(3, numPartitions=3))
+    first = store.parts()
+    assert [p.shards for p in first] == [2, 1]
+    store.append(spark.range(3, 4, numPartitions=1))
+    assert store.parts()[:2] == first and store.read().count() == 4
+    shards = {r["shard"] for r in store.read().collect()}
+    assert shards == {s.path for s in store.shards()}
 
 
 def brute_rules(text):
@@ -435,7 +569,7 @@ def random_words(rng, letters, n, length=(2, 9)):
 
 def test_fertility_rejects_junk_beyond_the_base_rules(spark, sf_dir):
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
-    passed = fertility.judge(docs.join(labels, "doc_id")).filter("not base_failed and n_tokens >= 50").collect()
+    passed = fertility.judge(docs.join(labels, "doc_id")).filter("not base_failed").collect()
     junk = [r["kept"] for r in passed if r["quality"] == 0]
     assert junk and sum(junk) <= 0.2 * len(junk)
     rng = np.random.default_rng(8)
@@ -455,6 +589,31 @@ def test_fertility_rejects_junk_beyond_the_base_rules(spark, sf_dir):
     assert [r["doc_id"] for r in got if r["base_failed"]] == [] and [r["doc_id"] for r in got if r["kept"]] == []
 
 
+LETTERS = {
+    "en": "abc", "de": "abc", "fr": "abc", "es": "abc", "latin": "abc", "cyrillic": "абв", "greek": "αβγ", "arabic": "ابت", "hebrew": "אבג",
+    "devanagari": "कखग", "bengali": "কখগ", "tamil": "கஙச", "georgian": "აბგ", "thai": "กขค", "han": "的一是", "hangul": "가나다", "other": "ሀ",
+}
+
+
+def test_every_band_rejects(spark):
+    """Words of three letters alone, none repeated in runs of five, say too little in any band."""
+    assert set(LETTERS) == set(fertility.BANDS)
+    rng = np.random.default_rng(9)
+    listed = ("en", "de", "fr", "es")
+    rows = [(k, k if k in listed else "??", " ".join(random_words(rng, v, 500, (1, 14)))) for k, v in LETTERS.items()]
+    got = {r["doc_id"]: r for r in fertility.judge(spark.createDataFrame(rows, "doc_id string, lang string, text string")).collect()}
+    assert {k: r["band"] for k, r in got.items()} == {k: k for k in LETTERS}
+    assert [k for k, r in got.items() if r["kept"] and not r["base_failed"]] == []
+    assert [k for k, r in got.items() if r["base_failed"]] in ([], ["other"])
+
+
+def test_short_texts_are_judged_too(spark):
+    rows = [(1, "en", "the cat sat on the mat and looked at the big dog"), (2, "en", "aa a aaa a aa aaa a aaaa aa a aaaa aaa aaaa a"), (3, "en", "The café 😀 opened its doors at nine and closed again by ten.")]
+    got = {r["doc_id"]: r for r in fertility.judge(spark.createDataFrame(rows, "doc_id long, lang string, text string")).collect()}
+    assert all(r["n_tokens"] < 50 and not r["base_failed"] for r in got.values())
+    assert {k: r["kept"] for k, r in got.items()} == {1: True, 2: False, 3: True}
+
+
 CLEAN = {
     "en": "The committee met on Tuesday to discuss the new library, which will open next spring beside the old market hall. Several members asked how much the building would cost and who would pay for the books, while others wanted longer hours for students and families. In the end everybody agreed that a quiet room for reading matters more than a large car park.",
     "ru": "Во вторник комитет собрался, чтобы обсудить новую библиотеку, которая откроется следующей весной рядом со старым рынком. Некоторые участники спросили, сколько будет стоить здание и кто заплатит за книги, а другие хотели, чтобы она работала дольше для студентов и семей. В конце концов все согласились, что тихая комната для чтения важнее большой стоянки.",
