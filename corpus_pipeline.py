@@ -1,7 +1,8 @@
 """The corpus pipeline: rules, classifier, near-dedup, mixture, tokens.
 
 Each stage works on what its predecessor left, written as Parquet in between, so a
-lost executor or a failed stage costs that stage alone.
+lost executor or a failed stage costs that stage alone. What a stage materialises is
+deleted when its result stands, and so is its input then; the last result stays.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from answerloom.llm import stages
-from answerloom.llm.common import shared_dir
+from answerloom.llm.common import delete_path, scratch, shared_dir
 
 STAGES = [
     ("quality rules", stages.quality_rules),
@@ -30,6 +31,9 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     root = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
     for k, (_, stage) in enumerate(STAGES):
-        stage(spark, docs, sf_dir).write.parquet(f"{root}/{k}")
+        with scratch(spark):
+            stage(spark, docs, sf_dir).write.parquet(f"{root}/{k}")
         docs = spark.read.parquet(f"{root}/{k}")
+        if k:
+            delete_path(spark, f"{root}/{k - 1}")
     return docs
