@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import re
+from collections.abc import Callable, Sequence
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -21,24 +23,28 @@ def exact(gold: Column, pred: Column) -> Column:
 
 def token_f1(gold: Column, pred: Column) -> Column:
     """Multiset F1 of normalised words; an empty side scores 1 only against an empty one."""
-    g, p = words(normalize_answer(gold)), words(normalize_answer(pred))
-    common = multiset_overlap(g, p)
-    f1 = F.try_divide(2.0 * common, F.size(g) + F.size(p))
+    return words_f1(words(normalize_answer(gold)), words(normalize_answer(pred)))
+
+
+def words_f1(g: Column, p: Column) -> Column:
+    """token_f1 of arrays of words, which should be plain columns."""
+    f1 = F.try_divide(2.0 * multiset_overlap(g, p), F.size(g) + F.size(p))
     return F.when((F.size(g) == 0) | (F.size(p) == 0), (F.size(g) == F.size(p)).cast("double")).otherwise(f1)
 
 
 def raw_scores(golds: DataFrame, preds: DataFrame) -> DataFrame:
     """(qid, exact, f1): best over golds(qid, gold); no usable gold counts as ''.
 
-    Questions without a prediction are left out.
+    Questions without a prediction are left out. Every gold and every prediction is
+    normalised once.
     """
-    usable = golds.filter(normalize_answer(F.col("gold")) != "")
-    blank = golds.select("qid").distinct().join(usable.select("qid").distinct(), "qid", "left_anti")
-    every = usable.select("qid", "gold").union(blank.select("qid", F.lit("")))
-    met = every.join(preds.select("qid", "pred"), "qid")
+    every = golds.select("qid", normalize_answer(F.coalesce("gold", F.lit(""))).alias("gold"))
+    usable = F.max((F.col("gold") != "").cast("int")).over(Window.partitionBy("qid"))
+    every = every.withColumn("usable", usable).filter("gold <> '' or usable = 0").drop("usable")
+    told = preds.select("qid", normalize_answer(F.col("pred")).alias("pred"))
+    met = every.join(told, "qid").withColumns({"g": words(F.col("gold")), "p": words(F.col("pred"))})
     return met.groupBy("qid").agg(
-        F.max(exact(F.col("gold"), F.col("pred"))).cast("double").alias("exact"),
-        F.max(token_f1(F.col("gold"), F.col("pred"))).alias("f1"),
+        F.max((F.col("gold") == F.col("pred")).cast("double")).alias("exact"), F.max(words_f1(F.col("g"), F.col("p"))).alias("f1")
     )
 
 
@@ -58,139 +64,272 @@ def eval_summary(scores: DataFrame) -> DataFrame:
 
 
 def best_threshold(scores: DataFrame, score: str) -> DataFrame:
-    """(best, threshold): na_prob up to which answering pays most.
+    """(best, threshold): na_prob up to which answering pays most; see best_thresholds."""
+    return best_thresholds(scores, [score]).select(F.col(f"best_{score}").alias("best"), F.col(f"best_{score}_thresh").alias("threshold"))
+
 
-    scores(qid, na_prob, has_answer, answered, score). The running sum over all
-    questions by na_prob is taken in two levels: buckets of na_prob first, then the
-    rows inside a bucket, so no task sorts everything.
+def best_thresholds(scores: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """One row of best_c and best_c_thresh for every score c of scores(qid, na_prob, has_answer, answered, *columns).
+
+    The running sum over all questions by na_prob is taken in two levels: buckets of
+    na_prob first, then the rows inside a bucket, so no task sorts everything.
     """
-    gain = F.when(F.col("has_answer"), F.col(score)).otherwise(F.when(F.col("answered"), -1.0).otherwise(0.0))
-    rows = scores.select("qid", "na_prob", gain.alias("gain"), "has_answer").withColumn(
-        "bucket", F.floor(F.col("na_prob") * 1000).cast("long")
-    )
+    bucket = F.floor(F.col("na_prob") * 1000).cast("long").alias("bucket")
+    gain = lambda c: F.when(F.col("has_answer"), F.col(c)).otherwise(F.when(F.col("answered"), -1.0).otherwise(0.0)).alias(f"gain_{c}")
+    rows = scores.select("qid", "na_prob", "has_answer", bucket, *map(gain, columns))
     ahead = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    sums = rows.groupBy("bucket").agg(F.sum("gain").alias("s")).select(
-        "bucket", F.coalesce(F.sum("s").over(ahead), F.lit(0.0)).alias("ahead")
+    sums = rows.groupBy("bucket").agg(*[F.sum(f"gain_{c}").alias(c) for c in columns]).select(
+        "bucket", *[F.coalesce(F.sum(c).over(ahead), F.lit(0.0)).alias(f"ahead_{c}") for c in columns]
     )
     start = F.broadcast(rows.agg(F.sum((~F.col("has_answer")).cast("double")).alias("start"), F.count("*").alias("n")))
     inside = Window.partitionBy("bucket").orderBy("na_prob", "qid").rowsBetween(Window.unboundedPreceding, 0)
-    run = rows.withColumn("own", F.sum("gain").over(inside)).join(sums, "bucket").join(start)
-    total = F.round(F.col("start") + F.col("ahead") + F.col("own"), 9)
-    best = run.select("n", "start", total.alias("total"), "na_prob", "qid").agg(
+    run = rows.withColumns({f"own_{c}": F.sum(f"gain_{c}").over(inside) for c in columns}).join(sums, "bucket").join(start)
+    total = lambda c: F.round(F.col("start") + F.col(f"ahead_{c}") + F.col(f"own_{c}"), 9)
+    best = run.agg(
         F.max("n").alias("n"), F.max("start").alias("start"),
-        F.max(F.struct("total", (-F.col("na_prob")).alias("p"))).alias("top"),
+        *[F.max(F.struct(total(c).alias("total"), (-F.col("na_prob")).alias("p"))).alias(f"top_{c}") for c in columns],
     )
-    better = F.col("top.total") > F.col("start")
-    return best.select(
-        F.round(100.0 * F.when(better, F.col("top.total")).otherwise(F.col("start")) / F.col("n"), 6).alias("best"),
-        F.when(better, -F.col("top.p")).otherwise(0.0).alias("threshold"),
-    )
+
+    def pair(c: str) -> list[Column]:
+        top = F.col(f"top_{c}")
+        better = top["total"] > F.col("start")
+        return [
+            F.round(100.0 * F.when(better, top["total"]).otherwise(F.col("start")) / F.col("n"), 6).alias(f"best_{c}"),
+            F.when(better, -top["p"]).otherwise(0.0).alias(f"best_{c}_thresh"),
+        ]
+
+    return best.select(*[x for c in columns for x in pair(c)])
 
 
 def squad_evaluate(golds: DataFrame, preds: DataFrame, threshold: float = 1.0) -> DataFrame:
-    """eval_summary of golds(qid, gold) against preds(qid, pred, na_prob)."""
+    """One row: eval_summary of golds(qid, gold) against preds, and all_best_thresholds.
+
+    preds(qid, pred) may have na_prob; without it, or where it is null, it is 0. A
+    question has an answer if any of its golds is neither null nor ''. The thresholds
+    are sought over the raw scores, the summary is of those cut at threshold.
+    """
+    golds = golds.withColumn("gold", F.coalesce("gold", F.lit("")))
     has = golds.groupBy("qid").agg((F.count(F.when(F.col("gold") != "", 1)) > 0).alias("has_answer"))
-    rows = raw_scores(golds, preds).join(has, "qid").join(preds.select("qid", "na_prob"), "qid")
+    na = F.coalesce("na_prob", F.lit(0.0)) if "na_prob" in preds.columns else F.lit(0.0)
+    given = preds.select("qid", na.alias("na_prob"), (F.coalesce("pred", F.lit("")) != "").alias("answered"))
+    rows = raw_scores(golds, preds).join(has, "qid").join(given, "qid")
     cut = lambda c: apply_no_answer_threshold(F.col(c), F.col("na_prob"), F.col("has_answer"), threshold)
-    return eval_summary(rows.select("qid", cut("exact").alias("exact"), cut("f1").alias("f1"), "has_answer"))
+    summary = eval_summary(rows.select("qid", cut("exact").alias("exact"), cut("f1").alias("f1"), "has_answer"))
+    return summary.join(F.broadcast(all_best_thresholds(rows)))  # one row each
 
 
-def candidate_spans(
-    features: DataFrame, n: int, max_length: int = MAX_ANSWER_LENGTH, valid: Column | None = None
-) -> DataFrame:
+def candidate_spans(features: DataFrame, n: int, max_length: int = MAX_ANSWER_LENGTH) -> DataFrame:
     """(feature_id, start, end, score, rank): the n best spans of each feature.
 
     features(feature_id, start_logits, end_logits). The n best starts meet the n best
-    ends inside the row; valid may further restrict (start, end), e.g. to the context.
+    ends inside the row.
     """
-    best = features.select(
-        "feature_id", "start_logits", "end_logits", F.explode(best_indexes(F.col("start_logits"), n)).alias("start"),
-    ).withColumn("end", F.explode(best_indexes(F.col("end_logits"), n)))
-    ok = (F.col("end") >= F.col("start")) & (F.col("end") - F.col("start") + 1 <= max_length)
-    spans = best.filter(ok if valid is None else ok & valid).select(
-        "feature_id", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"),
-        F.round(F.get("start_logits", F.col("start")) + F.get("end_logits", F.col("end")), 6).alias("score"),
-    )
+    spans = _spans(features.select("feature_id", "start_logits", "end_logits"), n, max_length).select(
+        "feature_id", "start", "end", F.round(F.col("start_logit") + F.col("end_logit"), 6).alias("score")
+    )
     return top_k(spans, ["feature_id"], [F.desc("score"), F.asc("start"), F.asc("end")], n)
 
 
+def _spans(features: DataFrame, n: int, max_length: int) -> DataFrame:
+    """features by (start, end) of their n best starts and ends, with both logits and places i, j."""
+    rows = features.select("*", F.posexplode(best_indexes(F.col("start_logits"), n)).alias("i", "start"))
+    rows = rows.select("*", F.posexplode(best_indexes(F.col("end_logits"), n)).alias("j", "end")).filter(
+        (F.col("end") >= F.col("start")) & (F.col("end") - F.col("start") + 1 <= max_length)
+    )
+    return rows.withColumns(
+        {
+            "start_logit": F.get("start_logits", F.col("start")), "end_logit": F.get("end_logits", F.col("end")),
+            "start": F.col("start").cast("long"), "end": F.col("end").cast("long"),
+        }
+    ).drop("start_logits", "end_logits")
+
+
+@dataclass(frozen=True)
+class NBest:
+    """nbest(qid, rank, text, probability, start_logit, end_logit), predictions(qid, text, score)
+    and null_odds(qid, null_odds), the last None where the empty answer is no choice."""
+
+    nbest: DataFrame
+    predictions: DataFrame
+    null_odds: DataFrame | None
+
+
+Tokenise = Callable[[str], list[str]]
+
+
+def basic_tokens(text: str) -> list[str]:
+    """Lower-cased words and single marks: stands in for a reader's own tokenizer."""
+    return re.findall(r"\w+|[^\w\s]", text.lower())
+
+
+def piece_text(tokens: Column) -> Column:
+    """Word pieces as text: ## joins a piece to the one before; spaces are single."""
+    return F.regexp_replace(F.trim(F.replace(F.array_join(tokens, " "), F.lit(" ##"), F.lit(""))), r"\s+", " ")
+
+
+def _with_text(spans: DataFrame, examples: DataFrame, tokenise: Tokenise) -> DataFrame:
+    """Adds text to spans(qid, tokens, orig_map, start, end, ...): the words they came from."""
+    length = lambda a, b: (F.col(b) - F.col(a) + 1).cast("int")
+    met = spans.withColumns(
+        {"__a": F.try_element_at("orig_map", F.col("start").cast("int")), "__b": F.try_element_at("orig_map", F.col("end").cast("int"))}
+    ).join(examples.select("qid", "doc_tokens"), "qid")
+    met = met.withColumns(
+        {
+            "pred": piece_text(F.slice("tokens", (F.col("start") + 1).cast("int"), length("start", "end"))),
+            "original": F.array_join(F.slice("doc_tokens", (F.col("__a") + 1).cast("int"), F.greatest(length("__a", "__b"), F.lit(0))), " "),
+        }
+    ).drop("tokens", "orig_map", "doc_tokens", "__a", "__b")
+    return with_final_text(met, tokenise).withColumnRenamed("final", "text").drop("pred", "original")
+
+
+def _first_of_each(rows: DataFrame, order: Sequence[Column], n: int, always: Column | None = None) -> DataFrame:
+    """First n rows of each question by order, of equal texts the first alone; always keeps others too."""
+    seen = F.row_number().over(Window.partitionBy("qid", "text").orderBy(*order)) == 1
+    return top_k(rows.withColumn("__new", seen).filter(F.col("__new") if always is None else F.col("__new") | always).drop("__new"), ["qid"], order, n)
+
+
 def predictions_logits(
-    features: DataFrame, n: int = 20, max_length: int = MAX_ANSWER_LENGTH, null_threshold: float | None = None
-) -> DataFrame:
-    """(qid, text, score, rank, null_score, prediction) from features with tokens.
-
-    features(qid, feature_id, tokens, start_logits, end_logits). Equal texts of a
-    question count once, the best of them. With null_threshold, the empty answer
-    joins with the lowest start[0] + end[0], and is predicted where it beats the best
-    other by more than the threshold. The reported score is the raw sum.
+    features: DataFrame, examples: DataFrame, n: int = 20, max_length: int = MAX_ANSWER_LENGTH,
+    null_threshold: float | None = None, tokenise: Tokenise = basic_tokens,
+) -> NBest:
+    """n-best answers of each question from the logits of its features.
+
+    features(qid, feature_id, tokens, orig_map, max_context, start_logits, end_logits):
+    orig_map tells the word of each token that has one, max_context the tokens that see
+    most context here. A span must start and end at tokens of the map, start at one of
+    most context, and hold at most max_length tokens. examples(qid, doc_tokens).
+    Texts are those of the document's words; equal texts count once, the best of them.
+    Ties go to the earlier feature, then to the better start. probability is the raw sum.
+
+    With null_threshold the empty answer joins with the lowest start[0] + end[0] of any
+    feature, behind the others if it is not among the n best; a lone one stands behind
+    'empty'. It is predicted, with score 0, where it beats the best other by more than
+    the threshold. A question without any span has the answer 'empty' with sum 0.
     """
-    spans = candidate_spans(features, n, max_length, valid=F.lit(True)).join(
-        features.select("qid", "feature_id", "tokens"), "feature_id"
-    )
-    text = F.array_join(F.slice("tokens", F.col("start") + 1, (F.col("end") - F.col("start") + 1).cast("int")), " ")
-    texts = spans.select("qid", text.alias("text"), "score").groupBy("qid", "text").agg(F.max("score").alias("score"))
-    nulls = features.groupBy("qid").agg(
-        F.round(F.min(F.get("start_logits", F.lit(0)) + F.get("end_logits", F.lit(0))), 6).alias("null_score")
-    )
+    at = lambda m, c: F.try_element_at(m, F.col(c).cast("int"))
+    valid = (
+        at("orig_map", "start").isNotNull() & at("orig_map", "end").isNotNull() & F.coalesce(at("max_context", "start"), F.lit(False))
+        & (F.col("start") < F.size("tokens")) & (F.col("end") < F.size("tokens"))
+    )
+    spans = _spans(features, n, max_length).filter(valid)
+    named = _with_text(spans, examples, tokenise).withColumn("text", F.when(F.col("start") > 0, F.col("text")).otherwise(""))
+    fields = ["qid", "text", "start_logit", "end_logit", "start", "feature_id", "i", "j"]
+    rows = named.select(*fields)
+    first = lambda c: F.get(c, F.lit(0))
     if null_threshold is not None:
-        texts = texts.filter("text <> ''").union(nulls.select("qid", F.lit(""), "null_score"))
-    ranked = top_k(texts, ["qid"], [F.desc("score"), F.asc("text")], n)
-    some = nulls.join(ranked, "qid", "left").fillna({"text": "empty", "score": 0.0, "rank": 1})
-    w = Window.partitionBy("qid")
-    best = F.max(F.when(F.col("text") != "", F.struct("score", (-F.col("rank")).alias("r"), "text"))).over(w)
+        null = F.min_by(
+            F.struct(first("start_logits").alias("s"), first("end_logits").alias("e")),
+            F.struct((first("start_logits") + first("end_logits")).alias("sum"), "feature_id"),
+        )
+        nulls = features.groupBy("qid").agg(null.alias("null")).select("qid", "null.*")
+        last = F.lit(2**31 - 1)
+        rows = rows.unionByName(
+            nulls.select("qid", F.lit("").alias("text"), F.col("s").alias("start_logit"), F.col("e").alias("end_logit"),
+                F.lit(0).cast("long").alias("start"), F.lit(None).cast(features.schema["feature_id"].dataType).alias("feature_id"), last.alias("i"), last.alias("j"))
+        )
+    total = F.col("start_logit") + F.col("end_logit")
+    order = [F.desc(total), F.asc_nulls_last("feature_id"), F.asc("i"), F.asc("j")]
+    best = _first_of_each(rows, order, n, F.col("start") == 0).select("qid", "rank", "text", "start_logit", "end_logit")
+    nonce = lambda place: [F.lit(place).cast("long").alias("rank"), F.lit("empty").alias("text"), F.lit(0.0).alias("start_logit"), F.lit(0.0).alias("end_logit")]
     if null_threshold is None:
-        chosen = best["text"]
+        asked = examples.select("qid").distinct()
+        best = best.union(asked.join(best.select("qid").distinct(), "qid", "left_anti").select("qid", *nonce(1)))
     else:
-        chosen = F.when(F.col("null_score") - best["score"] > null_threshold, "").otherwise(best["text"])
-    return some.withColumn("prediction", chosen)
+        told = best.groupBy("qid").agg(F.max((F.col("text") == "").cast("int")).alias("empty"), F.max("rank").alias("m"))
+        missing = nulls.join(told, "qid").filter("empty = 0")
+        best = best.union(missing.select("qid", F.col("m") + 1, F.lit(""), "s", "e"))
+        alone = best.groupBy("qid").agg(F.count("*").alias("m")).filter("m = 1")
+        best = best.union(alone.select("qid", *nonce(0)))
+        best = best.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy("rank")).cast("long"))
+    best = best.withColumn("probability", total)
+    firsts = best.groupBy("qid").agg(
+        F.min_by(F.struct("text", F.col("probability").alias("score")), "rank").alias("first"),
+        F.min_by(F.struct("text", F.col("probability").alias("score")), F.when(F.col("text") != "", F.col("rank"))).alias("other"),
+    )
+    if null_threshold is None:
+        return NBest(best, firsts.select("qid", "first.*"), None)
+    odds = firsts.join(nulls, "qid").withColumn("null_odds", F.col("s") + F.col("e") - F.col("other.score"))
+    nothing = F.coalesce(F.col("null_odds") > null_threshold, F.lit(True))
+    predicted = odds.select(
+        "qid", F.when(nothing, "").otherwise(F.col("other.text")).alias("text"), F.when(nothing, 0.0).otherwise(F.col("other.score")).alias("score")
+    )
+    return NBest(best, predicted, odds.select("qid", "null_odds"))
 
 
-def predictions_log_probs(features: DataFrame, n: int = 5, max_length: int = MAX_ANSWER_LENGTH) -> DataFrame:
-    """(qid, text, score, probability, rank): softmax over each question's n best texts."""
-    got = predictions_logits(features, n, max_length)
-    return got.withColumn("probability", softmax(F.col("score"), ["qid"])).drop("null_score", "prediction")
+def predictions_log_probs(
+    features: DataFrame, examples: DataFrame, n: int = 5, max_length: int = MAX_ANSWER_LENGTH, tokenise: Tokenise = basic_tokens
+) -> NBest:
+    """n-best answers from top starts and, for each of them, top ends.
+
+    features(qid, feature_id, tokens, orig_map, max_context, paragraph_len, cls_logit,
+    start_top_index, start_log_probs, end_top_index, end_log_probs): the ends of the
+    i-th start are the i-th of equal slices of the two end arrays. Spans stay before the
+    paragraph's last token. probability is a softmax over the n best; the first of them
+    is predicted; null_odds is the least cls_logit. A question without any span has the
+    answer '' with log-probabilities of -1e6.
+    """
+    ends = (F.size("end_top_index") / F.size("start_top_index")).cast("int")
+    rows = features.withColumn("ends", ends).select("*", F.posexplode("start_top_index").alias("i", "start"))
+    rows = rows.select("*", F.explode(F.sequence(F.lit(0), F.col("ends") - 1)).alias("j"))
+    place = F.col("i") * F.col("ends") + F.col("j")
+    rows = rows.withColumns(
+        {
+            "end": F.get("end_top_index", place).cast("long"), "start": F.col("start").cast("long"),
+            "start_logit": F.get("start_log_probs", F.col("i")), "end_logit": F.get("end_log_probs", place),
+        }
+    ).drop("start_top_index", "end_top_index", "start_log_probs", "end_log_probs")
+    limit = F.col("paragraph_len") - 1
+    spans = rows.filter(
+        (F.col("start") < limit) & (F.col("end") < limit) & F.coalesce(F.try_element_at("max_context", F.col("start").cast("int")), F.lit(False))
+        & (F.col("end") >= F.col("start")) & (F.col("end") - F.col("start") + 1 <= max_length)
+    )
+    total = F.col("start_logit") + F.col("end_logit")
+    best = _first_of_each(_with_text(spans, examples, tokenise), [F.desc(total), F.asc("feature_id"), F.asc("i"), F.asc("j")], n)
+    best = best.select("qid", "rank", "text", "start_logit", "end_logit")
+    rest = examples.select("qid").distinct().join(best.select("qid").distinct(), "qid", "left_anti")
+    best = best.union(rest.select("qid", F.lit(1).cast("long"), F.lit(""), F.lit(-1e6), F.lit(-1e6)))
+    best = best.withColumn("probability", softmax(total, ["qid"]))
+    first = best.groupBy("qid").agg(F.min_by(F.struct("text", F.col("probability").alias("score")), "rank").alias("first"))
+    return NBest(best, first.select("qid", "first.*"), features.groupBy("qid").agg(F.min("cls_logit").alias("null_odds")))
 
 
 def final_text(pred: str, original: str, tokenised: str) -> str:
     """The stretch of original that pred, a stretch of its tokenised form, came from.
 
-    Both are compared without spaces; where they differ, or pred is not found, the
-    original is returned.
+    Characters other than spaces are matched one to one by their number, whatever case
+    they have; where the numbers differ, or pred is not found, the original is returned.
     """
     at = tokenised.find(pred)
-    bare = lambda s: [(i, c) for i, c in enumerate(s) if c != " "]
-    a, b = bare(original), bare(tokenised)
-    if at < 0 or not pred or [c for _, c in a] != [c for _, c in b]:
+    a, b = ([i for i, c in enumerate(s) if c != " "] for s in (original, tokenised))
+    if at < 0 or len(a) != len(b):
         return original
-    places = {i: k for k, (i, _) in enumerate(b)}
+    places = {i: a[k] for k, i in enumerate(b)}
     first, last = places.get(at), places.get(at + len(pred) - 1)
-    if first is None or last is None:
-        return original
-    return original[a[first][0] : a[last][0] + 1]
+    return original if first is None or last is None else original[first : last + 1]
 
 
-def with_final_text(rows: DataFrame) -> DataFrame:
-    """Adds final to rows(pred, original, tokenised), in batches."""
+def with_final_text(rows: DataFrame, tokenise: Tokenise = basic_tokens) -> DataFrame:
+    """Adds final to rows(pred, original), in batches; the original is tokenised here."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            parts = zip(pdf["pred"], pdf["original"], pdf["tokenised"], strict=True)
-            yield pdf.assign(final=[final_text(*p) for p in parts])
+    @F.pandas_udf("string")
+    def final(pred: pd.Series, original: pd.Series) -> pd.Series:
+        return pd.Series([final_text(p, o, " ".join(tokenise(o))) for p, o in zip(pred, original, strict=True)], dtype=object)
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
-    return rows.mapInPandas(run, f"{fields}, final string")
+    return rows.withColumn("final", final(F.coalesce("pred", F.lit("")), F.coalesce("original", F.lit(""))))
 
 
 def best_threshold_with_answered(scores: DataFrame, score: str) -> DataFrame:
-    """best_threshold, and the mean score of the answerable questions."""
-    has = scores.agg(F.round(100.0 * F.avg(F.when(F.col("has_answer"), F.col(score))), 6).alias("has_answer_score"))
+    """best_threshold, and the mean score, of 1, of the answerable questions."""
+    has = scores.agg(F.round(F.avg(F.when(F.col("has_answer"), F.col(score))), 6).alias("has_answer_score"))
     return best_threshold(scores, score).join(F.broadcast(has))
 
 
 def all_best_thresholds(scores: DataFrame) -> DataFrame:
     """One row of best_exact, best_exact_thresh, best_f1, best_f1_thresh."""
-    exact_, f1 = (
-        best_threshold(scores, c).select(F.col("best").alias(f"best_{c}"), F.col("threshold").alias(f"best_{c}_thresh"))
-        for c in ("exact", "f1")
-    )
-    return exact_.join(F.broadcast(f1))
+    return best_thresholds(scores, ["exact", "f1"])
+
+
+def all_best_thresholds_with_answered(scores: DataFrame) -> DataFrame:
+    """all_best_thresholds, with has_ans_exact and has_ans_f1."""
+    means = [F.round(F.avg(F.when(F.col("has_answer"), F.col(c))), 6).alias(f"has_ans_{c}") for c in ("exact", "f1")]
+    return all_best_thresholds(scores).join(F.broadcast(scores.agg(*means)))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from statistics import mean, median
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -101,34 +102,40 @@ def gram_match(a: str, b: str, n: int) -> float:
 def majority(
     candidates: Sequence[str], weights: Sequence[float] = VOTE_WEIGHTS, threshold: float = VOTE_THRESHOLD, ngram: int | None = None
 ) -> tuple[int, str] | None:
-    """(place in the winning group, answer) by greedy leader clustering; see majority_vote."""
+    """(place, answer) that most of the ordered candidates agree on; None without as many weights.
+
+    Words are what single spaces part. Candidates that hold no letter, digit or space
+    are left out; None if all are. If the first one comes again, word for word, the place
+    is that of the first of those holding it that is longer than their mean, else 0.
+    Otherwise each candidate joins the first leader that it shares enough n-grams with;
+    of the heaviest group the first member of mean length, rounded up, is taken, with its
+    place among all candidates, else the leader with place 0. n is the median number of
+    words, but 1 where their mean is below 2.
+    """
     if len(candidates) != len(weights) or not candidates:
         return None
-    counts = sorted(len(c.split()) for c in candidates)
-    half = len(counts) // 2
-    median = counts[half] if len(counts) % 2 else (counts[half - 1] + counts[half]) / 2
-    n = ngram or (1 if sum(counts) / len(counts) < 2 else math.ceil(median))
-    clean = [(_normal(c), c, w) for c, w in zip(candidates, weights, strict=True)]
-    clean = [x for x in clean if x[0].strip()]
+    sizes = [len(c.split(" ")) for c in candidates]
+    n = 1 if mean(sizes) < 2 else ngram or math.ceil(median(sizes))
+    clean = [(place, c, _normal(c), w) for place, (c, w) in enumerate(zip(candidates, weights, strict=True))]
+    clean = [x for x in clean if x[2]]
     if not clean:
         return None
-    first = clean[0]
-    later = [x for x in clean[1:] if first[0] in x[0]]
-    if any(x[0] == first[0] for x in clean[1:]):
-        bound = math.ceil(sum(len(x[1].split()) for x in later) / len(later))
-        place = next((i for i, x in enumerate(later) if len(x[1].split()) > bound), 0)
-        return place, first[1]
-    groups: list[list[tuple[str, str, float]]] = []
+    wordings = [x[2] for x in clean]
+    first = wordings[0]
+    if first in wordings[1:]:
+        holding = [(place, len(x.split(" "))) for place, x in enumerate(wordings) if place and first in x]
+        bound = math.ceil(mean(size for _, size in holding))
+        return next((place for place, size in holding if size > bound), 0), clean[0][1]
+    heads: dict[str, list[tuple[int, str, str, float]]] = {}
     for x in clean:
-        own = next((g for g in groups if gram_match(x[0], g[0][0], n) >= threshold), None)
-        if own is None:
-            groups.append([x])
+        head = next((h for h in heads if gram_match(x[2], h, n) >= threshold), None)
+        if head is None:
+            heads[x[2]] = [x]  # a wording too short to match even itself starts anew
         else:
-            own.append(x)
-    best = max(groups, key=lambda g: sum(x[2] for x in g))
-    size = math.ceil(sum(len(x[1].split()) for x in best) / len(best))
-    place = next((i for i, x in enumerate(best) if len(x[1].split()) == size), 0)
-    return place, best[place][1]
+            heads[head].append(x)
+    best = max(heads.values(), key=lambda g: sum(x[3] for x in g))
+    size = math.ceil(mean(len(x[1].split(" ")) for x in best))
+    return next(((x[0], x[1]) for x in best if len(x[1].split(" ")) == size), (0, best[0][1]))
 
 
 def _normal(text: str) -> str:
@@ -155,8 +162,6 @@ def majority_vote(answers: DataFrame, k: int = len(VOTE_WEIGHTS)) -> DataFrame:
     return first.groupBy("qid").applyInPandas(one, f"qid {kind}, place long, answer string")
 
 
-
-
 def vote_key(answer: Column) -> Column:
     """Normalised words of an answer, for grouping by wording alone."""
     return F.array_join(words(vote_norm(answer)), " ")
