@@ -65,36 +65,44 @@ def get_nums(c: Column) -> Column:
     return F.transform(F.filter(parts, lambda w: w.rlike(r"\A[0-9]{1,9}\z")), lambda w: w.cast("int"))
 
 
+#: Numbers that each kind of date pattern needs, and the places of year, month and date among them.
+PLACES: dict[str, tuple[int, int | None, int | None, int | None]] = {
+    "dd/mm/yyyy": (3, 2, 1, 0), "dd/mm": (2, None, 1, 0), "mm/yyyy": (2, 1, 0, None), "mm": (1, None, 0, None),
+    "yyyy": (1, 0, None, None), "dd/MM": (1, None, None, 0), "dd": (0, None, None, None),
+}
+
+
 def extract_datetime(c: Column, compat: bool = False) -> Column:
     """Latest (year, month, date) that any pattern finds; parts not found are 0.
 
     compat reads a pattern's numbers from its start, which the two patterns with
     leading numbers of their own get wrong; the default reads them from its end. A
-    match with too few numbers is passed over.
+    match with too few numbers is passed over. Every pattern is matched once; what its
+    match holds is read in one function over all matches.
     """
     text = F.lower(c)
-    found = [F.lit(None).cast(DATE)]
+    found = []
     for pattern, kind in DATE_PATTERNS:
-        group = F.regexp_extract(text, f"(?Ud)({pattern})", 1)
-        nums = get_nums(group)
-        need = {"dd/mm/yyyy": 3, "dd/mm": 2, "mm/yyyy": 2, "dd": 0}.get(kind, 1)
-        at = (lambda i, n=nums, k=need: F.get(n, F.lit(i) if compat else F.size(n) - k + i))
+        need, *places = PLACES[kind]
+        at = [F.lit(p).cast("int").alias(n) for n, p in zip("ymd", places, strict=True)]
+        match = F.regexp_extract(text, f"(?Ud)({pattern})", 1).alias("match")
+        found.append(F.struct(match, F.lit(need).alias("need"), F.lit(kind == "dd/MM").alias("spoken"), *at))
+    matched = F.filter(F.array(*found), lambda x: x["match"] != "")
+    counted = F.transform(matched, lambda x: F.struct(x.alias("x"), get_nums(x["match"]).alias("nums")))
+
+    def parts(r: Column) -> Column:
+        x, nums = r["x"], r["nums"]
+        first = F.lit(0) if compat else F.size(nums) - x["need"]
+        part = lambda n: F.coalesce(F.when(x[n].isNotNull(), F.get(nums, first + x[n])), F.lit(0))
         month = F.lit(0)
         for word, value in reversed(MONTHS):
-            month = F.when(group.contains(word), value).otherwise(month)
-        year, m, d = {
-            "dd/mm/yyyy": lambda: (at(2), at(1), at(0)),
-            "dd/mm": lambda: (F.lit(0), at(1), at(0)),
-            "mm/yyyy": lambda: (at(1), at(0), F.lit(0)),
-            "mm": lambda: (F.lit(0), at(0), F.lit(0)),
-            "yyyy": lambda: (at(0), F.lit(0), F.lit(0)),
-            "dd/MM": lambda: (F.lit(0), month, at(0)),
-            "dd": lambda: (F.lit(0), F.lit(0), F.lit(0)),
-        }[kind]()
-        parts = F.struct(year.cast("int").alias("year"), m.cast("int").alias("month"), d.cast("int").alias("date"))
-        found.append(F.when((group != "") & (F.size(nums) >= need), parts))
+            month = F.when(x["match"].contains(word), value).otherwise(month)
+        m = F.when(x["spoken"], month).otherwise(part("m"))
+        return F.struct(part("y").cast("int").alias("year"), m.cast("int").alias("month"), part("d").cast("int").alias("date"))
+
+    enough = F.filter(counted, lambda r: F.size(r["nums"]) >= r["x"]["need"])
     none = F.struct(*[F.lit(0).alias(p) for p in ("year", "month", "date")])
-    return F.coalesce(F.array_max(F.array(*found)), none)
+    return F.coalesce(F.array_max(F.transform(enough, parts)), none)
 
 
 def format_datetime(d: Column) -> Column:
