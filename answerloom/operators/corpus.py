@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -92,8 +92,50 @@ def find_balanced(text: str, open: str = "[[", close: str = "]]") -> Iterator[tu
             i += 1
 
 
+#: Pairs of delimiters that nest in pages.
+DELIMITERS = (("[[", "]]"), ("{{", "}}"), ("{|", "|}"))
+
+
+def balanced_spans(docs: DataFrame, id: str = "doc_id", text: str = "text", pairs: Sequence[tuple[str, str]] = DELIMITERS) -> DataFrame:
+    """(id, open, start, end): every outermost balanced stretch of each pair of delimiters, in batches."""
+    kind = docs.schema[id].dataType.simpleString()
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = [(i, a, *at) for i, t in zip(pdf["id"], pdf["text"], strict=True) for a, b in pairs for at in find_balanced(t or "", a, b)]
+            yield pd.DataFrame(rows, columns=["id", "open", "start", "end"])
+
+    return docs.select(F.col(id).alias("id"), F.col(text).alias("text")).mapInPandas(run, f"id {kind}, open string, start long, end long")
+
+
+def rewrite_links(text: Column) -> Column:
+    """replace_internal_links as a column, in batches; null stays null."""
+
+    @F.pandas_udf("string")
+    def rewritten(s: pd.Series) -> pd.Series:
+        return s.map(replace_internal_links, na_action="ignore")
+
+    return rewritten(text)
+
+
+def dump_records(dump: DataFrame, titles: DataFrame | None = None, rewrite: bool = False) -> DataFrame:
+    """Records of a dump, of known titles alone if titles(title) are given.
+
+    rewrite unwraps highlighted code and rewrites the links of each text.
+    """
+    out = dump
+    if titles is not None:
+        out = out.join(titles.select(strip(F.col("title")).alias("title")).distinct(), "title", "left_semi").select(*dump.columns)
+    return out.withColumn("text", unwrap_highlight(rewrite_links(F.col("text")))) if rewrite else out
+
+
+def zip_by_place(left: DataFrame, right: DataFrame, ord: str = "ord") -> DataFrame:
+    """Rows of both with equal places, as lists are zipped; those beyond the shorter are left out."""
+    return left.join(right, ord)
+
+
 def make_internal_link(title: str, label: str) -> str:
-    """[[wiki/Title|label]]; the label alone where the title is in an unknown namespace."""
+    """[[wiki/Title|label]]; nothing where the title is in an unknown namespace."""
     colon = title.find(":")
     if colon == 0:
         title, colon = title[1:], title[1:].find(":")

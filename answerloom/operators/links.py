@@ -8,12 +8,17 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 from answerloom.functions.text import title_to_link
 from answerloom.operators.ranking import DIGITS, broadcast_if_small, top_k
 
 #: Titles whose exact ratio is tried at first, to set the bound for all others.
 PROBES = 8
+#: Characters of a token that a join looks titles up by.
+KEY = 3
+#: Queries that one title meets at a time.
+BLOCK = 256
 
 
 def link_dictionary(titles: DataFrame, edges: DataFrame) -> DataFrame:
@@ -33,11 +38,17 @@ def link_dictionary(titles: DataFrame, edges: DataFrame) -> DataFrame:
         "label", "source_title", "link", F.col("first.title_ord").alias("ord"), F.col("first.place").alias("place")
     )
     selves = own.groupBy("title").agg(F.max("link").alias("link"), F.min("title_ord").alias("ord")).select(
-        F.col("title").alias("label"), F.lit("wiki").alias("source_title"), "link", "ord", F.lit(0).cast("long").alias("place")
+        F.col("title").alias("label"), F.lit("wiki").alias("source_title"), "link", "ord", _no_place(edges).alias("place")
     )
     return other.union(selves)
 
 
+def _no_place(edges: DataFrame) -> Column:
+    """Place of an entry that comes from no edge: 0, or null where places are no numbers."""
+    kind = edges.schema["place"].dataType
+    return (F.lit(0) if isinstance(kind, NumericType) else F.lit(None)).cast(kind)
+
+
 def resolve_links(asked: DataFrame, dictionary: DataFrame, last: bool = False) -> DataFrame:
     """(qid, label, page_title, link): entry of the page, else of 'wiki', else the first.
 
@@ -57,17 +68,37 @@ def link_map(dictionary: DataFrame) -> DataFrame:
 def candidate_titles(queries: DataFrame, titles: DataFrame) -> DataFrame:
     """(qid, query, title) where any token of the query stands in the lower-cased title.
 
-    A query that no title answers keeps all titles. Tokens are split at single
-    spaces; the title side is read once against the broadcast-checked queries.
+    Tokens are split at single spaces. A token and a title meet on the token's first
+    KEY characters, which any title that holds it holds too, and are then compared: an
+    equality join. A query that no title answers keeps all titles, as does one with an
+    empty token, which every title holds: such queries are packed into blocks and each
+    title meets each block once.
     """
-    tokens = F.split(F.lower("query"), " ")
-    low = titles.select("title", F.lower("title").alias("low"))
-    q = broadcast_if_small(queries.select("qid", "query", tokens.alias("tokens")))
-    hit = F.exists("tokens", lambda t: F.contains(F.col("low"), t))
-    met = low.join(q, hit)
-    empty = queries.join(met.select("qid").distinct(), "qid", "left_anti")
-    full = titles.select("title").join(broadcast_if_small(empty.select("qid", "query")))
-    return met.select("qid", "query", "title").union(full.select("qid", "query", "title"))
+    token = F.explode(F.array_distinct(F.split(F.lower("query"), " "))).alias("token")
+    tokens = queries.select("qid", "query", token).withColumn("key", F.left("token", F.lit(KEY)))
+    low = F.lower("title")
+    places = F.sequence(F.lit(1), F.length(low))
+    pieces = F.flatten(F.transform(F.sequence(F.lit(1), F.lit(KEY)), lambda n: F.transform(places, lambda i: F.substring(low, i, n))))
+    keyed = titles.filter(low != "").select("title", low.alias("low"), F.explode(F.array_distinct(pieces)).alias("key"))
+    met = (
+        keyed.join(broadcast_if_small(tokens.filter("token <> ''")), "key")
+        .filter(F.contains("low", F.col("token"))).select("qid", "query", "title").distinct()
+    )
+    blank = tokens.filter("token = ''").select("qid", "query")
+    rest = queries.select("qid", "query").join(met.select("qid").distinct(), "qid", "left_anti")
+    all_titles = blank.union(rest).distinct()
+    return met.join(blank.select("qid").distinct(), "qid", "left_anti").union(_with_every_title(all_titles, titles))
+
+
+def _with_every_title(queries: DataFrame, titles: DataFrame) -> DataFrame:
+    """(qid, query, title): each title meets each block of at most BLOCK queries."""
+    blocks = max(1, -(-queries.count() // BLOCK))
+    packed = (
+        queries.withColumn("block", F.pmod(F.xxhash64("qid"), F.lit(blocks)))
+        .groupBy("block").agg(F.collect_list(F.struct("qid", "query")).alias("asked"))
+    )
+    rows = titles.select("title", F.explode(F.expr(f"sequence(0L, {blocks - 1}L)")).alias("block"))
+    return rows.join(packed, "block").select("title", F.inline("asked")).select("qid", "query", "title")
 
 
 def overlap_bound(a: Column, b: Column) -> Column:

@@ -12,15 +12,21 @@ DIGITS = 6
 #: Fusion weights of reader, rank and similarity, and the zeroing threshold.
 FUSION = (0.6, 0.2, 0.2)
 THRESHOLD = 0.1
+#: Bytes that a row may grow to in memory for each byte of it as text: n-gram profiles hold it several times.
+PROFILE = 16
 
 
-def broadcast_if_small(df: DataFrame, rows: int = 50_000, bound: DataFrame | None = None) -> DataFrame:
-    """df with a broadcast hint if it has at most `rows` rows; else as it is, for a shuffle join.
+def broadcast_if_small(df: DataFrame, rows: int = 50_000, bound: DataFrame | None = None, size: int = 64 << 20) -> DataFrame:
+    """df with a broadcast hint if it has at most `rows` rows and `size` bytes; else as it is.
 
-    bound is counted in df's place where it has at least as many rows and is cheaper.
+    Bytes are those of the columns as text, arrays and strings among them, counted in
+    the engine over at most `rows` rows. bound is measured in df's place where it has at
+    least as many rows, no less text, and is cheaper.
     """
-    counted = df if bound is None else bound
-    return F.broadcast(df) if counted.limit(rows + 1).count() <= rows else df
+    measured = df if bound is None else bound
+    text = F.octet_length(F.to_json(F.struct("*")))
+    got = measured.limit(rows + 1).agg(F.count("*").alias("n"), F.sum(text).alias("b")).first()
+    return F.broadcast(df) if got["n"] <= rows and PROFILE * (got["b"] or 0) <= size else df
 
 
 def top_k(df: DataFrame, by: Sequence[str], order: Sequence[Column], k: int, rank: str = "rank") -> DataFrame:
