@@ -6,12 +6,13 @@ import json
 from dataclasses import dataclass, fields
 
 from pyspark.ml import PipelineModel
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from answerloom.functions.text import loader_clean, strip, strip_accents
 from answerloom.operators.corpus import dedupe_last, keep_titles
-from answerloom.operators.index import BM25Index
+from answerloom.operators.index import BM25Index, DenseIndex
+from answerloom.operators.reader import VectorEncoder
 
 DUMP = "id string, revid string, url string, title string, text string"
 CORPUS = "id string, title string, text string"
@@ -43,12 +44,24 @@ class Config:
         return cls(**{k: v for k, v in given.items() if k in known})
 
 
+def file_order() -> Column:
+    """Place of a row in its files: by file name, block and place in the block.
+
+    Spark packs the blocks of files into tasks by size, so numbers of rows alone follow
+    neither the files' names nor, in a long file, its blocks.
+    """
+    return F.struct(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("at"),
+    )
+
+
 def read_corpus(spark: SparkSession, path: str) -> DataFrame:
     """Cleaned corpus from JSON lines; of equal ids the last line counts.
 
-    Lines are ordered by file and by place in it, which Spark's numbering follows.
+    Lines are ordered by the names of their files, then by place.
     """
-    rows = spark.read.schema(CORPUS).json(path).withColumn("__at", F.monotonically_increasing_id())
+    rows = spark.read.schema(CORPUS).json(path).select("*", file_order().alias("__at"))
     return dedupe_last(rows, "id", "__at").drop("__at").withColumn("text", loader_clean(F.col("text")))
 
 
@@ -58,9 +71,9 @@ def read_dump(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(ord, value): stripped lines, none empty, in file order."""
-    rows = spark.read.text(path).select(strip(F.col("value")).alias("value"))
-    return rows.withColumn("ord", F.monotonically_increasing_id()).filter("value <> ''").select("ord", "value")
+    """(ord, value): stripped lines, none empty; ord is their file_order."""
+    rows = spark.read.text(path).select(file_order().alias("ord"), strip(F.col("value")).alias("value"))
+    return rows.filter("value <> ''")
 
 
 def read_titles(spark: SparkSession, path: str) -> DataFrame:
@@ -80,9 +93,13 @@ def read_link_edges(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def read_link_dictionary(spark: SparkSession, path: str) -> DataFrame:
-    """(label, source_title, link) from one JSON map of maps."""
-    raw = spark.read.option("wholetext", True).text(path)
+def read_link_dictionary(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """(label, source_title, link) from one JSON map of maps, or from lines that hold one each.
+
+    A whole map is one value and read by one task, as the format has it; lines, which
+    write_link_dictionary gives, are split among tasks.
+    """
+    raw = spark.read.text(path, wholetext=not lines)
     outer = raw.select(F.explode(F.from_json("value", "map<string, map<string, string>>")).alias("label", "links"))
     return outer.select("label", F.explode("links").alias("source_title", "link"))
 
@@ -121,12 +138,12 @@ def read_json_list(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(schema).option("multiLine", True).json(path)
 
 
-def read_index(spark: SparkSession, path: str, kind: str = "bm25") -> BM25Index | DataFrame:
-    """A written index: bm25 tables, or dpr vectors."""
+def read_index(spark: SparkSession, path: str, kind: str = "bm25", encoder: VectorEncoder | None = None) -> BM25Index | DenseIndex:
+    """A written index: bm25 tables, or dpr vectors with their document store and encoder."""
     if kind == "bm25":
         return BM25Index.read(spark, path)
     if kind == "dpr":
-        return spark.read.parquet(path)
+        return DenseIndex.read(spark, path, encoder)
     raise ValueError(f"unknown retriever: {kind}")
 
 

@@ -5,15 +5,74 @@ from __future__ import annotations
 import logging
 
 from pyspark.ml import PipelineModel
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from answerloom.operators.evaluate import NBest
 from answerloom.operators.index import BM25Index
 from answerloom.operators.links import link_map
 
 
-def write_jsonl(df: DataFrame, path: str) -> None:
-    df.write.json(path)
+def write_jsonl(df: DataFrame, path: str, ascii: bool = False) -> None:
+    """JSON lines; ascii writes other characters as code points."""
+    df.write.option("writeNonAsciiCharacterAsCodePoint", ascii).json(path)
+
+
+def json_document(items: DataFrame, head: str, tail: str) -> DataFrame:
+    """(part, ord, value): the lines of one JSON document around items(ord, value).
+
+    ord tells one item from another. Items are separated by commas; sorted by part and
+    ord the lines are the document, and no task or row holds more of it than a line.
+    """
+    first = F.broadcast(items.agg(F.min("ord").alias("first")))  # one row
+    lines = items.join(first).select(
+        F.lit(1).alias("part"), "ord", F.when(F.col("ord") == F.col("first"), F.col("value")).otherwise(F.concat(F.lit(","), "value")).alias("value")
+    )
+    none = F.lit(None).cast(items.schema["ord"].dataType)
+    ends = items.sparkSession.createDataFrame([(0, head), (2, tail)], "part int, value string").select("part", none.alias("ord"), "value")
+    return lines.union(ends)
+
+
+def write_json_document(items: DataFrame, head: str, tail: str, path: str) -> None:
+    """The document as text files; put together in the order of their names, they are it."""
+    json_document(items, head, tail).orderBy("part", "ord").select("value").write.text(path)
+
+
+def write_json_array(df: DataFrame, path: str, ord: str = "ord") -> None:
+    """Rows, without ord, as one JSON array in order."""
+    rest = [c for c in df.columns if c != ord]
+    write_json_document(df.select(F.col(ord).alias("ord"), F.to_json(F.struct(*rest)).alias("value")), "[", "]", path)
+
+
+def json_name(c: Column) -> Column:
+    """A string as the name of a JSON member, with its colon."""
+    quoted = F.regexp_extract(F.to_json(F.struct(c.cast("string").alias("k"))), r'(?s)\A\{"k":(.*)\}\z', 1)
+    return F.concat(quoted, F.lit(": "))
+
+
+def write_json_map(rows: DataFrame, path: str) -> None:
+    """One JSON object from rows(name, value), value being JSON, in order of names."""
+    members = rows.select(F.col("name").alias("ord"), F.concat(json_name(F.col("name")), "value").alias("value"))
+    write_json_document(members, "{", "}", path)
+
+
+def write_predictions(got: NBest, path: str, scored: bool = True) -> None:
+    """Below path the maps by question: predictions, nbest, and null_odds where there are any.
+
+    A prediction is [text, score], or the text alone without scored. A question's n best
+    are in order of rank; they are as few as the n asked for.
+    """
+    text = F.to_json(F.array("text"))
+    pair = F.concat(F.substr(text, F.lit(1), F.length(text) - 1), F.lit(", "), F.col("score").cast("string"), F.lit("]"))
+    alone = F.substr(text, F.lit(2), F.length(text) - 2)
+    write_json_map(got.predictions.select(F.col("qid").alias("name"), (pair if scored else alone).alias("value")), f"{path}/predictions")
+    fields = F.struct("text", "probability", "start_logit", "end_logit").alias("x")
+    ranked = got.nbest.groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("rank", fields))).alias("rows"))
+    listed = F.to_json(F.transform("rows", lambda r: r["x"]))
+    write_json_map(ranked.select(F.col("qid").alias("name"), listed.alias("value")), f"{path}/nbest")
+    if got.null_odds is not None:
+        odds = got.null_odds.filter("null_odds is not null")
+        write_json_map(odds.select(F.col("qid").alias("name"), F.col("null_odds").cast("string").alias("value")), f"{path}/null_odds")
 
 
 def write_titles(titles: DataFrame, path: str) -> None:
@@ -33,8 +92,11 @@ def write_labels(dictionary: DataFrame, path: str) -> None:
     dictionary.select("label").distinct().write.text(path)
 
 
-def write_chunks(docs: DataFrame, path: str, rows: int) -> None:
-    """JSON lines in files of at most `rows` rows."""
+def write_chunks(docs: DataFrame, path: str, rows: int | None = None, parts: int = 20) -> None:
+    """JSON lines in files of at most `rows` rows; without it, of a parts-th of all rows."""
+    if rows is None:
+        rows = docs.count() // parts
+        docs = docs.repartition(parts)
     docs.write.option("maxRecordsPerFile", max(1, rows)).json(path)
 
 
@@ -47,17 +109,14 @@ def write_results(results: DataFrame, path: str) -> None:
 
 
 def submission(answers: DataFrame) -> DataFrame:
-    """One row {data: [{id, question, answer}]}, in question order.
-
-    A submission is one document by its format; it is as large as the question batch.
-    """
-    items = F.array_sort(F.collect_list(F.struct("ord", "id", "question", "answer")))
-    bare = F.transform(items, lambda x: F.struct(x["id"].alias("id"), x["question"].alias("question"), x["answer"].alias("answer")))
-    return answers.agg(F.to_json(F.struct(bare.alias("data"))).alias("value"))
+    """Lines, as of json_document, of {data: [{id, question, answer}]} in order of ord; null answers are null."""
+    item = F.struct(F.col("id").cast("string").alias("id"), "question", F.col("answer").cast("string").alias("answer"))
+    return json_document(answers.select("ord", F.to_json(item, {"ignoreNullFields": "false"}).alias("value")), '{"data": [', "]}")
 
 
 def write_submission(answers: DataFrame, path: str) -> None:
-    submission(answers).write.text(path)
+    """One JSON document, as write_json_document writes it."""
+    submission(answers).orderBy("part", "ord").select("value").write.text(path)
 
 
 def write_latency(latencies: DataFrame, path: str) -> None:
