@@ -12,7 +12,8 @@ from answerloom.plans import pipelines
 from answerloom.plans.registry import minmax, query, steps, strip, table, words, zero_below
 from answerloom.plans.text_queries import GRAM_COLUMNS, LINES, PASSAGES, sql_cases, sql_overlap, sql_tokens
 
-HITS, BEST = 10, 5
+HITS, BEST = pipelines.DOCUMENTS_2, pipelines.PASSAGES_A_DOCUMENT
+DEEP = pipelines.DOCUMENTS_1
 
 
 def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,19 +60,21 @@ def bm25_top10(spark, sf_dir):
 
 
 QUESTION_CLEAN = steps("text", tx.PREPROCESS)
-PASSAGE_CTES = f"""{hits(QUESTION_CLEAN, HITS)},
+PASSAGES_OF_HITS = f"""
 cut AS (SELECT qid, doc_id, unnest({PASSAGES}) AS passage FROM hits JOIN documents USING (doc_id)),
 p AS (SELECT qid, doc_id, passage, {GRAM_COLUMNS} FROM (SELECT qid, doc_id, passage, {sql_cases('toks')} FROM (SELECT qid, doc_id, passage, {sql_tokens('passage')} AS toks FROM cut))),
 q AS (SELECT qid, {GRAM_COLUMNS} FROM (SELECT qid, {sql_cases('toks')} FROM (SELECT item_id AS qid, {sql_tokens('text')} AS toks FROM benchmark))),
 rated AS (SELECT p.qid, doc_id, passage, {sql_overlap('q', 'p')} AS score FROM p JOIN q ON p.qid = q.qid),
 per_doc AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid, doc_id ORDER BY score DESC, passage DESC) AS rank FROM rated) WHERE rank <= {BEST}),
 best AS (SELECT * FROM (SELECT qid, doc_id, passage, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, passage DESC, doc_id) AS rank FROM per_doc) WHERE rank <= 50)"""
+PASSAGE_CTES = f"{hits(QUESTION_CLEAN, DEEP)},{PASSAGES_OF_HITS}"
+FEW_CTES = f"{hits(QUESTION_CLEAN, HITS)},{PASSAGES_OF_HITS}"
 
 
-def passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+def passages(spark: SparkSession, sf_dir: str, k: int = DEEP) -> DataFrame:
     asked = questions(spark, sf_dir)
     cleaned = asked.select("qid", tx.preprocess_text(F.col("question")).alias("question"))
-    found = index(spark, sf_dir).search(cleaned, HITS)
+    found = index(spark, sf_dir).search(cleaned, k)
     return pipelines.ranked_passages(asked, table(spark, sf_dir, "documents"), found)
 
 
@@ -85,9 +88,10 @@ def passage_top50(spark, sf_dir):
     return pipelines.best_passages(passages(spark, sf_dir))
 
 
-@query(f"WITH {PASSAGE_CTES} SELECT qid, doc_id, passage, score, rank FROM best WHERE rank <= {BEST}")
+@query(f"WITH {FEW_CTES} SELECT qid, doc_id, passage, score, rank FROM best WHERE rank <= {BEST}")
 def answer_passages(spark, sf_dir):
-    return pipelines.best_passages(passages(spark, sf_dir), BEST)
+    """The entry slice: few documents, few passages."""
+    return pipelines.best_passages(passages(spark, sf_dir, HITS), BEST)
 
 
 # reading and voting
@@ -143,7 +147,7 @@ def answer_substring_merge(spark, sf_dir):
 @query(f"WITH {VOTE_CTES} SELECT qid, answer, votes, score FROM top")
 def answer_pipeline_m1(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
-    return pipelines.extract_answers(questions(spark, sf_dir), docs, index(spark, sf_dir), k=HITS)
+    return pipelines.extract_answers(questions(spark, sf_dir), docs, index(spark, sf_dir))
 
 
 @query(f"WITH {VOTE_CTES} SELECT qid, answer, sum(score) AS sum_score, max(score) AS max_score, list(answer ORDER BY ord) AS sentences, min(answer) AS text FROM good GROUP BY qid, answer")
@@ -152,6 +156,14 @@ def voted_answers(spark, sf_dir):
     return voting.voted_answers(rows)
 
 
+VOTE_KEY = steps("lower(answer)", tx.VOTE_NORM)
+
+
+@query(f"WITH {VOTE_CTES} SELECT qid, ord, array_to_string({words(VOTE_KEY)}, ' ') AS wording FROM good")
+def vote_wording(spark, sf_dir):
+    return answers(spark, sf_dir).select("qid", "ord", voting.vote_key(F.col("answer")).alias("wording"))
+
+
 @query()
 def majority_vote(spark, sf_dir):
     return voting.majority_vote(answers(spark, sf_dir))

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from pyspark.ml import PipelineModel
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from answerloom.functions import text as tx
 from answerloom.functions.text import LINE_END
 from answerloom.operators import classify, corpus, evaluate, links, voting
+from answerloom.operators.ranking import best_indexes
 from answerloom.plans import pipelines
 from answerloom.plans.answer_queries import index, questions
 from answerloom.plans.registry import contains_any, normalized_answer, query, steps, strip, table, text, words
@@ -37,9 +39,24 @@ def wiki(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def numbered(df: DataFrame, by: str, ord: str = "ord") -> DataFrame:
+    """df with its place, from 1, in order of different values of by.
+
+    Rows are numbered within the first characters of by, and these by their counts, so
+    no task sorts more than the rows that begin alike.
+    """
+    head = F.left(F.coalesce(by, F.lit("")), F.lit(3))
+    counts = df.groupBy(head.alias("__head")).agg(F.count("*").alias("__n"))
+    before = F.sum("__n").over(Window.orderBy("__head").rowsBetween(Window.unboundedPreceding, -1))
+    counts = counts.select("__head", F.coalesce(before, F.lit(0)).alias("__before"))
+    inside = F.row_number().over(Window.partitionBy("__head").orderBy(by))
+    met = df.withColumn("__head", head).withColumn("__own", inside).join(counts, "__head")
+    return met.withColumn(ord, (F.col("__before") + F.col("__own")).cast("long")).drop("__head", "__own", "__before")
+
+
 def titles(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = link_edges(spark, sf_dir).select(F.substr("link", F.lit(6)).alias("title")).distinct()
-    return t.withColumn("ord", F.row_number().over(Window.orderBy("title")).cast("long"))
+    return numbered(t, "title")
 
 
 @query(f"WITH {EDGES} SELECT label, link, source_title, place FROM edges")
@@ -159,29 +176,75 @@ def section_docs(spark, sf_dir):
 
 
 @query(
-    f"""WITH {WIKI}, q AS (SELECT item_id AS qid, array_to_string(string_split(text, ' ')[1:2], ' ') AS query FROM benchmark),
+    f"""WITH {WIKI}, q AS (SELECT item_id AS qid, text AS query FROM benchmark),
 met AS (SELECT qid, query, title FROM q JOIN (SELECT DISTINCT title FROM w) ON len(list_filter(string_split(lower(query), ' '), lambda t: contains(lower(title), t))) > 0)
 SELECT * FROM met UNION ALL SELECT qid, query, title FROM q CROSS JOIN (SELECT DISTINCT title FROM w) WHERE qid NOT IN (SELECT qid FROM met)"""
 )
 def candidate_filter(spark, sf_dir):
-    return links.candidate_titles(short_queries(spark, sf_dir), wiki(spark, sf_dir).select("title").distinct())
+    return links.candidate_titles(title_queries(spark, sf_dir), wiki(spark, sf_dir).select("title").distinct())
 
 
-def short_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    two = F.array_join(F.slice(F.split("question", " "), 1, 2), " ")
-    return questions(spark, sf_dir).select("qid", two.alias("query"))
+def title_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return questions(spark, sf_dir).withColumnRenamed("question", "query")
 
 
 @query()
 def closest_title(spark, sf_dir):
-    return links.closest_titles(short_queries(spark, sf_dir), wiki(spark, sf_dir).select("title").distinct())
+    return links.closest_titles(title_queries(spark, sf_dir), wiki(spark, sf_dir).select("title").distinct())
 
 
 @query()
 def answer_pipeline_m2(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.concat_ws(" ", F.slice(F.split("text", " "), 1, 2)).alias("title"))
     named = wiki(spark, sf_dir).select("title").distinct()
-    return pipelines.predict(questions(spark, sf_dir), docs, index(spark, sf_dir), named, link_dictionary(spark, sf_dir))
+    model = question_model(spark, sf_dir)
+    return pipelines.predict(questions(spark, sf_dir), docs, index(spark, sf_dir), named, link_dictionary(spark, sf_dir), model)
+
+
+def question_model(spark: SparkSession, sf_dir: str) -> PipelineModel:
+    """The category model, fitted on the different questions about orders as the labeller has them."""
+    asked = asked_orders(spark, sf_dir).select("question", "answer").distinct()
+    category = classify.label_category(F.col("question"), F.col("answer")).alias("category")
+    return classify.fit_categories(asked.select("question", category))
+
+
+# dump records
+
+@query(f"WITH {WIKI} SELECT page_id, title || ', ' || text AS text FROM w")
+def highlight_unwrapped(spark, sf_dir):
+    w = wiki(spark, sf_dir)
+    marked = F.concat(
+        F.lit('<syntaxhighlight lang="x">'), "title", F.lit("</syntaxhighlight>, &lt;syntaxhighlight x&gt;"), "text", F.lit("&lt;/syntaxhighlight&gt;")
+    )
+    return w.select("page_id", corpus.unwrap_highlight(marked).alias("text"))
+
+
+@query(f"WITH {WIKI} SELECT page_id, title FROM w WHERE title IN (SELECT title FROM w WHERE contains(text, 'wiki/a'))")
+def titled_records(spark, sf_dir):
+    w = wiki(spark, sf_dir)
+    return corpus.dump_records(w, w.filter(F.col("text").contains("wiki/a")).select("title")).select("page_id", "title")
+
+
+@query()
+def links_rewritten(spark, sf_dir):
+    return corpus.dump_records(wiki(spark, sf_dir), rewrite=True).select("page_id", "text")
+
+
+@query()
+def balanced_spans(spark, sf_dir):
+    return corpus.balanced_spans(wiki(spark, sf_dir), "page_id")
+
+
+@query(
+    "WITH t AS (SELECT text AS question, row_number() OVER (ORDER BY item_id) AS ord FROM benchmark), "
+    "a AS (SELECT text AS answer, row_number() OVER (ORDER BY conv_id, turn) AS ord FROM conversations) SELECT ord, question, answer FROM t JOIN a USING (ord)"
+)
+def truth_zipped(spark, sf_dir):
+    """Questions with answers by their places in two lists; a list of questions is as large as a batch."""
+    place = lambda *by: F.row_number().over(Window.orderBy(*by)).cast("long").alias("ord")
+    asked = table(spark, sf_dir, "benchmark").select(F.col("text").alias("question"), place("item_id"))
+    said = table(spark, sf_dir, "conversations").select(F.col("text").alias("answer"), place("conv_id", "turn"))
+    return corpus.zip_by_place(asked, said)
 
 
 # classification
@@ -317,19 +380,80 @@ def features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("feature_id"), v.alias("start_logits"), F.reverse(v).alias("end_logits"))
 
 
-def token_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tokens = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.concat(F.lit("t"), i.cast("string")))
-    return features(spark, sf_dir).select(F.col("feature_id").alias("qid"), "*", tokens.alias("tokens"))
+WIDTH, PARAGRAPH, EVERY = 64, 60, 7
+TOP = (
+    "t AS (SELECT vec_id, i, v, row_number() OVER (PARTITION BY vec_id ORDER BY v DESC, i) - 1 AS r FROM (SELECT vec_id, unnest(range(len({c}))) AS i, unnest({c}) AS v FROM l)), "
+)
+SPANS = (
+    f"l AS (SELECT * FROM {LOGITS}), "
+    + "".join(f"{n}{TOP.format(c=n[0])}" for n in ("s", "e"))
+    + f"spans AS (SELECT st.vec_id AS qid, st.i AS start, et.i AS stop, st.v AS start_logit, et.v AS end_logit, st.r AS i, et.r AS j FROM st JOIN et ON st.vec_id = et.vec_id "
+    f"WHERE st.r < 5 AND et.r < 5 AND et.i >= st.i AND et.i - st.i + 1 <= 30 AND st.i > 0 AND st.i % {EVERY} <> 0), "
+    "named AS (SELECT *, array_to_string(list_transform(range(start, stop + 1), lambda x: 't' || x), ' ') AS text FROM spans)"
+)
+NBEST = f"""{SPANS},
+nulls AS (SELECT vec_id AS qid, s[1] AS s0, e[1] AS e0 FROM l),
+every_ AS (SELECT qid, text, start_logit, end_logit, i, j FROM named UNION ALL SELECT qid, '', s0, e0, 2147483647, 2147483647 FROM nulls),
+ranked AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY start_logit + end_logit DESC, i, j) AS r FROM every_) WHERE r <= 5),
+closed AS (SELECT qid, r, text, start_logit, end_logit FROM ranked
+  UNION ALL SELECT qid, 6, '', s0, e0 FROM nulls WHERE qid NOT IN (SELECT qid FROM ranked WHERE text = '')
+  UNION ALL SELECT qid, 0, 'empty', 0.0, 0.0 FROM ranked GROUP BY qid HAVING count(*) = 1 AND max(text) = ''),
+nbest AS (SELECT qid, row_number() OVER (PARTITION BY qid ORDER BY r) AS rank, text, start_logit, end_logit, start_logit + end_logit AS total FROM closed)"""
+
+
+def token_features(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Features of WIDTH tokens, the first of them no word, and each EVERY-th without most context."""
+    places = F.sequence(F.lit(1), F.lit(WIDTH - 1))
+    as_map = lambda value: F.map_from_arrays(places, F.transform(places, value))
+    rows = features(spark, sf_dir).select(
+        F.col("feature_id").alias("qid"), "*",
+        F.transform(F.sequence(F.lit(0), F.lit(WIDTH - 1)), lambda i: F.concat(F.lit("t"), i.cast("string"))).alias("tokens"),
+        as_map(lambda i: i).alias("orig_map"), as_map(lambda i: i % EVERY != 0).alias("max_context"),
+    )
+    return rows, rows.select("qid", F.col("tokens").alias("doc_tokens"))
 
 
-@query()
+def predicted(spark: SparkSession, sf_dir: str) -> evaluate.NBest:
+    return evaluate.predictions_logits(*token_features(spark, sf_dir), 5, null_threshold=0.0)
+
+
+def rounded(df: DataFrame) -> DataFrame:
+    return df.select(*[F.round(f.name, 6).alias(f.name) if f.dataType.typeName() == "double" else f.name for f in df.schema])
+
+
+@query(f"WITH {NBEST} SELECT qid, rank, text, round(total, 6) AS probability, round(start_logit, 6) AS start_logit, round(end_logit, 6) AS end_logit FROM nbest")
 def nbest_predictions(spark, sf_dir):
-    return evaluate.predictions_logits(token_features(spark, sf_dir), 5, null_threshold=0.0)
+    return rounded(predicted(spark, sf_dir).nbest)
 
 
-@query()
+@query(
+    f"WITH {NBEST}, other AS (SELECT qid, arg_min(text, rank) AS text, arg_min(total, rank) AS total FROM nbest WHERE text <> '' GROUP BY qid), "
+    "odds AS (SELECT o.*, s0 + e0 - total AS null_odds FROM other o JOIN nulls USING (qid)) "
+    "SELECT qid, CASE WHEN null_odds > 0 THEN '' ELSE text END AS text, CASE WHEN null_odds > 0 THEN 0.0 ELSE round(total, 6) END AS score, round(null_odds, 6) AS null_odds FROM odds"
+)
+def nbest_null_odds(spark, sf_dir):
+    got = predicted(spark, sf_dir)
+    return rounded(got.predictions.join(got.null_odds, "qid"))
+
+
+@query(
+    f"""WITH {SPANS},
+ranked AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY start_logit + end_logit DESC, i, j) AS r FROM named WHERE start < {PARAGRAPH - 1} AND stop < {PARAGRAPH - 1}) WHERE r <= 5),
+closed AS (SELECT qid, r, text, start_logit, end_logit FROM ranked UNION ALL SELECT vec_id, 1, '', -1e6::DOUBLE, -1e6::DOUBLE FROM l WHERE vec_id NOT IN (SELECT qid FROM ranked)),
+grown AS (SELECT *, exp(start_logit + end_logit - max(start_logit + end_logit) OVER (PARTITION BY qid)) AS x FROM closed)
+SELECT qid, r AS rank, text, round(start_logit, 6) AS start_logit, round(end_logit, 6) AS end_logit, round(x / sum(x) OVER (PARTITION BY qid), 6) AS probability FROM grown"""
+)
 def nbest_log_probs(spark, sf_dir):
-    return evaluate.predictions_log_probs(token_features(spark, sf_dir))
+    rows, examples = token_features(spark, sf_dir)
+    starts, ends = (best_indexes(F.col(c), 5) for c in ("start_logits", "end_logits"))
+    rows = rows.withColumns({"start_top_index": starts, "__ends": ends}).withColumns(
+        {
+            "start_log_probs": F.transform("start_top_index", lambda i: F.get("start_logits", i)),
+            "end_top_index": F.flatten(F.array_repeat("__ends", 5)),
+            "paragraph_len": F.lit(PARAGRAPH), "cls_logit": F.get("start_logits", F.lit(0)),
+        }
+    ).withColumn("end_log_probs", F.transform("end_top_index", lambda i: F.get("end_logits", i)))
+    return rounded(evaluate.predictions_log_probs(rows, examples).nbest)
 
 
 @query("SELECT conv_id || '-' || turn AS id, text AS question, [role] AS answers, 'c' || conv_id AS context FROM conversations")
@@ -349,14 +473,11 @@ def ordered_distinct(spark, sf_dir):
     return voting.ordered_distinct(e, ["user_id"], "event_type")
 
 
-@query("SELECT length(string_agg(item_id::VARCHAR, ',' ORDER BY item_id)) + 0 AS ids_length, count(*) AS n FROM benchmark")
-def submission_size(spark, sf_dir):
+@query(
+    "SELECT part, ord, value FROM (SELECT 1 AS part, item_id AS ord, CASE WHEN item_id = (SELECT min(item_id) FROM benchmark) THEN '' ELSE ',' END || "
+    "'{\"id\":\"' || item_id || '\",\"question\":' || to_json(text) || ',\"answer\":null}' AS value FROM benchmark "
+    "UNION ALL SELECT 0, NULL, '{\"data\": [' UNION ALL SELECT 2, NULL, ']}')"
+)
+def submission_lines(spark, sf_dir):
     q = questions(spark, sf_dir)
-    rows = q.select(F.col("qid").alias("ord"), F.col("qid").cast("string").alias("id"), "question", F.lit(None).cast("string").alias("answer"))
-    parsed = F.from_json("value", "data array<struct<id: string, question: string, answer: string>>")["data"]
-    ids = F.transform(parsed, lambda x: x["id"])
-    return submission(rows).select(
-        F.length(F.array_join(ids, ",")).cast("long").alias("ids_length"), F.size(ids).cast("long").alias("n")
-    )
-
-
+    return submission(q.select(F.col("qid").alias("ord"), F.col("qid").alias("id"), "question", F.lit(None).alias("answer")))

@@ -3,20 +3,23 @@
 from __future__ import annotations
 
 import time
+from collections.abc import Callable
 
 from pyspark.ml import PipelineModel
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from answerloom.functions.entities import extract_datetime, format_datetime
+from answerloom.functions.entities import extract_datetime, extract_quantity, format_datetime
 from answerloom.functions.ngrams import overlap, with_profile
-from answerloom.functions.text import lines, preprocess_text, question_fixup, to_passages
+from answerloom.functions.text import compose, lines, normalizer, preprocess_text, question_fixup, to_passages
 from answerloom.operators.classify import classify
 from answerloom.operators.index import BM25Index
 from answerloom.operators.links import closest_titles, resolve_links
 from answerloom.operators.ranking import DIGITS, broadcast_if_small, fuse, minmax, top_k, zero_below
 from answerloom.operators.reader import BagEncoder, Encoder, LexicalReader, Reader
 from answerloom.operators.voting import acceptable, best_voted, merge_substrings, ordered_distinct, vote
+from answerloom.sources import writers
+from answerloom.sources.readers import read_questions
 from answerloom.sources.scan import even_out
 
 # Work budgets of the two models.
@@ -73,10 +76,22 @@ def read_lines_of_hits(questions: DataFrame, docs: DataFrame, index: BM25Index,
     fixed = questions.select("qid", question_fixup(F.col("question")).alias("question"))
     hits = index.search(fixed, k)
     hits = hits.withColumn("rank_score", F.round(minmax(F.col("score"), ["qid"]), DIGITS))
-    texts = even_out(hits, "qid", "doc_id").join(docs.select("doc_id", "text"), "doc_id").join(broadcast_if_small(fixed), "qid")
-    cut = texts.select("qid", "question", "doc_id", "rank", "rank_score", F.posexplode_outer(lines(F.col("text"))).alias("at", "passage")).filter("passage is not null")
+    more = [c for c in ("title",) if c in docs.columns]
+    texts = even_out(hits, "qid", "doc_id").join(docs.select("doc_id", "text", *more), "doc_id").join(broadcast_if_small(fixed), "qid")
+    cut = texts.select("qid", "question", "doc_id", *more, "rank", "rank_score", F.posexplode_outer(lines(F.col("text"))).alias("at", "passage")).filter("passage is not null")
     order = F.struct("rank", "at")
-    return cut.select("qid", "question", "doc_id", order.alias("ordinal"), "passage", "rank_score")
+    return cut.select("qid", "question", "doc_id", *more, order.alias("ordinal"), "passage", "rank_score")
+
+
+def with_context(rows: DataFrame, categories: DataFrame) -> DataFrame:
+    """Adds context to read lines with a title: what similarity is taken to.
+
+    Lines for a wiki question have the title of their page put before them.
+    """
+    kinds = broadcast_if_small(categories.select("qid", "category"))
+    titled = F.concat(F.coalesce("title", F.lit("")), F.lit(" . "), F.col("passage"))
+    met = rows.join(kinds, "qid", "left")
+    return met.withColumn("context", F.when(F.col("category") == "wiki", titled).otherwise(F.col("passage"))).drop("category")
 
 
 def fused_candidates(
@@ -84,11 +99,12 @@ def fused_candidates(
 ) -> DataFrame:
     """Adds answer, reader_raw, reader_score, similarity, score and rank to read lines.
 
-    The fusion takes the reader's raw score; the normalised one is reported.
+    The fusion takes the reader's raw score; the normalised one is reported. Similarity
+    is that of the question and the column context, or passage where rows have none.
     """
     read = (reader or LexicalReader()).predict(rows)
     by = ["qid"]
-    read = (encoder or BagEncoder()).similarity(read, "question", "passage", "sim_raw")
+    read = (encoder or BagEncoder()).similarity(read, "question", "context" if "context" in rows.columns else "passage", "sim_raw")
     read = read.withColumn("sim_raw", F.round("sim_raw", DIGITS))
     scored = read.withColumns(
         {
@@ -103,37 +119,54 @@ def fused_candidates(
 
 
 def format_answers(candidates: DataFrame, categories: DataFrame, links: DataFrame) -> DataFrame:
-    """(qid, category, answer) from ranked candidates(qid, rank, answer).
+    """(qid, category, answer, answers, raw_answers) from ranked candidates(qid, rank, answer).
 
-    wiki: link of the first row; quantity: digits of the first row; datetime: first
-    row that holds a date; other: null.
+    answers are those of the first ANSWERS rows in order, repeats left out: of a datetime
+    question the rows that hold a date, of a quantity question the digits of every row
+    (null without any), of a wiki question the link of the first row and null for the
+    others, else null. A row whose answer is 'null' puts a null before its own. answer is
+    the first of answers, null without any. raw_answers are the candidates as they came.
     """
-    date = format_datetime(extract_datetime(F.col("answer")))
-    digits = F.nullif(F.regexp_replace("answer", r"[^0-9]", ""), F.lit(""))
-    rows = candidates.withColumns({"date": date, "digits": digits})
-    first = rows.groupBy("qid").agg(
-        F.min_by("date", F.when(F.col("date").isNotNull(), F.col("rank"))).alias("date"),
-        F.max(F.when(F.col("rank") == 1, F.col("digits"))).alias("digits"),
+    rows = candidates.select("qid", "rank", "answer").join(broadcast_if_small(categories.select("qid", "category")), "qid")
+    rows = rows.join(links.select("qid", "link"), "qid", "left")
+    c, answer = F.col("category"), F.col("answer")
+    value = (
+        F.when(c == "datetime", format_datetime(extract_datetime(answer)))
+        .when(c == "quantity", F.nullif(extract_quantity(answer), F.lit("")))
+        .when((c == "wiki") & (F.col("rank") == 1), F.col("link"))
     )
-    out = categories.select("qid", "category").join(first, "qid", "left").join(links.select("qid", "link"), "qid", "left")
-    c = F.col("category")
-    answer = F.when(c == "wiki", F.col("link")).when(c == "quantity", F.col("digits")).when(c == "datetime", F.col("date"))
-    return out.select("qid", "category", answer.alias("answer"))
+    rows = rows.withColumn("value", value)
+    item = F.struct(F.col("value").alias("v"))
+    own = F.when((c == "datetime") & F.col("value").isNull(), F.array().cast("array<struct<v: string>>")).otherwise(F.array(item))
+    none = F.when(answer == "null", F.array(F.struct(F.lit(None).cast("string").alias("v")))).otherwise(F.array().cast("array<struct<v: string>>"))
+    rows = rows.select("qid", "rank", "answer", F.when(F.col("rank") <= ANSWERS, F.concat(none, own)).otherwise(F.array().cast("array<struct<v: string>>")).alias("found"))
+    in_order = F.array_sort(F.collect_list(F.struct("rank", "answer", "found")))
+    got = rows.groupBy("qid").agg(in_order.alias("rows")).select(
+        "qid",
+        F.array_distinct(F.transform(F.flatten(F.transform("rows", lambda r: r["found"])), lambda x: x["v"])).alias("answers"),
+        F.transform("rows", lambda r: r["answer"]).alias("raw_answers"),
+    )
+    out = categories.select("qid", "category").join(got, "qid", "left")
+    return out.select("qid", "category", F.get("answers", F.lit(0)).alias("answer"), "answers", "raw_answers")
 
 
 def predict(
     questions: DataFrame, docs: DataFrame, index: BM25Index, titles: DataFrame, dictionary: DataFrame,
     model: PipelineModel | None = None, reader: Reader | None = None, encoder: Encoder | None = None,
 ) -> DataFrame:
-    """(qid, category, answer): classify, retrieve, read, fuse, link and format a batch.
+    """(qid, category, answer, answers, raw_answers): classify, retrieve, read, fuse, link
+    and format a batch.
 
-    docs(doc_id, title, text); titles(title); dictionary as link_dictionary gives it.
+    docs(doc_id, title, text); titles(title); dictionary as link_dictionary gives it. Only
+    wiki questions are linked: their first answer, normalised, to the closest title.
     """
     kinds = classify(questions, model)
-    candidates = fused_candidates(read_lines_of_hits(questions, docs, index), reader, encoder)
-    firsts = candidates.filter("rank = 1").select("qid", F.col("answer").alias("query"), "doc_id")
-    closest = closest_titles(firsts.select("qid", "query"), titles).select("qid", F.col("title").alias("label"))
-    pages = firsts.join(docs.select("doc_id", F.col("title").alias("page_title")), "doc_id").select("qid", "page_title")
+    lines_read = with_context(read_lines_of_hits(questions, docs, index), kinds)
+    candidates = fused_candidates(lines_read, reader, encoder)
+    firsts = candidates.filter("rank = 1").join(kinds.filter("category = 'wiki'").select("qid"), "qid", "left_semi")
+    asked = firsts.select("qid", compose(normalizer(F.col("answer"))).alias("query"))
+    closest = closest_titles(asked, titles).select("qid", F.col("title").alias("label"))
+    pages = firsts.select("qid", F.col("title").alias("page_title"))
     links = resolve_links(closest.join(pages, "qid"), dictionary)
     return format_answers(candidates, kinds, links)
 
@@ -149,8 +182,47 @@ class Stopwatch:
     def __init__(self) -> None:
         self.rows: list[tuple[str, float]] = []
 
-    def measure(self, name: str, df: DataFrame) -> int:
+    def run(self, name: str, step: Callable[[], object]) -> object:
         began = time.perf_counter()
-        n = df.count()
+        got = step()
         self.rows.append((name, (time.perf_counter() - began) * 1000))
-        return n
+        return got
+
+    def measure(self, name: str, df: DataFrame) -> int:
+        return self.run(name, df.count)
+
+
+def answer_file(
+    spark: SparkSession, path: str, out: str, answer: Callable[[DataFrame], DataFrame], name: str = "predict"
+) -> Stopwatch:
+    """Answers the question batch at path and writes submission, results and latency below out.
+
+    answer takes questions(qid, question) and gives (qid, answer). The batch is one plan;
+    its time is that of the whole batch, and its mean is each question's latency.
+    """
+    batch = materialised(read_questions(spark, path).withColumn("qid", F.col("ord")), f"{out}/questions")
+    watch = Stopwatch()
+    got = answer(batch.select("qid", "question")).select("qid", F.col("answer").alias("found"))
+    watch.run(name, lambda: got.write.parquet(f"{out}/answers"))
+    done = batch.join(spark.read.parquet(f"{out}/answers"), "qid", "left")
+    writers.write_submission(done.select("ord", "id", "question", F.col("found").alias("answer")), f"{out}/submission")
+    writers.write_results(done.select("question", F.col("answer").alias("truth"), F.col("found").alias("answer")), f"{out}/results")
+    n = max(batch.count(), 1)
+    writers.write_latency(batch.select("id", F.lit(watch.rows[-1][1] / n).alias("predicted_time_ms")), f"{out}/latency")
+    return watch
+
+
+def materialised(df: DataFrame, path: str) -> DataFrame:
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+#: A question that touches every part of the second model.
+WARM_UP = "Bác Hồ sinh ngày tháng năm nào?"
+
+
+def warm_up(spark: SparkSession, answer: Callable[[DataFrame], DataFrame], question: str = WARM_UP) -> str | None:
+    """Answers one question, so that classes, models and workers are loaded before a batch."""
+    asked = spark.createDataFrame([(0, question)], "qid long, question string")
+    row = answer(asked).select("answer").first()
+    return row["answer"] if row else None
