@@ -106,6 +106,16 @@ def test_majority():
     assert voting.majority(["a"] * 3) is None
     got = voting.majority(["hà nội", "hà nội", *["huế"] * 8])
     assert got == (0, "hà nội")
+    # The place is the candidate's own: the third holds the first and is longer than the mean.
+    assert voting.majority(["an", "bo", "an le pho", "an"], [1] * 4) == (2, "an")
+    # Words are counted on what is left of an answer: marks go, their spaces stay.
+    assert voting.majority(["an", "an - - - -", "an", "an b"], [1] * 4) == (1, "an")
+    assert voting.majority(["an", "an----", "an", "an b"], [1] * 4) == (0, "an")
+    # No repeat of the first: the heaviest group's member of mean length, with its own place.
+    assert voting.majority(["x", "!!", "huế", "huế", "huế"], [1, 9, 1, 1, 1]) == (2, "huế")
+    assert voting.majority(["!", "?"], [1, 1]) is None
+    # A mean below two words makes n one, whatever n was asked for.
+    assert voting.majority(["ab", "ba", "cd"], [1, 1, 3], ngram=2) == voting.majority(["ab", "ba", "cd"], [1, 1, 3])
 
 
 def test_substring_merge_conserves_votes(spark):
@@ -200,6 +210,8 @@ def test_squad_evaluate(spark):
 def test_final_text():
     assert evaluate.final_text("x - y", "an x-y z", "an x - y z") == "x-y"
     assert evaluate.final_text("q", "an x", "an x") == "an x"
+    assert evaluate.final_text("steve smith", "Steve Smith's", "steve smith ' s") == "Steve Smith"
+    assert evaluate.final_text("smith", "Smith", "smith ##s") == "Smith" and evaluate.final_text("", "A", "a") == "A"
 
 
 def test_number_pattern(spark):
@@ -225,6 +237,11 @@ def test_index_round_trip(spark, tmp_path):
         readers.read_prebuilt(spark, "x", "dpr")
 
 
+def whole(folder):
+    """The JSON document that a folder's text files are, in order of their names."""
+    return json.loads("".join(f.read_text(encoding="utf-8") for f in sorted(folder.glob("part-*"))))
+
+
 def test_files_round_trip(spark, tmp_path):
     p = lambda n: str(tmp_path / n)
     (tmp_path / "c.jsonl").write_text('{"id":"1","title":"a","text":"x"}\n{"id":"1","title":"b","text":"<i>y"}\n', encoding="utf-8")
@@ -241,7 +258,7 @@ def test_files_round_trip(spark, tmp_path):
     q = readers.read_questions(spark, p("q.json"))
     assert q.first()["question"] == "q"
     writers.write_submission(q, p("s"))
-    assert json.loads(spark.read.text(p("s")).first()[0])["data"][0]["id"] == "1"
+    assert whole(tmp_path / "s")["data"] == [{"id": "1", "question": "q", "answer": None}]
     squad = {"data": [{"paragraphs": [{"context": "c", "qas": [{"id": "1", "question": "é?", "answers": [{"text": "a", "answer_start": 0}]}]}]}]}
     (tmp_path / "s.json").write_text(json.dumps(squad))
     raw = spark.read.schema(readers.SQUAD).option("multiLine", True).json(p("s.json"))
@@ -296,7 +313,8 @@ def test_thresholds_and_scorers(spark):
     df = spark.createDataFrame(rows, "qid int, na_prob double, has_answer boolean, answered boolean, exact double, f1 double")
     both = evaluate.all_best_thresholds(df).first()
     assert both["best_exact"] == 100.0 and both["best_f1"] == 75.0
-    assert evaluate.best_threshold_with_answered(df, "f1").first()["has_answer_score"] == 50.0
+    assert evaluate.best_threshold_with_answered(df, "f1").first()["has_answer_score"] == 0.5
+    assert evaluate.all_best_thresholds_with_answered(df).first()["has_ans_exact"] == 1.0
     a = spark.createDataFrame([(1, "x", 1), (1, "yy", 2)], "qid int, answer string, ord int")
     assert ranking.choose_best(a, ["qid"], lambda d: F.length(d["answer"])).first()["answer"] == "yy"
 
