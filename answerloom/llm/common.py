@@ -78,23 +78,28 @@ def scratch_path(spark: SparkSession) -> str:
 HOT_SHARE = 1024
 
 
-def hot_keys(counts: DataFrame, keys: Sequence[str], total: int) -> DataFrame:
+def hot_keys(counts: DataFrame, keys: Sequence[str], total: int) -> DataFrame | None:
     """Keys that hold over 1 / HOT_SHARE of total rows; counts(*keys, n) sum to total.
 
-    There are fewer than HOT_SHARE of them, whatever the data look like, so they may
-    be broadcast.
+    There are fewer than HOT_SHARE of them, whatever the data look like, so they are
+    named on the driver and may be broadcast. None if there are none.
     """
-    return counts.filter(F.col("n") * HOT_SHARE > F.lit(total)).select(*keys)
+    few = counts.filter(F.col("n") * HOT_SHARE > F.lit(total)).select(*keys)
+    rows = few.collect()
+    return counts.sparkSession.createDataFrame(rows, few.schema) if rows else None
 
 
-def skew_join(left: DataFrame, right: DataFrame, keys: Sequence[str], hot: DataFrame) -> DataFrame:
+def skew_join(left: DataFrame, right: DataFrame, keys: Sequence[str], hot: DataFrame | None) -> DataFrame:
     """left inner join right on keys, where right has one bounded row a key.
 
     Rows of left with a key of hot (see hot_keys) meet a broadcast of those keys' rows
     where they stand; all others are shuffled. left is read twice, so it should be
     materialised.
     """
-    keys, few = list(keys), F.broadcast(hot)
+    keys = list(keys)
+    if hot is None:
+        return left.join(right, keys)
+    few = F.broadcast(hot)
     cold = left.join(few, keys, "left_anti").join(right, keys)
     warm = left.join(few, keys, "left_semi").join(F.broadcast(right.join(few, keys, "left_semi")), keys)
     return cold.unionByName(warm)

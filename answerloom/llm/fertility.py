@@ -10,8 +10,9 @@ All is computed in one narrow pass: no shuffle, no state beyond one Arrow batch.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import asdict, dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -55,6 +56,7 @@ class Band:
 
 
 LEAST_BITS, LENGTHS = 5, 8
+BAND = "min_chars: array<double>, max_chars: double, max_byte_share: double, min_entropy: array<double>, max_entropy: double"
 
 #: By language, then by script for other languages. Lower ends lie just under the least
 #: clean text of that length: labelled documents of the given tables (all of them for
@@ -230,19 +232,18 @@ def judge(docs: DataFrame, text: str = "text", lang: str = "lang", vocab: str =
             | (100 * F.col("n_repeat_words") > REPEAT_PERCENT * F.col("n_words")),
         }
     )
-    inside = F.lit(False)
-    place = F.least(F.floor(F.log2(F.greatest("n_tokens", F.lit(1)))) - LEAST_BITS + 1, F.lit(LENGTHS))
-    at = F.greatest(place, F.lit(1)).cast("int")
-    from_length = lambda values: F.element_at(F.array(*map(F.lit, values)), at)
     factor, less = F.lit(1.0), F.lit(0.0)
     for tokens, f, bits in reversed(SHORT):
         factor = F.when(F.col("n_tokens") < tokens, f).otherwise(factor)
         less = F.when(F.col("n_tokens") < tokens, bits).otherwise(less)
-    for k, b in BANDS.items():
-        inside |= (
-            (F.col("band") == k)
-            & F.col("chars_per_token").between(from_length(b.min_chars) * factor, F.lit(b.max_chars))
-            & (F.col("n_byte_tokens") <= FREE_BYTES + b.max_byte_share * F.col("n_tokens"))
-            & F.col("token_entropy").between(from_length(b.min_entropy) - less, F.lit(b.max_entropy))
-        )
-    return out.withColumn("kept", ~F.col("base_failed") & inside)
+    place = F.least(F.floor(F.log2(F.greatest("n_tokens", F.lit(1)))) - LEAST_BITS + 1, F.lit(LENGTHS))
+    at = F.greatest(place, F.lit(1)).cast("int")
+    # One constant table, so that the generated code does not grow with the bands.
+    table = F.from_json(F.lit(json.dumps({k: asdict(b) for k, b in BANDS.items()})), f"map<string, struct<{BAND}>>")
+    out = out.withColumn("__b", F.element_at(table, F.col("band")))
+    inside = (
+        F.col("chars_per_token").between(F.element_at("__b.min_chars", at) * factor, F.col("__b.max_chars"))
+        & (F.col("n_byte_tokens") <= FREE_BYTES + F.col("__b.max_byte_share") * F.col("n_tokens"))
+        & F.col("token_entropy").between(F.element_at("__b.min_entropy", at) - less, F.col("__b.max_entropy"))
+    )
+    return out.withColumn("kept", ~F.col("base_failed") & F.coalesce(inside, F.lit(False))).drop("__b")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from answerloom.llm import (
     ann_index,
     bpe_chunks,
+    common,
     compaction,
     fertility,
     licenses,
@@ -304,6 +305,53 @@ def test_url_sql_on_aliases(spark):
     same(url_filter.judge_urls(pages).select("page_id", "host", "path", "rule", "verdict"), con, url_filter.contract_sql())
 
 
+def test_redirect_chains_and_hubs(spark):
+    """Long chains, hubs, rings and shared targets under rules, against the SQL."""
+    import duckdb
+
+    rng = np.random.default_rng(12)
+    link = lambda u: f'<link rel="canonical" href="{u}">'
+    go = lambda u: f"<meta http-equiv=refresh content='0;url={u}'>"
+    rows = []
+    for k, end in enumerate(("http://a.com/en/x", "http://example.com/en/7", "http://c.net/de/1", "http://d.io/")):
+        chain = [f"http://chain{k}.io/{i}" for i in range(120)] + [end]
+        rows += [(a, go(b)) for a, b in zip(chain, chain[1:], strict=False)]
+    rows += [(f"http://hub.io/{i}", link("http://z.org/es/hub")) for i in range(300)]
+    rows += [(f"http://free.io/{i}", link("/home")) for i in range(200)]
+    rows += [(f"http://ring.io/{i}", go(f"{(i + 1) % 50}")) for i in range(50)]
+    urls = [f"http://{rng.choice(['a.com', 'b.net', 'c.org', 'd.io', 'example.com'])}/{rng.choice(['en', 'de', 'es', 'fr'])}/{i % 90}" for i in range(400)]
+    rows += [(u, link(urls[int(rng.integers(0, 400))]) if i % 3 else None) for i, u in enumerate(urls)]
+    pages = [(i, *r) for i, r in enumerate(rows)]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    con = duckdb.connect()
+    con.register("pages", df.toPandas())
+    got = url_filter.judge_urls(df).select("page_id", "host", "path", "rule", "verdict")
+    same(got, con, url_filter.contract_sql())
+    verdicts = {r["page_id"]: r["verdict"] for r in got.collect()}
+    assert [verdicts[k] for k in (0, 120, 240, 360)] == ["block", "allow", "block", "allow"]
+    assert {verdicts[i] for i, r in enumerate(rows) if r[0].startswith("http://hub.io")} == {"block"}
+
+
+def test_hot_keys_join_apart(spark):
+    left = spark.createDataFrame([(1, i) for i in range(3000)] + [(k, k) for k in range(2, 40)] + [(None, 0)], "k int, v int")
+    right = spark.createDataFrame([(k, f"r{k}") for k in range(0, 40, 2)] + [(1, "hot")], "k int, w string")
+    hot = common.hot_keys(left.groupBy("k").agg(F.count("*").alias("n")), ["k"], left.count())
+    assert [r["k"] for r in hot.collect()] == [1]
+    plain = sorted(tuple(r) for r in left.join(right, "k").select("k", "v", "w").collect())
+    for h in (hot, None):
+        assert sorted(tuple(r) for r in common.skew_join(left, right, ["k"], h).select("k", "v", "w").collect()) == plain
+    assert common.hot_keys(right.groupBy("k").agg(F.count("*").alias("n")), ["k"], 10**6) is None
+
+
+def test_row_keys_tell_nulls_apart(spark):
+    rows = spark.createDataFrame([(None, "x"), ("x", None), ("x", ""), (None, None), ("", "x")], "a string, b string")
+    keys = rows.select(*[c.alias(n) for n, c in common.row_key(F.col("a"), F.col("b")).items()])
+    assert keys.distinct().count() == 5
+    docs = spark.createDataFrame([(None, "x", None, "s", 1), (None, "x", "s", None, 1)], SCHEMA)
+    kept = simhash.keep_one(docs.withColumn("text", F.concat("text", F.coalesce("lang", F.lit("")))))
+    assert kept.count() == 2
+
+
 def test_mix_edge_cases(edge, clash, empty):
     got = mixing.mix(edge).collect()
     assert len(got) == edge.count() and all(0 <= r["taken"] <= 3 * r["size"] for r in got)
