@@ -219,7 +219,7 @@ def highlight_unwrapped(spark, sf_dir):
     return w.select("page_id", corpus.unwrap_highlight(marked).alias("text"))
 
 
-@query(f"WITH {WIKI} SELECT page_id, title FROM w WHERE title IN (SELECT title FROM w WHERE contains(text, 'wiki/a'))")
+@query(f"WITH {WIKI} SELECT page_id, title FROM w WHERE title IN (SELECT {strip('title')} FROM w WHERE contains(text, 'wiki/a'))")
 def titled_records(spark, sf_dir):
     w = wiki(spark, sf_dir)
     return corpus.dump_records(w, w.filter(F.col("text").contains("wiki/a")).select("title")).select("page_id", "title")
