@@ -14,11 +14,12 @@ from answerloom.operators.vectors import dense_top_k
 
 #: Fixed values of the retrieval configuration.
 K1, B = 0.9, 0.4
+TERM = r"[\p{L}\p{N}]+"
 
 
 def analyze(c: Column) -> Column:
     """Terms of a text: lower-cased runs of letters and digits."""
-    return F.regexp_extract_all(F.lower(c), F.lit(r"[\p{L}\p{N}]+"), 0)
+    return F.regexp_extract_all(F.lower(c), F.lit(TERM), 0)
 
 
 @dataclass(frozen=True)
@@ -43,7 +44,8 @@ class BM25Index:
         none, which would analyse the texts once more where they are scanned.
         """
         terms = docs.select(F.col(doc_id).alias("doc_id"), analyze(F.col(text)).alias("terms"))
-        lengths = terms.select("doc_id", F.size("terms").alias("dl"))
+        # Counting terms is cheaper than cutting them out once more.
+        lengths = docs.select(F.regexp_count(F.lower(F.col(text)), F.lit(TERM)).alias("dl"))
         each = F.posexplode_outer("terms").alias("at", "term")
         occurrences = terms.select("doc_id", F.size("terms").cast("long").alias("dl"), each).filter("term is not null")
         postings = _count(occurrences, positions)

@@ -31,7 +31,7 @@ def cosine(a: Column, b: Column) -> Column:
 
 
 def dense_top_k(queries: DataFrame, index: DataFrame, k: int) -> DataFrame:
-    """(qid, vec_id, score, rank) by cosine, exact.
+    """(qid, vec_id, score, rank) by cosine, exact: the baseline that compares all with all.
 
     queries(qid, q) are packed into blocks of at most BLOCK vectors and each index
     row meets each block, so the join's output grows with rows times blocks; the

@@ -70,7 +70,7 @@ def link_dictionary(spark, sf_dir):
 
 
 @query(
-    f"WITH {DICTIONARY}, asked AS (SELECT page_id * 1000 + place AS qid, label, source_title AS page_title FROM edges) "
+    f"WITH {DICTIONARY}, asked AS (SELECT page_id * 1000000000 + place AS qid, label, source_title AS page_title FROM edges) "
     "SELECT qid, label, page_title, link FROM (SELECT a.*, d.link, row_number() OVER (PARTITION BY qid ORDER BY "
     "CASE WHEN d.source_title = page_title THEN 0 WHEN d.source_title = 'wiki' THEN 1 ELSE 2 END, d.ord, d.place, d.source_title) AS r "
     "FROM asked a LEFT JOIN dictionary d ON d.label = a.label) WHERE r = 1"
@@ -81,7 +81,7 @@ def link_resolve(spark, sf_dir):
     key = F.struct(split[0].cast("long").alias("page_id"), "place").alias("qid")
     asked = corpus.link_edges(w).select(key, "label", split[1].alias("page_title"))
     found = links.resolve_links(asked, link_dictionary(spark, sf_dir))
-    return found.withColumn("qid", F.col("qid.page_id") * 1000 + F.col("qid.place"))
+    return found.withColumn("qid", F.col("qid.page_id") * 1000000000 + F.col("qid.place"))
 
 
 @query(f"WITH {DICTIONARY} SELECT DISTINCT label FROM dictionary")
@@ -225,12 +225,16 @@ def titled_records(spark, sf_dir):
     return corpus.dump_records(w, w.filter(F.col("text").contains("wiki/a")).select("title")).select("page_id", "title")
 
 
-@query()
+@query(f"WITH {WIKI} SELECT page_id, regexp_replace(text, '\\[\\[wiki/([^|\\]]*)\\|([^\\]]*)\\]\\]', '[[wiki/Wiki/\\1|\\2]]', 'g') AS text FROM w")
 def links_rewritten(spark, sf_dir):
     return corpus.dump_records(wiki(spark, sf_dir), rewrite=True).select("page_id", "text")
 
 
-@query()
+@query(
+    f"WITH {WIKI}, cut AS (SELECT page_id, unnest(range(len(x) - 1)) AS i, x FROM (SELECT page_id, string_split(text, ']]') AS x FROM w)), "
+    "placed AS (SELECT page_id, x[i + 1] AS piece, 2 * i + coalesce(list_sum(list_transform(x[1:i], lambda p: length(p))), 0) AS before FROM cut) "
+    "SELECT page_id AS id, '[[' AS open, (before + strpos(piece, '[[') - 1)::BIGINT AS start, (before + length(piece) + 2)::BIGINT AS \"end\" FROM placed"
+)
 def balanced_spans(spark, sf_dir):
     return corpus.balanced_spans(wiki(spark, sf_dir), "page_id")
 
@@ -299,7 +303,7 @@ def svm_classify(spark, sf_dir):
 
 # evaluation
 
-PAIRS = "(SELECT conv_id * 1000 + turn AS qid, text AS gold, lead(text) OVER (PARTITION BY conv_id ORDER BY turn) AS pred, (conv_id * 37 + turn * 11) % 100 / 100.0::DOUBLE AS na_prob, turn % 3 <> 0 AS has_answer FROM conversations)"
+PAIRS = "(SELECT conv_id * 1000000000 + turn AS qid, text AS gold, lead(text) OVER (PARTITION BY conv_id ORDER BY turn) AS pred, (conv_id * 37 + turn * 11) % 100 / 100.0::DOUBLE AS na_prob, turn % 3 <> 0 AS has_answer FROM conversations)"
 G, P = words(normalized_answer("gold")), words(normalized_answer("pred"))
 SCORES = f"""pairs AS (SELECT *, {normalized_answer('gold')} AS ng, {normalized_answer('pred')} AS np, {G} AS g, {P} AS p FROM {PAIRS} WHERE pred IS NOT NULL),
 common AS (SELECT *, coalesce(list_sum(list_transform(list_distinct(list_intersect(g, p)), lambda w: least(len(list_filter(g, lambda t: t = w)), len(list_filter(p, lambda t: t = w))))), 0) AS c FROM pairs),
@@ -318,7 +322,7 @@ def prediction_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def number() -> Column:
     """What the SQL calls qid. Rows are joined by the struct, as these numbers can meet."""
-    return (F.col("qid.conv_id") * 1000 + F.col("qid.turn")).alias("qid")
+    return (F.col("qid.conv_id") * 1000000000 + F.col("qid.turn")).alias("qid")
 
 
 def pair_scores(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -63,7 +63,7 @@ def remove_accents(spark, sf_dir):
     return documents(spark, sf_dir, plain=tx.remove_accents(F.col("text")))
 
 
-@query()
+@query("SELECT doc_id, strip_accents(text) AS plain, nfc_normalize(text) AS composed FROM documents")
 def strip_accents(spark, sf_dir):
     return documents(spark, sf_dir, plain=tx.strip_accents(F.col("text")), composed=tx.compose(F.col("text")))
 
