@@ -99,16 +99,16 @@ def mix(
     those named by carry, which should be narrow and unlike any other here.
     """
     name = F.col(source).cast("string")
-    mixed = F.md5(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary"))
+    # Rows without an id, or with the same one, part by their sizes.
+    mixed = F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), F.col("size")).cast("binary"))
     sized = materialise(
         docs.select(
             F.col(doc_id).alias("doc_id"),
             name.alias("source"),
             F.coalesce(F.concat(F.lit("="), name), F.lit("")).alias("key"),
             word_count(F.col(text)).alias("size"),
-            mixed.alias("order"),
             *carry,
-        )
+        ).withColumn("order", mixed)
     ).withColumn("bucket", F.substring("order", 1, 3))
     buckets = sized.groupBy("key", "bucket").agg(F.sum("size").alias("words"), F.first("source").alias("source"))
     sizes = buckets.groupBy("key").agg(F.sum("words").alias("source_size"), F.first("source").alias("source"))
@@ -172,7 +172,7 @@ def contract_sql() -> str:
 WITH sized AS (
   SELECT doc_id, source, CASE WHEN source IS NULL THEN '' ELSE '=' || source END AS key,
     coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::BIGINT AS size,
-    md5(coalesce(doc_id::VARCHAR, '')) AS ord FROM documents),
+    md5(coalesce(doc_id::VARCHAR, '') || ':' || size) AS ord FROM documents),
 sizes AS (SELECT key, min(source) AS source, sum(size)::BIGINT AS source_size FROM sized GROUP BY key),
 weighed AS (SELECT *, 1 + (row_number() OVER (ORDER BY source IS NULL, source) - 1) % 3 AS weight, {MOST_REPEATS} * source_size AS cap FROM sizes),
 levels AS (
