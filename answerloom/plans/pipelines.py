@@ -25,6 +25,8 @@ from answerloom.sources.scan import even_out
 # Work budgets of the two models.
 DOCUMENTS_1, PASSAGES_A_DOCUMENT, PASSAGES_1, DOCUMENTS_2 = 100, 5, 50, 10
 ANSWERS = 10
+#: Parts that the passages of one document are dealt into.
+PARTS = 8
 
 
 def ranked_passages(
@@ -32,17 +34,22 @@ def ranked_passages(
 ) -> DataFrame:
     """(qid, doc_id, passage, score, rank): best passages of each hit by n-gram overlap.
 
-    docs(doc_id, text), hits(qid, doc_id). Only hit documents are cut into passages;
-    each passage is profiled once, against the profile of its question. Where docs has
-    a title, the overlap of the question and the title of its document is added.
+    docs(doc_id, text), hits(qid, doc_id). Only hit documents are cut into passages, and
+    each passage is profiled once, however many questions hit it; a document's passages
+    are dealt into PARTS, which its hits meet where they stand, so that a document that
+    all questions hit is not one task. Where docs has a title, the overlap of the question and the title of its document is added.
     """
     asked = broadcast_if_small(
         with_profile(questions.select("qid", "question"), "question", "q").drop("question"), bound=questions
     )
-    texts = even_out(hits.select("qid", "doc_id"), "qid", "doc_id").join(docs.select("doc_id", "text"), "doc_id")
+    found = hits.select("qid", "doc_id")
+    texts = docs.select("doc_id", "text").join(found.select("doc_id").distinct(), "doc_id")
     # An inner explode would first test all documents for having passages, at their scan.
-    passages = texts.select("qid", "doc_id", F.explode_outer(to_passages(F.col("text"))).alias("passage")).filter("passage is not null")
-    profiled = with_profile(passages, "passage", "p").join(asked, "qid")
+    passages = texts.select("doc_id", F.posexplode_outer(to_passages(F.col("text"))).alias("at", "passage")).filter("passage is not null")
+    dealt = even_out(passages.select("doc_id", F.pmod("at", F.lit(PARTS)).alias("part"), "passage"), "doc_id", "part")
+    each = found.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
+    met = with_profile(dealt, "passage", "p").join(even_out(each, "doc_id", "part").hint("shuffle_hash"), ["doc_id", "part"])
+    profiled = met.join(asked, "qid")
     scored = profiled.select("qid", "doc_id", "passage", overlap(F.col("q"), F.col("p"), compat).alias("score"))
     if "title" in docs.columns:
         named = hits.select("qid", "doc_id").distinct().join(docs.select("doc_id", F.coalesce("title", F.lit("")).alias("title")), "doc_id")
