@@ -26,7 +26,7 @@ RULE_QUANTITY = ("bao nhiêu", "bao lâu")
 RULE_WIKI = ("vào năm",)
 NUMBER = r"\A[\s]*[+-]?(?:[0-9]+(?:_[0-9]+)*\.?(?:[0-9]+(?:_[0-9]+)*)?|\.[0-9]+(?:_[0-9]+)*)(?:[eE][+-]?[0-9]+)?[\s]*\z|\A\s*[+-]?(?:(?i)inf|infinity|nan)\s*\z"
 
-FEATURES, REGULARISATION, SEED = 1 << 18, 0.5, 42
+FEATURES, REGULARISATION, SEED = 1 << 16, 0.5, 42
 
 
 def contains_any(c: Column, phrases: Sequence[str]) -> Column:
