@@ -169,10 +169,10 @@ def majority_vote(spark, sf_dir):
     return voting.majority_vote(answers(spark, sf_dir))
 
 
-@query(f"WITH {VOTE_CTES} SELECT qid, answer, score, ord, round(0.3 * score + 0.7 * s, 6) AS total_score FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY 0.3::DOUBLE * score + 0.7::DOUBLE * s DESC, ord) AS r FROM (SELECT *, 1.0::DOUBLE / ord AS s FROM good)) WHERE r = 1")
+@query(f"WITH {VOTE_CTES} SELECT qid, answer, score, ord, round(0.3::DOUBLE * score + 0.7::DOUBLE * s, 9) AS total_score FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY 0.3::DOUBLE * score + 0.7::DOUBLE * s DESC, ord) AS r FROM (SELECT *, 1.0::DOUBLE / ord AS s FROM good)) WHERE r = 1")
 def best_answer(spark, sf_dir):
     rows = answers(spark, sf_dir).withColumn("ctx_score", F.lit(1.0) / F.col("ord"))
-    return ranking.best_answer(rows, ["qid"], 0.3).drop("ctx_score").withColumn("total_score", F.round("total_score", 6))
+    return ranking.best_answer(rows, ["qid"], 0.3).drop("ctx_score").withColumn("total_score", F.round("total_score", 9))
 
 
 # fusion

@@ -156,7 +156,7 @@ def world(spark):
         "doc_id long, title string, text string",
     )
     labelled = [("thủ đô của nước là gì", "wiki"), ("thủ đô là đâu", "wiki"), ("vì sao trời xanh", "other"), ("tại sao thế", "other")]
-    model = classify.fit_categories(spark.createDataFrame(labelled, "question string, category string"))
+    model = classify.fit_categories(spark.createDataFrame(labelled, "question string, category string").coalesce(1))
     titles = docs.select("title").union(spark.createDataFrame([("Thăng-Long",)], "title string"))
     edges = spark.createDataFrame([("x", "wiki/Huế", "P", 1)], "label string, link string, source_title string, place long")
     dictionary = links.link_dictionary(titles.select("title", F.monotonically_increasing_id().alias("ord")), edges)
