@@ -10,15 +10,18 @@ from pyspark.sql import functions as F
 
 from answerloom.llm import (
     ann_index,
+    bin_packing,
     bpe_chunks,
     compaction,
     fertility,
+    filter_audit,
     licenses,
     mixing,
     quality_bayes,
     simhash,
     token_counts,
     url_filter,
+    vector_codes,
 )
 from answerloom.llm.common import shared_dir, table
 
@@ -83,6 +86,24 @@ def op10_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    narrow = bin_packing.pieces(docs).select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"))
+    return bin_packing.place(narrow)
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = vector_codes.compress(table(spark, sf_dir, "embeddings"))
+    rows = vector_codes.with_label_error(coded.rows)
+    return rows.select(
+        "vec_id", F.lower(F.hex("codes")).alias("code"), "error", "label_error", F.lit(coded.digest()).alias("codebooks_sha256")
+    )
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -92,7 +113,8 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     own = (
         op1_bpe_chunks, op2_ann_index, op3_simhash, op4_token_counts, op5_url_filter, op6_mixing,
-        op7_licenses, op8_quality_bayes, op9_compaction, op10_fertility,
+        op7_licenses, op8_quality_bayes, op9_compaction, op10_fertility, op11_best_fit, op12_filter_audit,
+        op13_vector_codes,
     )
     return {f.__name__: f for f in own} | {"pipeline": pipeline}
 
@@ -102,4 +124,5 @@ def oracle_sql() -> dict[str, str]:
         "op5_url_filter": url_filter.contract_sql(),
         "op6_mixing": mixing.contract_sql(),
         "op7_licenses": licenses.contract_sql(),
+        "op12_filter_audit": filter_audit.contract_sql(),
     }
