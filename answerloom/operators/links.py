@@ -2,16 +2,13 @@
 
 from __future__ import annotations
 
-import difflib
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
 from answerloom.functions.text import title_to_link
-from answerloom.operators.ranking import DIGITS, broadcast_if_small, top_k
+from answerloom.operators.ranking import broadcast_if_small, top_k
+from answerloom.operators.titles import EPS, TitleIndex, exact_ratio, overlap_bound, ranked
 
 #: Titles whose exact ratio is tried at first, to set the bound for all others.
 PROBES = 8
@@ -65,14 +62,14 @@ def link_map(dictionary: DataFrame) -> DataFrame:
     return dictionary.groupBy("label").agg(F.map_from_entries(F.collect_list(F.struct("source_title", "link"))).alias("links"))
 
 
-def candidate_titles(queries: DataFrame, titles: DataFrame) -> DataFrame:
-    """(qid, query, title) where any token of the query stands in the lower-cased title.
+def matched_titles(queries: DataFrame, titles: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(qid, query, title) where a token of the query stands in the lower-cased title, and
+    the queries(qid, query) that have all titles as candidates instead.
 
     Tokens are split at single spaces. A token and a title meet on the token's first
     KEY characters, which any title that holds it holds too, and are then compared: an
-    equality join. A query that no title answers keeps all titles, as does one with an
-    empty token, which every title holds: such queries are packed into blocks and each
-    title meets each block once.
+    equality join. A query that no title answers has all titles, as does one with an
+    empty token, which every title holds.
     """
     token = F.explode(F.array_distinct(F.split(F.lower("query"), " "))).alias("token")
     tokens = queries.select("qid", "query", token).withColumn("key", F.left("token", F.lit(KEY)))
@@ -86,8 +83,16 @@ def candidate_titles(queries: DataFrame, titles: DataFrame) -> DataFrame:
     )
     blank = tokens.filter("token = ''").select("qid", "query")
     rest = queries.select("qid", "query").join(met.select("qid").distinct(), "qid", "left_anti")
-    all_titles = blank.union(rest).distinct()
-    return met.join(blank.select("qid").distinct(), "qid", "left_anti").union(_with_every_title(all_titles, titles))
+    return met.join(blank.select("qid").distinct(), "qid", "left_anti"), blank.union(rest).distinct()
+
+
+def candidate_titles(queries: DataFrame, titles: DataFrame) -> DataFrame:
+    """(qid, query, title): every candidate, for queries without a match every title.
+
+    Such queries are packed into blocks and each title meets each block once.
+    """
+    met, every = matched_titles(queries, titles)
+    return met.union(_with_every_title(every, titles))
 
 
 def _with_every_title(queries: DataFrame, titles: DataFrame) -> DataFrame:
@@ -101,47 +106,22 @@ def _with_every_title(queries: DataFrame, titles: DataFrame) -> DataFrame:
     return rows.join(packed, "block").select("title", F.inline("asked")).select("qid", "query", "title")
 
 
-def overlap_bound(a: Column, b: Column) -> Column:
-    """Upper bound of the matching ratio: characters both have, over the mean length."""
-    x, y = F.split(a, ""), F.split(b, "")
-    count = lambda xs, c: F.size(F.filter(xs, lambda t: t == c))
-    shared = F.aggregate(
-        F.array_intersect(x, y), F.lit(0), lambda s, c: s + F.least(count(x, c), count(y, c))
-    )
-    return F.coalesce(F.try_divide(2.0 * shared, F.length(a) + F.length(b)), F.lit(1.0))
-
+def closest_titles(queries: DataFrame, titles: DataFrame, n: int = 1, index: TitleIndex | None = None) -> DataFrame:
+    """(qid, title, ratio, rank): the n closest titles of each query, the largest string on ties.
 
-def _ratio(query: str, title: str) -> float:
-    """2 M / T of the matching blocks; the query is the second sequence."""
-    return difflib.SequenceMatcher(None, title, query).ratio()
-
-
-def exact_ratio(rows: DataFrame) -> DataFrame:
-    """Adds ratio to rows(query, title), in batches."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            yield pdf.assign(ratio=[_ratio(q, t) for q, t in zip(pdf["query"], pdf["title"], strict=True)])
-
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
-    return rows.mapInPandas(run, f"{fields}, ratio double")
-
-
-def closest_titles(queries: DataFrame, titles: DataFrame, n: int = 1) -> DataFrame:
-    """(qid, title, ratio): the n closest titles of each query, the largest string on ties.
-
-    The cheap bound is computed inside the engine for all candidates; exact ratios of
-    the PROBES best bounds give a floor, and only titles whose bound reaches it are
-    compared exactly. Nothing that could win is left out.
+    Titles that hold a token of a query are met by token; the cheap bound is computed inside
+    the engine, exact ratios of the PROBES best bounds give a floor, and only titles that
+    can reach it are compared exactly. Queries that no title answers, or with an empty token,
+    stand against all titles and search their index (built here, or one given over the same
+    titles). Nothing that could win is left out.
     """
-    bounded = candidate_titles(queries, titles).withColumn("bound", overlap_bound(F.col("query"), F.col("title")))
+    met, every = matched_titles(queries, titles)
+    bounded = met.withColumn("bound", overlap_bound(F.col("query"), F.col("title")))
     probes = top_k(bounded, ["qid"], [F.desc("bound"), F.desc("title")], max(n, PROBES)).drop("rank")
     w = Window.partitionBy("qid").orderBy(F.desc("ratio"))
     floor = (
         exact_ratio(probes).withColumn("r", F.row_number().over(w)).filter(F.col("r") == n)
         .select("qid", F.col("ratio").alias("floor"))
     )
-    rest = bounded.join(floor, "qid", "left").filter("floor is null or bound >= floor - 1e-9").drop("floor")
-    return top_k(exact_ratio(rest), ["qid"], [F.desc("ratio"), F.desc("title")], n).select(
-        "qid", "title", F.round("ratio", DIGITS).alias("ratio"), "rank"
-    )
+    rest = bounded.join(floor, "qid", "left").filter(F.col("floor").isNull() | (F.col("bound") >= F.col("floor") - EPS))
+    return ranked(exact_ratio(rest), n).union((index or TitleIndex.build(titles)).closest(every, n))
