@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from answerloom.functions import text as tx
 from answerloom.operators import ranking, vectors, voting
+from answerloom.operators.block_index import BlockIndex
 from answerloom.operators.index import BM25Index
 from answerloom.plans import pipelines
-from answerloom.plans.registry import minmax, query, steps, strip, table, words, zero_below
+from answerloom.plans.registry import SQL, minmax, query, steps, strip, table, words, zero_below
 from answerloom.plans.text_queries import GRAM_COLUMNS, LINES, PASSAGES, sql_cases, sql_overlap, sql_tokens
+from answerloom.sources.shared import new_path
 
 HITS, BEST = pipelines.DOCUMENTS_2, pipelines.PASSAGES_A_DOCUMENT
 DEEP = pipelines.DOCUMENTS_1
@@ -59,6 +63,14 @@ def bm25_top10(spark, sf_dir):
     return index(spark, sf_dir).search(questions(spark, sf_dir), HITS)
 
 
+@query(SQL["bm25_top10"])
+def bm25_blocks(spark, sf_dir):
+    """The same search over bucketed tables of posting blocks, opening few of them."""
+    name = f"postings_{uuid.uuid4().hex}"
+    saved = BlockIndex.save(index(spark, sf_dir), name, new_path(spark))
+    return saved.search(questions(spark, sf_dir), HITS)
+
+
 QUESTION_CLEAN = steps("text", tx.PREPROCESS)
 PASSAGES_OF_HITS = f"""
 cut AS (SELECT qid, doc_id, unnest({PASSAGES}) AS passage FROM hits JOIN documents USING (doc_id)),
