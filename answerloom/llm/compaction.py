@@ -25,6 +25,7 @@ from dataclasses import asdict, dataclass
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 TARGET_BYTES = 128 << 20
 #: Like-sized shards that are merged together, and the ratio between tiers.
@@ -64,6 +65,10 @@ class Part:
     least: int
 
 
+class OtherColumns(ValueError):
+    """An arrival's column clashes with one of the store."""
+
+
 class Conflict(RuntimeError):
     """Another writer committed this version first."""
 
@@ -119,6 +124,11 @@ class ShardStore:
         version = self.version() if version is None else version
         return [Part(**p) for p in self._read(f"v{version:08d}.json")["parts"]] if version else []
 
+    def schema(self, version: int | None = None) -> StructType:
+        """Columns of a version: those of all arrivals up to it."""
+        version = self.version() if version is None else version
+        return StructType.fromJson(self._read(f"v{version:08d}.json")["schema"]) if version else StructType()
+
     def shards(self, version: int | None = None) -> list[Shard]:
         return [s for p in self.parts(version) for s in self._shards(p)]
 
@@ -134,10 +144,10 @@ class ShardStore:
             out.append(Part(name, len(some), min(s.bytes for s in some)))
         return out
 
-    def commit(self, base: int, parts: list[Part]) -> int:
-        """Makes parts version base + 1, or raises Conflict and changes nothing."""
+    def commit(self, base: int, parts: list[Part], schema: StructType) -> int:
+        """Makes parts and columns version base + 1, or raises Conflict and changes nothing."""
         new, draft = base + 1, f".draft-{uuid.uuid4().hex}"
-        self._put(draft, {"version": new, "parts": [asdict(p) for p in parts]})
+        self._put(draft, {"version": new, "schema": schema.jsonValue(), "parts": [asdict(p) for p in parts]})
         source, target = (self._path(f"{self.root}/manifests/{n}") for n in (draft, f"v{new:08d}.json"))
         try:
             self._context.rename(source, target, self._no_overwrite)
@@ -162,12 +172,15 @@ class ShardStore:
         """Adds an arrival: every task writes its rows as shards of at most `rows`.
 
         Where other writers commit first, the same shards are added to their version.
+        Columns new to the store are added to it.
         """
+        all_columns(self.schema(), df.schema)
         new = self._new_parts(self._write(df, rows))
         for _ in range(ATTEMPTS):
             base = self.version()
+            columns = all_columns(self.schema(base), df.schema)
             try:
-                return self.commit(base, self.parts(base) + new)
+                return self.commit(base, self.parts(base) + new, columns)
             except Conflict:
                 continue
         raise Conflict(f"{ATTEMPTS} other writers came first")
@@ -187,11 +200,12 @@ class ShardStore:
             if not merged:
                 return base
             size = sum(s.bytes for s in merged)
-            new = self._write(self._load(merged).coalesce(max(1, math.ceil(size / target))), None)
+            columns = self.schema(base)
+            new = self._write(self._load(merged, columns).coalesce(max(1, math.ceil(size / target))), None)
             touched = {n for n, some in opened.items() if merged & set(some)}
             left = [s for n in touched for s in opened[n] if s not in merged]
             try:
-                self.commit(base, [p for p in parts if p.name not in touched] + self._new_parts(left + new))
+                self.commit(base, [p for p in parts if p.name not in touched] + self._new_parts(left + new), columns)
             except Conflict:
                 lost += 1
                 if lost >= ATTEMPTS:
@@ -224,20 +238,31 @@ class ShardStore:
             gone += sum("/part-" in f for f in dead)
         return gone
 
-    def _load(self, shards: Iterable[Shard]) -> DataFrame:
-        """Rows of shards; a run of which all files are asked for is read as a folder."""
+    def _load(self, shards: Iterable[Shard], schema: StructType) -> DataFrame:
+        """Rows of shards, in all columns; a run of which all files are asked for is read as a folder."""
         shards = list(shards)
         asked = Counter(s.run for s in shards)
         paths = sorted({s.run if asked[s.run] == s.of else s.path for s in shards})
-        return self.spark.read.parquet(*[f"{self.root}/{p}" for p in paths])
+        return self.spark.read.schema(schema).parquet(*[f"{self.root}/{p}" for p in paths])
 
     def read(self, version: int | None = None) -> DataFrame:
         """All rows of a version, with the shard each stands in."""
+        version = self.version() if version is None else version
         shards = self.shards(version)
         if not shards:
             raise ValueError("the store is empty")
         name = F.regexp_extract("_metadata.file_path", r"runs/[^/]+/[^/]+$", 0)
-        return self._load(shards).withColumn("shard", name)
+        return self._load(shards, self.schema(version)).withColumn("shard", name)
+
+
+def all_columns(known: StructType, given: StructType) -> StructType:
+    """Columns of both, all nullable, the known ones first; raises OtherColumns where they clash."""
+    out = {f.name.lower(): f for f in known}
+    for f in given:
+        before = out.setdefault(f.name.lower(), StructField(f.name, f.dataType, True, f.metadata))
+        if before.name != f.name or before.dataType != f.dataType:
+            raise OtherColumns(f"{f.name} {f.dataType.simpleString()} beside {before.name} {before.dataType.simpleString()}")
+    return StructType(list(out.values()))
 
 
 def tier(size: int, fanout: int) -> int:

@@ -533,7 +533,7 @@ def test_compaction_merges_and_versions(spark, tmp_path):
     assert store.read().count() == 500 and store.shards(5) == before
     assert [store.read(v).count() for v in (1, 5)] == [100, 500]
     with pytest.raises(compaction.Conflict):
-        store.commit(5, [])
+        store.commit(5, [], store.schema())
     assert len(store.shards()) == 1
     assert store.vacuum() == 0 and store.read(1).count() == 100
     assert store.vacuum(keep_seconds=0) == 5 and store.versions() == [6] and store.read().count() == 500
@@ -548,11 +548,11 @@ def test_a_crashed_append_and_a_second_writer_disturb_nobody(spark, tmp_path, mo
     # Another writer commits between the reading of the version and the commit.
     commit, raced = compaction.ShardStore.commit, []
 
-    def late(self, base, parts):
+    def late(self, base, parts, schema):
         if not raced:
             raced.append(other)
-            commit(other, base, other.parts(base) + other._new_parts(other._write(spark.range(20, 30).coalesce(1), None)))
-        return commit(self, base, parts)
+            commit(other, base, other.parts(base) + other._new_parts(other._write(spark.range(20, 30).coalesce(1), None)), schema)
+        return commit(self, base, parts, schema)
 
     monkeypatch.setattr(compaction.ShardStore, "commit", late)
     assert store.append(spark.range(30, 40).coalesce(1)) == 4
