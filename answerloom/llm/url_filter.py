@@ -41,6 +41,8 @@ RULES = (
     Rule("block", "org", "/es/"),
 )
 
+#: Keys that pages without an address are dealt over.
+SALTS = 1024
 TAG = r"(?is)<(?:link|meta)\b[^>]*>"
 CANONICAL = r"(?is)\brel\s*=\s*[\x22']?\s*canonical\b"
 REFRESH = r"(?is)\bhttp-equiv\s*=\s*[\x22']?\s*refresh\b"
@@ -92,26 +94,26 @@ def rule_part(index: Column, rules: Sequence[Rule], part: str) -> Column:
     return F.get(F.array(*[F.lit(getattr(r, part)) for r in longest_first(rules)]).cast("array<string>"), index)
 
 
+def staged(rows: DataFrame, **columns: Column) -> DataFrame:
+    """rows with columns that are formed here, once: the explode keeps later expressions from copying them."""
+    one = F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))
+    return rows.withColumn("__x", F.explode_outer(one)).select(*rows.columns, "__x.*")
+
+
 def with_target(links: DataFrame) -> DataFrame:
     """Adds target, href as an absolute address seen from url; null where it is none."""
-    parts = links.withColumns(
-        {
-            "scheme": F.substring_index("url", "://", 1),
-            "host": host_of(F.col("url")),
-            "folder": F.regexp_replace(path_of(F.col("url")), "[^/]*$", ""),
-        }
+    folder = F.regexp_replace(path_of(F.col("url")), "[^/]*$", "")
+    parts = staged(
+        links, scheme=F.substring_index("url", "://", 1), host=host_of(F.col("url")), folder=F.when(folder == "", "/").otherwise(folder)
     )
     href, root = F.col("href"), F.concat("scheme", F.lit("://"), "host")
     target = (
         F.when(href.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*://"), href)
         .when(href.startswith("//"), F.concat("scheme", F.lit(":"), href))
         .when(href.startswith("/"), F.concat(root, href))
-        .when(
-            (href != "") & ~href.startswith("#"),
-            F.concat(root, F.when(F.col("folder") == "", "/").otherwise(F.col("folder")), href),
-        )
+        .when((href != "") & ~href.startswith("#"), F.concat(root, "folder", href))
     )
-    return parts.withColumn("target", target)
+    return staged(parts, target=target)
 
 
 def alias_edges(pages: DataFrame) -> DataFrame:
@@ -127,15 +129,10 @@ def alias_edges(pages: DataFrame) -> DataFrame:
         tag.rlike(CANONICAL),
         F.concat(*[F.regexp_extract(tag, HREF, i) for i in (1, 2, 3)]),
     ).otherwise(F.regexp_extract(tag, REFRESH_URL, 1))
-    links = (
-        pages.filter(url.isNotNull() & some)
-        .select("url", F.explode(tags).alias("tag"))
-        .select("url", F.trim(href).alias("href"))
-    )
-    return (
-        with_target(links)
-        .select(node_of(url).alias("src"), node_of(F.col("target")).alias("dst"))
-        .filter("src is not null and dst is not null and src <> dst")
+    found = pages.filter(url.isNotNull() & some).select("url", F.explode_outer(tags).alias("tag")).filter("tag is not null")
+    links = with_target(staged(found, href=F.trim(href)))
+    return staged(links, src=node_of(url), dst=node_of(F.col("target"))).select("src", "dst").filter(
+        "src is not null and dst is not null and src <> dst"
     )
 
 
@@ -146,7 +143,9 @@ def judge_urls(pages: DataFrame, rules: Sequence[Rule] = RULES) -> DataFrame:
     (allow if any address in it is allowed by a rule, else block if any is blocked),
     else allow. A null url, or one without ://, has empty host and path, is no alias
     of anything and is allowed. Null html declares no alias. Repeated rows are judged
-    alike. Rules are part of the plan; they are configuration, not data.
+    alike. Rules are part of the plan; they are configuration, not data. Pages without an
+    address are dealt over SALTS keys that no alias has; those of one address are split by
+    the engine as any skewed key of a left join.
     """
     parts = connected_components(alias_edges(pages.select("url", "html")), "src", "dst")
     addressed = parts.withColumns(
@@ -165,12 +164,15 @@ def judge_urls(pages: DataFrame, rules: Sequence[Rule] = RULES) -> DataFrame:
         {"host": host_of(url), "path": path_of(url), "__node": node_of(url)}
     )
     own = own.withColumn("__i", rule_index(F.col("host"), F.col("path"), rules))
+    nowhere = 1 + F.pmod(F.monotonically_increasing_id(), F.lit(SALTS))
+    own = own.withColumn("__salt", F.when(F.col("__node").isNull(), nowhere).otherwise(0))
+    aliases = aliases.withColumn("__salt", F.lit(0).cast("long"))
     action = rule_part(F.col("__i"), rules, "action")
     return (
-        own.join(aliases, "__node", "left")
+        own.join(aliases, ["__node", "__salt"], "left")
         .withColumn("rule", rule_part(F.col("__i"), rules, "text"))
         .withColumn("verdict", F.coalesce(action, "alias_action", F.lit("allow")))
-        .drop("__node", "__i")
+        .drop("__node", "__salt", "__i")
     )
 
 
