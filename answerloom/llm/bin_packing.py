@@ -16,6 +16,7 @@ and are not moved at all.
 from __future__ import annotations
 
 import base64
+from collections import Counter
 from collections.abc import Iterator, Mapping
 from typing import NamedTuple
 
@@ -167,21 +168,29 @@ def fullest(left: Mapping[int, int], capacity: int) -> dict[int, int]:
 def plan_bins(counts: Mapping[int, int], capacity: int = CAPACITY) -> list[Bins]:
     """Minimum bin slack over counts of lengths, equal bins in a row as one entry.
 
+    It is planned twice, free and with the longest piece left in every bin, which must go
+    somewhere and finds less to go with later; the plan of fewer bins counts.
+    """
+    if any(not 0 < n <= capacity for n in counts):
+        raise ValueError(f"lengths must lie in 1 to {capacity}")
+    plans = [fill_bins(counts, capacity, longest) for longest in (False, True)]
+    return min(plans, key=lambda plan: sum(p.times for p in plan))
+
+
+def fill_bins(counts: Mapping[int, int], capacity: int, longest: bool) -> list[Bins]:
+    """Bin after bin the fullest combination that is left, with the longest piece or any.
+
     A combination that was the fullest stays so while enough copies are left, since less
     is available then. An entry leaves fewer copies of some length than it takes, so the
     entries number at most the sum of capacity / length over all lengths.
     """
-    left, out = {n: c for n, c in counts.items() if c}, []
-    if any(not 0 < n <= capacity for n in left):
-        raise ValueError(f"lengths must lie in 1 to {capacity}")
+    left, out = Counter({n: c for n, c in counts.items() if c}), []
     while left:
-        copies = fullest(left, capacity)
+        first = Counter([max(left)] if longest else [])
+        copies = first + Counter(fullest(left - first, capacity - sum(first)))
         times = min(left[n] // c for n, c in copies.items())
-        for n, c in copies.items():
-            left[n] -= c * times
-            if not left[n]:
-                del left[n]
-        out.append(Bins(copies, times))
+        left -= Counter({n: c * times for n, c in copies.items()})
+        out.append(Bins(dict(copies), times))
     return out
 
 
