@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from answerloom.functions import text as tx
 from answerloom.operators import ranking, vectors, voting
 from answerloom.operators.block_index import BlockIndex
+from answerloom.operators.cells import CellIndex
 from answerloom.operators.index import BM25Index
 from answerloom.plans import pipelines
 from answerloom.plans.registry import SQL, minmax, query, steps, strip, table, words, zero_below
@@ -238,11 +239,21 @@ CENTROIDS = (
 def vector_topk(spark, sf_dir):
     """The ten vectors nearest to the mean of each label."""
     e = table(spark, sf_dir, "embeddings")
+    return vectors.dense_top_k(label_means(e), e, 10)
+
+
+@query(SQL["vector_topk"])
+def vector_cells(spark, sf_dir):
+    """The same search over cells, made exact by their bounds."""
+    e = table(spark, sf_dir, "embeddings")
+    return CellIndex.save(e, new_path(spark)).search(label_means(e), 10, exact=True)
+
+
+def label_means(e: DataFrame) -> DataFrame:
     parts = e.select("label", F.posexplode("embedding").alias("pos", "x")).groupBy("label", "pos").agg(F.round(F.avg(F.col("x").cast("double")), 9).alias("m"))
-    q = parts.groupBy(F.col("label").alias("qid")).agg(
+    return parts.groupBy(F.col("label").alias("qid")).agg(
         F.transform(F.array_sort(F.collect_list(F.struct("pos", "m"))), lambda p: p["m"]).alias("q")
     )
-    return vectors.dense_top_k(q, e, 10)
 
 
 @query(
