@@ -2,13 +2,10 @@
 
 from __future__ import annotations
 
-import re
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+
+from answerloom.functions.text import words
 
 # Date patterns and the parts they carry. \w in Java needs (?U).
 DATE_PATTERNS: tuple[tuple[str, str], ...] = (
@@ -148,62 +145,94 @@ def number_lexicon(spark: SparkSession) -> DataFrame:
     return spark.range(1, LARGEST + 1).select(F.col("id").alias("n"), spelled(F.col("id")).alias("words"))
 
 
-def spell(n: int) -> str:
-    """spelled() for one number, for use inside Python functions."""
-    inner = lambda k: INNER_FOUR if k == 4 else UNITS[k - 1]
-    if n <= 10:
-        return UNITS[n - 1]
-    if n < 20:
-        return f"mười {inner(n % 10)}"
-    for size, word in ((1000, "nghìn"), (100, "trăm"), (10, "mươi")):
-        if n >= size:
-            head, rest = divmod(n, size)
-            first = UNITS[head - 1] if size == 1000 and rest else inner(head)
-            tail = "" if not rest else f" {inner(rest) if size == 10 else spell(rest)}"
-            return f"{first} {word}{tail}"
-    raise ValueError(n)
-
-
-def quantity_tokens(text: str, compat: bool) -> list[str]:
-    text = text.lower()
-    text = text.replace("k", "000") if compat else re.sub(r"(\d+)k\b", r"\g<1>000", text)
+def _number() -> str:
+    """Regular expression of the words of 1 to LARGEST, longest first, from its grammar."""
+    unit, inner = "(?:" + "|".join(UNITS[:9]) + ")", "(?:" + "|".join((*UNITS[:3], INNER_FOUR, *UNITS[4:9])) + ")"
+    # Tens are two to nine, hundreds and thousands one to nine.
+    tens = "(?:" + "|".join((*UNITS[1:3], INNER_FOUR, *UNITS[4:9])) + ")"
+    hundred = f"(?:{tens} mươi(?: {inner})?|mười(?: {inner})?|{unit})"
+    thousand = f"(?:{inner} trăm(?: {hundred})?|{hundred})"
+    return f"(?:{unit} nghìn {thousand}|{inner} nghìn|{thousand})"
+
+
+NUMBER = _number()
+#: Value of each number word by itself.
+WORD_VALUES = {w: k for k, w in enumerate(UNITS, 1)} | {INNER_FOUR: 4, "mươi": 10, "trăm": 100, "nghìn": 1000}
+
+
+def number_value(c: Column) -> Column:
+    """Value of the words of one number: a sum of units times what follows them."""
+    word = F.create_map(*[x for w, v in WORD_VALUES.items() for x in (F.lit(w), F.lit(v))])
+
+    def step(s: Column, w: Column) -> Column:
+        v = word[w]
+        scale = F.when(w.isin("mươi", "trăm", "nghìn"), v)
+        added = F.when(scale.isNotNull(), s["unit"] * scale).when(w == UNITS[9], v).otherwise(0)
+        unit = F.when(scale.isNotNull() | (w == UNITS[9]), 0).otherwise(v)
+        return F.struct((s["total"] + added).alias("total"), unit.alias("unit"))
+
+    start = F.struct(F.lit(0).alias("total"), F.lit(0).alias("unit"))
+    return F.aggregate(F.split(c, " "), start, step, lambda s: s["total"] + s["unit"])
+
+
+def quantity_words(c: Column, compat: bool = False) -> Column:
+    """Tokens of a text in which quantities are sought: thousands written out, spellings brought to one."""
+    low = F.lower(c)
+    out = F.replace(low, F.lit("k"), F.lit("000")) if compat else F.regexp_replace(low, r"(?U)(\d+)k\b", "$1000")
     for a, b in QUANTITY_WORDS:
-        text = text.replace(a, b)
-    return re.sub(QUANTITY_DROP, "", text).split()
+        out = F.replace(out, F.lit(a), F.lit(b))
+    return words(F.regexp_replace(out, QUANTITY_DROP, ""))
+
+
+def _digits(tokens: Column) -> Column:
+    return F.regexp_replace(F.array_join(tokens, " "), r"\P{Nd}", "")
+
+
+def extract_quantity(c: Column) -> Column:
+    """All digits of a text once its number words are digits; '' without any, null at null.
+
+    From left to right the longest run of words that spells a number of 1 to LARGEST is
+    one: a regular expression of the numbers' grammar cuts the text into such runs and
+    single words.
+    """
+    pieces = F.regexp_extract_all(F.array_join(quantity_words(c), " "), F.lit(f"{NUMBER}(?= |$)|[^ ]+"), 0)
+    spoken = lambda p: F.when(p.rlike(f"^{NUMBER}$"), number_value(p).cast("string")).otherwise(p)
+    return F.when(c.isNotNull(), _digits(F.transform(pieces, spoken)))
+
+
+def inverted_numbers(spark: SparkSession) -> DataFrame:
+    """(word, n, size, words): each number of the lexicon under each of its different words."""
+    split = number_lexicon(spark).select("n", F.split("words", " ").alias("words"))
+    different = F.array_distinct("words")
+    return split.select(F.explode(different).alias("word"), "n", F.size(different).alias("size"), "words")
 
 
-def quantity_of(text: str, values: dict[tuple[str, ...], int], compat: bool) -> str:
-    """All digits of a text once its number words are digits.
+def compat_quantity(rows: DataFrame, text: str = "text", out: str = "quantity") -> DataFrame:
+    """rows with `out`: all digits once every number whose words occur, anywhere and in any
+    order, is put in place of them, from the largest number down.
 
-    Default: the longest run of words that spells a number, from left to right.
-    compat: from the largest number down, wherever all its words occur in any order;
-    they are replaced from the place of the first word.
+    As many words as the number has are replaced from the place of its first word on.
+    Which numbers a text may hold hangs on its set of number words alone: sets are at most
+    2 to the number of number words, each is looked up once in an inverted table, and the
+    replacements are a fold over what it holds. Null at null.
     """
-    toks = quantity_tokens(text, compat)
-    if compat:
-        vocabulary = {w for words in values for w in words}
-        if vocabulary & set(toks):
-            for words, n in sorted(values.items(), key=lambda x: -x[1]):
-                if all(w in toks for w in words):
-                    at = toks.index(words[0])
-                    toks[at : at + len(words)] = [str(n)]
-    else:
-        longest, out, i = max(map(len, values)), [], 0
-        while i < len(toks):
-            size = next((k for k in range(longest, 0, -1) if tuple(toks[i : i + k]) in values and i + k <= len(toks)), 0)
-            out.append(str(values[tuple(toks[i : i + size])]) if size else toks[i])
-            i += size or 1
-        toks = out
-    return re.sub(r"\D", "", " ".join(toks))
-
-
-def extract_quantity(c: Column, compat: bool = False) -> Column:
-    """Digit string of a text's quantity, '' without any; a batched function."""
-
-    @F.pandas_udf(StringType())
-    def quantity(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        values = {tuple(spell(n).split()): n for n in range(1, LARGEST + 1)}
-        for s in batches:
-            yield s.map(lambda t: quantity_of(t, values, compat), na_action="ignore")
-
-    return quantity(c)
+    spark = rows.sparkSession
+    known = F.lit(sorted(WORD_VALUES))
+    staged = rows.select("*", F.explode_outer(F.array(quantity_words(F.col(text), compat=True))).alias("__words"))
+    staged = staged.withColumn("__set", F.array_sort(F.array_intersect("__words", known)))
+    sets = staged.select("__set").distinct()
+    held = sets.select("__set", F.explode("__set").alias("word")).join(F.broadcast(inverted_numbers(spark)), "word")
+    held = held.groupBy("__set", "n").agg(F.count("*").alias("met"), F.first("size").alias("size"), F.first("words").alias("words"))
+    # At most LARGEST numbers a set, largest first.
+    ranked = F.reverse(F.array_sort(F.collect_list(F.struct("n", "words"))))
+    held = held.filter("met = size").groupBy("__set").agg(ranked.alias("__numbers"))
+
+    def put(tokens: Column, number: Column) -> Column:
+        every = F.forall(number["words"], lambda w: F.array_contains(tokens, w))
+        at = F.array_position(tokens, F.get(number["words"], 0)).cast("int")
+        rest = F.slice(tokens, at + F.size(number["words"]), F.size(tokens))
+        return F.when(every, F.concat(F.slice(tokens, F.lit(1), at - 1), F.array(number["n"].cast("string")), rest)).otherwise(tokens)
+
+    met = staged.join(held, "__set", "left")
+    done = F.aggregate(F.coalesce("__numbers", F.array().cast("array<struct<n: bigint, words: array<string>>>")), F.col("__words"), put)
+    return met.withColumn(out, _digits(done)).drop("__words", "__set", "__numbers")

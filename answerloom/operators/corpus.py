@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from answerloom.functions.text import doc_clean, lines, strip
+from answerloom.functions.text import WS, doc_clean, lines, strip, words
 
 LINK = r"\[\[([^\]]+)\]\]"
 PIPED = r"\[\[([^\]|]+)\|([^\]]*)\]\]"
@@ -43,79 +42,133 @@ def plain_links(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(text, PIPED, "$2"), BARE, "$1")
 
 
-def links_and_positions(text: str) -> tuple[str, list[tuple[str, int, int]]]:
-    """(plain text, [(link, first word, last word)]), link by link on the rewritten text.
+POSITIONS = "array<struct<link: string, start: bigint, end: bigint>>"
 
-    Positions count single spaces before the label in the text as rewritten so far;
-    every occurrence of a link's body is replaced at once, and a link that is no
-    longer there when its turn comes gets position -1.
-    """
-    import re
 
-    out = []
-    for body in re.findall(LINK, text):
-        link, _, label = body.partition("|") if "|" in body else (body, "", body)
-        whole = f"[[{body}]]"
-        at = text.find(whole)
-        start = text[:at].count(" ") if at >= 0 else -1
-        out.append((link, start, start + label.count(" ") if at >= 0 else -1))
-        text = text.replace(whole, label).replace(body, label)
-    return text, out
+def _spaces(text: Column) -> Column:
+    return (F.length(text) - F.length(F.replace(text, F.lit(" "), F.lit("")))).cast("long")
 
 
 def link_positions(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(id, plain, links) by links_and_positions, in batches."""
-    kind = docs.schema[id].dataType.simpleString()
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            got = [links_and_positions(t or "") for t in pdf["text"]]
-            links = [[{"link": a, "start": b, "end": c} for a, b, c in x[1]] for x in got]
-            yield pd.DataFrame({"id": pdf["id"], "plain": [x[0] for x in got], "links": links})
-
-    schema = f"id {kind}, plain string, links array<struct<link: string, start: long, end: long>>"
-    return docs.select(F.col(id).alias("id"), F.col(text).alias("text")).mapInPandas(run, schema)
-
-
-def find_balanced(text: str, open: str = "[[", close: str = "]]") -> Iterator[tuple[int, int]]:
-    """(start, end) of every outermost balanced pair of delimiters."""
-    depth = start = i = 0
-    while i < len(text):
-        if text.startswith(open, i):
-            start = i if depth == 0 else start
-            depth, i = depth + 1, i + len(open)
-        elif depth and text.startswith(close, i):
-            depth, i = depth - 1, i + len(close)
-            if depth == 0:
-                yield start, i
-        else:
-            i += 1
+    """(id, plain, links(link, start, end)): links as label, with their words' places, link by link.
+
+    A fold whose state is the text as rewritten so far. Positions count single spaces
+    before the label in it; every occurrence of a link's body is replaced at once, and a
+    link that is no longer there when its turn comes has position -1. A null text is empty.
+    """
+
+    def rewrite(state: Column, body: Column) -> Column:
+        link = F.when(body.contains("|"), F.substring_index(body, "|", 1)).otherwise(body)
+        label = F.when(body.contains("|"), F.substr(body, F.length(link) + 2)).otherwise(body)
+        whole = F.concat(F.lit("[["), body, F.lit("]]"))
+        at = F.position(whole, state["plain"])
+        start = F.when(at > 0, _spaces(F.substr(state["plain"], F.lit(1), at - 1))).otherwise(-1)
+        end = F.when(at > 0, start + _spaces(label)).otherwise(-1)
+        found = F.struct(link.alias("link"), start.alias("start"), end.alias("end"))
+        plain = F.replace(F.replace(state["plain"], whole, label), body, label)
+        return F.struct(plain.alias("plain"), F.array_append(state["links"], found).cast(POSITIONS).alias("links"))
+
+    t = F.coalesce(F.col(text), F.lit(""))
+    start = F.struct(t.alias("plain"), F.array().cast(POSITIONS).alias("links"))
+    done = F.aggregate(F.regexp_extract_all(t, F.lit(LINK), 1), start, rewrite)
+    rows = docs.select(F.col(id).alias("id"), F.explode_outer(F.array(done)).alias("x"))
+    return rows.select("id", "x.plain", "x.links")
 
 
 #: Pairs of delimiters that nest in pages.
 DELIMITERS = (("[[", "]]"), ("{{", "}}"), ("{|", "|}"))
+SPANS = "array<struct<start: bigint, end: bigint, title: bigint, label: bigint>>"
+
+
+def _spans(text: Column, open: str, close: str) -> Column:
+    """Outermost balanced stretches between delimiters: their start and end, and the place of
+    the first pipe inside and of the one that the label stands behind, -1 without any.
+
+    Delimiters, pipes and what is between them are events in order, folded with a running
+    depth. The label's pipe is the first one, or the last of those between it, or a nested
+    stretch, and the next nested stretch.
+    """
+    if any(close[k:] and open.startswith(close[k:]) for k in range(1, len(close))):
+        raise ValueError("an opening delimiter must not begin inside a closing one")
+    a, b = ("".join(f"\\x{ord(c):02x}" for c in d) for d in (open, close))
+    firsts = "".join(sorted({a[:4], b[:4], r"\x7c"}))
+    events = F.regexp_extract_all(text, F.lit(f"(?s){a}|{b}|[^{firsts}]+|."), 0)
+
+    def step(s: Column, event: Column) -> Column:
+        opens, closes, pipe = event == open, (event == close) & (s["depth"] > 0), event == "|"
+        depth = s["depth"] + F.when(opens, 1).when(closes, -1).otherwise(0)
+        begins, ends = opens & (s["depth"] == 0), closes & (s["depth"] == 1)
+        end = s["at"] + F.length(event)
+        first = pipe & (s["depth"] > 0) & (s["title"] < 0)
+        none = F.lit(-1).cast("long")
+        label = F.when(begins, none).when(first, s["at"]).when(opens & (s["depth"] == 1) & (s["last"] >= 0), s["last"])
+        last = F.when(opens | closes | first, none).when(pipe & (s["depth"] == 1) & (s["title"] >= 0), s["at"])
+        span = F.struct(s["start"].alias("start"), end.alias("end"), s["title"].alias("title"), s["label"].alias("label"))
+        return F.struct(
+            end.alias("at"),
+            depth.alias("depth"),
+            F.when(begins, s["at"]).otherwise(s["start"]).alias("start"),
+            F.when(begins, none).when(first, s["at"]).otherwise(s["title"]).alias("title"),
+            label.otherwise(s["label"]).alias("label"),
+            last.otherwise(s["last"]).alias("last"),
+            F.when(ends, F.array_append(s["spans"], span)).otherwise(s["spans"]).cast(SPANS).alias("spans"),
+        )
+
+    zero, none = F.lit(0).cast("long"), F.lit(-1).cast("long")
+    start = F.struct(
+        zero.alias("at"), F.lit(0).alias("depth"), zero.alias("start"), none.alias("title"), none.alias("label"),
+        none.alias("last"), F.array().cast(SPANS).alias("spans"),
+    )
+    return F.aggregate(events, start, step, lambda s: s["spans"])
 
 
 def balanced_spans(docs: DataFrame, id: str = "doc_id", text: str = "text", pairs: Sequence[tuple[str, str]] = DELIMITERS) -> DataFrame:
-    """(id, open, start, end): every outermost balanced stretch of each pair of delimiters, in batches."""
-    kind = docs.schema[id].dataType.simpleString()
+    """(id, open, start, end): every outermost balanced stretch of each pair of delimiters.
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = [(i, a, *at) for i, t in zip(pdf["id"], pdf["text"], strict=True) for a, b in pairs for at in find_balanced(t or "", a, b)]
-            yield pd.DataFrame(rows, columns=["id", "open", "start", "end"])
+    Null texts have none. A pair whose opening delimiter could begin inside its closing one raises.
+    """
+    def found(open: str, close: str) -> Column:
+        named = F.transform(
+            _spans(F.col(text), open, close), lambda s: F.struct(F.lit(open).alias("open"), s["start"].alias("start"), s["end"].alias("end"))
+        )
+        return F.coalesce(named, F.array().cast("array<struct<open: string, start: bigint, end: bigint>>"))
 
-    return docs.select(F.col(id).alias("id"), F.col(text).alias("text")).mapInPandas(run, f"id {kind}, open string, start long, end long")
+    return docs.select(F.col(id).alias("id"), F.inline(F.flatten(F.array(*[found(a, b) for a, b in pairs]))))
 
 
 def rewrite_links(text: Column) -> Column:
-    """replace_internal_links as a column, in batches; null stays null."""
+    """Wiki links as [[wiki/Title|label]], the word that follows and nested links taken in; null stays null.
+
+    The title is what stands before the first pipe, the label what stands behind the pipe
+    that _spans finds; a link into an unknown namespace leaves the word behind it alone.
+    """
+    before = lambda i: F.greatest(F.lit(0).cast("long"), i)
+
+    def rewritten(p: Column) -> Column:
+        t = p["text"]
+        part = lambda a, b: F.substr(t, (a + 1).cast("int"), (b - a).cast("int"))
+        trail = lambda s: F.regexp_extract(F.substr(t, (s["end"] + 1).cast("int")), r"^[\p{L}\p{N}_]*", 0)
+        spans = F.transform(p["spans"], lambda s: F.struct(s.alias("s"), trail(s).alias("trail")))
+
+        def piece(x: Column, done: Column) -> Column:
+            s = x["s"]
+            title = F.when(s["title"] < 0, part(s["start"] + 2, s["end"] - 2)).otherwise(
+                F.regexp_replace(part(s["start"] + 2, before(s["title"])), rf"{WS}+\z", "")
+            )
+            label = F.when(s["title"] < 0, title).otherwise(strip(part(before(s["label"]) + 1, s["end"] - 2)))
+            return F.concat(part(done, s["start"]), internal_link(title, label), x["trail"])
+
+        def step(state: Column, x: Column) -> Column:
+            return F.struct(
+                F.concat(state["out"], piece(x, state["done"])).alias("out"), (x["s"]["end"] + F.length(x["trail"])).alias("done")
+            )
 
-    @F.pandas_udf("string")
-    def rewritten(s: pd.Series) -> pd.Series:
-        return s.map(replace_internal_links, na_action="ignore")
+        start = F.struct(F.lit("").alias("out"), F.lit(0).cast("long").alias("done"))
+        return F.aggregate(spans, start, step, lambda s: F.concat(s["out"], F.substr(t, (s["done"] + 1).cast("int"))))
 
-    return rewritten(text)
+    # Bound to names inside one-element arrays, so that text and spans are formed once.
+    one = F.array(F.struct(text.alias("text"), _spans(text, "[[", "]]").alias("spans")))
+    return F.when(text.isNotNull(), F.get(F.transform(one, rewritten), 0))
 
 
 def dump_records(dump: DataFrame, titles: DataFrame | None = None, rewrite: bool = False) -> DataFrame:
@@ -134,52 +187,19 @@ def zip_by_place(left: DataFrame, right: DataFrame, ord: str = "ord") -> DataFra
     return left.join(right, ord)
 
 
-def make_internal_link(title: str, label: str) -> str:
-    """[[wiki/Title|label]]; nothing where the title is in an unknown namespace."""
-    colon = title.find(":")
-    if colon == 0:
-        title, colon = title[1:], title[1:].find(":")
-    if colon > 0 and title[:colon] not in NAMESPACES:
-        return ""
-    title = title.strip().replace(" ", "_")
-    return f"[[{LINK_PREFIX}{title[:1].upper()}{title[1:]}|{label}]]"
-
-
 def internal_link(title: Column, label: Column) -> Column:
-    """make_internal_link as a column expression."""
-    bare = F.when(title.startswith(":"), F.substr(title, F.lit(2))).otherwise(title)
-    space = F.substring_index(bare, ":", 1)
-    known = ~bare.contains(":") | bare.startswith(":") | space.isin(*NAMESPACES)
-    name = F.replace(strip(bare), F.lit(" "), F.lit("_"))
-    name = F.concat(F.upper(F.left(name, F.lit(1))), F.substr(name, F.lit(2)))
+    """[[wiki/Title|label]]: first letter upper-cased, white space joined by single underscores.
+
+    '' where the title is in an unknown namespace; a leading colon is no namespace, and stays.
+    """
+    space = F.substring_index(F.regexp_replace(title, "^:", ""), ":", 1)
+    known = ~F.regexp_replace(title, "^:", "").rlike("^[^:]+:") | space.isin(*NAMESPACES)
+    name = F.concat(F.upper(F.left(title, F.lit(1))), F.substr(title, F.lit(2)))
+    name = F.array_join(words(name), "_")
     link = F.concat(F.lit("[[" + LINK_PREFIX), name, F.lit("|"), label, F.lit("]]"))
     return F.when(known, link).otherwise("")
 
 
-def replace_internal_links(text: str) -> str:
-    """Rewrites wiki links, taking in the word that follows and nested links."""
-    import re
-
-    out, last = [], 0
-    for start, end in find_balanced(text):
-        trail = re.match(r"\w+", text[end:])
-        behind = end + trail.end() if trail else end
-        inner = text[start + 2 : end - 2]
-        pipe = _outer_pipe(inner)
-        title = inner if pipe < 0 else inner[: inner.index("|")].rstrip()
-        label = title if pipe < 0 else inner[pipe + 1 :].strip()
-        out += [text[last:start], make_internal_link(title, label), trail.group() if trail else ""]
-        last = behind
-    return "".join([*out, text[last:]])
-
-
-def _outer_pipe(inner: str) -> int:
-    """Place of the last | that stands in no nested link."""
-    nested = list(find_balanced(inner))
-    places = [i for i, c in enumerate(inner) if c == "|" and not any(a <= i < b for a, b in nested)]
-    return places[-1] if places else -1
-
-
 def unwrap_highlight(text: Column) -> Column:
     return F.regexp_replace(text, HIGHLIGHT, "$1$2")
 

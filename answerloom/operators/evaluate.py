@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
@@ -157,9 +156,8 @@ class NBest:
 Tokenise = Callable[[str], list[str]]
 
 
-def basic_tokens(text: str) -> list[str]:
-    """Lower-cased words and single marks: stands in for a reader's own tokenizer."""
-    return re.findall(r"\w+|[^\w\s]", text.lower())
+#: Basic tokens, which stand in for a reader's own: words, and single marks, of the lower-cased text.
+TOKEN = r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s\x0b\x1c-\x1f\x85\p{Z}]"
 
 
 def piece_text(tokens: Column) -> Column:
@@ -167,7 +165,7 @@ def piece_text(tokens: Column) -> Column:
     return F.regexp_replace(F.trim(F.replace(F.array_join(tokens, " "), F.lit(" ##"), F.lit(""))), r"\s+", " ")
 
 
-def _with_text(spans: DataFrame, examples: DataFrame, tokenise: Tokenise) -> DataFrame:
+def _with_text(spans: DataFrame, examples: DataFrame, tokenise: Tokenise | None) -> DataFrame:
     """Adds text to spans(qid, tokens, orig_map, start, end, ...): the words they came from."""
     length = lambda a, b: (F.col(b) - F.col(a) + 1).cast("int")
     met = spans.withColumns(
@@ -190,7 +188,7 @@ def _first_of_each(rows: DataFrame, order: Sequence[Column], n: int, always: Col
 
 def predictions_logits(
     features: DataFrame, examples: DataFrame, n: int = 20, max_length: int = MAX_ANSWER_LENGTH,
-    null_threshold: float | None = None, tokenise: Tokenise = basic_tokens,
+    null_threshold: float | None = None, tokenise: Tokenise | None = None,
 ) -> NBest:
     """n-best answers of each question from the logits of its features.
 
@@ -257,7 +255,7 @@ def predictions_logits(
 
 
 def predictions_log_probs(
-    features: DataFrame, examples: DataFrame, n: int = 5, max_length: int = MAX_ANSWER_LENGTH, tokenise: Tokenise = basic_tokens
+    features: DataFrame, examples: DataFrame, n: int = 5, max_length: int = MAX_ANSWER_LENGTH, tokenise: Tokenise | None = None
 ) -> NBest:
     """n-best answers from top starts and, for each of them, top ends.
 
@@ -293,29 +291,38 @@ def predictions_log_probs(
     return NBest(best, first.select("qid", "first.*"), features.groupBy("qid").agg(F.min("cls_logit").alias("null_odds")))
 
 
-def final_text(pred: str, original: str, tokenised: str) -> str:
-    """The stretch of original that pred, a stretch of its tokenised form, came from.
-
-    Characters other than spaces are matched one to one by their number, whatever case
-    they have; where the numbers differ, or pred is not found, the original is returned.
-    """
-    at = tokenised.find(pred)
-    a, b = ([i for i, c in enumerate(s) if c != " "] for s in (original, tokenised))
-    if at < 0 or len(a) != len(b):
-        return original
-    places = {i: a[k] for k, i in enumerate(b)}
-    first, last = places.get(at), places.get(at + len(pred) - 1)
-    return original if first is None or last is None else original[first : last + 1]
+def _inked(text: Column) -> Column:
+    """Places, from 0, of the characters that are no spaces."""
+    places = F.when(F.length(text) > 0, F.sequence(F.lit(1), F.length(text))).otherwise(F.array().cast("array<int>"))
+    return F.transform(F.filter(places, lambda i: F.substr(text, i, F.lit(1)) != " "), lambda i: i - 1)
 
 
-def with_final_text(rows: DataFrame, tokenise: Tokenise = basic_tokens) -> DataFrame:
-    """Adds final to rows(pred, original), in batches; the original is tokenised here."""
+def with_final_text(rows: DataFrame, tokenise: Tokenise | None = None) -> DataFrame:
+    """Adds final to rows(pred, original): the stretch of original that pred, of its tokens, came from.
 
-    @F.pandas_udf("string")
-    def final(pred: pd.Series, original: pd.Series) -> pd.Series:
-        return pd.Series([final_text(p, o, " ".join(tokenise(o))) for p, o in zip(pred, original, strict=True)], dtype=object)
-
-    return rows.withColumn("final", final(F.coalesce("pred", F.lit("")), F.coalesce("original", F.lit(""))))
+    The original is tokenised here, by basic tokens unless another tokeniser is given, which
+    then runs in batches. Characters other than spaces are matched one to one by their
+    number, whatever case they have; where the numbers differ, or pred is not found, the
+    original is the answer. Nulls are empty.
+    """
+    pred, original = (F.coalesce(c, F.lit("")) for c in ("pred", "original"))
+    tokens = F.array_join(F.regexp_extract_all(F.lower(original), F.lit(TOKEN), 0), " ")
+    if tokenise:
+
+        @F.pandas_udf("string")
+        def tokenised(texts: pd.Series) -> pd.Series:
+            return texts.map(lambda t: " ".join(tokenise(t)))
+
+        tokens = tokenised(original)
+    formed = F.struct(pred.alias("p"), original.alias("o"), tokens.alias("t"), _inked(original).alias("a"))
+    # Behind an explode, so that each is formed once.
+    staged = rows.withColumn("__x", F.explode_outer(F.array(formed))).withColumn("__b", F.explode_outer(F.array(_inked(F.col("__x.t")))))
+    x = F.col("__x")
+    at = F.position(x["p"], x["t"]) - 1
+    place = lambda i: F.get(x["a"], (F.array_position("__b", i) - 1).cast("int"))
+    first, last = place(at), place(at + F.length(x["p"]) - 1)
+    met = (at >= 0) & (F.length(x["p"]) > 0) & (F.size(x["a"]) == F.size("__b")) & first.isNotNull() & last.isNotNull()
+    return staged.withColumn("final", F.when(met, F.substr(x["o"], first + 1, last - first + 1)).otherwise(x["o"])).drop("__x", "__b")
 
 
 def best_threshold_with_answered(scores: DataFrame, score: str) -> DataFrame:

@@ -2,11 +2,8 @@
 
 from __future__ import annotations
 
-import math
-from collections.abc import Sequence
-from statistics import mean, median
+from collections.abc import Callable, Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -88,78 +85,108 @@ def ordered_distinct(df: DataFrame, by: Sequence[str], value: str, ord: str = "o
     return df.withColumn("__n", F.row_number().over(w)).filter("__n = 1").drop("__n")
 
 
-def char_grams(text: str, n: int) -> list[str]:
-    return [text[i : i + n] for i in range(len(text) - n + 1)]
+GROUPS = "array<struct<head: string, weight: double, members: array<struct<place: int, answer: string, size: int>>>>"
 
 
-def gram_match(a: str, b: str, n: int) -> float:
-    x, y = char_grams(a, n), char_grams(b, n)
-    total = (len(x) + len(y)) / 2
-    known = set(y)
-    return sum(g in known for g in x) / total if total else 0.0
+def _size(text: Column) -> Column:
+    """Words as single spaces part them."""
+    return F.size(F.split(text, " "))
 
 
-def majority(
-    candidates: Sequence[str], weights: Sequence[float] = VOTE_WEIGHTS, threshold: float = VOTE_THRESHOLD, ngram: int | None = None
-) -> tuple[int, str] | None:
-    """(place, answer) that most of the ordered candidates agree on; None without as many weights.
+def _grams(text: Column, n: Column) -> Column:
+    last = F.length(text) - n + 1
+    return F.when(last > 0, F.transform(F.sequence(F.lit(1), last), lambda i: F.substr(text, i, n))).otherwise(F.array().cast("array<string>"))
+
+
+def gram_match(a: Column, b: Column, n: Column) -> Column:
+    """Share of a's n-grams that b has, of the mean number of both; 0 where neither has any."""
+    pair = F.struct(_grams(a, n).alias("x"), _grams(b, n).alias("y"))
+    both = lambda p: F.try_divide(
+        2.0 * F.size(F.filter(p["x"], lambda g: F.array_contains(p["y"], g))), F.size(p["x"]) + F.size(p["y"])
+    )
+    return F.coalesce(F.get(F.transform(F.array(pair), both), 0), F.lit(0.0))
+
+
+def _ceil_mean(xs: Column) -> Column:
+    return F.ceil(F.aggregate(xs, F.lit(0), lambda s, x: s + x) / F.size(xs))
 
-    Words are what single spaces part. Candidates that hold no letter, digit or space
-    are left out; None if all are. If the first one comes again, word for word, the place
-    is that of the first of those holding it that is longer than their mean, else 0.
-    Otherwise each candidate joins the first leader that it shares enough n-grams with;
-    of the heaviest group the first member of mean length, rounded up, is taken, with its
-    place among all candidates, else the leader with place 0. n is the median number of
-    words, but 1 where their mean is below 2.
-    """
-    if len(candidates) != len(weights) or not candidates:
-        return None
-    sizes = [len(c.split(" ")) for c in candidates]
-    n = 1 if mean(sizes) < 2 else ngram or math.ceil(median(sizes))
-    clean = [(place, c, _normal(c), w) for place, (c, w) in enumerate(zip(candidates, weights, strict=True))]
-    clean = [x for x in clean if x[2]]
-    if not clean:
-        return None
-    wordings = [x[2] for x in clean]
-    first = wordings[0]
-    if first in wordings[1:]:
-        holding = [(place, len(x.split(" "))) for place, x in enumerate(wordings) if place and first in x]
-        bound = math.ceil(mean(size for _, size in holding))
-        return next((place for place, size in holding if size > bound), 0), clean[0][1]
-    heads: dict[str, list[tuple[int, str, str, float]]] = {}
-    for x in clean:
-        head = next((h for h in heads if gram_match(x[2], h, n) >= threshold), None)
-        if head is None:
-            heads[x[2]] = [x]  # a wording too short to match even itself starts anew
-        else:
-            heads[head].append(x)
-    best = max(heads.values(), key=lambda g: sum(x[3] for x in g))
-    size = math.ceil(mean(len(x[1].split(" ")) for x in best))
-    return next(((x[0], x[1]) for x in best if len(x[1].split(" ")) == size), (0, best[0][1]))
-
-
-def _normal(text: str) -> str:
-    from answerloom.functions.text import ACCENTED
-
-    kept = set("abcdefghijklmnopqrstuvwxyz0123456789 " + ACCENTED)
-    return "".join(c for c in text.lower() if c in kept).replace("bullet", "")
-
-
-def majority_vote(answers: DataFrame, k: int = len(VOTE_WEIGHTS)) -> DataFrame:
-    """(qid, place, answer) over each question's first k answers by ord.
-
-    Clustering depends on order, so a question is one Python call; its input is cut
-    to k rows before the shuffle. A question with fewer than k answers has no vote.
-    """
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        got = majority(pdf.sort_values("ord")["answer"].tolist())
-        rows = [(pdf["qid"].iloc[0], *got)] if got else []
-        return pd.DataFrame(rows, columns=["qid", "place", "answer"])
+def _first_where(xs: Column, test: Callable[[Column], Column]) -> Column:
+    return F.get(F.filter(xs, test), 0)
 
+
+def _leaders(clean: Column, n: Column, threshold: float) -> Column:
+    """Candidates folded, in order, into groups under the first leader that each matches."""
+
+    def join(groups: Column, x: Column) -> Column:
+        member = F.struct(x["place"].alias("place"), x["answer"].alias("answer"), x["size"].alias("size"))
+        alone = F.struct(x["wording"].alias("head"), x["weight"].alias("weight"), F.array(member).alias("members"))
+        places = F.transform(groups, lambda g, i: F.when(gram_match(x["wording"], g["head"], n) >= threshold, i))
+        at = F.array_min(F.array_compact(places))
+        grown = F.transform(
+            groups,
+            lambda g, i: F.when(
+                i == at,
+                F.struct(g["head"].alias("head"), (g["weight"] + x["weight"]).alias("weight"), F.array_append(g["members"], member).alias("members")),
+            ).otherwise(g),
+        )
+        # A wording too short to match even itself starts its group anew.
+        again = F.transform(groups, lambda g: F.when(g["head"] == x["wording"], alone).otherwise(g))
+        known = F.exists(groups, lambda g: g["head"] == x["wording"])
+        return F.when(at.isNotNull(), grown).when(known, again).otherwise(F.array_append(groups, alone)).cast(GROUPS)
+
+    return F.aggregate(clean, F.array().cast(GROUPS), join)
+
+
+def majority_vote(
+    answers: DataFrame, weights: Sequence[float] = VOTE_WEIGHTS, threshold: float = VOTE_THRESHOLD, ngram: int | None = None
+) -> DataFrame:
+    """(qid, place, answer) that most of each question's first answers, by ord, agree on.
+
+    As many answers as there are weights are asked; a question with fewer, or without any
+    that holds a letter, digit or space, has no vote. Words are what single spaces part.
+    If the first wording comes again, word for word, the place is that of the first of
+    those holding it that is longer than their mean, else 0. Otherwise each answer joins
+    the first leader that it shares enough n-grams with; of the heaviest group the first
+    member of mean length, rounded up, is taken, with its place among all answers, else
+    the leader with place 0. n is the median number of words, but 1 where their mean is
+    below 2. Answers are cut to as many as weights before they are brought together, so a
+    question's fold is of that size.
+    """
+    k = len(weights)
     first = top_k(answers.select("qid", "answer", "ord"), ["qid"], [F.asc("ord")], k).drop("rank")
-    kind = answers.schema["qid"].dataType.simpleString()
-    return first.groupBy("qid").applyInPandas(one, f"qid {kind}, place long, answer string")
+    rows = first.groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("ord", "answer"))).alias("given")).filter(F.size("given") == k)
+    rows = rows.select("qid", F.transform("given", lambda x: x["answer"]).alias("given"))
+    sizes = F.array_sort(F.transform("given", _size))
+    middle = (F.get(sizes, (k - 1) // 2) + F.get(sizes, k // 2)) / 2
+    n = F.when(F.aggregate(sizes, F.lit(0), lambda s, x: s + x) < 2 * k, 1).otherwise(F.lit(ngram) if ngram else F.ceil(middle))
+    one = lambda c, i: F.struct(
+        i.alias("place"), c.alias("answer"), vote_norm(c).alias("wording"), _size(c).alias("size"),
+        F.get(F.array(*[F.lit(float(w)) for w in weights]), i).alias("weight"),
+    )
+    clean = F.filter(F.transform("given", one), lambda x: x["wording"] != "")
+    # Formed once, behind an explode, and not again for every use below.
+    rows = rows.select("qid", F.explode_outer(F.array(F.struct(n.cast("int").alias("n"), clean.alias("clean")))).alias("x"))
+    rows = rows.select("qid", "x.*").filter(F.size("clean") > 0).withColumn("first", F.get("clean", 0))
+    wording = F.col("first.wording")
+    holding = F.filter(
+        F.transform("clean", lambda x, i: F.struct(i.alias("place"), x["wording"].alias("wording"), _size(x["wording"]).alias("size"))),
+        lambda x: (x["place"] > 0) & x["wording"].contains(wording),
+    )
+    again = F.exists("clean", lambda x: (x["place"] != F.col("first.place")) & (x["wording"] == wording))
+    longer = _first_where(holding, lambda x: x["size"] > _ceil_mean(F.transform(holding, lambda y: y["size"])))["place"]
+    chosen_type = "struct<place: int, answer: string>"
+    repeated = F.struct(F.coalesce(longer, F.lit(0)).alias("place"), F.col("first.answer").alias("answer")).cast(chosen_type)
+    groups = F.when(~again, _leaders(F.col("clean"), F.col("n"), threshold))
+    rows = rows.select("qid", F.when(again, repeated).alias("repeated"), F.explode_outer(F.array(groups)).alias("groups"))
+    heaviest = F.array_max(F.transform("groups", lambda g: g["weight"]))
+    rows = rows.withColumn("best", _first_where(F.col("groups"), lambda g: g["weight"] == heaviest)["members"])
+    mean = _ceil_mean(F.transform("best", lambda m: m["size"]))
+    leader = F.struct(F.lit(0).alias("place"), F.get("best", 0)["answer"].alias("answer")).cast(chosen_type)
+    middle_one = _first_where(F.col("best"), lambda m: m["size"] == mean)
+    member = F.struct(middle_one["place"].alias("place"), middle_one["answer"].alias("answer")).cast(chosen_type)
+    chosen = F.coalesce("repeated", F.when(middle_one.isNotNull(), member), leader)
+    return rows.select("qid", chosen.alias("c")).select("qid", F.col("c.place").cast("long").alias("place"), "c.answer")
 
 
 def vote_key(answer: Column) -> Column:

@@ -177,7 +177,36 @@ def vote_wording(spark, sf_dir):
     return answers(spark, sf_dir).select("qid", "ord", voting.vote_key(F.col("answer")).alias("wording"))
 
 
-@query()
+def sql_majority() -> str:
+    """CTEs from good(qid, answer, ord) to a query of (qid, place, answer): the fold as a recursion over candidates."""
+    weights = list(voting.VOTE_WEIGHTS)
+    k, size = len(weights), "len(string_split({}, ' '))".format
+    grams = "list_transform(range(1, length({0}) - n + 2), lambda c: substr({0}, c, n))".format
+    x, y = grams("x.wording"), grams("groups[g + 1].head")
+    share = f"coalesce(2.0 * len(list_filter({x}, lambda p: list_contains({y}, p))) / nullif(len({x}) + len({y}), 0), 0)"
+    alone = "{'head': x.wording, 'weight': x.weight, 'members': [member]}"
+    grown = "{'head': groups[g + 1].head, 'weight': groups[g + 1].weight + x.weight, 'members': list_append(groups[g + 1].members, member)}"
+    mean = "ceil(list_avg(list_transform({0}, lambda m: m.size)))".format
+    return f"""firsts AS (SELECT qid, list(answer ORDER BY ord) AS given FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY ord) AS r FROM good) WHERE r <= {k} GROUP BY qid HAVING count(*) = {k}),
+sized AS (SELECT qid, given, list_transform(given, lambda c: {size('c')}) AS sizes, list_transform(given, lambda answer: {VOTE_KEY}) AS wordings FROM firsts),
+cases AS (SELECT qid, (CASE WHEN list_sum(sizes) < {2 * k} THEN 1 ELSE ceil(list_median(sizes)) END)::BIGINT AS n,
+  list_filter(list_transform(range({k}), lambda i: {{'place': i, 'answer': given[i + 1], 'wording': wordings[i + 1], 'size': sizes[i + 1], 'weight': {weights}[i + 1]::DOUBLE}}), lambda x: x.wording <> '') AS clean FROM sized),
+held AS (SELECT *, len(list_filter(clean[2:], lambda x: x.wording = clean[1].wording)) > 0 AS again,
+  list_filter(list_transform(range(1, len(clean)), lambda i: {{'place': i, 'wording': clean[i + 1].wording, 'size': {size('clean[i + 1].wording')}}}), lambda x: contains(x.wording, clean[1].wording)) AS holding
+  FROM cases WHERE len(clean) > 0),
+folded AS (SELECT qid, 0 AS i, []::STRUCT(head VARCHAR, weight DOUBLE, members STRUCT(place BIGINT, answer VARCHAR, size BIGINT)[])[] AS groups FROM held
+  UNION ALL SELECT qid, i + 1, CASE WHEN hit IS NOT NULL THEN list_transform(range(len(groups)), lambda g: CASE WHEN g = hit THEN {grown} ELSE groups[g + 1] END)
+    WHEN len(list_filter(groups, lambda g: g.head = x.wording)) > 0 THEN list_transform(groups, lambda g: CASE WHEN g.head = x.wording THEN {alone} ELSE g END)
+    ELSE list_append(groups, {alone}) END
+  FROM (SELECT *, {{'place': x.place, 'answer': x.answer, 'size': x.size}} AS member, list_min(list_filter(range(len(groups)), lambda g: {share} >= {voting.VOTE_THRESHOLD})) AS hit
+    FROM (SELECT folded.*, n, clean[i + 1] AS x FROM folded JOIN held USING (qid) WHERE i < len(clean)))),
+led AS (SELECT qid, list_filter(groups, lambda g: g.weight = list_max(list_transform(groups, lambda h: h.weight)))[1].members AS best FROM folded JOIN held USING (qid) WHERE i = len(clean)),
+middles AS (SELECT qid, best, list_filter(best, lambda m: m.size = {mean('best')})[1] AS middle FROM led)
+SELECT qid, (CASE WHEN again THEN coalesce(list_filter(holding, lambda x: x.size > {mean('holding')})[1].place, 0) ELSE coalesce(middle.place, 0) END)::BIGINT AS place,
+  CASE WHEN again THEN clean[1].answer ELSE coalesce(middle.answer, best[1].answer) END AS answer FROM held JOIN middles USING (qid)"""
+
+
+@query(f"WITH RECURSIVE {VOTE_CTES}, {sql_majority()}")
 def majority_vote(spark, sf_dir):
     return voting.majority_vote(answers(spark, sf_dir))
 

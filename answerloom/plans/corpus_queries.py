@@ -14,6 +14,7 @@ from answerloom.plans import pipelines
 from answerloom.plans.answer_queries import index, questions
 from answerloom.plans.registry import contains_any, normalized_answer, query, steps, strip, table, text, words
 from answerloom.sources.readers import flatten_squad
+from answerloom.sources.shared import numbered
 from answerloom.sources.writers import submission
 
 ANCHOR = '<a href="/([^"]*)">([^<]*)</a>'
@@ -39,24 +40,9 @@ def wiki(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def numbered(df: DataFrame, by: str, ord: str = "ord") -> DataFrame:
-    """df with its place, from 1, in order of different values of by.
-
-    Rows are numbered within the first characters of by, and these by their counts, so
-    no task sorts more than the rows that begin alike.
-    """
-    head = F.left(F.coalesce(by, F.lit("")), F.lit(3))
-    counts = df.groupBy(head.alias("__head")).agg(F.count("*").alias("__n"))
-    before = F.sum("__n").over(Window.orderBy("__head").rowsBetween(Window.unboundedPreceding, -1))
-    counts = counts.select("__head", F.coalesce(before, F.lit(0)).alias("__before"))
-    inside = F.row_number().over(Window.partitionBy("__head").orderBy(by))
-    met = df.withColumn("__head", head).withColumn("__own", inside).join(counts, "__head")
-    return met.withColumn(ord, (F.col("__before") + F.col("__own")).cast("long")).drop("__head", "__own", "__before")
-
-
 def titles(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = link_edges(spark, sf_dir).select(F.substr("link", F.lit(6)).alias("title")).distinct()
-    return numbered(t, "title")
+    return numbered(t, ["title"])
 
 
 @query(f"WITH {EDGES} SELECT label, link, source_title, place FROM edges")
@@ -96,9 +82,21 @@ def plain_links(spark, sf_dir):
     return wiki(spark, sf_dir).select("page_id", corpus.plain_links(F.col("text")).alias("plain"))
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE {WIKI}, b AS (SELECT page_id, text, regexp_extract_all(text, '\\[\\[([^\\]]+)\\]\\]', 1) AS bodies FROM w),
+r AS (SELECT page_id, 0 AS i, text AS plain, []::STRUCT(link VARCHAR, first BIGINT, label VARCHAR)[] AS links FROM b
+  UNION ALL SELECT page_id, i + 1, replace(replace(plain, '[[' || body || ']]', label), body, label), list_append(links, {{'link': link,
+    'first': CASE WHEN hit > 0 THEN length(substr(plain, 1, hit - 1)) - length(replace(substr(plain, 1, hit - 1), ' ', '')) ELSE -1 END, 'label': label}})
+  FROM (SELECT *, strpos(plain, '[[' || body || ']]') AS hit, split_part(body, '|', 1) AS link,
+    CASE WHEN contains(body, '|') THEN substr(body, strpos(body, '|') + 1) ELSE body END AS label
+    FROM (SELECT r.*, bodies[i + 1] AS body FROM r JOIN b USING (page_id) WHERE i < len(bodies)))),
+found AS (SELECT page_id, plain, unnest(links) AS x, unnest(range(len(links))) AS place FROM r JOIN b USING (page_id) WHERE i = len(bodies))
+SELECT page_id AS id, plain, place, x.link AS link, x.first AS first_word,
+  CASE WHEN x.first < 0 THEN -1 ELSE x.first + length(x.label) - length(replace(x.label, ' ', '')) END AS last_word FROM found"""
+)
 def link_positions(spark, sf_dir):
-    return corpus.link_positions(wiki(spark, sf_dir), "page_id")
+    found = corpus.link_positions(wiki(spark, sf_dir), "page_id").select("id", "plain", F.posexplode("links").alias("place", "x"))
+    return found.select("id", "plain", F.col("place").cast("long").alias("place"), "x.link", F.col("x.start").alias("first_word"), F.col("x.end").alias("last_word"))
 
 
 @query(
@@ -225,9 +223,20 @@ def titled_records(spark, sf_dir):
     return corpus.dump_records(w, w.filter(F.col("text").contains("wiki/a")).select("title")).select("page_id", "title")
 
 
-@query(f"WITH {WIKI} SELECT page_id, regexp_replace(text, '\\[\\[wiki/([^|\\]]*)\\|([^\\]]*)\\]\\]', '[[wiki/Wiki/\\1|\\2]]', 'g') AS text FROM w")
+REWRITTEN = "regexp_replace(text, '\\[\\[wiki/([^|\\]]*)\\|([^\\]]*)\\]\\]', '[[wiki/Wiki/\\1|\\2]]', 'g')"
+PLAIN_TITLE = "translate(title, ':|', '  ')"
+NAMED = f"(SELECT *, {PLAIN_TITLE} AS t, array_to_string({words(PLAIN_TITLE)}, '_') AS name FROM w)"
+
+
+@query(
+    f"WITH {WIKI} SELECT page_id, {REWRITTEN} || ' [[wiki/' || upper(substr(name, 1, 1)) || substr(name, 2) || '|' || t || ']]s "
+    "[[wiki/T|c [[a|b]] d]]x' AS text FROM " + NAMED
+)
 def links_rewritten(spark, sf_dir):
-    return corpus.dump_records(wiki(spark, sf_dir), rewrite=True).select("page_id", "text")
+    """Piped links of the pages, a bare link to the title with a word behind it, and a nested link."""
+    title = F.translate("title", ":|", "  ")
+    more = F.concat("text", F.lit(" [["), title, F.lit("]]s [[t|x|c [[a|b]] d]]x"))
+    return corpus.dump_records(wiki(spark, sf_dir).withColumn("text", more), rewrite=True).select("page_id", "text")
 
 
 @query(
@@ -241,14 +250,13 @@ def balanced_spans(spark, sf_dir):
 
 @query(
     "WITH t AS (SELECT text AS question, row_number() OVER (ORDER BY item_id) AS ord FROM benchmark), "
-    "a AS (SELECT text AS answer, row_number() OVER (ORDER BY conv_id, turn) AS ord FROM conversations) SELECT ord, question, answer FROM t JOIN a USING (ord)"
+    "a AS (SELECT text AS answer, row_number() OVER (ORDER BY conv_id, turn, text) AS ord FROM conversations) SELECT ord, question, answer FROM t JOIN a USING (ord)"
 )
 def truth_zipped(spark, sf_dir):
-    """Questions with answers by their places in two lists; a list of questions is as large as a batch."""
-    place = lambda *by: F.row_number().over(Window.orderBy(*by)).cast("long").alias("ord")
-    asked = table(spark, sf_dir, "benchmark").select(F.col("text").alias("question"), place("item_id"))
-    said = table(spark, sf_dir, "conversations").select(F.col("text").alias("answer"), place("conv_id", "turn"))
-    return corpus.zip_by_place(asked, said)
+    """Questions with answers by their places in two lists, each numbered in ranges of its order."""
+    asked = numbered(table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("question")), ["item_id"])
+    said = numbered(table(spark, sf_dir, "conversations").select("conv_id", "turn", F.col("text").alias("answer")), ["conv_id", "turn", "answer"])
+    return corpus.zip_by_place(asked, said).select("ord", "question", "answer")
 
 
 # classification

@@ -272,9 +272,10 @@ def _sql_spelled() -> str:
     )
 
 
-@query(f"SELECT n, {_sql_spelled()} AS words FROM (SELECT unnest(range(1, {entities.LARGEST + 1})) AS n)")
+@query(f"SELECT o_orderkey, n, {_sql_spelled()} AS words FROM (SELECT o_orderkey, o_orderkey % {entities.LARGEST} + 1 AS n FROM orders)")
 def number_lexicon(spark, sf_dir):
-    return entities.number_lexicon(spark)
+    n = F.col("o_orderkey") % entities.LARGEST + 1
+    return table(spark, sf_dir, "orders").select("o_orderkey", n.alias("n"), entities.spelled(n).alias("words"))
 
 
 @query("SELECT p_partkey, p_size::VARCHAR AS quantity, (p_size * 100)::VARCHAR AS hundreds FROM part")
@@ -287,10 +288,27 @@ def extract_quantity(spark, sf_dir):
     )
 
 
-@query()
+COMPAT_WORDS = "replace(replace(replace(replace(replace(lower(text), 'k', '000'), 'lẻ', ' '), 'ngàn', 'nghìn'), 'lăm', 'năm'), '/', ' ')"
+COMPAT_TOKENS = words(f"regexp_replace({COMPAT_WORDS}, '{entities.QUANTITY_DROP}', '', 'g')")
+
+
+@query(
+    f"""WITH RECURSIVE spoken AS (SELECT n, {_sql_spelled()} AS words FROM (SELECT unnest(range(1, {entities.LARGEST + 1})) AS n)),
+asked AS (SELECT p_partkey, (SELECT words FROM spoken WHERE n = p_size) || ' km, ' || (SELECT words FROM spoken WHERE n = p_size * 100) || ' ngàn' AS text FROM part),
+t AS (SELECT text, {COMPAT_TOKENS} AS tokens FROM (SELECT DISTINCT text FROM asked)),
+met AS (SELECT text, list(string_split(words, ' ') ORDER BY n DESC) AS parts, list(n ORDER BY n DESC) AS numbers
+  FROM t JOIN spoken ON list_has_all(tokens, string_split(words, ' ')) GROUP BY text),
+r AS (SELECT text, 0 AS i, tokens FROM t
+  UNION ALL SELECT text, i + 1, CASE WHEN list_has_all(tokens, p) THEN tokens[:list_position(tokens, p[1]) - 1] || [numbers[i + 1]::VARCHAR] || tokens[list_position(tokens, p[1]) + len(p):] ELSE tokens END
+  FROM (SELECT r.*, numbers, parts[i + 1] AS p FROM r JOIN met USING (text) WHERE i < len(numbers))),
+done AS (SELECT text, regexp_replace(array_to_string(arg_max(tokens, i), ' '), '\\P{{Nd}}', '', 'g') AS quantity FROM r GROUP BY text)
+SELECT p_partkey, quantity FROM asked JOIN done USING (text)"""
+)
 def extract_quantity_compat(spark, sf_dir):
-    phrase = F.concat(F.col("p_size").cast("string"), F.lit(" km"))
-    return table(spark, sf_dir, "part").select("p_partkey", entities.extract_quantity(phrase, compat=True).alias("quantity"))
+    size = F.col("p_size").cast("int")
+    phrase = F.concat(entities.spelled(size), F.lit(" km, "), entities.spelled(size * 100), F.lit(" ngàn"))
+    asked = table(spark, sf_dir, "part").select("p_partkey", phrase.alias("text"))
+    return entities.compat_quantity(asked).select("p_partkey", "quantity")
 
 
 @query("SELECT o_orderkey, [d, m, y] AS nums FROM " + ORDER_ROWS)

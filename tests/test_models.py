@@ -11,12 +11,13 @@ from answerloom.operators import classify, corpus, evaluate, links, ranking, rea
 from answerloom.operators.index import BM25Index, DenseIndex, build_searcher
 from answerloom.plans import pipelines
 from answerloom.sources import readers, writers
+from tests.definitions import basic_tokens, final_text
 from tests.test_semantics import whole
 
 FEATURE = "qid string, feature_id long, tokens array<string>, orig_map map<int,int>, max_context map<int,boolean>, start_logits array<double>, end_logits array<double>"
 
 
-def brute_nbest(features, examples, n, longest, null_threshold, tokenise=evaluate.basic_tokens):
+def brute_nbest(features, examples, n, longest, null_threshold, tokenise=basic_tokens):
     """(nbest, prediction, odds) by question, walked entry by entry."""
     out = {}
     best = lambda x: sorted(range(len(x)), key=lambda i: -x[i])[:n]
@@ -30,7 +31,7 @@ def brute_nbest(features, examples, n, longest, null_threshold, tokenise=evaluat
                     if max(i, j) < len(tokens) and i in own and j in own and context.get(i) and 0 <= j - i < longest:
                         tok = " ".join(tokens[i : j + 1]).replace(" ##", "")
                         orig = " ".join(doc[own[i] : own[j] + 1])
-                        spans.append((evaluate.final_text(tok, orig, " ".join(tokenise(orig))) if i else "", s[i], e[j], i))
+                        spans.append((final_text(tok, orig, " ".join(tokenise(orig))) if i else "", s[i], e[j], i))
         if null_threshold is not None:
             spans.append(("", *null, 0))
         spans.sort(key=lambda x: -(x[1] + x[2]))
