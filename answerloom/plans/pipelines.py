@@ -6,7 +6,7 @@ import time
 from collections.abc import Callable
 
 from pyspark.ml import PipelineModel
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from answerloom.functions.entities import extract_datetime, extract_quantity, format_datetime
@@ -102,9 +102,11 @@ def with_context(rows: DataFrame, categories: DataFrame) -> DataFrame:
 
 
 def fused_candidates(
-    rows: DataFrame, reader: Reader | None = None, encoder: Encoder | None = None
+    rows: DataFrame, reader: Reader | None = None, encoder: Encoder | None = None, k: int | None = ANSWERS
 ) -> DataFrame:
-    """Adds answer, reader_raw, reader_score, similarity, score and rank to read lines.
+    """Adds answer, reader_raw, reader_score, similarity, score and rank to read lines, of which the k best stay.
+
+    Without k all lines stay, ranked.
 
     The fusion takes the reader's raw score; the normalised one is reported. Similarity
     is that of the question and the column context, or passage where rows have none.
@@ -122,7 +124,11 @@ def fused_candidates(
     )
     scored = scored.withColumn("fused", F.round(fuse(F.col("reader_raw"), F.col("rank_zeroed"), F.col("similarity")), DIGITS))
     scored = scored.withColumn("score", F.round(zero_below(minmax(F.col("fused"), by)), DIGITS))
-    return top_k(scored, by, [F.desc("score"), F.asc("ordinal"), F.asc("doc_id")], ANSWERS).drop("sim_raw", "rank_zeroed")
+    order = [F.desc("score"), F.asc("ordinal"), F.asc("doc_id")]
+    if k is None:
+        place = F.row_number().over(Window.partitionBy(*by).orderBy(*order)).cast("long")
+        return scored.withColumn("rank", place).drop("sim_raw", "rank_zeroed")
+    return top_k(scored, by, order, k).drop("sim_raw", "rank_zeroed")
 
 
 def format_answers(candidates: DataFrame, categories: DataFrame, links: DataFrame) -> DataFrame:
@@ -132,7 +138,7 @@ def format_answers(candidates: DataFrame, categories: DataFrame, links: DataFram
     question the rows that hold a date, of a quantity question the digits of every row
     (null without any), of a wiki question the link of the first row and null for the
     others, else null. A row whose answer is 'null' puts a null before its own. answer is
-    the first of answers, null without any. raw_answers are the candidates as they came.
+    the first of answers, null without any. raw_answers are those of all candidates, in order.
     """
     rows = candidates.select("qid", "rank", "answer").join(broadcast_if_small(categories.select("qid", "category")), "qid")
     rows = rows.join(links.select("qid", "link"), "qid", "left")
@@ -169,7 +175,7 @@ def predict(
     """
     kinds = classify(questions, model)
     lines_read = with_context(read_lines_of_hits(questions, docs, index), kinds)
-    candidates = fused_candidates(lines_read, reader, encoder)
+    candidates = fused_candidates(lines_read, reader, encoder, None)
     firsts = candidates.filter("rank = 1").join(kinds.filter("category = 'wiki'").select("qid"), "qid", "left_semi")
     asked = firsts.select("qid", compose(normalizer(F.col("answer"))).alias("query"))
     closest = closest_titles(asked, titles).select("qid", F.col("title").alias("label"))
@@ -200,22 +206,30 @@ class Stopwatch:
 
 
 def answer_file(
-    spark: SparkSession, path: str, out: str, answer: Callable[[DataFrame], DataFrame], name: str = "predict"
+    spark: SparkSession, path: str, out: str, answer: Callable[[DataFrame], DataFrame], name: str = "predict", each: int | None = None
 ) -> Stopwatch:
     """Answers the question batch at path and writes submission, results and latency below out.
 
-    answer takes questions(qid, question) and gives (qid, answer). The batch is one plan;
-    its time is that of the whole batch, and its mean is each question's latency.
+    answer takes questions(qid, question) and gives (qid, answer). A batch of one or more
+    files is one plan; its time is that of the whole batch, and its mean is each question's
+    latency. To measure latencies, `each` cuts it into micro-batches of so many questions,
+    one after the other; a question's latency is then its micro-batch's time, shared out.
     """
     batch = materialised(read_questions(spark, path).withColumn("qid", F.col("ord")), f"{out}/questions")
-    watch = Stopwatch()
-    got = answer(batch.select("qid", "question")).select("qid", F.col("answer").alias("found"))
-    watch.run(name, lambda: got.write.parquet(f"{out}/answers"))
+    watch, n = Stopwatch(), batch.count()
+    each = each or max(n, 1)
+    times = []
+    for k in range(max(1, -(-n // each))):
+        some = batch.filter(F.col("ord").between(k * each, (k + 1) * each - 1))
+        got = answer(some.select("qid", "question")).select("qid", F.col("answer").alias("found"))
+        watch.run(name, lambda got=got: got.write.mode("append").parquet(f"{out}/answers"))
+        times.append((k, watch.rows[-1][1] / max(1, min(each, n - k * each))))
     done = batch.join(spark.read.parquet(f"{out}/answers"), "qid", "left")
     writers.write_submission(done.select("ord", "id", "question", F.col("found").alias("answer")), f"{out}/submission")
     writers.write_results(done.select("question", F.col("answer").alias("truth"), F.col("found").alias("answer")), f"{out}/results")
-    n = max(batch.count(), 1)
-    writers.write_latency(batch.select("id", F.lit(watch.rows[-1][1] / n).alias("predicted_time_ms")), f"{out}/latency")
+    shares = spark.createDataFrame(times, "k long, predicted_time_ms double")
+    timed = batch.withColumn("k", F.floor(F.col("ord") / each)).join(F.broadcast(shares), "k")  # one row a micro-batch
+    writers.write_latency(timed.select("id", "predicted_time_ms"), f"{out}/latency")
     return watch
 
 

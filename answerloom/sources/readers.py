@@ -6,7 +6,7 @@ import json
 from dataclasses import dataclass, fields
 
 from pyspark.ml import PipelineModel
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from answerloom.functions.text import loader_clean, strip, strip_accents
@@ -105,9 +105,16 @@ def read_link_dictionary(spark: SparkSession, path: str, lines: bool = False) ->
 
 
 def read_questions(spark: SparkSession, path: str) -> DataFrame:
-    """(ord, id, question, answer) of a question batch."""
-    rows = spark.read.schema(QUESTIONS).option("multiLine", True).json(path)
-    return rows.select(F.posexplode("data").alias("ord", "q")).select("ord", "q.id", "q.question", "q.answer")
+    """(ord, id, question, answer) of a question batch of one or more files.
+
+    ord counts from 0 through the files in order of their names; only their sizes, one row
+    a file, are summed up together.
+    """
+    rows = spark.read.schema(QUESTIONS).option("multiLine", True).json(path).select("data", F.col("_metadata.file_path").alias("file"))
+    before = F.sum("n").over(Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1))
+    sizes = rows.select("file", F.greatest(F.size("data"), F.lit(0)).alias("n")).select("file", F.coalesce(before, F.lit(0)).alias("before"))
+    found = rows.select("file", F.posexplode("data").alias("at", "q")).join(sizes, "file")
+    return found.select((F.col("before") + F.col("at")).alias("ord"), "q.id", "q.question", "q.answer")
 
 
 def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:

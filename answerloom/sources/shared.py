@@ -42,8 +42,8 @@ def written(df: DataFrame, path: str | None = None) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def numbered(df: DataFrame, by: Sequence[str], ord: str = "ord") -> DataFrame:
-    """df with its place, from 1, in the order of the columns by; ties in any order.
+def numbered(df: DataFrame, by: Sequence[str] = (), ord: str = "ord") -> DataFrame:
+    """df with its place, from 1, in the order of the columns by, or as it is read; ties in any order.
 
     Rows are dealt into ranges of the order and numbered where they lie; only the ranges'
     sizes, one row a range, are summed up together. The numbers are written, since another
@@ -51,7 +51,8 @@ def numbered(df: DataFrame, by: Sequence[str], ord: str = "ord") -> DataFrame:
     """
     spark = df.sparkSession
     parts = max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    rows = written(df.repartitionByRange(parts, *by).sortWithinPartitions(*by).withColumn("__at", F.monotonically_increasing_id()))
+    dealt = df.repartitionByRange(parts, *by).sortWithinPartitions(*by) if by else df
+    rows = written(dealt.withColumn("__at", F.monotonically_increasing_id()))
     part, place = F.shiftright("__at", 33), F.col("__at").bitwiseAND((1 << 33) - 1)
     sizes = rows.groupBy(part.alias("__part")).agg(F.count("*").alias("__n"))
     before = F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import logging
+from collections.abc import Sequence
 
 from pyspark.ml import PipelineModel
 from pyspark.sql import Column, DataFrame
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 from answerloom.operators.evaluate import NBest
 from answerloom.operators.index import BM25Index
 from answerloom.operators.links import link_map
+from answerloom.sources.shared import numbered
 
 
 def write_jsonl(df: DataFrame, path: str, ascii: bool = False) -> None:
@@ -92,12 +94,18 @@ def write_labels(dictionary: DataFrame, path: str) -> None:
     dictionary.select("label").distinct().write.text(path)
 
 
-def write_chunks(docs: DataFrame, path: str, rows: int | None = None, parts: int = 20) -> None:
-    """JSON lines in files of at most `rows` rows; without it, of a parts-th of all rows."""
-    if rows is None:
-        rows = docs.count() // parts
-        docs = docs.repartition(parts)
-    docs.write.option("maxRecordsPerFile", max(1, rows)).json(path)
+def write_chunks(docs: DataFrame, path: str, rows: int | None = None, parts: int = 20, by: Sequence[str] = ()) -> None:
+    """JSON lines in the order of the columns by, or as partitions hold them, one file in a folder chunk=K for every `rows` rows, 0 first.
+
+    Without rows, a parts-th of all rows, rounded down: parts files, and one or more of what
+    is left over; of fewer rows than parts each has a file. A file is one task, so `rows`
+    should be what a task can write.
+    """
+    listed = numbered(docs, by)
+    n = rows or max(1, listed.count() // parts)
+    chunk = F.floor((F.col("ord") - 1) / n).alias("chunk")
+    dealt = listed.select(chunk, "ord", *docs.columns).repartition(F.col("chunk")).sortWithinPartitions("chunk", "ord")
+    dealt.drop("ord").write.partitionBy("chunk").json(path)
 
 
 def write_index(index: BM25Index, path: str, buckets: int = 200) -> None:

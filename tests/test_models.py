@@ -195,6 +195,31 @@ def test_a_batch_from_file_to_submission(spark, world, tmp_path):
     assert pipelines.warm_up(spark, answer, "Sài Gòn sinh khi nào") == "tháng 3 năm 1698"
 
 
+def test_two_question_files_and_their_latencies(spark, world, tmp_path):
+    docs, index, titles, dictionary, model = world
+    (tmp_path / "in").mkdir()
+    for f, data in (("b.json", [{"id": "3", "question": "Huế?"}]), ("a.json", [{"id": "1", "question": "Sài Gòn sinh khi nào"}, {"id": "2", "question": "vì sao xanh"}]), ("c.json", [])):
+        (tmp_path / "in" / f).write_text(json.dumps({"data": data}), encoding="utf-8")
+    q = readers.read_questions(spark, str(tmp_path / "in"))
+    assert sorted((r["ord"], r["id"]) for r in q.collect()) == [(0, "1"), (1, "2"), (2, "3")]
+    answer = lambda q: pipelines.predict(q, docs, index, titles, dictionary, model).select("qid", "answer")
+    pipelines.answer_file(spark, str(tmp_path / "in"), str(tmp_path / "out"), answer, each=1)
+    assert [(x["id"], x["answer"]) for x in whole(tmp_path / "out" / "submission")["data"]] == [("1", "tháng 3 năm 1698"), ("2", None), ("3", None)]
+    times = {r["_c0"]: float(r["_c1"]) for r in spark.read.csv(str(tmp_path / "out" / "latency")).collect()}
+    assert len(times) == len(set(times.values())) == 3
+
+
+def test_all_raw_answers(spark):
+    """Thirty lines of a question: all its raw answers, the first ten's entities."""
+    text = "\n".join(f"Sài Gòn có Nhà{i} số {i}" for i in range(30))
+    docs = spark.createDataFrame([(1, "T", text)], "doc_id long, title string, text string")
+    q = spark.createDataFrame([(0, "Sài Gòn cao bao nhiêu mét")], "qid long, question string")
+    titles = spark.createDataFrame([("T", 1)], "title string, ord long")
+    none = spark.createDataFrame([], "label string, source_title string, link string, ord long, place long")
+    got = pipelines.predict(q, docs, BM25Index.build(docs), titles, none).first()
+    assert len(got["raw_answers"]) == 30 and got["category"] == "quantity" and len(got["answers"]) <= 10
+
+
 def test_lines_follow_file_names_and_blocks(spark, tmp_path):
     line = lambda i, t: json.dumps({"id": str(i), "title": t, "text": "x"}) + "\n"
     (tmp_path / "c").mkdir()
@@ -239,8 +264,10 @@ def test_more_files(spark, tmp_path):
     assert whole(tmp_path / "a") == [{"v": 2 * i} for i in range(7)]
     writers.write_json_array(rows.limit(0), p("n"))
     assert whole(tmp_path / "n") == []
-    writers.write_chunks(spark.range(45).coalesce(1), p("c"))
-    assert max(len(f.read_text().splitlines()) for f in (tmp_path / "c").glob("part-*")) <= 2
+    for k, (n, sizes) in enumerate(((45, [2] * 22 + [1]), (40, [2] * 20), (7, [1] * 7))):
+        writers.write_chunks(spark.range(n).orderBy(F.desc("id")).repartition(3), p(f"c{k}"), by=["id"])
+        files = {int(f.parent.name[6:]): [json.loads(x)["id"] for x in f.read_text().splitlines()] for f in (tmp_path / f"c{k}").glob("chunk=*/part-*")}
+        assert [len(files[i]) for i in range(len(files))] == sizes and [x for i in range(len(files)) for x in files[i]] == list(range(n))
 
 
 def test_index_positions_vectors_and_dense_search(spark, tmp_path):

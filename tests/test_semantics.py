@@ -175,7 +175,7 @@ def test_files_round_trip(spark, tmp_path):
     (tmp_path / "cfg.json").write_text('{"k1": 1.2, "unknown": 3}')
     assert readers.Config.read(p("cfg.json")).k1 == 1.2
     writers.write_chunks(spark.range(10).coalesce(1), p("chunks"), 3)
-    assert len(list((tmp_path / "chunks").glob("part-*"))) == 4
+    assert len(list((tmp_path / "chunks").glob("chunk=*/part-*"))) == 4
 
 
 def test_stream_of_postings(spark, tmp_path):
