@@ -5,13 +5,13 @@ learned (iterative quantisation) on a bounded sample. A code is cut into substri
 each of which indexes a shard's rows. If two codes differ by at most R bits, some
 substring j differs by at most r_j bits, where the r_j + 1 sum to R + 1: probing the
 buckets of substring j within r_j retrieves every code within R. What is retrieved is
-checked against R and reranked by exact distances in double precision.
+checked against R and reranked by exact distances in double precision; no other row is
+ever compared.
 
-The radius is only where a query begins. A row whose code differs in some bits lies on
-the other side of those axes, so its squared distance is at least the sum of the
-query's squared coordinates on them. Every row whose bound does not exceed the k-th
-distance found so far (all rows, while fewer than k are found) is compared too: a
-query far from what the radius was learned on loses nothing.
+R grows with what is found. Until k rows are retrieved it grows by steps, so a list is
+short only where the table is. Then it covers the k-th distance found: the sample tells
+within how many bits nearly all pairs of that distance lie, so a query far from all
+others, whose neighbours' codes differ in many bits, probes further than a crowded one.
 
 Equal rows count once; different rows of one id are candidates each. Rows are dealt
 evenly over shards, by id and vector. A shard's index is built once, in one task of
@@ -21,6 +21,7 @@ it. Rows are moved once and copied never; a query is copied to each shard.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -33,23 +34,26 @@ from pyspark.sql import functions as F
 SAMPLE_ROWS, RADIUS_QUERIES = 8192, 256
 ITERATIONS = 25
 SUBSTRING_BITS = 8
-#: Share of the sample's true neighbours whose codes lie within the radius.
-COVERAGE = 0.985
+#: Share of the sample's true neighbours, and of its pairs of some distance, whose codes lie within the radius.
+COVERAGE = 0.96
+#: Bits that the radius grows by while fewer than k rows are found; distances that it is learned for.
+STEP, DISTANCES = 4, 64
 #: Most rows of a shard, which one task holds, and rows below which more shards are no use.
 MOST_ROWS, LEAST_ROWS = 1 << 17, 1 << 13
 K = 10
-#: Bits of every byte, as packbits orders them.
-BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.float64)
-SLACK = 1e-9
 
 
 @dataclass(frozen=True)
 class Codes:
-    """mean, projection (dimensions x bits) and Hamming radius."""
+    """mean, projection (dimensions x bits), first Hamming radius, and the radius of each squared distance.
+
+    covering holds ascending squared distances and the bits within which pairs up to them lie.
+    """
 
     mean: np.ndarray
     projection: np.ndarray
     radius: int
+    covering: tuple[np.ndarray, np.ndarray] = (np.zeros(0), np.zeros(0, np.int64))
 
     @property
     def bits(self) -> int:
@@ -59,15 +63,21 @@ class Codes:
         """Codes as rows of bytes, one substring a byte."""
         return np.packbits((x - self.mean) @ self.projection > 0, axis=1)
 
-    def budgets(self) -> list[int]:
+    def budgets(self, radius: int) -> list[int]:
         """Bits r_j to probe in each substring: the r_j + 1 sum to radius + 1."""
         parts = -(-self.bits // SUBSTRING_BITS)
-        each, more = divmod(self.radius + 1, parts)
+        each, more = divmod(radius + 1, parts)
         return [min(each + (j < more) - 1, SUBSTRING_BITS) for j in range(parts)]
 
+    def radius_of(self, squared: float) -> int:
+        """Bits within which neighbours at this squared distance lie; all bits beyond the sample's distances."""
+        far, bits = self.covering
+        at = np.searchsorted(far, squared)
+        return int(bits[at]) if at < len(far) else self.bits
+
 
 def learn(x: np.ndarray, k: int = K) -> Codes:
-    """Rotated codes and radius from sample rows x, without chance."""
+    """Rotated codes and radii from sample rows x, without chance."""
     x = np.asarray(x, np.float64)
     dims = x.shape[1]
     mean = x.mean(0) if len(x) else np.zeros(dims)
@@ -78,26 +88,31 @@ def learn(x: np.ndarray, k: int = K) -> Codes:
     for _ in range(ITERATIONS if len(x) > dims else 0):
         u, _, w = np.linalg.svd(v.T @ np.where(v @ rotation > 0, 1.0, -1.0))
         rotation = u @ w
-    codes = Codes(mean, basis @ rotation, dims)
-    return Codes(codes.mean, codes.projection, _radius(codes, x, k))
+    return _with_radii(Codes(mean, basis @ rotation, dims), x, k)
 
 
-def _radius(codes: Codes, x: np.ndarray, k: int) -> int:
-    """Hamming distance within which COVERAGE of the sample's neighbours lie.
+def _with_radii(codes: Codes, x: np.ndarray, k: int) -> Codes:
+    """The first radius holds COVERAGE of the sample's neighbours, that of a distance as many of
+    all pairs that are no further.
 
     The whole table has nearer neighbours than its sample, so this errs on the wide
     side.
     """
     different = np.unique(x, axis=0)
     if len(different) <= k + 1:
-        return codes.bits
-    q = different[:: max(1, len(different) // RADIUS_QUERIES)]
-    d = ((q**2).sum(1)[:, None] - 2 * q @ different.T) + (different**2).sum(1)
-    near = np.argpartition(d, k, axis=1)[:, : k + 1]  # the query is one of them
-    c = codes.encode(different)
-    bits = np.bitwise_count(codes.encode(q)[:, None] ^ c[near]).sum(-1, dtype=np.int64)
-    bits = np.sort(bits, axis=1)[:, 1:].ravel()
-    return int(np.quantile(bits, COVERAGE, method="higher"))
+        return codes
+    places = np.arange(0, len(different), max(1, len(different) // RADIUS_QUERIES))
+    q, c = different[places], codes.encode(different)
+    d = np.maximum(((q**2).sum(1)[:, None] - 2 * q @ different.T) + (different**2).sum(1), 0)
+    bits = np.bitwise_count(c[places][:, None] ^ c[None]).sum(-1, dtype=np.int64)
+    d[np.arange(len(places)), places] = np.inf  # not the query itself
+    near = np.argpartition(d, k - 1, axis=1)[:, :k]
+    radius = int(np.quantile(np.take_along_axis(bits, near, 1), COVERAGE, method="higher"))
+    order = np.argsort(d, axis=None)[: d.size - len(places)]
+    d, bits = d.ravel()[order], bits.ravel()[order]
+    ends = np.unique(np.geomspace(min(k * len(places), len(d)), len(d), DISTANCES).astype(int))
+    within = [int(np.quantile(bits[:n], COVERAGE, method="higher")) for n in ends]
+    return Codes(codes.mean, codes.projection, radius, (d[ends - 1], np.maximum.accumulate(within)))
 
 
 class Shard:
@@ -109,51 +124,42 @@ class Shard:
         self.bytes = codes.encode(self.x)
         self.rows = [np.argsort(c, kind="stable") for c in self.bytes.T]
         self.starts = [np.searchsorted(np.sort(c), np.arange(257)) for c in self.bytes.T]
-        self.masks = [near_masks(r) for r in codes.budgets()]
-        self.norms = (self.x**2).sum(1)
+        self.compared = 0
 
-    def within(self, code: np.ndarray) -> np.ndarray:
-        """Rows whose codes differ from code by at most the radius."""
+    def within(self, code: np.ndarray, radius: int) -> np.ndarray:
+        """Rows whose codes differ from code by at most radius bits."""
         hit = np.zeros(len(self.ids), bool)
-        for value, rows, starts, masks in zip(code, self.rows, self.starts, self.masks, strict=True):
-            for b in (masks ^ value).tolist():
+        for value, rows, starts, budget in zip(code, self.rows, self.starts, self.codes.budgets(radius), strict=True):
+            for b in (near_masks(budget) ^ value).tolist():
                 hit[rows[starts[b] : starts[b + 1]]] = True
         found = np.flatnonzero(hit)
         bits = np.bitwise_count(self.bytes[found] ^ code).sum(1, dtype=np.int64)
-        return found[bits <= self.codes.radius]
-
-    def beyond(self, q: np.ndarray, code: np.ndarray, done: np.ndarray, furthest: float) -> np.ndarray:
-        """Rows outside done that may lie as near as furthest (squared), by their bounds."""
-        left = np.ones(len(self.ids), bool)
-        left[done] = False
-        if furthest < np.inf:
-            slack = SLACK * (self.norms + q @ q)  # of sums in another order
-            weights = np.zeros(len(code) * SUBSTRING_BITS)
-            weights[: self.codes.bits] = ((q - self.codes.mean) @ self.codes.projection) ** 2
-            bound = np.zeros(len(self.ids))
-            for value, column, w in zip(code, self.bytes.T, weights.reshape(-1, SUBSTRING_BITS), strict=True):
-                bound += (BITS @ w)[column ^ value]
-            left &= bound <= furthest + slack
-            left &= self.norms - 2 * (self.x @ q) + q @ q <= furthest + slack
-        return np.flatnonzero(left)
+        return found[bits <= radius]
 
     def nearest(self, query_id: int, q: np.ndarray, code: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """(places, distances) of the k nearest rows of other ids, ties to smaller ids."""
-        own = np.arange(*np.searchsorted(self.ids, [query_id, query_id + 1]))
-        found = self.within(code)
-        found = found[self.ids[found] != query_id]
-        squared = ((self.x[found] - q) ** 2).sum(1)
-        furthest = np.partition(squared, k - 1)[k - 1] if len(found) >= k else np.inf
-        more = self.beyond(q, code, np.concatenate([found, own]), furthest)
-        found = np.concatenate([found, more])
-        distance = np.sqrt(np.concatenate([squared, ((self.x[more] - q) ** 2).sum(1)]))
-        if len(found) > k:
+        """(places, distances) of the k nearest retrieved rows of other ids, ties to smaller ids."""
+        radius, most = self.codes.radius, self.codes.bits
+        known, squared = np.zeros(0, np.int64), np.zeros(0)
+        while True:
+            found = self.within(code, radius)
+            new = np.setdiff1d(found[self.ids[found] != query_id], known, assume_unique=True)
+            known = np.concatenate([known, new])
+            squared = np.concatenate([squared, ((self.x[new] - q) ** 2).sum(1)])
+            enough = len(known) >= k
+            wanted = self.codes.radius_of(np.partition(squared, k - 1)[k - 1]) if enough else radius + STEP
+            if radius >= most or wanted <= radius:
+                break
+            radius = min(wanted, most)
+        self.compared += len(known)
+        distance = np.sqrt(squared)
+        if len(known) > k:
             kept = np.flatnonzero(distance <= np.partition(distance, k - 1)[k - 1])
-            found, distance = found[kept], distance[kept]
-        best = np.lexsort((found, distance))[:k]  # rows stand in order of id
-        return found[best], distance[best]
+            known, distance = known[kept], distance[kept]
+        best = np.lexsort((known, distance))[:k]  # rows stand in order of id
+        return known[best], distance[best]
 
 
+@functools.lru_cache(maxsize=SUBSTRING_BITS + 2)
 def near_masks(radius: int) -> np.ndarray:
     """All substring values with at most radius bits set."""
     values = np.arange(1 << SUBSTRING_BITS)
@@ -185,7 +191,8 @@ def search(
     commonest in the sample take no part in its search. Equal rows count once. A
     repeated id is no candidate of its own queries, and each of its vectors asks, as one
     query: a candidate counts once, at its least distance. Only with fewer candidates
-    than k are fewer rows returned, then all of them.
+    than k are fewer rows returned, then all of them. A neighbour whose code differs in more
+    bits than nearly all pairs of its distance is missed; what is returned has true scores.
     """
     rows = usable(vectors, vec_id, embedding)
     sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id", "v").limit(SAMPLE_ROWS).collect()
