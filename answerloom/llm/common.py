@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import functools
-import tempfile
 import uuid
 from collections.abc import Iterator, Sequence
 from contextlib import contextmanager
@@ -13,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from answerloom.sources.shared import shared_dir
+
 #: Documents' columns, which every filtering stage of the pipeline hands on.
 DOCUMENT_COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -21,23 +21,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share.
-
-    The cluster names it in spark.checkpoint.dir; only where that is unset (local
-    tests) a temporary one is made, once per application.
-    """
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    return _own_dir(spark.sparkContext.applicationId)
-
-
-@functools.lru_cache(maxsize=8)
-def _own_dir(_app: str) -> str:
-    return "file://" + tempfile.mkdtemp(prefix="answerloom-")
-
-
 _scratch: ContextVar[str | None] = ContextVar("scratch", default=None)
 
 
