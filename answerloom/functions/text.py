@@ -116,6 +116,49 @@ def compose(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         yield s.map(lambda t: unicodedata.normalize("NFC", t), na_action="ignore")
 
 
+#: Toneless vowels, and the same with each tone, letter by letter.
+VOWELS = "aăâeêioôơuưyAĂÂEÊIOÔƠUƯY"
+TONES = "\u0300\u0301\u0303\u0309\u0323"
+TONED = tuple("".join(unicodedata.normalize("NFC", v + t) for v in VOWELS) for t in TONES)
+#: Vowels that carry the tone wherever they stand in a syllable.
+MARKED = "ăâêôơưĂÂÊÔƠƯ"
+_V = f"[{VOWELS}{''.join(TONED)}]"
+_C = f"[^{VOWELS}{''.join(TONED)}]*"
+#: Onset, vowels and coda of a syllable; the vowels of "qu" and "gi" belong to the onset.
+SYLLABLES = (rf"(?i)^(qu|gi)({_V}+)({_C})$", rf"^({_C})({_V}+)({_C})$")
+
+
+def place_tones(c: Column) -> Column:
+    """Tone marks of Vietnamese syllables moved to the vowel that carries them: hoá becomes hóa.
+
+    That is the last vowel with a hat, horn or breve; without one, of two vowels the first,
+    or the second before a consonant, and of three the second. Words that are no syllable
+    with one tone stay as they are. Composed letters are expected.
+    """
+    toned, digits = "".join(TONED), "".join(str(k + 1) * len(VOWELS) for k in range(len(TONES)))
+
+    def moved(word: Column) -> Column:
+        first = word.rlike(SYLLABLES[0])
+        onset, vowels, coda = (F.when(first, F.regexp_extract(word, SYLLABLES[0], k)).otherwise(F.regexp_extract(word, SYLLABLES[1], k)) for k in (1, 2, 3))
+        bare = F.translate(vowels, toned, VOWELS * len(TONES))
+        tone = F.regexp_replace(F.translate(vowels, toned, digits), "[^1-5]", "")
+        after = F.length(F.regexp_extract(bare, f"[{MARKED}]([^{MARKED}]*)$", 1))
+        n = F.length(bare)
+        place = F.when(bare.rlike(f"[{MARKED}]"), n - after).when((n == 1) | ((n == 2) & (coda == "")), 1).otherwise(2)
+        letter = F.substr(bare, place, F.lit(1))
+        marked = F.coalesce(*[F.when(tone == str(k + 1), F.translate(letter, VOWELS, t)) for k, t in enumerate(TONED)])
+        rebuilt = F.concat(onset, F.substr(bare, F.lit(1), place - 1), marked, F.substr(bare, place + 1), coda)
+        return F.when(F.length(tone) == 1, rebuilt).otherwise(word)
+
+    pieces = F.regexp_extract_all(c, F.lit(r"\p{L}+|\P{L}+"), 0)
+    return F.when(c.rlike(f"[{toned}]"), F.array_join(F.transform(pieces, moved), "")).otherwise(c)
+
+
+def query_normalize(c: Column) -> Column:
+    """A query as titles are spelled: composed letters, tone marks in their places."""
+    return place_tones(compose(c))
+
+
 def normalize_answer(c: Column) -> Column:
     return strip(apply_steps(F.lower(c), NORMALIZE_ANSWER))
 

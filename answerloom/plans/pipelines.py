@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from answerloom.functions.entities import extract_datetime, extract_quantity, format_datetime
 from answerloom.functions.ngrams import overlap, with_profile
-from answerloom.functions.text import compose, lines, normalizer, preprocess_text, question_fixup, to_passages
+from answerloom.functions.text import lines, normalizer, preprocess_text, query_normalize, question_fixup, to_passages
 from answerloom.operators.classify import classify
 from answerloom.operators.index import BM25Index
 from answerloom.operators.links import closest_titles, resolve_links
@@ -177,7 +177,7 @@ def predict(
     lines_read = with_context(read_lines_of_hits(questions, docs, index), kinds)
     candidates = fused_candidates(lines_read, reader, encoder, None)
     firsts = candidates.filter("rank = 1").join(kinds.filter("category = 'wiki'").select("qid"), "qid", "left_semi")
-    asked = firsts.select("qid", compose(normalizer(F.col("answer"))).alias("query"))
+    asked = firsts.select("qid", query_normalize(normalizer(F.col("answer"))).alias("query"))
     closest = closest_titles(asked, titles).select("qid", F.col("title").alias("label"))
     pages = firsts.select("qid", F.col("title").alias("page_title"))
     links = resolve_links(closest.join(pages, "qid"), dictionary)

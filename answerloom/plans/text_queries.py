@@ -63,6 +63,30 @@ def remove_accents(spark, sf_dir):
     return documents(spark, sf_dir, plain=tx.remove_accents(F.col("text")))
 
 
+def _sql_tones() -> str:
+    """place_tones over text, in SQL."""
+    toned, digits = "".join(tx.TONED), "".join(str(k + 1) * len(tx.VOWELS) for k in range(len(tx.TONES)))
+    part = lambda k: f"CASE WHEN regexp_matches(w, '{tx.SYLLABLES[0]}') THEN regexp_extract(w, '{tx.SYLLABLES[0]}', {k}) ELSE regexp_extract(w, '{tx.SYLLABLES[1]}', {k}) END"
+    bare = f"translate({part(2)}, '{toned}', '{tx.VOWELS * len(tx.TONES)}')"
+    tone = f"regexp_replace(translate({part(2)}, '{toned}', '{digits}'), '[^1-5]', '', 'g')"
+    mark = " ".join(f"WHEN '{k + 1}' THEN translate(substr(b, p, 1), '{tx.VOWELS}', '{t}')" for k, t in enumerate(tx.TONED))
+    return f"""pieces AS (SELECT key, unnest(x) AS w, unnest(range(len(x))) AS i FROM (SELECT key, regexp_extract_all(text, '\\p{{L}}+|\\P{{L}}+') AS x FROM asked)),
+cut AS (SELECT key, i, w, {part(1)} AS o, {bare} AS b, {part(3)} AS c, {tone} AS tone FROM pieces),
+placed AS (SELECT *, CASE WHEN regexp_matches(b, '[{tx.MARKED}]') THEN length(b) - length(regexp_extract(b, '[{tx.MARKED}]([^{tx.MARKED}]*)$', 1))
+  WHEN length(b) = 1 OR length(b) = 2 AND c = '' THEN 1 ELSE 2 END AS p FROM cut),
+moved AS (SELECT key, string_agg(CASE WHEN length(tone) = 1 THEN o || substr(b, 1, p - 1) || (CASE tone {mark} END) || substr(b, p + 1) || c ELSE w END, '' ORDER BY i) AS text FROM placed GROUP BY key)"""
+
+
+#: Both spellings of tone marks, and marks on the wrong vowel.
+SPELLINGS = "hoá học, thuỷ điện, Hoà Bình khoẻ; hóa thủy hòa KHOẺ QUÝ giá gì quỳ, baỏ lựơng nghịêm hoàn ngoài toán "
+
+
+@query(f"WITH asked AS (SELECT o_orderkey AS key, '{SPELLINGS}' || o_comment || ' ' || o_orderpriority AS text FROM (SELECT o_orderkey, o_orderpriority, 'hoạ ' || o_orderstatus AS o_comment FROM orders)), {_sql_tones()} SELECT key AS o_orderkey, text FROM moved")
+def tone_marks(spark, sf_dir):
+    asked = F.concat(F.lit(SPELLINGS + "hoạ "), "o_orderstatus", F.lit(" "), "o_orderpriority")
+    return table(spark, sf_dir, "orders").select("o_orderkey", tx.place_tones(asked).alias("text"))
+
+
 @query("SELECT doc_id, strip_accents(text) AS plain, nfc_normalize(text) AS composed FROM documents")
 def strip_accents(spark, sf_dir):
     return documents(spark, sf_dir, plain=tx.strip_accents(F.col("text")), composed=tx.compose(F.col("text")))

@@ -9,7 +9,7 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from answerloom.functions.text import loader_clean, strip, strip_accents
+from answerloom.functions.text import WS, loader_clean, strip, strip_accents
 from answerloom.operators.corpus import dedupe_last, keep_titles
 from answerloom.operators.index import BM25Index, DenseIndex
 from answerloom.operators.reader import VectorEncoder
@@ -93,14 +93,26 @@ def read_link_edges(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def read_link_dictionary(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+#: What parts two entries of a dictionary that is written as one map, by default.
+ENTRY_END = '}, "'
+
+
+def read_link_dictionary(spark: SparkSession, path: str, lines: bool = False, entry_end: str | None = ENTRY_END) -> DataFrame:
     """(label, source_title, link) from one JSON map of maps, or from lines that hold one each.
 
-    A whole map is one value and read by one task, as the format has it; lines, which
-    write_link_dictionary gives, are split among tasks.
+    A whole map is cut at entry_end, what stands between its entries, wherever the file is
+    split: several tasks read one file. A title that ends in the same characters breaks its
+    entry, which then raises; with entry_end None the map is read by one task, whatever it
+    holds. Lines, which write_link_dictionary gives, are split among tasks as they are.
     """
-    raw = spark.read.text(path, wholetext=not lines)
-    outer = raw.select(F.explode(F.from_json("value", "map<string, map<string, string>>")).alias("label", "links"))
+    if lines or entry_end is None:
+        raw = spark.read.text(path, wholetext=not lines)
+    else:
+        cut = spark.read.option("lineSep", entry_end).text(path).filter(~F.col("value").rlike(rf"^{WS}*\{{?{WS}*\}}?{WS}*$"))
+        inner = F.regexp_replace(F.regexp_replace("value", rf'\A{WS}*\{{{WS}*"', ""), rf"\}}{WS}*\}}{WS}*\z", "")
+        raw = cut.select(F.concat(F.lit('{"'), inner, F.lit("}}")).alias("value"))
+    fail = {"mode": "FAILFAST"}
+    outer = raw.select(F.explode(F.from_json("value", "map<string, map<string, string>>", fail)).alias("label", "links"))
     return outer.select("label", F.explode("links").alias("source_title", "link"))
 
 

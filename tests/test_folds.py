@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from answerloom.functions import entities
+from answerloom.functions import entities, text
 from answerloom.operators import corpus, evaluate, voting
 from tests import definitions as d
 
@@ -107,3 +107,13 @@ def test_quantities_by_definition(spark):
     df = spark.createDataFrame([(i, t) for i, t in enumerate(some)], "i int, text string").repartition(3)
     got = {r["i"]: r["quantity"] for r in entities.compat_quantity(df).collect()}
     assert got == {i: None if t is None else d.quantity_of(t, values, True) for i, t in enumerate(some)}
+
+
+def test_tone_marks(spark):
+    pairs = {
+        "Đảm baỏ chất lựơng phòng thí nghịêm hoá học": "Đảm bảo chất lượng phòng thí nghiệm hóa học", "Hoà Bình": "Hòa Bình", "HOÀ": "HÒA",
+        "thuý thúy Thuỷ": "thúy thúy Thủy", "quý quỳ giá gì giếng": "quý quỳ giá gì giếng", "hoàn toán ngoài khuỷu": "hoàn toán ngoài khuỷu",
+        "già gìa": "già gìa", "người nguời": "người nguời", "": "", "abc 12 é": "abc 12 é", "tuyết tuýêt": "tuyết tuyết", "áá": "áá",
+    }
+    assert ask(spark, list(pairs), text.place_tones) == list(pairs.values())
+    assert ask(spark, ["hoa\u0300", None], text.query_normalize) == ["hòa", None]

@@ -257,6 +257,25 @@ def test_more_files(spark, tmp_path):
     assert same(readers.read_link_dictionary(spark, p("d"), lines=True)) == same(d)
     (tmp_path / "d.json").write_text(json.dumps({"b": {"P": "wiki/B"}}, indent=1))
     assert readers.read_link_dictionary(spark, p("d.json")).first()["link"] == "wiki/B"
+    whole_map = {f'n{i} "x" }}, y': {f"s{k}": f"wiki/{i}_{k}\u00e9}}" for k in range(i % 3)} for i in range(500)} | {"last": {"": ""}}
+    (tmp_path / "m.json").write_text(json.dumps(whole_map, ensure_ascii=False) + "\n", encoding="utf-8")
+    old = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", 4000)
+        spark.conf.set("spark.sql.files.openCostInBytes", 1)
+        cut = readers.read_link_dictionary(spark, p("m.json"))
+        assert cut.rdd.getNumPartitions() > 3
+        want = sorted((a, b, c) for a, links in whole_map.items() for b, c in links.items())
+        assert sorted(map(tuple, cut.collect())) == want == sorted(map(tuple, readers.read_link_dictionary(spark, p("m.json"), entry_end=None).collect()))
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    for body, n in (("{}", 0), ('{"a": {"b": "c"}}', 1), ('{"a": {}, "b": {"c": "d"}}', 1)):
+        (tmp_path / "one.json").write_text(body)
+        assert readers.read_link_dictionary(spark, p("one.json")).count() == n
+    (tmp_path / "odd.json").write_text(json.dumps({"x}, ": {"a": "b"}, "y": {"c": "d"}}))
+    with pytest.raises(Exception):
+        readers.read_link_dictionary(spark, p("odd.json")).collect()
     writers.write_jsonl(spark.createDataFrame([("é",)], "t string"), p("j"), ascii=True)
     assert "".join(f.read_text() for f in (tmp_path / "j").glob("part-*.json")).strip() == '{"t":"\\u00E9"}'
     rows = spark.range(7).select(F.col("id").alias("ord"), (F.col("id") * 2).alias("v")).repartition(3)
