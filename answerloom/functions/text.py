@@ -137,21 +137,33 @@ def place_tones(c: Column) -> Column:
     """
     toned, digits = "".join(TONED), "".join(str(k + 1) * len(VOWELS) for k in range(len(TONES)))
 
+    # Each step's columns are bound to a name inside a one-element array, so they are formed once.
+    bound = lambda columns, step: F.get(F.transform(F.array(F.struct(*[c.alias(n) for n, c in columns.items()])), step), 0)
+
+    def parts(word: Column) -> Column:
+        whole = lambda p: {"m": F.concat_ws("|", *[F.regexp_extract(word, p, k) for k in (1, 2, 3)])}
+        cut = F.when(word.rlike(SYLLABLES[0]), whole(SYLLABLES[0])["m"]).otherwise(whole(SYLLABLES[1])["m"])
+        return F.split(cut, r"\|")
+
     def moved(word: Column) -> Column:
-        first = word.rlike(SYLLABLES[0])
-        onset, vowels, coda = (F.when(first, F.regexp_extract(word, SYLLABLES[0], k)).otherwise(F.regexp_extract(word, SYLLABLES[1], k)) for k in (1, 2, 3))
-        bare = F.translate(vowels, toned, VOWELS * len(TONES))
-        tone = F.regexp_replace(F.translate(vowels, toned, digits), "[^1-5]", "")
+        return bound({"x": parts(word)}, lambda s: bound({"x": s["x"], "bare": F.translate(s["x"][1], toned, VOWELS * len(TONES)), "tone": F.regexp_replace(F.translate(s["x"][1], toned, digits), "[^1-5]", "")}, lambda t: rebuilt(word, t)))
+
+    def rebuilt(word: Column, t: Column) -> Column:
+        bare, coda, n = t["bare"], t["x"][2], F.length(t["bare"])
         after = F.length(F.regexp_extract(bare, f"[{MARKED}]([^{MARKED}]*)$", 1))
-        n = F.length(bare)
         place = F.when(bare.rlike(f"[{MARKED}]"), n - after).when((n == 1) | ((n == 2) & (coda == "")), 1).otherwise(2)
-        letter = F.substr(bare, place, F.lit(1))
-        marked = F.coalesce(*[F.when(tone == str(k + 1), F.translate(letter, VOWELS, t)) for k, t in enumerate(TONED)])
-        rebuilt = F.concat(onset, F.substr(bare, F.lit(1), place - 1), marked, F.substr(bare, place + 1), coda)
-        return F.when(F.length(tone) == 1, rebuilt).otherwise(word)
 
+        def put(p: Column) -> Column:
+            letter = F.substr(bare, p["place"], F.lit(1))
+            marked = F.coalesce(*[F.when(t["tone"] == str(k + 1), F.translate(letter, VOWELS, m)) for k, m in enumerate(TONED)])
+            return F.concat(t["x"][0], F.substr(bare, F.lit(1), p["place"] - 1), marked, F.substr(bare, p["place"] + 1), coda)
+
+        return F.when(F.length(t["tone"]) == 1, bound({"place": place}, put)).otherwise(word)
+
+    has_tone = f"[{toned}]"
     pieces = F.regexp_extract_all(c, F.lit(r"\p{L}+|\P{L}+"), 0)
-    return F.when(c.rlike(f"[{toned}]"), F.array_join(F.transform(pieces, moved), "")).otherwise(c)
+    each = F.transform(pieces, lambda w: F.when(w.rlike(has_tone), moved(w)).otherwise(w))
+    return F.when(c.rlike(has_tone), F.array_join(each, "")).otherwise(c)
 
 
 def query_normalize(c: Column) -> Column:

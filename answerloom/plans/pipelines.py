@@ -142,13 +142,16 @@ def format_answers(candidates: DataFrame, categories: DataFrame, links: DataFram
     """
     rows = candidates.select("qid", "rank", "answer").join(broadcast_if_small(categories.select("qid", "category")), "qid")
     rows = rows.join(links.select("qid", "link"), "qid", "left")
-    c, answer = F.col("category"), F.col("answer")
+    c = F.col("category")
+    # Of the others, which are most rows, nothing is sought.
+    answer = F.when(F.col("rank") <= ANSWERS, F.col("answer"))
     value = (
-        F.when(c == "datetime", format_datetime(extract_datetime(answer)))
-        .when(c == "quantity", F.nullif(extract_quantity(answer), F.lit("")))
+        F.when((c == "datetime") & answer.isNotNull(), format_datetime(extract_datetime(answer)))
+        .when((c == "quantity") & answer.isNotNull(), F.nullif(extract_quantity(answer), F.lit("")))
         .when((c == "wiki") & (F.col("rank") == 1), F.col("link"))
     )
-    rows = rows.withColumn("value", value)
+    # Formed once, behind an explode.
+    rows = rows.withColumn("value", F.explode_outer(F.array(value)))
     item = F.struct(F.col("value").alias("v"))
     own = F.when((c == "datetime") & F.col("value").isNull(), F.array().cast("array<struct<v: string>>")).otherwise(F.array(item))
     none = F.when(answer == "null", F.array(F.struct(F.lit(None).cast("string").alias("v")))).otherwise(F.array().cast("array<struct<v: string>>"))
