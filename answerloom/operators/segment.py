@@ -1,8 +1,12 @@
-"""Word segmentation by a ripple-down rule tree over initial tags.
-
-A rule file has a rule a line, ``condition : object.conclusion = "tag"``, indented by
-one tab per level of exception. A token's tag is the conclusion of the deepest rule
-reached by taking, at each level, the first exception whose condition holds.
+"""Word segmentation: longest matches of a lexicon, corrected by a ripple-down rule tree.
+
+A word is tagged B where it begins a unit and I where it continues one. The first tags
+follow from the longest lexicon entries, found from left to right. A rule file then has a
+rule a line, ``condition : object.conclusion = "tag"``, indented by one tab per level of
+exception. A token's tag is the conclusion of the deepest rule reached by taking, at each
+level, the first exception whose condition holds. Conditions read the lower-cased words
+and the first tags of up to two neighbours (any distance in one digit); beyond either end
+both are empty.
 """
 
 from __future__ import annotations
@@ -12,29 +16,42 @@ from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from answerloom.functions.ngrams import gram_list
+
 ATOM = re.compile(r'object\.(\w+) == "([^"]*)"')
 CONCLUSION = re.compile(r'object\.conclusion = "([^"]*)"')
-FEATURE = re.compile(r"(prev|next)?(word|tag)([12]?)", re.IGNORECASE)
+FEATURE = re.compile(r"(prev|next)?(word|tag)([0-9]?)", re.IGNORECASE)
+#: A word: letters, marks and digits, or one other character.
+WORD = r"[\p{L}\p{M}\p{N}]+|[^\p{L}\p{M}\p{N}\s]"
+#: A lexicon travels to the tasks up to these entries and bytes; a larger one is joined.
+MOST_ENTRIES, MOST_BYTES = 200_000, 16 << 20
+
+Atom = tuple[int, str, str]
 
 
 @dataclass
 class Rule:
     """atoms: (offset, 'word' or 'tag', value), all of which must hold."""
 
-    atoms: list[tuple[int, str, str]]
+    atoms: list[Atom]
     tag: str
     exceptions: list[Rule] = field(default_factory=list)
 
-    def holds(self, words: list[str], tags: list[str], i: int) -> bool:
-        for offset, kind, value in self.atoms:
-            j = i + offset
-            source = words if kind == "word" else tags
-            if (source[j] if 0 <= j < len(source) else "") != value:
-                return False
-        return True
+
+@dataclass
+class Node:
+    """A rule whose exceptions are looked up by one atom each, a word's where there is one.
+
+    tables: (offset, kind, value -> (order, other atoms, node) in order) for each feature
+    that exceptions are looked up by; always: those without a condition.
+    """
+
+    tag: str
+    tables: list[tuple[int, str, dict[str, list[tuple[int, list[Atom], Node]]]]]
+    always: list[tuple[int, list[Atom], Node]]
 
 
 def parse_rules(lines: Iterable[str]) -> Rule:
@@ -49,6 +66,8 @@ def parse_rules(lines: Iterable[str]) -> Rule:
             offset = int(distance or 0) * (-1 if side == "prev" else 1)
             atoms.append((offset, kind.lower(), value))
         rule = Rule(atoms, CONCLUSION.search(conclusion).group(1))
+        if depth > len(path):
+            raise ValueError(f"a rule hangs under none: {line.strip()}")
         del path[depth:]
         if path:
             path[-1].exceptions.append(rule)
@@ -56,33 +75,168 @@ def parse_rules(lines: Iterable[str]) -> Rule:
     return path[0]
 
 
-def tag(root: Rule, words: list[str], tags: list[str]) -> list[str]:
-    """Final tags; conditions read the initial ones."""
+def read_rules(spark: SparkSession, path: str) -> Rule:
+    """The tree of the rule file at path; a rule file is written by hand or fitted once, no data."""
+    return parse_rules(spark.read.text(path, wholetext=True).first()["value"].splitlines())
+
+
+def read_lexicon(spark: SparkSession, path: str) -> DataFrame:
+    """(phrase) of a file with an entry a line, its words parted by spaces or underscores."""
+    return spark.read.text(path).select(F.trim(F.translate("value", "_", " ")).alias("phrase")).filter("phrase <> ''")
+
+
+def indexed(rule: Rule) -> Node:
+    tables: dict[tuple[int, str], dict[str, list]] = {}
+    always = []
+    for order, child in enumerate(rule.exceptions):
+        first = next((a for a in child.atoms if a[1] == "word"), child.atoms[0] if child.atoms else None)
+        entry = (order, [a for a in child.atoms if a is not first], indexed(child))
+        if first is None:
+            always.append(entry)
+        else:
+            tables.setdefault(first[:2], {}).setdefault(first[2], []).append(entry)
+    return Node(rule.tag, [(*feature, table) for feature, table in tables.items()], always)
+
+
+def tag(node: Node, words: list[str], tags: list[str]) -> list[str]:
+    """Final tags of lower-cased words; conditions read the first tags."""
+    end = [""] * 9
+    padded = {"word": end + words + end, "tag": end + tags + end}
     out = []
-    for i in range(len(words)):
-        rule = root
-        while found := next((r for r in rule.exceptions if r.holds(words, tags, i)), None):
-            rule = found
-        out.append(rule.tag)
+    for i in range(len(end), len(end) + len(words)):
+        at, found = node, True
+        while found:
+            found = None
+            lists = [table.get(padded[kind][i + offset], ()) for offset, kind, table in at.tables]
+            for order, rest, child in (entry for entries in (*lists, at.always) for entry in entries):
+                if (found is None or order < found[0]) and all(padded[k][i + o] == v for o, k, v in rest):
+                    found = (order, child)
+            at = found[1] if found else at
+        out.append(at.tag)
     return out
 
 
-def join_words(words: list[str], tags: list[str]) -> str:
-    """Words joined by spaces, syllables tagged I hung on the one before by _."""
-    parts = (w if not i else ("_" if t == "I" else " ") + w for i, (w, t) in enumerate(zip(words, tags, strict=True)))
-    return "".join(parts)
+def trie_of(phrases: Iterable[str]) -> dict:
+    """Nested maps from a word to what may follow; the empty word marks an entry's end."""
+    trie: dict = {}
+    for phrase in phrases:
+        at = trie
+        for word in phrase.split(" "):
+            at = at.setdefault(word, {})
+        at[""] = {}
+    return trie
+
+
+def first_tags(trie: dict, words: list[str]) -> list[str]:
+    """B and I by the longest entries, from left to right."""
+    tags: list[str] = []
+    while len(tags) < len(words):
+        start = len(tags)
+        at, length = trie, 1
+        for j in range(start, len(words)):
+            at = at.get(words[j])
+            if at is None:
+                break
+            if "" in at:
+                length = j - start + 1
+        tags += ["B", *["I"] * (length - 1)]
+    return tags
 
 
-def segment(rows: DataFrame, root: Rule) -> DataFrame:
-    """Adds segmented to rows(words, tags) with initial tags, in batches.
+def words_of(text: Column) -> Column:
+    """array<string> of a text's words and marks, as written; of a null none."""
+    return F.coalesce(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), F.array().cast("array<string>"))
 
-    The tree travels with the function; it is a rule file, not data.
+
+def with_words(rows: DataFrame, text: Column) -> DataFrame:
+    """Adds words to rows, formed once: the explode keeps them from being inlined."""
+    return rows.withColumn("words", F.explode(F.array(words_of(text))))
+
+
+def join_words(words: Column, tags: Column) -> Column:
+    """Words joined by spaces, those tagged I hung on the one before by _."""
+    parts = F.zip_with(words, tags, lambda w, t: F.concat(F.when(t == "I", "_").otherwise(" "), w))
+    return F.substring(F.array_join(parts, ""), 2, (1 << 31) - 1)
+
+
+def entries(lexicon: DataFrame) -> DataFrame:
+    """(phrase) lower-cased, of two or more words, each once."""
+    phrase = F.array_join(words_of(F.lower("phrase")), " ")
+    return lexicon.select(phrase.alias("phrase")).filter("instr(phrase, ' ') > 0").distinct()
+
+
+def with_first_tags(rows: DataFrame, lexicon: DataFrame) -> DataFrame:
+    """Adds first_tags to rows(words).
+
+    A lexicon of at most MOST_ENTRIES entries and MOST_BYTES is a trie in every task, and
+    no row moves. A larger one is joined with the word sequences as long as its entries.
     """
+    known = entries(lexicon)
+    size = known.limit(MOST_ENTRIES + 1).agg(F.count("*").alias("n"), F.sum(F.octet_length("phrase")).alias("bytes")).first()
+    if size["n"] > MOST_ENTRIES or (size["bytes"] or 0) > MOST_BYTES:
+        return joined_tags(rows, known)
+    phrases = [r["phrase"] for r in known.collect()]
+
+    @F.pandas_udf("array<string>")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        trie = trie_of(phrases)
+        for batch in batches:
+            yield pd.Series([first_tags(trie, list(words)) for words in batch], dtype=object)
 
-    @F.pandas_udf("string")
+    return rows.withColumn("first_tags", run(F.transform("words", F.lower)))
+
+
+def joined_tags(rows: DataFrame, known: DataFrame) -> DataFrame:
+    """with_first_tags for a lexicon of any size, known as `entries` gives it.
+
+    Equal word arrays are looked up once, under their digest; what is found at a word is
+    the longest entry, and a fold walks from left to right.
+    """
+    lengths = [r["n"] for r in known.select(F.size(F.split("phrase", " ")).alias("n")).distinct().collect()]
+    low = F.transform("words", F.lower)
+    keyed = rows.withColumn("__key", F.sha2(F.array_join(low, "\x1f"), 256))
+    texts = keyed.select("__key", low.alias("low")).dropDuplicates(["__key"])
+    runs = [_placed(n) for n in lengths]
+    none = F.array().cast("array<struct<at:int,n:int,phrase:string>>")
+    places = texts.select("__key", F.explode(F.concat(none, *runs)).alias("x")).select("__key", "x.*")
+    found = (
+        places.join(known, "phrase", "left_semi").groupBy("__key", "at").agg(F.max("n").alias("n"))
+        .groupBy("__key").agg(F.map_from_entries(F.collect_list(F.struct("at", "n"))).alias("__found"))
+    )
+    step = lambda state, at: F.struct(
+        F.when(at < state["next"], state["next"]).otherwise(at + F.coalesce(F.try_element_at("__found", at), F.lit(1))).alias("next"),
+        F.concat(state["tags"], F.array(F.when(at < state["next"], "I").otherwise("B"))).alias("tags"),
+    )
+    begin = F.struct(F.lit(1).alias("next"), F.array().cast("array<string>").alias("tags"))
+    places_of = F.when(F.size("words") > 0, F.sequence(F.lit(1), F.size("words"))).otherwise(F.array().cast("array<int>"))
+    walked = F.aggregate(places_of, begin, step)["tags"]
+    out = keyed.join(found, "__key", "left").withColumn("first_tags", walked)
+    return out.drop("__key", "__found")
+
+
+def _placed(n: int) -> Column:
+    """(at, n, phrase) of the sequences of n words of low, places from 1."""
+    return F.transform(gram_list(F.col("low"), n), lambda p, i: F.struct((i + 1).alias("at"), F.lit(n).alias("n"), p.alias("phrase")))
+
+
+def with_tags(rows: DataFrame, root: Rule) -> DataFrame:
+    """Adds tags to rows(words, first_tags), in batches; the rules travel with the function."""
+    node = indexed(root)
+
+    @F.pandas_udf("array<string>")
     def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         for words, tags in batches:
             pairs = zip(words, tags, strict=True)
-            yield pd.Series([join_words(list(w), tag(root, list(w), list(t))) for w, t in pairs], dtype=object)
+            yield pd.Series([tag(node, list(w), list(t)) for w, t in pairs], dtype=object)
 
-    return rows.withColumn("segmented", run("words", "tags"))
+    return rows.withColumn("tags", run(F.transform("words", F.lower), "first_tags"))
+
+
+def segment(rows: DataFrame, lexicon: DataFrame, root: Rule, text: str = "text") -> DataFrame:
+    """Adds words, first_tags, tags and segmented to rows with a text.
+
+    lexicon: (phrase). A null or empty text has no words and the empty string. Repeated
+    rows stay; columns of rows with one of the new names are replaced.
+    """
+    worded = with_words(rows.drop("words", "first_tags", "tags", "segmented"), F.col(text))
+    return with_tags(with_first_tags(worded, lexicon), root).withColumn("segmented", join_words(F.col("words"), F.col("tags")))

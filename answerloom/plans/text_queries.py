@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from answerloom.functions import entities, ngrams
 from answerloom.functions import text as tx
 from answerloom.functions.text import ACCENTED, LINE_END, PLAIN, SENTENCE_END, WS
+from answerloom.operators import segment
 from answerloom.plans.registry import normalized_answer, query, steps, strip, table, text, words
 
 PASSAGES = (
@@ -339,3 +340,66 @@ def extract_quantity_compat(spark, sf_dir):
 def get_nums(spark, sf_dir):
     d, m, y = (f("o_orderdate").cast("string") for f in (F.day, F.month, F.year))
     return table(spark, sf_dir, "orders").select("o_orderkey", entities.get_nums(F.concat_ws("-", d, m, y)).alias("nums"))
+
+
+# Rules of segmented_turns, in the format of a rule file.
+SEGMENT_RULES = (
+    'True : object.conclusion = "NN"',
+    '\tobject.tag == "I" : object.conclusion = "I"',
+    '\t\tobject.prevWord1 == "the" : object.conclusion = "B"',
+    '\t\t\tobject.prevWord1 == "the" and object.nextTag1 == "I" : object.conclusion = "I"',
+    '\t\tobject.prevTag1 == "I" and object.nextWord1 == "." : object.conclusion = "B"',
+    '\t\tobject.prevWord2 == "" and object.prevWord1 == "la" : object.conclusion = "B"',
+    '\tobject.tag == "B" : object.conclusion = "B"',
+    '\t\tobject.prevWord1 == "de" and object.word == "la" : object.conclusion = "I"',
+    '\t\t\tobject.nextTag1 == "I" : object.conclusion = "B"',
+    '\t\tobject.prevTag1 == "I" and object.nextWord2 == "," : object.conclusion = "I"',
+)
+#: Sequences of two and three words are units from so many places in the documents on.
+UNIT_LENGTHS, UNIT_PLACES = (2, 3), 20
+LETTERS = r"^[\p{L}\p{M}\p{N}]+$"
+
+
+def _sql_rule(rule: segment.Rule) -> str:
+    """A rule's tag over columns word_<offset>, tag_<offset>."""
+    whens = []
+    for r in rule.exceptions:
+        holds = " AND ".join(f'"{kind}_{offset}" = {text(value)}' for offset, kind, value in r.atoms)
+        whens.append(f"WHEN {holds} THEN {_sql_rule(r)}")
+    return f"CASE {' '.join(whens)} ELSE {text(rule.tag)} END" if whens else text(rule.tag)
+
+
+def _sql_segmented() -> str:
+    cut = text(segment.WORD)
+    window = "OVER (PARTITION BY k ORDER BY i)"
+    near = ", ".join(
+        f"coalesce({'lag' if o < 0 else 'lead'}({source}, {abs(o)}) {window}, '') AS \"{kind}_{o}\""
+        for o in range(-2, 3) for kind, source in (("word", "w"), ("tag", "t"))
+    )
+    grams = " UNION ALL ".join(
+        f"SELECT *, {n} AS n, concat_ws(' ', w{''.join(f', lead(w, {j}) {window}' for j in range(1, n))}) AS phrase, lead(w, {n - 1}) {window} AS closing FROM {{rows}}"
+        for n in UNIT_LENGTHS
+    )
+    unknown = f"list_filter(string_split(phrase, ' '), lambda x: NOT regexp_matches(x, {text(LETTERS)}))"
+    return f"""WITH RECURSIVE d AS (SELECT k, unnest(range(1, len(w) + 1)) AS i, unnest(w) AS w FROM (SELECT row_number() OVER () AS k, regexp_extract_all(lower(text), {cut}) AS w FROM documents)),
+lexicon AS (SELECT phrase, n FROM ({grams.format(rows="d")}) WHERE closing IS NOT NULL GROUP BY ALL HAVING count(*) >= {UNIT_PLACES} AND len({unknown}) = 0),
+turns AS MATERIALIZED (SELECT conv_id, turn, row_number() OVER () AS k, text FROM conversations),
+places AS MATERIALIZED (SELECT k, unnest(range(1, len(form) + 1)) AS i, unnest(form) AS form, lower(unnest(form)) AS w FROM (SELECT k, regexp_extract_all(text, {cut}) AS form FROM turns)),
+longest AS (SELECT k, i, max(n) AS n FROM (SELECT k, i, n, phrase FROM ({grams.format(rows="places")}) WHERE closing IS NOT NULL) JOIN lexicon USING (phrase, n) GROUP BY k, i),
+steps AS MATERIALIZED (SELECT k, i, coalesce(n, 1) AS n FROM places LEFT JOIN longest USING (k, i)),
+walk AS (SELECT k, i FROM steps WHERE i = 1 UNION ALL SELECT walk.k, walk.i + n FROM walk JOIN steps ON walk.k = steps.k AND walk.i = steps.i),
+tagged AS (SELECT k, p.i, w, form, CASE WHEN walk.i IS NULL THEN 'I' ELSE 'B' END AS t FROM places p LEFT JOIN walk USING (k, i)),
+near AS (SELECT k, i, form, {near} FROM tagged),
+ruled AS (SELECT k, string_agg(CASE WHEN {_sql_rule(segment.parse_rules(SEGMENT_RULES))} = 'I' THEN '_' ELSE ' ' END || form, '' ORDER BY i) AS s FROM near GROUP BY k)
+SELECT conv_id, turn, coalesce(substr(s, 2), '') AS segmented FROM turns LEFT JOIN ruled USING (k)"""
+
+
+@query(_sql_segmented())
+def segmented_turns(spark, sf_dir):
+    """Turns cut into units: frequent word sequences of the documents are the lexicon."""
+    w = segment.with_words(table(spark, sf_dir, "documents").select("text"), F.lower("text")).select(F.col("words").alias("w"))
+    runs = w.select(F.explode(F.concat(*[ngrams.gram_list(F.col("w"), n) for n in UNIT_LENGTHS])).alias("phrase"))
+    counted = runs.groupBy("phrase").count().filter(F.col("count") >= UNIT_PLACES)
+    lexicon = counted.filter(F.forall(F.split("phrase", " "), lambda x: x.rlike(LETTERS))).select("phrase")
+    rules = segment.parse_rules(SEGMENT_RULES)
+    return segment.segment(turns(spark, sf_dir, text=F.col("text")), lexicon, rules).select("conv_id", "turn", "segmented")

@@ -143,3 +143,40 @@ def quantity_of(text, values, compat):
             i += size or 1
         toks = out
     return re.sub(r"\D", "", " ".join(toks))
+
+
+def longest_matches(phrases, words):
+    """First tags: at each place the longest phrase, from left to right."""
+    tags = []
+    while len(tags) < len(words):
+        i = len(tags)
+        n = max((k for k in range(2, len(words) - i + 1) if " ".join(words[i : i + k]) in phrases), default=1)
+        tags += ["B"] + ["I"] * (n - 1)
+    return tags
+
+
+def ripple_down(lines, words, tags):
+    """Final tags, by walking the lines of a rule file for every word."""
+
+    def value(name, i):
+        name = name.lower()
+        distance = int(name[-1]) if name[-1].isdigit() else 0
+        j = i - distance if name.startswith("prev") else i + distance
+        source = words if "word" in name else tags
+        return source[j] if 0 <= j < len(source) else ""
+
+    out = []
+    for i in range(len(words)):
+        level, chosen = 0, None
+        for line in lines:
+            depth = len(line) - len(line.lstrip("\t"))
+            if depth < level:
+                break  # all below the chosen rule has been tried
+            condition, conclusion = line.strip().split(" : ")
+            holds = condition == "True" or all(
+                value(a.split(" == ")[0].removeprefix("object."), i) == a.split(" == ")[1].strip('"') for a in condition.split(" and ")
+            )
+            if depth == level and holds:
+                level, chosen = depth + 1, conclusion.split('"')[1]
+        out.append(chosen)
+    return out

@@ -200,10 +200,68 @@ def test_rule_tree_segments(spark):
     from answerloom.operators import segment
 
     root = segment.parse_rules(RULES)
-    assert segment.tag(root, ["quần", "áo", "dài"], ["B", "I", "I"]) == ["B", "I", "I"]
-    assert segment.tag(root, ["quần", "dài", "x"], ["B", "I", "B"]) == ["B", "B", "B"]
-    rows = spark.createDataFrame([(["quần", "áo", "đẹp"], ["B", "I", "B"])], "words array<string>, tags array<string>")
-    assert segment.segment(rows, root).first()["segmented"] == "quần_áo đẹp"
+    node = segment.indexed(root)
+    assert segment.tag(node, ["quần", "áo", "dài"], ["B", "I", "I"]) == ["B", "I", "I"]
+    assert segment.tag(node, ["quần", "dài", "x"], ["B", "I", "B"]) == ["B", "B", "B"]
+    rows = spark.createDataFrame([(1, "Quần áo đẹp."), (1, "Quần áo đẹp."), (2, None), (3, ""), (4, " ,x")], "tags int, text string")
+    lexicon = spark.createDataFrame([("quần áo",), ("áo đẹp",), ("Đẹp",), (None,)], "phrase string")
+    got = segment.segment(rows, lexicon, root).collect()
+    assert sorted(r["segmented"] for r in got) == ["", "", ", x", "Quần_áo đẹp .", "Quần_áo đẹp ."]
+    assert all(len(r["tags"]) == len(r["first_tags"]) == len(r["words"]) for r in got)
+    with pytest.raises(ValueError, match="hangs under none"):
+        segment.parse_rules([RULES[0], RULES[2]])
+
+
+def random_rules(rng, n):
+    """A rule file of n lines below the root, up to three levels deep."""
+    names = [f"{side}{kind}{d}" for side in ("prev", "next") for kind in ("Word", "Tag") for d in "12"] + ["word", "tag"]
+    lines, depth = ['True : object.conclusion = "NN"'], 0
+    for _ in range(n):
+        depth = rng.randint(1, min(depth + 1, 3))
+        atoms = [
+            f'object.{x} == "{rng.choice(["B", "I", ""]) if "ag" in x else rng.choice(SYLLABLES)}"'
+            for x in rng.sample(names, rng.randint(1, 3))
+        ]
+        lines.append("\t" * depth + " and ".join(atoms) + f' : object.conclusion = "{rng.choice("BI")}"')
+    return lines
+
+
+SYLLABLES = ["a", "b", "c", "đ", "e", "ô", ",", ""]
+
+
+def test_segmentation_equals_walks(spark, tmp_path, monkeypatch):
+    """A file of 1,500 rules and a lexicon file, both ways of tagging, against plain walks."""
+    import random
+
+    from answerloom.operators import segment
+    from tests.definitions import longest_matches, ripple_down
+
+    rng = random.Random(5)
+    lines = random_rules(rng, 1500)
+    (tmp_path / "rules").write_text("\n".join(lines) + "\n", encoding="utf-8")
+    root = segment.read_rules(spark, str(tmp_path / "rules"))
+    count = lambda r: 1 + sum(map(count, r.exceptions))
+    assert count(root) == 1501
+    phrases = {" ".join(rng.choices("abcđeô", k=rng.randint(1, 4))) for _ in range(60)}
+    (tmp_path / "lexicon").write_text("\n".join(p.replace(" ", "_") for p in sorted(phrases)) + "\n\n", encoding="utf-8")
+    lexicon = segment.read_lexicon(spark, str(tmp_path / "lexicon"))
+    texts = [" ".join(rng.choices("abcđeôAĐ,", k=rng.randint(0, 40))) for _ in range(300)]
+    rows = spark.createDataFrame([(t,) for t in [*texts, texts[0], None]], "text string").repartition(3)
+    got = segment.segment(rows, lexicon, root).collect()
+    assert len(got) == 302
+    for r in got:
+        low = [w.lower() for w in r["words"]]
+        assert r["first_tags"] == longest_matches(phrases, low)
+        assert r["tags"] == ripple_down(lines, low, r["first_tags"])
+    assert len({t for r in got for t in r["tags"]}) > 1
+    monkeypatch.setattr(segment, "MOST_ENTRIES", 3)
+    joined = segment.with_first_tags(rows.withColumn("words", segment.words_of(F.col("text"))), lexicon)
+    key = lambda r: (r["text"] or "", r["first_tags"])
+    assert sorted(map(key, joined.collect())) == sorted(map(key, got))
+    none = spark.createDataFrame([], "phrase string")
+    monkeypatch.setattr(segment, "MOST_ENTRIES", -1)
+    bare = segment.with_first_tags(rows.withColumn("words", segment.words_of(F.col("text"))), none)
+    assert {t for r in bare.collect() for t in r["first_tags"]} == {"B"}
 
 
 def test_contexts(spark):
