@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from answerloom.functions.text import json_contents
@@ -30,10 +30,18 @@ def link_position_map(positions: DataFrame) -> DataFrame:
     """(title, lines): map from line to the map of its links' (start, end).
 
     positions(title, line, links) as links_and_positions finds them. The map of a
-    title holds its own lines only.
+    title holds its own lines only. Of a link that occurs twice in a line the last place
+    counts; of a line given twice for a title the larger list of links, compared in order.
     """
     place = lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"))
     pairs = F.transform("links", lambda x: F.struct(x["link"].alias("link"), place(x).alias("place")))
-    inner = F.map_from_entries(pairs)
-    rows = positions.select("title", F.col("line").cast("string").alias("line"), inner.alias("found"))
-    return rows.groupBy("title").agg(F.map_from_entries(F.collect_list(F.struct("line", "found"))).alias("lines"))
+    rows = positions.select("title", F.col("line").cast("string").alias("line"), pairs.alias("pairs"))
+    given = rows.groupBy("title").agg(F.sort_array(F.collect_list(F.struct("line", "pairs"))).alias("given"))
+    found = lambda x: F.struct(x["line"].alias("line"), F.map_from_entries(last_of(x["pairs"], "link")).alias("found"))
+    return given.select("title", F.map_from_entries(F.transform(last_of(F.col("given"), "line"), found)).alias("lines"))
+
+
+def last_of(entries: Column, key: str) -> Column:
+    """Entries whose key, never null, no later entry has."""
+    keys = F.reverse(F.transform(entries, lambda x: x[key]))
+    return F.filter(entries, lambda x, i: F.array_position(keys, x[key]) == F.size(entries) - i)

@@ -11,6 +11,7 @@ from answerloom.functions import text as tx
 from answerloom.operators import ranking, vectors, voting
 from answerloom.operators.block_index import BlockIndex
 from answerloom.operators.cells import CellIndex
+from answerloom.operators.contexts import hit_contexts, with_contents
 from answerloom.operators.index import BM25Index
 from answerloom.plans import pipelines
 from answerloom.plans.registry import SQL, minmax, query, steps, strip, table, words, zero_below
@@ -217,6 +218,14 @@ def best_answer(spark, sf_dir):
     return ranking.best_answer(rows, ["qid"], 0.3).drop("ctx_score").withColumn("total_score", F.round("total_score", 9))
 
 
+@query(f"WITH {VOTE_CTES} SELECT qid, answer, round(s, 9) AS score, ord FROM (SELECT *, 0.5::DOUBLE / ord + 0.5::DOUBLE * score AS s, row_number() OVER (PARTITION BY qid ORDER BY 0.5::DOUBLE / ord + 0.5::DOUBLE * score DESC, ord) AS r FROM good) WHERE r = 1")
+def chosen_answer(spark, sf_dir):
+    """Best answer by a scorer brought along: half its passage's place, half its own score."""
+    scorer = lambda rows: ranking.weighted_score(1.0 / rows["ord"], rows["score"])
+    got = ranking.choose_best(answers(spark, sf_dir), ["qid"], scorer)
+    return got.withColumn("score", F.round("score", 9))
+
+
 # fusion
 
 FUSED_CTES = f"""{hits("CASE WHEN ends_with(text, '?') OR text = '' THEN text ELSE text || ' ?' END", HITS)},
@@ -278,6 +287,16 @@ def vector_cells(spark, sf_dir):
     return CellIndex.save(e, new_path(spark)).search(label_means(e), 10, exact=True)
 
 
+@query(
+    f"SELECT qid, vec_id AS title, text, score FROM ({SQL['vector_topk']}) JOIN documents ON doc_id = vec_id WHERE NOT contains(text, ' ein ')"
+)
+def dense_contexts(spark, sf_dir):
+    """Texts of dense hits from a store of JSON documents; those that hold a blacklisted word are left out."""
+    hits = vector_topk(spark, sf_dir).withColumnRenamed("vec_id", "doc_id")
+    store = table(spark, sf_dir, "documents").select("doc_id", F.to_json(F.struct(F.col("text").alias("contents"))).alias("raw"))
+    return hit_contexts(with_contents(hits, store), [" ein "])
+
+
 def label_means(e: DataFrame) -> DataFrame:
     parts = e.select("label", F.posexplode("embedding").alias("pos", "x")).groupBy("label", "pos").agg(F.round(F.avg(F.col("x").cast("double")), 9).alias("m"))
     return parts.groupBy(F.col("label").alias("qid")).agg(

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from answerloom.functions import text as tx
 from answerloom.functions.text import LINE_END
 from answerloom.operators import classify, corpus, evaluate, links, voting
+from answerloom.operators.contexts import link_position_map
 from answerloom.operators.ranking import best_indexes
 from answerloom.plans import pipelines
 from answerloom.plans.answer_queries import index, questions
@@ -82,23 +83,36 @@ def plain_links(spark, sf_dir):
     return wiki(spark, sf_dir).select("page_id", corpus.plain_links(F.col("text")).alias("plain"))
 
 
-@query(
-    f"""WITH RECURSIVE {WIKI}, b AS (SELECT page_id, text, regexp_extract_all(text, '\\[\\[([^\\]]+)\\]\\]', 1) AS bodies FROM w),
+POSITIONS = f"""WITH RECURSIVE {WIKI}, b AS (SELECT page_id, text, regexp_extract_all(text, '\\[\\[([^\\]]+)\\]\\]', 1) AS bodies FROM w),
 r AS (SELECT page_id, 0 AS i, text AS plain, []::STRUCT(link VARCHAR, first BIGINT, label VARCHAR)[] AS links FROM b
   UNION ALL SELECT page_id, i + 1, replace(replace(plain, '[[' || body || ']]', label), body, label), list_append(links, {{'link': link,
     'first': CASE WHEN hit > 0 THEN length(substr(plain, 1, hit - 1)) - length(replace(substr(plain, 1, hit - 1), ' ', '')) ELSE -1 END, 'label': label}})
   FROM (SELECT *, strpos(plain, '[[' || body || ']]') AS hit, split_part(body, '|', 1) AS link,
     CASE WHEN contains(body, '|') THEN substr(body, strpos(body, '|') + 1) ELSE body END AS label
     FROM (SELECT r.*, bodies[i + 1] AS body FROM r JOIN b USING (page_id) WHERE i < len(bodies)))),
-found AS (SELECT page_id, plain, unnest(links) AS x, unnest(range(len(links))) AS place FROM r JOIN b USING (page_id) WHERE i = len(bodies))
-SELECT page_id AS id, plain, place, x.link AS link, x.first AS first_word,
-  CASE WHEN x.first < 0 THEN -1 ELSE x.first + length(x.label) - length(replace(x.label, ' ', '')) END AS last_word FROM found"""
-)
+found AS (SELECT page_id, plain, unnest(links) AS x, unnest(range(len(links))) AS place FROM r JOIN b USING (page_id) WHERE i = len(bodies))"""
+LAST_WORD = "CASE WHEN x.first < 0 THEN -1 ELSE x.first + length(x.label) - length(replace(x.label, ' ', '')) END"
+
+
+@query(f"{POSITIONS} SELECT page_id AS id, plain, place, x.link AS link, x.first AS first_word, {LAST_WORD} AS last_word FROM found")
 def link_positions(spark, sf_dir):
     found = corpus.link_positions(wiki(spark, sf_dir), "page_id").select("id", "plain", F.posexplode("links").alias("place", "x"))
     return found.select("id", "plain", F.col("place").cast("long").alias("place"), "x.link", F.col("x.start").alias("first_word"), F.col("x.end").alias("last_word"))
 
 
+@query(
+    f"{POSITIONS} SELECT title, page_id::VARCHAR AS line, x.link AS link, arg_max(x.first, place) AS first_word, arg_max({LAST_WORD}, place) AS last_word "
+    "FROM found JOIN w USING (page_id) GROUP BY ALL"
+)
+def link_map(spark, sf_dir):
+    """The map from title to line, link and place, read back; a page is a line of its title."""
+    pages = wiki(spark, sf_dir)
+    at = corpus.link_positions(pages, "page_id").join(pages.select(F.col("page_id").alias("id"), "title"), "id")
+    lines = link_position_map(at.select("title", F.col("id").alias("line"), "links"))
+    found = lines.select("title", F.explode("lines").alias("line", "found")).select("title", "line", F.explode("found").alias("link", "place"))
+    return found.select("title", "line", "link", F.col("place.start").alias("first_word"), F.col("place.end").alias("last_word"))
+
+
 @query(
     f"WITH {WIKI} SELECT page_id, '[[wiki/' || upper(substr(t, 1, 1)) || substr(t, 2) || '|x]]' AS link FROM "
     f"(SELECT page_id, replace({strip('replace(title, chr(58), chr(32))')}, ' ', '_') AS t FROM w)"
@@ -377,6 +391,53 @@ def best_threshold(spark, sf_dir):
 LOGITS = "(SELECT vec_id, embedding::DOUBLE[] AS s, list_reverse(embedding::DOUBLE[]) AS e FROM embeddings)"
 
 
+ANSWERED = SCORES.replace("SELECT qid, na_prob, has_answer,", "SELECT qid, na_prob, has_answer, pred <> '' AS answered,")
+
+
+def sql_thresholds() -> str:
+    """CTEs start and top_c, and columns best_c and best_c_thresh, over scores with answered."""
+    ctes = "start AS (SELECT count(*) FILTER (WHERE NOT has_answer)::DOUBLE AS s, count(*) AS n FROM scores)"
+    for c in ("exact", "f1"):
+        gain = f"CASE WHEN has_answer THEN {c}::DOUBLE WHEN answered THEN -1.0 ELSE 0.0 END"
+        run = f"SELECT na_prob, round(s + sum({gain}) OVER (ORDER BY na_prob, qid ROWS UNBOUNDED PRECEDING), 9) AS total FROM scores CROSS JOIN start"
+        ctes += f", top_{c} AS (SELECT max(total) AS t_{c}, arg_max(na_prob, total * 1000000 - na_prob) AS p_{c} FROM ({run}))"
+    return ctes
+
+
+BEST = ", ".join(
+    f"round(100 * CASE WHEN t_{c} > s THEN t_{c} ELSE s END / n, 6) AS best_{c}, CASE WHEN t_{c} > s THEN p_{c} ELSE 0.0 END AS best_{c}_thresh" for c in ("exact", "f1")
+)
+
+
+@query(
+    f"WITH {ANSWERED}, {sql_thresholds()}, means AS (SELECT round(avg(exact) FILTER (WHERE has_answer), 6) AS has_ans_exact, round(avg(f1) FILTER (WHERE has_answer), 6) AS has_ans_f1 FROM scores) "
+    f"SELECT {BEST}, has_ans_exact, has_ans_f1 FROM start, top_exact, top_f1, means"
+)
+def thresholds_with_answered(spark, sf_dir):
+    rows = pair_scores(spark, sf_dir)
+    answered = prediction_pairs(spark, sf_dir).select("qid", (F.col("pred") != "").alias("answered"))
+    return evaluate.all_best_thresholds_with_answered(rows.join(answered, "qid"))
+
+
+@query(
+    f"WITH {ANSWERED.replace(PAIRS, PAIRS.replace('text AS gold', 'CASE WHEN turn % 3 <> 0 THEN text ELSE {} END AS gold'.format(text(''))))}, "
+    f"{sql_thresholds()}, cut AS (SELECT has_answer, "
+    + ", ".join(f"CASE WHEN na_prob > 0.5 THEN (NOT has_answer)::INT::DOUBLE ELSE {c} END AS {c}" for c in ("exact", "f1"))
+    + " FROM scores), means AS (SELECT count(*) AS total, count(*) FILTER (WHERE has_answer) AS HasAns_total, count(*) FILTER (WHERE NOT has_answer) AS NoAns_total, "
+    + ", ".join(
+        f"round(100 * avg({c}) FILTER (WHERE {cond}), 6) AS {p}{c}"
+        for p, cond in (("", "true"), ("HasAns_", "has_answer"), ("NoAns_", "NOT has_answer")) for c in ("exact", "f1")
+    )
+    + f" FROM cut) SELECT means.*, {BEST} FROM means, start, top_exact, top_f1"
+)
+def squad_report(spark, sf_dir):
+    """The whole report: every third turn has no answer, and a prediction that it has one above 0.5."""
+    rows = prediction_pairs(spark, sf_dir)
+    golds = rows.select("qid", F.when(F.col("has_answer"), F.col("gold")).alias("gold"))
+    got = evaluate.squad_evaluate(golds, rows.select("qid", "pred", "na_prob"), 0.5)
+    return got.select(*[c if c.endswith(("total", "thresh")) else F.round(c, 6).alias(c) for c in got.columns])
+
+
 @query(
     f"WITH l AS (SELECT * FROM {LOGITS}), st AS (SELECT vec_id, i, v FROM (SELECT vec_id, i, v, row_number() OVER (PARTITION BY vec_id ORDER BY v DESC, i) AS r FROM (SELECT vec_id, unnest(range(len(s))) AS i, unnest(s) AS v FROM l)) WHERE r <= 5), "
     "en AS (SELECT vec_id, i, v FROM (SELECT vec_id, i, v, row_number() OVER (PARTITION BY vec_id ORDER BY v DESC, i) AS r FROM (SELECT vec_id, unnest(range(len(e))) AS i, unnest(e) AS v FROM l)) WHERE r <= 5), "

@@ -273,6 +273,10 @@ def test_contexts(spark):
     assert [(r["title"], r["text"]) for r in got] == [("a", "good")]
     at = spark.createDataFrame([("T", 0, [("L", 1, 2)])], "title string, line int, links array<struct<link: string, start: long, end: long>>")
     assert link_position_map(at).first()["lines"]["0"]["L"]["end"] == 2
+    twice = [("T", 0, [("L", 1, 2), ("M", 3, 3), ("L", 5, 6)]), ("T", 1, []), ("T", 0, [("L", 0, 9)]), ("U", 0, [])]
+    got = {r["title"]: r["lines"] for r in link_position_map(spark.createDataFrame(twice, at.schema)).collect()}
+    assert {k: tuple(v) for k, v in got["T"]["0"].items()} == {"M": (3, 3), "L": (5, 6)}
+    assert got["T"]["1"] == {} and got["U"] == {"0": {}}
 
 
 def test_thresholds_and_scorers(spark):
