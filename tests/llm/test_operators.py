@@ -1,6 +1,8 @@
 """Each operator against a brute-force version, and its edge cases."""
 
+import functools
 import hashlib
+import math
 from collections import Counter
 
 import numpy as np
@@ -661,6 +663,54 @@ LETTERS = {
 }
 
 
+@functools.cache
+def pieces():
+    import sentencepiece
+
+    from answerloom.llm.common import vocabulary
+
+    return sentencepiece.SentencePieceProcessor(model_file=vocabulary(fertility.VOCAB))
+
+
+def brute_fertility(text, lang):
+    """(n_tokens, n_byte_tokens, entropy, kept) of a whole text, from its words' own encodings."""
+    model = pieces()
+    words = [w.decode() for w in (text or "").encode().split()]
+    ids = [i for w in words for i in model.encode(w)]
+    n, n_bytes = len(ids), sum(map(model.is_byte, ids))
+    entropy = -sum(c / n * math.log2(c / n) for c in Counter(ids).values())
+    n_words, chars, _, _, repeated = brute_rules(text)
+    if not n or n_words < 10 or 100 * repeated > 20 * n_words:
+        return n, n_bytes, entropy, False
+    band = fertility.BANDS[lang]
+    i = min(max(int(math.log2(n)) - fertility.LEAST_BITS, 0), fertility.LENGTHS - 1)
+    factor, less = next(((f, bits) for tokens, f, bits in fertility.SHORT if n < tokens), (1.0, 0.0))
+    inside = (
+        band.min_chars[i] * factor <= chars / n <= band.max_chars
+        and n_bytes <= fertility.FREE_BYTES + band.max_byte_share * n
+        and band.min_entropy[i] - less <= entropy <= band.max_entropy
+    )
+    return n, n_bytes, entropy, inside
+
+
+def test_fertility_by_definition(spark, sf_dir):
+    rng = np.random.default_rng(3)
+    docs = table(spark, sf_dir, "documents").filter("lang in ('en', 'de', 'fr', 'es')").select("doc_id", "lang", "text")
+    junk = [(10_000 + i, "en", " ".join(random_words(rng, "abcxyz0189#@¬ß€", int(n)))) for i, n in enumerate(rng.integers(1, 400, 60))]
+    bytes_only = [(20_000, "de", "\u0488\u1f02\ua9c1 " * 40), (20_001, "fr", ""), (20_002, "es", None), (20_003, "en", "a b " * 30)]
+    more = spark.createDataFrame(junk + bytes_only, docs.schema)
+    rows = fertility.judge(docs.unionByName(more)).collect()
+    assert len(rows) == docs.count() + len(junk) + len(bytes_only)
+    for r in rows:
+        n, n_bytes, entropy, kept = brute_fertility(r["text"], r["lang"])
+        assert (r["n_tokens"], r["n_byte_tokens"], r["kept"]) == (n, n_bytes, kept)
+        assert r["token_entropy"] == pytest.approx(entropy, abs=1e-9)
+        assert r["chars_per_token"] == (pytest.approx(r["word_chars"] / n) if n else None)
+        assert r["byte_share"] == (pytest.approx(n_bytes / n) if n else None)
+    assert 0 < sum(r["kept"] for r in rows) < len(rows)
+    assert any(not r["kept"] and not r["base_failed"] for r in rows)
+
+
 def test_every_band_rejects(spark):
     """Words of three letters alone, none repeated in runs of five, say too little in any band."""
     assert set(LETTERS) == set(fertility.BANDS)
