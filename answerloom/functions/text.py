@@ -58,6 +58,16 @@ def strip(c: Column) -> Column:
     return F.regexp_replace(c, rf"\A{WS}+|{WS}+\z", "")
 
 
+#: Letters whose upper case is several letters, with the one letter that is theirs, if any.
+_TITLED = [chr(i) for i in range(0x1F80, 0x2000) if len(chr(i).upper()) > len(chr(i).title()) == 1]
+SEVERAL, SINGLE = "ß" + "".join(_TITLED), "ẞ" + "".join(x.title() for x in _TITLED)
+
+
+def one_capital(c: Column) -> Column:
+    """Upper case of one letter as one letter; one that has only several in upper case stays."""
+    return F.when(F.length(F.upper(c)) > 1, F.translate(c, SEVERAL, SINGLE)).otherwise(F.upper(c))
+
+
 def words(c: Column) -> Column:
     """White-space tokens, none empty."""
     return F.filter(F.split(c, f"{WS}+"), lambda w: w != "")

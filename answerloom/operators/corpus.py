@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -136,7 +136,7 @@ def balanced_spans(docs: DataFrame, id: str = "doc_id", text: str = "text", pair
     return docs.select(F.col(id).alias("id"), F.inline(F.flatten(F.array(*[found(a, b) for a, b in pairs]))))
 
 
-def rewrite_links(text: Column) -> Column:
+def rewrite_links(text: Column, capital: Callable[[Column], Column] = F.upper) -> Column:
     """Wiki links as [[wiki/Title|label]], the word that follows and nested links taken in; null stays null.
 
     The title is what stands before the first pipe, the label what stands behind the pipe
@@ -156,7 +156,7 @@ def rewrite_links(text: Column) -> Column:
                 F.regexp_replace(part(s["start"] + 2, before(s["title"])), rf"{WS}+\z", "")
             )
             label = F.when(s["title"] < 0, title).otherwise(strip(part(before(s["label"]) + 1, s["end"] - 2)))
-            return F.concat(part(done, s["start"]), internal_link(title, label), x["trail"])
+            return F.concat(part(done, s["start"]), internal_link(title, label, capital), x["trail"])
 
         def step(state: Column, x: Column) -> Column:
             return F.struct(
@@ -171,7 +171,9 @@ def rewrite_links(text: Column) -> Column:
     return F.when(text.isNotNull(), F.get(F.transform(one, rewritten), 0))
 
 
-def dump_records(dump: DataFrame, titles: DataFrame | None = None, rewrite: bool = False) -> DataFrame:
+def dump_records(
+    dump: DataFrame, titles: DataFrame | None = None, rewrite: bool = False, capital: Callable[[Column], Column] = F.upper
+) -> DataFrame:
     """Records of a dump, of known titles alone if titles(title) are given.
 
     rewrite unwraps highlighted code and rewrites the links of each text.
@@ -179,7 +181,7 @@ def dump_records(dump: DataFrame, titles: DataFrame | None = None, rewrite: bool
     out = dump
     if titles is not None:
         out = out.join(titles.select(strip(F.col("title")).alias("title")).distinct(), "title", "left_semi").select(*dump.columns)
-    return out.withColumn("text", unwrap_highlight(rewrite_links(F.col("text")))) if rewrite else out
+    return out.withColumn("text", unwrap_highlight(rewrite_links(F.col("text"), capital))) if rewrite else out
 
 
 def zip_by_place(left: DataFrame, right: DataFrame, ord: str = "ord") -> DataFrame:
@@ -187,14 +189,14 @@ def zip_by_place(left: DataFrame, right: DataFrame, ord: str = "ord") -> DataFra
     return left.join(right, ord)
 
 
-def internal_link(title: Column, label: Column) -> Column:
-    """[[wiki/Title|label]]: first letter upper-cased, white space joined by single underscores.
+def internal_link(title: Column, label: Column, capital: Callable[[Column], Column] = F.upper) -> Column:
+    """[[wiki/Title|label]]: first letter upper-cased by capital, white space joined by single underscores.
 
     '' where the title is in an unknown namespace; a leading colon is no namespace, and stays.
     """
     space = F.substring_index(F.regexp_replace(title, "^:", ""), ":", 1)
     known = ~F.regexp_replace(title, "^:", "").rlike("^[^:]+:") | space.isin(*NAMESPACES)
-    name = F.concat(F.upper(F.left(title, F.lit(1))), F.substr(title, F.lit(2)))
+    name = F.concat(capital(F.left(title, F.lit(1))), F.substr(title, F.lit(2)))
     name = F.array_join(words(name), "_")
     link = F.concat(F.lit("[[" + LINK_PREFIX), name, F.lit("|"), label, F.lit("]]"))
     return F.when(known, link).otherwise("")

@@ -119,7 +119,7 @@ def link_map(spark, sf_dir):
 )
 def internal_link(spark, sf_dir):
     return wiki(spark, sf_dir).select(
-        "page_id", corpus.internal_link(F.replace("title", F.lit(":"), F.lit(" ")), F.lit("x")).alias("link")
+        "page_id", corpus.internal_link(F.replace("title", F.lit(":"), F.lit(" ")), F.lit("x"), tx.one_capital).alias("link")
     )
 
 

@@ -76,6 +76,23 @@ def test_links_rewritten_by_definition(spark):
     assert made[:3] == ["[[wiki/Ha_noi|x]]", "[[wiki/A_b|x]]", "[[wiki/:Foo|x]]"]
 
 
+def test_link_capitals_as_sql(spark, tmp_path):
+    """Titles whose first letter has several letters in upper case, against the SQL of both queries."""
+    import duckdb
+
+    import __spark_entry__ as entry
+
+    firsts = [chr(i) for i in range(0x20, 0x10000) if len(chr(i).upper()) > 1] + ["a", "é", "đ", "ǆ", "ı", "ÿ", "1", "ẞ"]
+    rows = [(i, f"<title>{c}ieung beung</title><a href=\"/x\">y</a>") for i, c in enumerate(firsts)]
+    spark.createDataFrame(rows, "page_id long, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM read_parquet('{tmp_path}/pages.parquet/*.parquet')")
+    for name in ("internal_link",):
+        got = sorted(tuple(r) for r in entry.queries()[name](spark, str(tmp_path)).collect())
+        assert got == sorted(con.sql(entry.oracle_sql()[name]).fetchall())
+    assert {"ß", "ŉ", "ﬁ", "ᾳ"} <= set(firsts)
+
+
 def test_final_text_by_definition(spark):
     rng = random.Random(5)
     rows = [
