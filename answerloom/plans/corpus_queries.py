@@ -250,7 +250,7 @@ def links_rewritten(spark, sf_dir):
     """Piped links of the pages, a bare link to the title with a word behind it, and a nested link."""
     title = F.translate("title", ":|", "  ")
     more = F.concat("text", F.lit(" [["), title, F.lit("]]s [[t|x|c [[a|b]] d]]x"))
-    return corpus.dump_records(wiki(spark, sf_dir).withColumn("text", more), rewrite=True).select("page_id", "text")
+    return corpus.dump_records(wiki(spark, sf_dir).withColumn("text", more), rewrite=True, capital=tx.one_capital).select("page_id", "text")
 
 
 @query(

@@ -87,7 +87,7 @@ def test_link_capitals_as_sql(spark, tmp_path):
     spark.createDataFrame(rows, "page_id long, html string").write.parquet(f"{tmp_path}/pages.parquet")
     con = duckdb.connect()
     con.execute(f"CREATE VIEW pages AS SELECT * FROM read_parquet('{tmp_path}/pages.parquet/*.parquet')")
-    for name in ("internal_link",):
+    for name in ("internal_link", "links_rewritten"):
         got = sorted(tuple(r) for r in entry.queries()[name](spark, str(tmp_path)).collect())
         assert got == sorted(con.sql(entry.oracle_sql()[name]).fetchall())
     assert {"ß", "ŉ", "ﬁ", "ᾳ"} <= set(firsts)
