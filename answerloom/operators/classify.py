@@ -10,6 +10,8 @@ from pyspark.ml.feature import HashingTF, IndexToString, Normalizer, RegexTokeni
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from answerloom.sources.shared import written
+
 # Phrases of the labeller.
 LABEL_DATE_ANSWER = ("ngày", "tháng", "năm")
 LABEL_DATE_QUESTION = (
@@ -27,6 +29,8 @@ RULE_WIKI = ("vào năm",)
 NUMBER = r"\A[\s]*[+-]?(?:[0-9]+(?:_[0-9]+)*\.?(?:[0-9]+(?:_[0-9]+)*)?|\.[0-9]+(?:_[0-9]+)*)(?:[eE][+-]?[0-9]+)?[\s]*\z|\A\s*[+-]?(?:(?i)inf|infinity|nan)\s*\z"
 
 FEATURES, REGULARISATION, SEED = 1 << 16, 0.5, 42
+#: Text of a task, and up to which training rows are dealt anew, in bytes.
+TASK_TEXT, SMALL_TEXT = 1 << 20, 64 << 20
 
 
 def contains_any(c: Column, phrases: Sequence[str]) -> Column:
@@ -66,14 +70,23 @@ def split(df: DataFrame, key: str = "question", train: float = 0.8) -> tuple[Dat
 
 
 def fit_categories(train: DataFrame, question: str = "question", category: str = "category") -> PipelineModel:
-    """Hashed words under linear SVMs, one a category; labels come from train only."""
+    """Hashed words under linear SVMs, one a category; labels come from train only.
+
+    Every step of every SVM is a pass over all partitions. Rows of little text are written
+    once, in as few partitions as their text needs; others stay as they are dealt.
+    """
+    train = train.select(question, category)
+    text = F.coalesce(F.octet_length(question), F.lit(0))
+    size = train.agg(F.count("*").alias("n"), F.coalesce(F.sum(text), F.lit(0)).alias("bytes")).first()
+    if size["bytes"] <= SMALL_TEXT:
+        train = written(train.repartition(1 + size["bytes"] // TASK_TEXT))
     labels = StringIndexer(inputCol=category, outputCol="label", stringOrderType="alphabetAsc", handleInvalid="keep").fit(train)
     stages = [
         labels,
         RegexTokenizer(inputCol=question, outputCol="tokens", pattern=r"[\p{L}\p{N}_]{2,}", gaps=False),
         HashingTF(inputCol="tokens", outputCol="tf", numFeatures=FEATURES),
         Normalizer(inputCol="tf", outputCol="features", p=2.0),
-        OneVsRest(classifier=LinearSVC(maxIter=20, regParam=REGULARISATION / max(train.count(), 1)), labelCol="label"),
+        OneVsRest(classifier=LinearSVC(maxIter=20, regParam=REGULARISATION / max(size["n"], 1)), labelCol="label"),
         IndexToString(inputCol="prediction", outputCol="model_category", labels=labels.labels),
     ]
     return Pipeline(stages=stages).fit(train)

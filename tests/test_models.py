@@ -346,3 +346,19 @@ def test_weighted_score_and_profiles(spark):
     df = spark.createDataFrame([(0.2, 0.6, "a b")], "p double, a double, t string")
     assert df.select(ranking.weighted_score(F.col("p"), F.col("a"))).first()[0] == pytest.approx(0.4)
     assert df.select(words(F.col("t"))).first()[0] == ["a", "b"]
+
+
+def test_small_fit_runs_few_tasks(spark):
+    """Passes of the fit go over as many partitions as the text needs, not over those it came in."""
+    asked = [(f"{'bao nhiêu' if i % 2 else 'ai'} {i}", "quantity" if i % 2 else "other") for i in range(80)]
+    train = spark.createDataFrame(asked, "question string, category string").repartition(40)
+    spark.sparkContext.setJobGroup("fit", "fit")
+    try:
+        model = classify.fit_categories(train)
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    tracker = spark.sparkContext.statusTracker()
+    stages = [tracker.getStageInfo(i) for j in tracker.getJobIdsForGroup("fit") for i in tracker.getJobInfo(j).stageIds]
+    assert len([s for s in stages if s and s.numTasks >= 40]) <= 4
+    got = classify.classify(train, model).select("question", "category").collect()
+    assert {(r["question"], r["category"]) for r in got} == set(asked)
