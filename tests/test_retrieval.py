@@ -177,3 +177,16 @@ def test_vector_cells_are_exact_on_request(spark, tmp_path):
     few = CellIndex.save(e.limit(1), str(tmp_path / "one"))
     assert few.search(q, 3, exact=True).count() == len(asked)
     assert CellIndex.save(e.limit(0), str(tmp_path / "none")).search(q, 3, exact=True).count() == 0
+
+
+def test_index_tasks_hold_a_bounded_share(spark, sf_dir, monkeypatch):
+    """Terms are counted in parts of a fixed size, however large the documents' file is; results stay."""
+    import os
+
+    from answerloom.plans import answer_queries
+
+    found = lambda: sorted(tuple(r) for r in answer_queries.bm25_top10(spark, sf_dir).collect())
+    want, size = found(), os.path.getsize(f"{sf_dir}/documents.parquet")
+    monkeypatch.setattr(answer_queries, "INDEX_TASK", size // 24)
+    assert answer_queries.index(spark, sf_dir).occurrences.rdd.getNumPartitions() >= 24
+    assert found() == want
