@@ -49,11 +49,18 @@ def _no_place(edges: DataFrame) -> Column:
 def resolve_links(asked: DataFrame, dictionary: DataFrame, last: bool = False) -> DataFrame:
     """(qid, label, page_title, link): entry of the page, else of 'wiki', else the first.
 
-    last takes the last inserted entry instead of the first.
+    last takes the last inserted entry instead of the first. A label meets two entries at
+    most, its page's and the one that stands for all others, however many pages have it.
     """
-    met = asked.join(dictionary, "label", "left")
-    place = F.when(F.col("source_title") == F.col("page_title"), 0).when(F.col("source_title") == "wiki", 1).otherwise(2)
     order = [F.col("ord").desc(), F.col("place").desc()] if last else [F.col("ord").asc(), F.col("place").asc()]
+    own = top_k(dictionary.select("label", "source_title", "link", "ord", "place"), ["label", "source_title"], order, 1).drop("rank")
+    wiki = F.when(F.col("source_title") == "wiki", 1).otherwise(2)
+    other = top_k(own, ["label"], [wiki, *order, F.asc("source_title")], 1).drop("rank")
+    entry = F.struct("source_title", "link", "ord", "place").alias("entry")
+    mine = own.select("label", F.col("source_title").alias("page_title"), entry.alias("mine"))
+    met = asked.join(mine, ["label", "page_title"], "left").join(other.select("label", entry), "label", "left")
+    met = met.withColumn("entry", F.coalesce("mine", "entry")).select("qid", "label", "page_title", "entry.*")
+    place = F.when(F.col("source_title") == F.col("page_title"), 0).otherwise(wiki)
     return top_k(met, ["qid"], [place, *order, F.asc("source_title")], 1).select("qid", "label", "page_title", "link")
 
 

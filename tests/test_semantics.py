@@ -1,6 +1,7 @@
 """Small expectations written from the operators' definitions."""
 
 import json
+import random
 
 import pytest
 from hypothesis import given, settings
@@ -318,3 +319,41 @@ def test_keys_of_long_pages_and_conversations_do_not_meet(spark, tmp_path):
     assert len(f1) == 1002 + 3 and sum(r["exact"] for r in f1) == 501 + 3
     assert QUERIES["na_threshold"](spark, str(tmp_path)).count() == 1005
     assert QUERIES["eval_summary"](spark, str(tmp_path)).first()["total"] == 1005
+
+
+def test_a_label_of_many_pages_is_resolved_without_all_their_entries(spark):
+    """Equal to the definition; the rows that labels and entries join to grow with both, not with their product."""
+    rng = random.Random(8)
+    sources = ["wiki", None, "", *(f"p{i}" for i in range(8))]
+    entries = {(rng.choice("ab"), rng.choice(sources)): (f"l{i}", rng.randrange(5), rng.randrange(3)) for i in range(40)}
+    entries |= {("c", "p1"): (None, 1, 1), ("d", "p2"): ("l", 2, 1)}
+    asked = [(i, rng.choice(["a", "b", "c", "d", "e", None]), rng.choice(sources)) for i in range(200)]
+    d = spark.createDataFrame([(*k, *v) for k, v in entries.items()], "label string, source_title string, link string, ord long, place long")
+    q = spark.createDataFrame(asked, "qid long, label string, page_title string")
+    for last in (False, True):
+        want = set()
+        for qid, label, page in asked:
+            sign = -1 if last else 1
+            rank = lambda s, page=page: 0 if s is not None and s == page else 1 if s == "wiki" else 2
+            found = sorted((rank(s), sign * o, sign * p, s is not None, s or "", link or "") for (n, s), (link, o, p) in entries.items() if n == label)
+            want.add((qid, label, page, (found[0][-1] or None) if found else None))
+        assert {tuple(r) for r in links.resolve_links(q, d, last).collect()} == want
+    n = 3000
+    d = spark.range(n).selectExpr("'a' label", "concat('p', id) source_title", "concat('l', id) link", "id ord", "0L place")
+    q = spark.range(n).selectExpr("id qid", "'a' label", "concat('p', 2 * id) page_title")
+    got = links.resolve_links(q, d)
+    assert got.filter("link = concat('l', if(qid < 1500, 2 * qid, 0))").count() == n
+    rows = []
+
+    def walk(node):
+        metric = node.metrics().get("numOutputRows")
+        if metric.isDefined():
+            rows.append(metric.get().value())
+        more = [node.executedPlan()] if "AdaptiveSparkPlan" in node.nodeName() else [node.plan()] if "QueryStage" in node.nodeName() else []
+        at = node.children()
+        for child in [*more, *(at.apply(i) for i in range(at.size()))]:
+            walk(child)
+
+    got.collect()
+    walk(got._jdf.queryExecution().executedPlan())
+    assert rows and max(rows) <= 2 * n
