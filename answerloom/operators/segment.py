@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from answerloom.functions.ngrams import gram_list
+from answerloom.sources.shared import written
 
 ATOM = re.compile(r'object\.(\w+) == "([^"]*)"')
 CONCLUSION = re.compile(r'object\.conclusion = "([^"]*)"')
@@ -170,8 +171,9 @@ def with_first_tags(rows: DataFrame, lexicon: DataFrame) -> DataFrame:
 
     A lexicon of at most MOST_ENTRIES entries and MOST_BYTES is a trie in every task, and
     no row moves. A larger one is joined with the word sequences as long as its entries.
+    It is written once, since it may be counted from a whole corpus.
     """
-    known = entries(lexicon)
+    known = written(entries(lexicon))
     size = known.limit(MOST_ENTRIES + 1).agg(F.count("*").alias("n"), F.sum(F.octet_length("phrase")).alias("bytes")).first()
     if size["n"] > MOST_ENTRIES or (size["bytes"] or 0) > MOST_BYTES:
         return joined_tags(rows, known)

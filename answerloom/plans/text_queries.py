@@ -398,7 +398,8 @@ SELECT conv_id, turn, coalesce(substr(s, 2), '') AS segmented FROM turns LEFT JO
 def segmented_turns(spark, sf_dir):
     """Turns cut into units: frequent word sequences of the documents are the lexicon."""
     w = segment.with_words(table(spark, sf_dir, "documents").select("text"), F.lower("text")).select(F.col("words").alias("w"))
-    runs = w.select(F.explode(F.concat(*[ngrams.gram_list(F.col("w"), n) for n in UNIT_LENGTHS])).alias("phrase"))
+    # An inner explode would first form all sequences once more, to test documents for having any.
+    runs = w.select(F.explode_outer(F.concat(*[ngrams.gram_list(F.col("w"), n) for n in UNIT_LENGTHS])).alias("phrase")).filter("phrase is not null")
     counted = runs.groupBy("phrase").count().filter(F.col("count") >= UNIT_PLACES)
     lexicon = counted.filter(F.forall(F.split("phrase", " "), lambda x: x.rlike(LETTERS))).select("phrase")
     rules = segment.parse_rules(SEGMENT_RULES)

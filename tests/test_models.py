@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from answerloom.functions.text import words
-from answerloom.operators import classify, corpus, evaluate, links, ranking, reader
+from answerloom.operators import classify, corpus, evaluate, links, ranking, reader, segment
 from answerloom.operators.index import BM25Index, DenseIndex, build_searcher
 from answerloom.plans import pipelines
 from answerloom.sources import readers, writers
@@ -362,3 +362,20 @@ def test_small_fit_runs_few_tasks(spark):
     assert len([s for s in stages if s and s.numTasks >= 40]) <= 4
     got = classify.classify(train, model).select("question", "category").collect()
     assert {(r["question"], r["category"]) for r in got} == set(asked)
+
+
+def test_a_lexicon_is_made_once(spark, monkeypatch):
+    """Whether it travels or is joined: it may be counted from a whole corpus."""
+    made = spark.sparkContext.accumulator(0)
+
+    def noted(phrase):
+        made.add(1)
+        return phrase
+
+    lexicon = spark.createDataFrame([("a b",), ("b c d",), ("e",)], "p string").select(F.udf(noted, "string").asNondeterministic()("p").alias("phrase"))
+    rows = spark.createDataFrame([(1, "x A b c d"), (2, "b c d"), (3, "")], "id int, text string")
+    for n, most in enumerate((segment.MOST_ENTRIES, 0), 1):
+        monkeypatch.setattr(segment, "MOST_ENTRIES", most)
+        got = segment.with_first_tags(segment.with_words(rows, F.col("text")), lexicon).collect()
+        assert {r["id"]: "".join(r["first_tags"]) for r in got} == {1: "BBIBB", 2: "BII", 3: ""}
+        assert made.value == 3 * n
