@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from answerloom.functions.ngrams import multiset_overlap
 from answerloom.functions.text import normalize_answer, words
 from answerloom.operators.ranking import best_indexes, softmax, top_k
+from answerloom.sources.shared import written
 
 MAX_ANSWER_LENGTH = 30
 
@@ -227,7 +228,8 @@ def predictions_logits(
         )
     total = F.col("start_logit") + F.col("end_logit")
     order = [F.desc(total), F.asc_nulls_last("feature_id"), F.asc("i"), F.asc("j")]
-    best = _first_of_each(rows, order, n, F.col("start") == 0).select("qid", "rank", "text", "start_logit", "end_logit")
+    # Written, as is the whole list below: both are read several times, and one task would else hold all the sorts of each reading.
+    best = written(_first_of_each(rows, order, n, F.col("start") == 0).select("qid", "rank", "text", "start_logit", "end_logit"))
     nonce = lambda place: [F.lit(place).cast("long").alias("rank"), F.lit("empty").alias("text"), F.lit(0.0).alias("start_logit"), F.lit(0.0).alias("end_logit")]
     if null_threshold is None:
         asked = examples.select("qid").distinct()
@@ -239,7 +241,7 @@ def predictions_logits(
         alone = best.groupBy("qid").agg(F.count("*").alias("m")).filter("m = 1")
         best = best.union(alone.select("qid", *nonce(0)))
         best = best.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy("rank")).cast("long"))
-    best = best.withColumn("probability", total)
+    best = written(best).withColumn("probability", total)
     firsts = best.groupBy("qid").agg(
         F.min_by(F.struct("text", F.col("probability").alias("score")), "rank").alias("first"),
         F.min_by(F.struct("text", F.col("probability").alias("score")), F.when(F.col("text") != "", F.col("rank"))).alias("other"),
@@ -283,7 +285,7 @@ def predictions_log_probs(
     )
     total = F.col("start_logit") + F.col("end_logit")
     best = _first_of_each(_with_text(spans, examples, tokenise), [F.desc(total), F.asc("feature_id"), F.asc("i"), F.asc("j")], n)
-    best = best.select("qid", "rank", "text", "start_logit", "end_logit")
+    best = written(best.select("qid", "rank", "text", "start_logit", "end_logit"))
     rest = examples.select("qid").distinct().join(best.select("qid").distinct(), "qid", "left_anti")
     best = best.union(rest.select("qid", F.lit(1).cast("long"), F.lit(""), F.lit(-1e6), F.lit(-1e6)))
     best = best.withColumn("probability", softmax(total, ["qid"]))

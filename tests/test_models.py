@@ -2,6 +2,7 @@
 
 import json
 import math
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -379,3 +380,12 @@ def test_a_lexicon_is_made_once(spark, monkeypatch):
         got = segment.with_first_tags(segment.with_words(rows, F.col("text")), lexicon).collect()
         assert {r["id"]: "".join(r["first_tags"]) for r in got} == {1: "BBIBB", 2: "BII", 3: ""}
         assert made.value == 3 * n
+
+
+def test_nbest_tasks_hold_the_sorts_of_one_reading(spark, sf_dir):
+    """Lists that are read several times are written, so that no plan sorts them again in each reading."""
+    from answerloom.plans import corpus_queries
+
+    for name, most in (("nbest_predictions", 3), ("nbest_null_odds", 12)):
+        plan = getattr(corpus_queries, name)(spark, sf_dir)._jdf.queryExecution().sparkPlan().toString()
+        assert len(re.findall(r"\bWindow \[", plan)) == 0 and plan.count("Join") <= most, name
