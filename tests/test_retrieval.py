@@ -190,3 +190,18 @@ def test_index_tasks_hold_a_bounded_share(spark, sf_dir, monkeypatch):
     monkeypatch.setattr(answer_queries, "INDEX_TASK", size // 24)
     assert answer_queries.index(spark, sf_dir).occurrences.rdd.getNumPartitions() >= 24
     assert found() == want
+
+
+def test_buckets_of_blocks_hold_a_bounded_share(spark, sf_dir, tmp_path, monkeypatch):
+    """Blocks are formed in buckets of at most so many postings, however many there are; results stay."""
+    from answerloom.operators import block_index
+    from answerloom.plans import answer_queries
+
+    index, asked = answer_queries.index(spark, sf_dir), answer_queries.questions(spark, sf_dir)
+    want = sorted(tuple(r) for r in index.search(asked, 10).collect())
+    monkeypatch.setattr(block_index, "BUCKET_POSTINGS", -(-index.postings.count() // 9))
+    name = f"t_{uuid.uuid4().hex}"
+    saved = BlockIndex.save(index, name, str(tmp_path), buckets=4)
+    told = {r["col_name"]: r["data_type"] for r in spark.sql(f"DESCRIBE EXTENDED {name}_blocks").collect()}
+    assert told["Num Buckets"] == "9"
+    assert sorted(tuple(r) for r in saved.search(asked, 10).collect()) == want
