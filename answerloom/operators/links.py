@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
 from answerloom.functions.text import title_to_link
 from answerloom.operators.ranking import broadcast_if_small, top_k
-from answerloom.operators.titles import EPS, TitleIndex, exact_ratio, overlap_bound, ranked
+from answerloom.operators.title_pages import closest_by_token
+from answerloom.operators.titles import TitleIndex, ranked
+from answerloom.sources.shared import written
 
-#: Titles whose exact ratio is tried at first, to set the bound for all others.
-PROBES = 8
 #: Characters of a token that a join looks titles up by.
 KEY = 3
 #: Queries that one title meets at a time.
@@ -116,19 +116,16 @@ def _with_every_title(queries: DataFrame, titles: DataFrame) -> DataFrame:
 def closest_titles(queries: DataFrame, titles: DataFrame, n: int = 1, index: TitleIndex | None = None) -> DataFrame:
     """(qid, title, ratio, rank): the n closest titles of each query, the largest string on ties.
 
-    Titles that hold a token of a query are met by token; the cheap bound is computed inside
-    the engine, exact ratios of the PROBES best bounds give a floor, and only titles that
-    can reach it are compared exactly. Queries that no title answers, or with an empty token,
-    stand against all titles and search their index (built here, or one given over the same
-    titles). Nothing that could win is left out.
+    Titles that hold a token of a query are met in pages, where bounds leave few to be
+    compared exactly. Queries that no title answers, or with an empty token, stand against
+    all titles and search their index (built here, or one given over the same titles).
+    Nothing that could win is left out.
     """
-    met, every = matched_titles(queries, titles)
-    bounded = met.withColumn("bound", overlap_bound(F.col("query"), F.col("title")))
-    probes = top_k(bounded, ["qid"], [F.desc("bound"), F.desc("title")], max(n, PROBES)).drop("rank")
-    w = Window.partitionBy("qid").orderBy(F.desc("ratio"))
-    floor = (
-        exact_ratio(probes).withColumn("r", F.row_number().over(w)).filter(F.col("r") == n)
-        .select("qid", F.col("ratio").alias("floor"))
-    )
-    rest = bounded.join(floor, "qid", "left").filter(F.col("floor").isNull() | (F.col("bound") >= F.col("floor") - EPS))
-    return ranked(exact_ratio(rest), n).union((index or TitleIndex.build(titles)).closest(every, n))
+    once = written(titles.filter("title is not null").select("title").distinct())
+    tokens = F.array_distinct(F.split(F.lower("query"), " "))
+    asked = queries.filter("query is not null").select("qid", "query", tokens.alias("tokens"))
+    found = written(closest_by_token(asked.filter(~F.array_contains("tokens", "")), once, n))
+    every = asked.join(found.select("qid").distinct(), "qid", "left_anti").select("qid", "query")
+    if every.isEmpty():
+        return ranked(found, n)
+    return ranked(found, n).union((index or TitleIndex.build(once)).closest(every, n))

@@ -5,7 +5,7 @@ import random
 import string
 import uuid
 
-from answerloom.operators import links
+from answerloom.operators import links, title_pages
 from answerloom.operators.block_index import BlockIndex
 from answerloom.operators.index import BM25Index
 from answerloom.operators.titles import TitleIndex, common_subsequence, exact_ratio, profiles
@@ -53,6 +53,66 @@ def test_closest_titles_of_5000(spark):
     assert exact_ratio(reached).count() < 0.05 * every.count() * len(titles)
 
 
+def prose(rng, letters, n):
+    return " ".join("".join(rng.choice(letters) for _ in range(rng.randint(2, 9))) for _ in range(n // 6 + 1))[:n].rstrip()
+
+
+def test_closest_titles_of_prose_move_no_pairs(spark):
+    """Questions that share a token with most titles: equal to brute force, and no pair is a shuffled row."""
+    rng = random.Random(12)
+    letters = "eeeeeetttaaoinshrdlu" + "bcfgkmpvwxyzéß𝒳"
+    titles = [("The " if k % 5 else "An ") + prose(rng, letters, rng.choice((5, 30, 60, 64, 65, 70, 140))) for k in range(1500)]
+    asked = ["the an " + prose(rng, letters, rng.choice((20, 90, 180, 195, 220, 350))) for _ in range(30)]
+    asked += [titles[7], titles[8] + " " + titles[9] * 3, "an", "the " + "x" * 300, "the " + "e" * 120 + "ß" * 120]
+    t = spark.createDataFrame([(x,) for x in [*titles, *titles[:5], None]], "title string")
+    q = spark.createDataFrame([*enumerate(asked), (99, None)], "qid int, query string")
+    store = spark.sparkContext._jsc.sc().statusStore()
+    none = spark._jvm.java.util.ArrayList
+    quantiles = spark.sparkContext._gateway.new_array(spark._jvm.double, 0)
+    stages = lambda: store.stageList(none(), False, False, quantiles, none())
+    records = lambda: sum(x.shuffleWriteRecords() for x in (lambda s: [s.apply(i) for i in range(s.size())])(stages()))
+    before = records()
+    got = {r["qid"]: (r["ratio"], r["title"]) for r in links.closest_titles(q, t).collect()}
+    assert records() - before < len(titles) * len(asked) // 4
+    assert len(got) == len(asked)
+    for i, x in enumerate(asked):
+        ratio, title = closest_by_definition(x, titles)
+        assert got[i] == (round(ratio, 6), title), x
+
+
+def test_closest_titles_in_seeded_pages(spark, monkeypatch):
+    """With floors of a seed of the pages, the n closest are those of brute force, ties by the larger string."""
+    monkeypatch.setattr(title_pages, "PAGE", 16)
+    monkeypatch.setattr(title_pages, "BLOCK", 4)
+    rng = random.Random(13)
+    titles = [*titles_of(rng, 500), "ha a", "a ha", "ha b"]
+    asked = ["ha noi", "ha", "hoa binh " * 30, "nguyen tran le pham", "quang nam dong tay " + "nui da " * 40, "an"]
+    t = spark.createDataFrame([(x,) for x in titles], "title string")
+    q = spark.createDataFrame([(str(i), x) for i, x in enumerate(asked)], "qid string, query string")
+    got = {}
+    for r in sorted(links.closest_titles(q, t, 3).collect(), key=lambda r: r["rank"]):
+        got.setdefault(int(r["qid"]), []).append((r["ratio"], r["title"]))
+    for i, x in enumerate(asked):
+        some = [y for y in titles if any(w in y.lower() for w in x.split(" ") if w or x.endswith(" "))]
+        best = sorted(((difflib.SequenceMatcher(None, y, x).ratio(), y) for y in some), reverse=True)[:3]
+        assert got[i] == [(round(r, 6), y) for r, y in best], x
+
+
+def test_page_bounds_hold(spark):
+    """No title's ratio is above its page's bound, nor is a bound of subsequences above the exact one up to 64 characters."""
+    rng = random.Random(14)
+    letters = "eeeeeeeettttaaoinshrdlu𝒳é"
+    titles = [prose(rng, letters, rng.choice((0, 1, 5, 60, 64, 65, 130))) for _ in range(300)]
+    page = title_pages.TitlePage(titles)
+    for n in (0, 1, 60, 199, 200, 340):
+        x = prose(rng, letters, n)
+        bounds, common = page.bounds(x), page.subsequences(x)
+        for k, y in enumerate(titles):
+            assert difflib.SequenceMatcher(None, y, x).ratio() <= bounds[k] + 1e-9 or not x + y
+            exact = common_subsequence(x, y)
+            assert common[k] == exact if len(y) <= 64 else common[k] >= exact
+
+
 def test_title_index_stored_and_edges(spark, tmp_path):
     rng = random.Random(6)
     titles = [*titles_of(rng, 60), "", "a", "𝒳𝒴", "x" * 250, "Hồ Chí Minh"]
