@@ -1,4 +1,4 @@
-"""Text cleaning and scalar string functions, all as JVM-side Column expressions.
+"""Text cleaning and scalar string functions: JVM-side Column expressions, but for Unicode forms and tone marks.
 
 A cleaning function is a chain of (pattern, replacement) steps. The patterns are
 written so that Java and RE2 read them alike; DOT makes Java's dot stop at \\n only.
@@ -6,8 +6,10 @@ written so that Java and RE2 read them alike; DOT makes Java's dot stop at \\n o
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from collections.abc import Iterator, Sequence
+from itertools import groupby
 
 import pandas as pd
 from pyspark.sql import Column
@@ -138,42 +140,51 @@ _C = f"[^{VOWELS}{''.join(TONED)}]*"
 SYLLABLES = (rf"(?i)^(qu|gi)({_V}+)({_C})$", rf"^({_C})({_V}+)({_C})$")
 
 
-def place_tones(c: Column) -> Column:
-    """Tone marks of Vietnamese syllables moved to the vowel that carries them: hoá becomes hóa.
+#: The same for Python, whose (?i) takes in more letters than the engine's.
+_SYLLABLES = tuple(re.compile(p.replace("(?i)", "").replace("qu|gi", "[qQ][uU]|[gG][iI]")) for p in SYLLABLES)
+_BARE = str.maketrans("".join(TONED), VOWELS * len(TONES))
+_TONE = {ord(x): k for k, toned in enumerate(TONED) for x in toned}
+_RUNS = re.compile(r"\w+|\W+")
+#: Words that a task remembers with their tones placed.
+MOST_WORDS = 100_000
 
-    That is the last vowel with a hat, horn or breve; without one, of two vowels the first,
-    or the second before a consonant, and of three the second. Words that are no syllable
-    with one tone stay as they are. Composed letters are expected.
-    """
-    toned, digits = "".join(TONED), "".join(str(k + 1) * len(VOWELS) for k in range(len(TONES)))
 
-    # Each step's columns are bound to a name inside a one-element array, so they are formed once.
-    bound = lambda columns, step: F.get(F.transform(F.array(F.struct(*[c.alias(n) for n, c in columns.items()])), step), 0)
+def _placed(word: str) -> str:
+    """A run of letters with its tone mark moved, if it is a syllable with one."""
+    m = next(filter(None, (p.search(word) for p in _SYLLABLES)), None)
+    tones = [_TONE[ord(x)] for x in m[2] if ord(x) in _TONE] if m else []
+    if len(tones) != 1:
+        return word
+    onset, vowels, coda = m.groups()
+    bare = vowels.translate(_BARE)
+    marked = [i for i, x in enumerate(bare) if x in MARKED]
+    at = marked[-1] if marked else 0 if len(bare) == 1 or (len(bare) == 2 and not coda) else 1
+    return onset + bare[:at] + TONED[tones[0]][VOWELS.index(bare[at])] + bare[at + 1 :] + coda
 
-    def parts(word: Column) -> Column:
-        whole = lambda p: {"m": F.concat_ws("|", *[F.regexp_extract(word, p, k) for k in (1, 2, 3)])}
-        cut = F.when(word.rlike(SYLLABLES[0]), whole(SYLLABLES[0])["m"]).otherwise(whole(SYLLABLES[1])["m"])
-        return F.split(cut, r"\|")
 
-    def moved(word: Column) -> Column:
-        return bound({"x": parts(word)}, lambda s: bound({"x": s["x"], "bare": F.translate(s["x"][1], toned, VOWELS * len(TONES)), "tone": F.regexp_replace(F.translate(s["x"][1], toned, digits), "[^1-5]", "")}, lambda t: rebuilt(word, t)))
+class _Placed(dict):
+    """Runs of word characters, or of others, with tones placed, each worked out once; \\w holds all letters and more."""
 
-    def rebuilt(word: Column, t: Column) -> Column:
-        bare, coda, n = t["bare"], t["x"][2], F.length(t["bare"])
-        after = F.length(F.regexp_extract(bare, f"[{MARKED}]([^{MARKED}]*)$", 1))
-        place = F.when(bare.rlike(f"[{MARKED}]"), n - after).when((n == 1) | ((n == 2) & (coda == "")), 1).otherwise(2)
+    def __missing__(self, run: str) -> str:
+        if len(self) >= MOST_WORDS:
+            self.clear()
+        out = run if run.isascii() else "".join(_placed("".join(g)) if letters else "".join(g) for letters, g in groupby(run, str.isalpha))
+        self[run] = out
+        return out
 
-        def put(p: Column) -> Column:
-            letter = F.substr(bare, p["place"], F.lit(1))
-            marked = F.coalesce(*[F.when(t["tone"] == str(k + 1), F.translate(letter, VOWELS, m)) for k, m in enumerate(TONED)])
-            return F.concat(t["x"][0], F.substr(bare, F.lit(1), p["place"] - 1), marked, F.substr(bare, p["place"] + 1), coda)
 
-        return F.when(F.length(t["tone"]) == 1, bound({"place": place}, put)).otherwise(word)
+@F.pandas_udf(StringType())
+def place_tones(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    """Tone marks of Vietnamese syllables moved to the vowel that carries them: hoá becomes hóa.
 
-    has_tone = f"[{toned}]"
-    pieces = F.regexp_extract_all(c, F.lit(r"\p{L}+|\P{L}+"), 0)
-    each = F.transform(pieces, lambda w: F.when(w.rlike(has_tone), moved(w)).otherwise(w))
-    return F.when(c.rlike(has_tone), F.array_join(each, "")).otherwise(c)
+    That is the last vowel with a hat, horn or breve; without one, of two vowels the first,
+    or the second before a consonant, and of three the second. Words that are no syllable
+    with one tone stay as they are. Composed letters are expected. A word that returns is
+    looked up.
+    """
+    placed = _Placed()
+    for s in batches:
+        yield s.map(lambda t: t if t.isascii() else "".join(map(placed.__getitem__, _RUNS.findall(t))), na_action="ignore")
 
 
 def query_normalize(c: Column) -> Column:
