@@ -15,9 +15,13 @@ import re
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType
 
 from answerloom.functions.ngrams import gram_list
 from answerloom.sources.shared import written
@@ -30,6 +34,10 @@ WORD = r"[\p{L}\p{M}\p{N}]+|[^\p{L}\p{M}\p{N}\s]"
 #: A lexicon travels to the tasks up to these entries and bytes; a larger one is joined.
 MOST_ENTRIES, MOST_BYTES = 200_000, 16 << 20
 
+#: Bytes of frequent words up to which sequences are counted by the words' numbers, and the words so counted at once.
+MOST_VOCABULARY, COUNTED_WORDS = 64 << 20, 1 << 20
+LETTERS = r"^[\p{L}\p{M}\p{N}]+$"
+
 Atom = tuple[int, str, str]
 
 
@@ -160,6 +168,78 @@ def join_words(words: Column, tags: Column) -> Column:
     return F.substring(F.array_join(parts, ""), 2, (1 << 31) - 1)
 
 
+def frequent_phrases(docs: DataFrame, places: int) -> DataFrame:
+    """(phrase): sequences of two and three words of letters that docs(text), lower-cased, hold in so many places.
+
+    No word of such a sequence has fewer places, so the frequent words, up to
+    MOST_VOCABULARY bytes of them, are numbered, and sequences are counted as numbers, first
+    in each batch. Beyond that the sequences themselves are counted.
+    """
+    w = words_of(F.lower("text"))
+
+    def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words, n = pc.value_counts(batch.column(0).flatten()).flatten()
+            yield pa.RecordBatch.from_arrays([words, n], ["word", "n"])
+
+    each = docs.select(w.alias("w")).mapInArrow(tally, "word string, n long").groupBy("word").agg(F.sum("n").alias("count"))
+    known = written(each.filter((F.col("count") >= places) & F.col("word").rlike(LETTERS)).select("word"))
+    if (known.agg(F.sum(F.octet_length("word"))).first()[0] or 0) > MOST_VOCABULARY:
+        return _counted_phrases(docs, places)
+    vocabulary = pa.array([r["word"] for r in known.toLocalIterator()], pa.string())
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(0)
+            ends = lists.offsets.to_numpy()
+            ids = pc.index_in(lists.flatten(), vocabulary).fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+            ends = ends - ends[0]
+            # A document's end parts its words from the next one's, as an unknown word does.
+            ids = np.insert(ids, ends[1:], -1)
+            ends = ends + np.arange(len(ends))
+            begin = 0
+            while begin < len(ends) - 1:
+                stop = max(begin + 1, int(np.searchsorted(ends, ends[begin] + COUNTED_WORDS, "right")) - 1)
+                yield _sequence_counts(ids[ends[begin] : ends[stop]])
+                begin = stop
+
+    def spelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            pair, last = (batch.column(k).to_numpy() for k in (0, 1))
+            parts = [vocabulary.take(pa.array(x)) for x in (pair >> 31, pair & (2**31 - 1))]
+            third = vocabulary.take(pa.array(last, mask=last < 0))
+            yield pa.RecordBatch.from_arrays([pc.binary_join_element_wise(*parts, third, " ", null_handling="skip")], ["phrase"])
+
+    numbers = docs.select(w.alias("w")).mapInArrow(count, "pair long, last long, n long")
+    counted = numbers.groupBy("pair", "last").agg(F.sum("n").alias("n")).filter(F.col("n") >= places)
+    return counted.select("pair", "last").mapInArrow(spelled, "phrase string")
+
+
+def _sequence_counts(ids: np.ndarray) -> pa.RecordBatch:
+    """(pair, last, n) of the sequences of two, whose last is -1, and of three numbers; none holds a -1."""
+    pairs = np.where((ids[:-1] >= 0) & (ids[1:] >= 0), ids[:-1] << 31 | ids[1:], -1)
+    known, at, n = np.unique(pairs, return_inverse=True, return_counts=True)
+    whole = (pairs[:-1] >= 0) & (ids[2:] >= 0)
+    # Fewer than COUNTED_WORDS pairs and 2^31 words (a longer document: no more than its words) fit one number.
+    triples, m = np.unique(at[:-1][whole].astype(np.int64) << 31 | ids[2:][whole], return_counts=True)
+    twos = known >= 0
+    columns = (
+        np.concatenate([known[twos], known[triples >> 31]]),
+        np.concatenate([np.full(twos.sum(), -1), triples & (2**31 - 1)]),
+        np.concatenate([n[twos], m]),
+    )
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["pair", "last", "n"])
+
+
+def _counted_phrases(docs: DataFrame, places: int) -> DataFrame:
+    """frequent_phrases for any number of words."""
+    w = with_words(docs.select("text"), F.lower("text")).select(F.col("words").alias("w"))
+    # An inner explode would first form all sequences once more, to test documents for having any.
+    runs = w.select(F.explode_outer(F.concat(*[gram_list(F.col("w"), n) for n in (2, 3)])).alias("phrase")).filter("phrase is not null")
+    counted = runs.groupBy("phrase").count().filter(F.col("count") >= places)
+    return counted.filter(F.forall(F.split("phrase", " "), lambda x: x.rlike(LETTERS))).select("phrase")
+
+
 def entries(lexicon: DataFrame) -> DataFrame:
     """(phrase) lower-cased, of two or more words, each once."""
     phrase = F.array_join(words_of(F.lower("phrase")), " ")
@@ -192,7 +272,7 @@ def joined_tags(rows: DataFrame, known: DataFrame) -> DataFrame:
     """with_first_tags for a lexicon of any size, known as `entries` gives it.
 
     Equal word arrays are looked up once, under their digest; what is found at a word is
-    the longest entry, and a fold walks from left to right.
+    the longest entry, and a walk goes from left to right.
     """
     lengths = [r["n"] for r in known.select(F.size(F.split("phrase", " ")).alias("n")).distinct().collect()]
     low = F.transform("words", F.lower)
@@ -205,17 +285,26 @@ def joined_tags(rows: DataFrame, known: DataFrame) -> DataFrame:
         places.join(known, "phrase", "left_semi").groupBy("__key", "at").agg(F.max("n").alias("n"))
         .groupBy("__key").agg(F.map_from_entries(F.collect_list(F.struct("at", "n"))).alias("__found"))
     )
-    step = lambda state, at: F.struct(
-        F.when(at < state["next"], state["next"]).otherwise(at + F.coalesce(F.try_element_at("__found", at), F.lit(1))).alias("next"),
-        F.concat(state["tags"], F.array(F.when(at < state["next"], "I").otherwise("B"))).alias("tags"),
-    )
-    begin = F.struct(F.lit(1).alias("next"), F.array().cast("array<string>").alias("tags"))
-    places_of = F.when(F.size("words") > 0, F.sequence(F.lit(1), F.size("words"))).otherwise(F.array().cast("array<int>"))
-    walked = F.aggregate(places_of, begin, step)["tags"]
+    longest = F.coalesce("__found", F.create_map().cast("map<int,int>"))
+    walked = _walked(F.size("words"), F.map_keys(longest), F.map_values(longest))
     out = keyed.join(found, "__key", "left").withColumn("first_tags", walked)
     return out.drop("__key", "__found")
 
 
+@F.pandas_udf(ArrayType(StringType()))
+def _walked(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    """B and I for so many words, by the lengths of the longest entries at places from 1."""
+    for sizes, places, lengths in batches:
+        out = []
+        for size, at, n in zip(sizes, places, lengths, strict=True):
+            found = dict(zip(at, n, strict=True))
+            tags: list[str] = []
+            while len(tags) < size:
+                tags += ["B", *["I"] * (found.get(len(tags) + 1, 1) - 1)]
+            out.append(tags)
+        yield pd.Series(out, dtype=object)
+
+
 def _placed(n: int) -> Column:
     """(at, n, phrase) of the sequences of n words of low, places from 1."""
     return F.transform(gram_list(F.col("low"), n), lambda p, i: F.struct((i + 1).alias("at"), F.lit(n).alias("n"), p.alias("phrase")))

@@ -357,7 +357,7 @@ SEGMENT_RULES = (
 )
 #: Sequences of two and three words are units from so many places in the documents on.
 UNIT_LENGTHS, UNIT_PLACES = (2, 3), 20
-LETTERS = r"^[\p{L}\p{M}\p{N}]+$"
+LETTERS = segment.LETTERS
 
 
 def _sql_rule(rule: segment.Rule) -> str:
@@ -397,10 +397,6 @@ SELECT conv_id, turn, coalesce(substr(s, 2), '') AS segmented FROM turns LEFT JO
 @query(_sql_segmented())
 def segmented_turns(spark, sf_dir):
     """Turns cut into units: frequent word sequences of the documents are the lexicon."""
-    w = segment.with_words(table(spark, sf_dir, "documents").select("text"), F.lower("text")).select(F.col("words").alias("w"))
-    # An inner explode would first form all sequences once more, to test documents for having any.
-    runs = w.select(F.explode_outer(F.concat(*[ngrams.gram_list(F.col("w"), n) for n in UNIT_LENGTHS])).alias("phrase")).filter("phrase is not null")
-    counted = runs.groupBy("phrase").count().filter(F.col("count") >= UNIT_PLACES)
-    lexicon = counted.filter(F.forall(F.split("phrase", " "), lambda x: x.rlike(LETTERS))).select("phrase")
+    lexicon = segment.frequent_phrases(table(spark, sf_dir, "documents"), UNIT_PLACES)
     rules = segment.parse_rules(SEGMENT_RULES)
     return segment.segment(turns(spark, sf_dir, text=F.col("text")), lexicon, rules).select("conv_id", "turn", "segmented")

@@ -29,3 +29,29 @@ def test_tone_marks_place_a_repeated_word_once(spark):
     began = time.perf_counter()
     asked.select(text.place_tones("text").alias("text")).write.format("noop").mode("overwrite").save()
     assert time.perf_counter() - began < 20
+
+
+def test_frequent_phrases_by_numbers_and_by_themselves(spark, monkeypatch):
+    """The lexicon of segmented_turns, as counted in Python; sequences are counted as numbers while the words are few."""
+    import re
+    from collections import Counter
+
+    from answerloom.operators import segment
+
+    rng = random.Random(5)
+    pool = ["a", "b", "c", "Đa", "é", "é", "x1", "²", ".", ",", "!", "中", "rare", "\n"]
+    texts = [" ".join(rng.choices(pool, [9, 8, 7, 4, 3, 3, 3, 2, 2, 1, 1, 2, 0.1, 1], k=rng.choice([0, 1, 2, 3, 60]))) for _ in range(1500)] + [None, "", "a", "a b"]
+    counts = Counter()
+    for t in texts:
+        w = re.findall(r"(?:[^\W_]|́)+|[^\w\s]", (t or "").lower())
+        counts.update(" ".join(w[i : i + n]) for n in (2, 3) for i in range(len(w) - n + 1))
+    want = sorted(p for p, n in counts.items() if n >= 20 and not set(p) & set(".,!"))
+    docs = spark.createDataFrame([(t,) for t in texts], "text string").repartition(3)
+    assert len(want) > 100
+    for most, at_once in ((64 << 20, 1 << 20), (64 << 20, 100), (64 << 20, 1), (0, 1)):
+        monkeypatch.setattr(segment, "MOST_VOCABULARY", most)
+        monkeypatch.setattr(segment, "COUNTED_WORDS", at_once)
+        found = segment.frequent_phrases(docs, 20)
+        assert ("pair" in found._jdf.queryExecution().toString()) == (most > 0)
+        assert sorted(r["phrase"] for r in found.collect()) == want
+    assert segment.frequent_phrases(docs.limit(0), 20).collect() == []
