@@ -55,3 +55,17 @@ def test_frequent_phrases_by_numbers_and_by_themselves(spark, monkeypatch):
         assert ("pair" in found._jdf.queryExecution().toString()) == (most > 0)
         assert sorted(r["phrase"] for r in found.collect()) == want
     assert segment.frequent_phrases(docs.limit(0), 20).collect() == []
+
+
+def test_a_search_of_blocks_scores_the_probes_once(spark, tmp_path):
+    """The plan that is left reads blocks, terms asked, statistics and slices wanted; before, also all that these came from."""
+    from answerloom.operators.block_index import BlockIndex
+    from answerloom.operators.index import BM25Index
+
+    rng = random.Random(6)
+    docs = spark.createDataFrame([(i, " ".join(rng.choices("abcdefgh", k=rng.randint(0, 9)))) for i in range(300)], "doc_id long, text string")
+    asked = spark.createDataFrame([(0, "a b"), (1, "h")], "qid long, question string")
+    index = BM25Index.build(docs)
+    found = BlockIndex.save(index, "blocks_once", str(tmp_path / "index"), buckets=3, docs=8).search(asked, 3)
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Relation") <= 4
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, index.search(asked, 3).collect()))
